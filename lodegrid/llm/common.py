@@ -31,6 +31,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of the columns' values, to find a row again; equal rows have equal keys."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.md5(F.concat_ws("\x1f", *parts))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and each row's limits in it (nulls: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import chat, language_id, mixing, secrets, url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (url_filter.op1_url_filter, mixing.op6_source_mix)}
+    return {f.__name__: f for f in (url_filter.op1_url_filter, language_id.op2_language_id, mixing.op6_source_mix, secrets.op9_secret_scan, chat.op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
