@@ -120,3 +120,26 @@ def test_op10(spark):
         loss = "".join(b for a, b in turns if a == "assistant")
         assert r["n_turns"] == len(turns) and r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for a, b in turns))
         assert r["loss_chars"] == len(loss) and r["loss_sha256"] == sha(loss) and r["formatted_chars"] == len(chat.render(turns)[0])
+
+
+def test_op3(spark, docs):
+    out = {r["doc_id"]: r for r in run(spark, "op3_simhash_fingerprint")}
+    order = sorted(docs, reverse=True)
+    assert sorted(out) == sorted(docs)
+    prints = {d: int(r["fingerprint"], 16) for d, r in out.items()}
+    for d, after in zip(order, order[1:] + order[:1]):
+        text, new = docs[d]["text"] or "", docs[after]["text"] or ""
+        half = len(text) // 2
+        made = text[: len(text) - half] + new[:half]
+        r = out[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), sha(made))
+        assert r["near_next"] == 1 - (prints[d] ^ prints[after]).bit_count() / 64
+        assert r["near_edited"] == 1 - (prints[d] ^ int(r["edited_fingerprint"], 16)).bit_count() / 64
+        near = None if d % 50 else len({p for p in prints.values() if (p ^ prints[d]).bit_count() <= 3}) - 1
+        assert r["n_near"] == near
+    mean = lambda k: sum(r[k] for r in out.values()) / len(out)
+    assert mean("near_edited") > mean("near_next") + 0.1
+    same = defaultdict(set)
+    for d, r in docs.items():
+        same[r["text"]].add(prints[d])
+    assert all(len(s) == 1 for s in same.values())
