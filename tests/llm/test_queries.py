@@ -143,3 +143,25 @@ def test_op3(spark, docs):
     for d, r in docs.items():
         same[r["text"]].add(prints[d])
     assert all(len(s) == 1 for s in same.values())
+
+
+def brute_dedup(texts, width=13):
+    words = {d: WORDS.findall(t or "") for d, t in texts.items()}
+    least = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - width + 1):
+            least.setdefault(tuple(words[d][i : i + width]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if least[tuple(w[i : i + width])] < d:
+                gone |= set(range(i, i + width))
+        out[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    return out
+
+
+def test_op4(spark, docs):
+    out = run(spark, "op4_substring_dedup")
+    want = {d: (n, gone, sha(kept)) for d, (n, gone, kept) in brute_dedup({d: r["text"] for d, r in docs.items()}).items()}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == want
