@@ -301,8 +301,8 @@ def stars(deals: DataFrame, radius: int, check_radius: int = 0, block: int = BLO
             check = None
             if checked:
                 values = rows.column("check").combine_chunks()
-                check = values.flatten().to_numpy().reshape(len(key), -1)
-            label = compare(group, col("probe"), col("fp"), check, radius, check_radius)
+                check = values.flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
+            label = compare(group, col("probe"), col("fp").view(np.uint64), check, radius, check_radius)
             a, b = node, node[label]
             edge = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
             return pa.record_batch({"a": pa.array(edge[:, 0]), "b": pa.array(edge[:, 1])})
