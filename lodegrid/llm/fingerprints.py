@@ -69,7 +69,8 @@ def followed(docs: DataFrame, blocks: int = ID_BLOCKS, least: int = 256) -> Data
     order = Window.partitionBy().orderBy("block")
     first = Window.partitionBy()
     before = heads.select("id", F.coalesce(F.lag("block").over(order), F.max("block").over(first)).alias("of_block"))
-    ends = docs.join(before, "id").groupBy("doc_id", "id", "of_block").agg(F.min("text").alias("text"))
+    # One row per block, and at most `blocks` blocks: bounded, so texts needn't be dealt out to be looked up.
+    ends = docs.join(F.broadcast(before), "id").groupBy("doc_id", "id", "of_block").agg(F.min("text").alias("text"))
     rows = docs.select("doc_id", "id", "text", "block", F.lit(0).alias("end")).unionByName(ends.select("doc_id", "id", "text", F.col("of_block").alias("block"), F.lit(1).alias("end")))
     inside = Window.partitionBy("block").orderBy("end", F.desc("id"), "text")
     placed = rows.withColumns({"place": F.row_number().over(inside), "next_text": F.lead("text").over(inside)})
