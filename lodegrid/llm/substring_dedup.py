@@ -89,11 +89,12 @@ def anchor_hashes(h: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def known(rows: np.ndarray, hashes: np.ndarray, blobs: list) -> np.ndarray:
-    """Which of the hashes are among those in the blobs of their row."""
-    values = [np.frombuffer(b"".join(x or []), np.uint64) for x in blobs]
-    of = np.repeat(np.arange(len(values)), [len(v) for v in values])
-    return np.isin(mixed(hashes + rows.astype(np.uint64) * _P1), mixed(np.concatenate([np.zeros(0, np.uint64), *values]) + of.astype(np.uint64) * _P1))
+def known(rows: np.ndarray, hashes: np.ndarray, found: pa.ListArray) -> np.ndarray:
+    """Which of the hashes are in the list of their row (null: an empty list)."""
+    lengths = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(found)), lengths).astype(np.uint64)
+    values = found.flatten().to_numpy().view(np.uint64)
+    return np.isin(mixed(hashes + rows.astype(np.uint64) * _P1), mixed(values + of * _P1))
 
 
 def by_document(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -127,11 +128,13 @@ def settled(hashes: np.ndarray, ids: np.ndarray, smaller: bool) -> Iterator[pa.R
     yield pa.record_batch([pa.array(hashes[head].view(np.int64)), pa.array(ids[head]), pa.array(shared[head] & (not smaller)), pa.nulls(n, pa.binary())], SENT)
 
 
-def met(rows: pa.Table, smaller: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, at: of whole groups of rows, sorted by hash and id, those whose hash is in another document (of a smaller id)."""
+def met(rows: pa.Table, smaller: bool) -> pa.RecordBatch:
+    """doc_id, hash: of whole groups of rows, sorted by hash and id, those whose hash is in another document (of a smaller
+    id), and what is already found."""
     given = rows.column("at").is_valid().to_numpy()
     plain = rows.filter(pa.array(given))
-    yield pa.record_batch([plain.column("doc_id").combine_chunks(), plain.column("at").combine_chunks()], ["doc_id", "at"])
+    at = plain.column("at").to_pylist()
+    out_ids, out = [np.repeat(plain.column("doc_id").to_numpy(), [len(x) // 8 for x in at])], [np.frombuffer(b"".join(at), np.int64)]
     hashes, ids, shared = (rows.column(c).to_numpy()[~given] for c in ("hash", "doc_id", "shared"))
     if len(ids):
         head = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]) != 0)
@@ -139,8 +142,9 @@ def met(rows: pa.Table, smaller: bool) -> Iterator[pa.RecordBatch]:
         hit = ids != np.repeat(ids[head], size)
         if not smaller:
             hit = np.repeat(np.maximum.reduceat(hit | shared, head), size) & ~shared
-        ids, blobs = by_document(ids[hit], hashes[hit].view(np.uint64))
-        yield pa.record_batch([pa.array(ids), pa.array(blobs, pa.binary())], ["doc_id", "at"])
+        out_ids.append(ids[hit])
+        out.append(hashes[hit])
+    return pa.record_batch({"doc_id": pa.array(np.concatenate(out_ids)), "hash": pa.array(np.concatenate(out))})
 
 
 def level(texts: DataFrame, width: int, kind: str, smaller: bool) -> DataFrame:
@@ -160,12 +164,12 @@ def level(texts: DataFrame, width: int, kind: str, smaller: bool) -> DataFrame:
                 if kind == "anchor":
                     hashes = anchor_hashes(h, place, width)
                 elif len(place):
-                    blobs = part.column("found").to_pylist()
+                    found = part.column("found")
                     if kind == "window":
-                        ok = known(row, anchor_hashes(h, place, width), blobs)
+                        ok = known(row, anchor_hashes(h, place, width), found)
                     else:
                         half = window_hashes(h, width // 2)
-                        ok = known(row, half[place], blobs) & known(row, half[place + width // 2], blobs)
+                        ok = known(row, half[place], found) & known(row, half[place + width // 2], found)
                     row, hashes = row[ok], hashes[ok]
                 yield from settled(hashes, ids[row], smaller)
 
@@ -179,18 +183,19 @@ def level(texts: DataFrame, width: int, kind: str, smaller: bool) -> DataFrame:
                 hashes = rows.column("hash").to_numpy()
                 cut = int(np.searchsorted(hashes, hashes[-1]))
                 if cut:
-                    yield from met(rows.slice(0, cut), smaller)
+                    yield met(rows.slice(0, cut), smaller)
                     held, n = rows.slice(cut).to_batches(), n - cut
         if n:
-            yield from met(pa.Table.from_batches(held), smaller)
+            yield met(pa.Table.from_batches(held), smaller)
 
-    sent = texts.where(F.col("doc_id").isNotNull()).mapInArrow(candidates, "hash long, doc_id long, shared boolean, at binary")
+    sent = texts.mapInArrow(candidates, "hash long, doc_id long, shared boolean, at binary")
     dealt = sent.repartition("hash").sortWithinPartitions("hash", "doc_id")
-    return dealt.mapInArrow(meet, "doc_id long, at binary").groupBy("doc_id").agg(F.collect_list("at").alias("found"))
+    return dealt.mapInArrow(meet, "doc_id long, hash long").groupBy("doc_id").agg(F.collect_list("hash").alias("found"))
 
 
 def dealt_texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").repartition("doc_id")
+    """Texts by id, without null ids: the same plan below each join, so that one exchange serves them all."""
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).repartition("doc_id")
 
 
 def repeated(texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -228,7 +233,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 starts, ends, first = word_limits(data, at)
                 place, row, hashes = windows(word_hashes(data, starts, ends), first, width)
                 gone = np.zeros(len(starts) + 1, np.int64)
-                hit = place[known(row, hashes, part.column("found").to_pylist())]
+                hit = place[known(row, hashes, part.column("found"))]
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + width, -1)
                 stays = np.cumsum(gone[:-1]) == 0
@@ -255,7 +260,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.record_batch(out)
 
     joined = texts.join(found, texts["doc_id"] == found["of"], "left").drop("of")
-    return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    whole = docs.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("found"))
+    return joined.unionByName(whole).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
