@@ -317,3 +317,318 @@ def dbscan(spark, d):
 def largest_component(spark, d):
     """C2"""
     return moving.largest_part(A.vectors(spark, d), 6.0)
+
+
+# Voxels over time
+
+
+@query(f"""WITH {A.POINTS}, {voxels_sql(4.0)}, h AS (SELECT frame_id, ix AS hx, iy AS hy, iz AS hz, mx + 0.5::DOUBLE AS x, my + 0.0::DOUBLE AS y, mz + 0.0::DOUBLE AS z FROM vox), k AS (SELECT *, {cells(4.0)} FROM h),
+m AS (SELECT k.*, q.ix AS qx, q.iy AS qy, q.iz AS qz, (q.ix = k.ix AND q.iy = k.iy AND q.iz = k.iz) AS same, (k.x - q.mx) * (k.x - q.mx) + (k.y - q.my) * (k.y - q.my) + (k.z - q.mz) * (k.z - q.mz) AS d2 FROM k JOIN vox q ON q.frame_id + 1 = k.frame_id AND q.ix BETWEEN k.ix - 1 AND k.ix + 1 AND q.iy BETWEEN k.iy - 1 AND k.iy + 1 AND q.iz BETWEEN k.iz - 1 AND k.iz + 1),
+b AS (SELECT * FROM m WHERE same OR d2 < 64 QUALIFY row_number() OVER (PARTITION BY frame_id, hx, hy, hz ORDER BY NOT same, CASE WHEN same THEN 0 ELSE d2 END, qx, qy, qz) = 1)
+SELECT h.frame_id, h.hx AS ix, h.hy AS iy, h.hz AS iz, CASE WHEN b.hx IS NULL THEN 'none' WHEN b.same THEN 'same' ELSE 'near' END AS kind, b.qx AS prev_ix, b.qy AS prev_iy, b.qz AS prev_iz FROM h LEFT JOIN b USING (frame_id, hx, hy, hz)""")
+def prev_voxel_match(spark, d):
+    """J1, J2"""
+    vox = cloud.voxelise(A.points(spark, d), 4.0)
+    return joins.moved_cell_match(vox, vox, 4.0, (0.5, 0, 0))
+
+
+def flagged(spark, d, res: float = 4.0) -> DataFrame:
+    """Voxels that a rule on their cell calls moving or wall."""
+    vox = cloud.voxelise(A.points(spark, d), res)
+    return vox.withColumns({"is_dynamic": (F.col("ix") * 7 + F.col("iy") * 5 + F.col("iz") * 3 + F.col("frame_id")) % 4 == 0, "is_wall": F.col("ix") % 6 == 0, "score": (F.col("n") % 5) / 10.0})
+
+
+FLAGGED = f"{voxels_sql(4.0)}, fl AS (SELECT *, (ix * 7 + iy * 5 + iz * 3 + frame_id) % 4 = 0 AS is_dynamic, ix % 6 = 0 AS is_wall, (n % 5) / 10.0::DOUBLE AS score FROM vox)"
+
+
+@query(f"WITH {A.POINTS}, {FLAGGED} SELECT a.frame_id, a.ix, a.iy, a.iz, count(b.ix) AS n_there, (count(*) FILTER (WHERE NOT b.is_dynamic))::BIGINT AS n_static FROM fl a LEFT JOIN fl b ON a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz AND b.frame_id BETWEEN a.frame_id - 5 AND a.frame_id - 1 GROUP BY ALL")
+def history_ratio(spark, d):
+    """J3, W12"""
+    return joins.history_hits(flagged(spark, d), 5).select("frame_id", *cloud.CELL, "n_there", F.col("n_static").cast("long").alias("n_static"))
+
+
+@query(f"WITH {A.POINTS}, {voxels_sql(4.0)} SELECT a.frame_id, a.ix, a.iy, a.iz, b.ix AS nx, b.iy AS ny, b.iz AS nz FROM vox a JOIN vox b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 WHERE (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz) AND a.frame_id < 5")
+def voxel_adjacency(spark, d):
+    """J4"""
+    return joins.adjacency(cloud.voxelise(A.points(spark, d).where("frame_id < 5"), 4.0))
+
+
+@query(f"WITH {A.POINTS}, {FLAGGED}, c AS (SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) AS k FROM fl a JOIN fl b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 AND (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz) AND b.is_dynamic GROUP BY ALL) SELECT fl.frame_id, fl.ix, fl.iy, fl.iz, fl.is_dynamic OR coalesce(NOT is_wall AND k >= 1 AND score + 0.1::DOUBLE * k > 0.4::DOUBLE * 1.0, false) AS is_dynamic FROM fl LEFT JOIN c USING (frame_id, ix, iy, iz)")
+def neighbour_propagation(spark, d):
+    """X6"""
+    return moving.spread_to_neighbours(flagged(spark, d)).select("frame_id", *cloud.CELL, "is_dynamic")
+
+
+@query(f"WITH {A.POINTS}, {FLAGGED}, {A.BOXES} SELECT box_idx, count(*) AS n, (count(*) FILTER (WHERE fl.is_dynamic))::BIGINT AS n_dynamic FROM fl JOIN boxes ON {MEAN_IN_BOX} GROUP BY box_idx")
+def cluster_ratio(spark, d):
+    """A14"""
+    return moving.box_counts(flagged(spark, d), A.boxes(spark))
+
+
+ELLIPSE = f"(abs(mz - cz) <= sz / 2 AND (((mx - ex) * dx + (my - ey) * dy) / ra) * (((mx - ex) * dx + (my - ey) * dy) / ra) + (((my - ey) * dx - (mx - ex) * dy) / rb) * (((my - ey) * dx - (mx - ex) * dy) / rb) <= 1)"
+INFLATED = f"""e AS (SELECT *, least(v, 5.0::DOUBLE) AS w, CASE WHEN v > 0.1 THEN vx / v ELSE 1 END AS dx, CASE WHEN v > 0.1 THEN vy / v ELSE 0 END AS dy FROM (SELECT *, sqrt(vx * vx + vy * vy) AS v FROM boxes)),
+inf AS (SELECT *, cx + dx * (0.5::DOUBLE * w * 2.0::DOUBLE) AS ex, cy + dy * (0.5::DOUBLE * w * 2.0::DOUBLE) AS ey, sx / 2 * {2 ** 0.5!r}::DOUBLE + 0.5::DOUBLE * w * 3.0::DOUBLE AS ra, sy / 2 * {2 ** 0.5!r}::DOUBLE AS rb FROM e)"""
+
+
+@query(f"""WITH {A.POINTS}, {FLAGGED}, {A.BOXES}, {INFLATED}, r AS (SELECT box_idx, count(*) FILTER (WHERE fl.is_dynamic) > 0.3::DOUBLE * count(*) AS moves FROM fl JOIN boxes ON {MEAN_IN_BOX} GROUP BY box_idx),
+i AS (SELECT DISTINCT frame_id, ix, iy, iz FROM fl JOIN inf ON {ELLIPSE} JOIN r ON r.box_idx = inf.box_idx AND r.moves)
+SELECT fl.frame_id, fl.ix, fl.iy, fl.iz, CASE WHEN is_wall THEN is_dynamic ELSE i.frame_id IS NOT NULL END AS is_dynamic FROM fl LEFT JOIN i USING (frame_id, ix, iy, iz)""")
+def cluster_propagation(spark, d):
+    """Voxels outside all boxes become static"""
+    return moving.spread_to_boxes(flagged(spark, d), A.boxes(spark)).select("frame_id", *cloud.CELL, "is_dynamic")
+
+
+@query(f"""WITH {A.POINTS}, {FLAGGED}, {A.BOXES}, {INFLATED}, ib AS (SELECT frame_id, ix, iy, iz, bool_or(inf.is_dynamic) AS in_box FROM fl JOIN inf ON CASE WHEN inf.is_dynamic THEN {ELLIPSE} ELSE {MEAN_IN_BOX} END GROUP BY ALL),
+hs AS (SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) FILTER (WHERE NOT b.is_dynamic) AS n_static FROM fl a LEFT JOIN fl b ON a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz AND b.frame_id BETWEEN a.frame_id - 5 AND a.frame_id - 1 GROUP BY ALL),
+p AS (SELECT a.frame_id, a.ix, a.iy, a.iz, a.n, coalesce(ib.in_box, false) AS box, hs.n_static, b.is_dynamic AS prev, (a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my) + (a.mz - b.mz) * (a.mz - b.mz) AS s2 FROM fl a JOIN hs USING (frame_id, ix, iy, iz) LEFT JOIN ib USING (frame_id, ix, iy, iz) LEFT JOIN fl b ON b.frame_id + 1 = a.frame_id AND a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz),
+s AS (SELECT *, CASE WHEN n < 3 THEN 0.0::DOUBLE WHEN s2 IS NULL THEN CASE WHEN box THEN 0.4::DOUBLE + 1 ELSE 0 END ELSE CASE WHEN box THEN 0.2::DOUBLE ELSE -0.2::DOUBLE / 2 END + 1.0::DOUBLE * greatest(0.0::DOUBLE, sqrt(s2) - 0.1::DOUBLE) / 4.0::DOUBLE - 0.1::DOUBLE * n_static / 5 END AS sc FROM p)
+SELECT frame_id, ix, iy, iz, floor(sc * 1000000 + 0.5)::BIGINT AS score, n >= 3 AND (s2 IS NOT NULL OR box) AND sc > 0.4::DOUBLE * 1.0 * CASE WHEN box THEN 1.0::DOUBLE WHEN coalesce(prev, false) THEN 1.2::DOUBLE ELSE 1.5::DOUBLE END AS is_dynamic FROM s""")
+def voxel_scores(spark, d):
+    """The score of one step, with what the frame before says about its voxels given"""
+    vox = flagged(spark, d)
+    rows = moving.in_dynamic_box(joins.history_hits(vox, 5), A.boxes(spark))
+    before = vox.select((F.col("frame_id") + 1).alias("frame_id"), *cloud.CELL, *[F.col(m).alias(f"p{m}") for m in ("mx", "my", "mz")], F.col("is_dynamic").alias("prev_dynamic"))
+    rows = rows.join(before, ["frame_id", *cloud.CELL], "left")
+    shift2 = sum(((F.col(m) - F.col(f"p{m}")) * (F.col(m) - F.col(f"p{m}")) for m in ("my", "mz")), (F.col("mx") - F.col("pmx")) * (F.col("mx") - F.col("pmx")))
+    out = moving.scored(rows.withColumn("shift2", shift2), 4.0, 3, 5)
+    return out.select("frame_id", *cloud.CELL, F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score"), "is_dynamic")
+
+
+@query("""WITH r AS (SELECT user_id AS track_id, event_id AS frame_id, event_type IN ('click', 'view') AS is_dynamic, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+g AS (SELECT *, sum(CASE WHEN k > 1 AND lag_d = is_dynamic AND k - lag_k <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY k) AS island FROM (SELECT *, lag(is_dynamic) OVER w AS lag_d, lag(k) OVER w AS lag_k FROM r WINDOW w AS (PARTITION BY track_id ORDER BY k))),
+n AS (SELECT *, row_number() OVER (PARTITION BY track_id, island ORDER BY k) AS run FROM g), f AS (SELECT track_id, min(k) AS at, arg_min(CASE WHEN is_dynamic THEN 'dynamic' ELSE 'static' END, k) AS st FROM n WHERE run >= 3 GROUP BY track_id)
+SELECT n.track_id, n.k AS frame_id, n.is_dynamic, n.run::INT AS run, CASE WHEN f.at <= n.k THEN f.st END AS locked FROM n LEFT JOIN f USING (track_id)""")
+def track_hysteresis(spark, d):
+    """X12"""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = A.table(spark, d, "events").select(F.col("user_id").alias("track_id"), k.cast("long").alias("frame_id"), F.col("event_type").isin("click", "view").alias("is_dynamic"))
+    return moving.hysteresis(rows, 3)
+
+
+# Ground and planes
+
+
+@query()
+def polar_cells(spark, d):
+    """A6"""
+    vox = cloud.voxelise(A.points(spark, d), 2.0).withColumns({"mx": F.col("mx") - 25, "my": F.col("my") - 25})
+    return ground.cell_statistics(ground.polar_cells(vox, 36, 4.0), 3, 4.0, 2.0)
+
+
+@query()
+def ground_labels(spark, d):
+    """W9, C8"""
+    vox = cloud.voxelise(A.points(spark, d), 2.0).withColumns({"mx": F.col("mx") - 25, "my": F.col("my") - 25}).drop("is_ground")
+    cells_ = ground.polar_cells(vox, 36, 4.0)
+    grown = ground.propagated(ground.cell_statistics(cells_, 3, 8.0, 2.0), 1, 4, 0.8, 4.0, 2.0)
+    return ground.ground_labels(cells_, grown).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_ground").alias("n_ground"))
+
+
+@query(f"WITH {A.POINTS}, {voxels_sql(4.0)} SELECT frame_id, ix, iy, iz, mz < min(mz) OVER (PARTITION BY frame_id) + 3.0::DOUBLE AS is_ground FROM vox")
+def lowest_ground(spark, d):
+    """A5: the plain fallback"""
+    return ground.lowest_ground(cloud.voxelise(A.points(spark, d), 4.0).drop("is_ground"), 3.0).select("frame_id", *cloud.CELL, "is_ground")
+
+
+@query()
+def plane_hypotheses(spark, d):
+    """Draws by Spark's hash, tested by counting"""
+    pts = A.vectors(spark, d)
+    return ground.best_planes(pts, ground.hypotheses(pts, 20), 3.0, 5)
+
+
+@query()
+def plane_extraction(spark, d):
+    """C4"""
+    return ground.planes_one_by_one(A.vectors(spark, d), 10, 3.0, 5, 2)
+
+
+@query()
+def plane_refit(spark, d):
+    """A11"""
+    pts = A.vectors(spark, d)
+    return ground.refitted(pts, ground.best_planes(pts, ground.hypotheses(pts, 20), 3.0, 5), 3.0).select("frame_id", "n", "nx", "ny", "nz", "d")
+
+
+@query(f"WITH {A.POINTS}, {voxels_sql(4.0)}, w AS (SELECT frame_id, 20.0::DOUBLE + frame_id % 20 AS wx, 25.0::DOUBLE AS wy, 10.0::DOUBLE + frame_id % 7 AS wl FROM (SELECT DISTINCT frame_id FROM pts)) SELECT frame_id, ix, iy, iz, mx > wx AND my BETWEEN wy - wl / 2 AND wy + wl / 2 AS is_outlier FROM vox JOIN w USING (frame_id)")
+def behind_walls(spark, d):
+    """C10"""
+    pts = A.points(spark, d)
+    walls = pts.select("frame_id").distinct().select("frame_id", (20.0 + F.col("frame_id") % 20).alias("wx"), F.lit(25.0).alias("wy"), (10.0 + F.col("frame_id") % 7).alias("wl"))
+    return ground.behind_walls(cloud.voxelise(pts, 4.0).drop("is_outlier"), walls).select("frame_id", *cloud.CELL, "is_outlier")
+
+
+# Time
+
+
+@query(f"WITH {A.SAMPLES}, b AS (SELECT *, max(us) OVER (PARTITION BY seq_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM imu) SELECT seq_id, id, coalesce(us >= before, true) AND us >= 0 AS accepted, coalesce(us >= before, true) AND coalesce(us - before > 100000, false) AS has_gap FROM b")
+def imu_accept(spark, d):
+    """T1, T2"""
+    return clock.accepted(A.samples(spark, d)).select("seq_id", "id", "accepted", "has_gap")
+
+
+@query(f"WITH {A.SAMPLES} SELECT seq_id, id, coalesce(us < lag(us) OVER w, false) AS rewinds, coalesce(us - lag(us) OVER w > 100000, false) AS has_gap FROM imu WINDOW w AS (PARTITION BY seq_id ORDER BY id)")
+def stream_audit(spark, d):
+    """T9, T10"""
+    return clock.audited(A.samples(spark, d)).select("seq_id", "id", "rewinds", "has_gap")
+
+
+@query(f"WITH {A.SAMPLES}, {A.SCANS} SELECT s.seq_id, s.id, i.us AS last_us, coalesce(abs(s.us - i.us) > 1000000, false) AS is_skewed FROM scan s ASOF LEFT JOIN imu i ON s.seq_id = i.seq_id AND s.us >= i.us")
+def scan_skew(spark, d):
+    """T8, T10"""
+    return clock.skewed(A.scans(spark, d), A.samples(spark, d)).select("seq_id", "id", "last_us", "is_skewed")
+
+
+@query("WITH v AS (SELECT user_id, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY user_id) SELECT user_id, len(l)::BIGINT AS n, l[len(l) // 2 + 1] AS median FROM v")
+def upper_median_value(spark, d):
+    """T7"""
+    return clock.upper_median(A.table(spark, d, "events"), "user_id", F.col("value"))
+
+
+@query(f"WITH {A.SCANS}, g AS (SELECT seq_id, us - lag(us) OVER w AS gap, row_number() OVER w AS k FROM scan WINDOW w AS (PARTITION BY seq_id ORDER BY id)), l AS (SELECT seq_id, list_sort(list(gap)) AS l FROM g WHERE gap IS NOT NULL AND k <= 1001 GROUP BY seq_id) SELECT seq_id, len(l)::BIGINT AS n, l[len(l) // 2 + 1] AS median, CASE WHEN l[len(l) // 2 + 1] BETWEEN 10000 AND 100000000000 THEN l[len(l) // 2 + 1] ELSE -1 END AS duration FROM l")
+def scan_duration(spark, d):
+    """T7"""
+    return clock.scan_duration(A.scans(spark, d), high=100_000_000_000)
+
+
+@query(f"WITH {A.POINTS} SELECT frame_id, point_id, 0.1::DOUBLE * (row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1) / count(*) OVER (PARTITION BY frame_id) AS t FROM pts")
+def pseudo_times(spark, d):
+    """T3"""
+    return clock.pseudo_times(A.points(spark, d), 0.1).select("frame_id", "point_id", "t")
+
+
+@query(f"WITH {A.POINTS} SELECT frame_id, point_id, t - min(t) OVER (PARTITION BY frame_id) AS t, min(t) OVER (PARTITION BY frame_id) AS stamp FROM pts")
+def absolute_times(spark, d):
+    """T4, T6"""
+    pts = A.points(spark, d).withColumn("stamp", F.lit(0).cast("long"))
+    return clock.rebased(pts, 1).select("frame_id", "point_id", "t", "stamp")
+
+
+@query(f"WITH {A.POINTS}, r AS (SELECT *, t - 880000000 AS q FROM pts) SELECT frame_id, point_id, q - least(min(q) OVER (PARTITION BY frame_id), 0) AS t, 5 + least(min(q) OVER (PARTITION BY frame_id), 0) AS stamp FROM r")
+def relative_times(spark, d):
+    """T5"""
+    pts = A.points(spark, d).withColumns({"stamp": F.lit(5).cast("long"), "t": F.col("t") - 880000000})
+    return clock.rebased(pts, 1, relative=True).select("frame_id", "point_id", "t", "stamp")
+
+
+@query(f"WITH {A.SAMPLES}, {A.SCANS} SELECT s.seq_id, s.id, i.value FROM scan s ASOF LEFT JOIN imu i ON s.seq_id = i.seq_id AND s.us >= i.us")
+def asof_join(spark, d):
+    """J13, J14"""
+    return clock.as_of(A.scans(spark, d), A.samples(spark, d), "value").select("seq_id", "id", "value")
+
+
+@query(f"WITH {A.SAMPLES}, {A.SCANS}, l AS (SELECT s.*, i.us AS lo_us, i.value AS lo_value FROM scan s ASOF LEFT JOIN imu i ON s.seq_id = i.seq_id AND s.us >= i.us), b AS (SELECT l.*, i.us AS hi_us, i.value AS hi_value FROM l ASOF LEFT JOIN imu i ON l.seq_id = i.seq_id AND l.us <= i.us), s AS (SELECT *, CASE WHEN hi_us IS NULL THEN 'waiting' WHEN lo_us IS NULL THEN 'failure' ELSE 'success' END AS status FROM b) SELECT seq_id, id, lo_us, hi_us, status, CASE WHEN status = 'success' THEN lo_value + (hi_value - lo_value) * CASE WHEN hi_us > lo_us THEN (us - lo_us)::DOUBLE / (hi_us - lo_us) ELSE 0 END END AS value FROM s")
+def bracket_interpolate(spark, d):
+    """J13, J16"""
+    return clock.interpolated(clock.bracketed(A.scans(spark, d), A.samples(spark, d), "value")).select("seq_id", "id", "lo_us", "hi_us", "status", "value")
+
+
+@query(f"WITH {A.SAMPLES}, {A.SCANS}, f AS (SELECT i.seq_id, i.id, i.us, s.id AS scan_id FROM imu i ASOF JOIN scan s ON i.seq_id = s.seq_id AND i.us <= s.us) SELECT seq_id, scan_id, id, us, us - lag(us) OVER (PARTITION BY seq_id, scan_id ORDER BY us, id) AS dt FROM f")
+def imu_slice(spark, d):
+    """J15, J17"""
+    return clock.sliced(A.scans(spark, d), A.samples(spark, d))
+
+
+@query(f"WITH {A.SAMPLES}, {A.SCANS} SELECT s.seq_id, s.id, i.us AS release_us FROM scan s ASOF LEFT JOIN imu i ON s.seq_id = i.seq_id AND s.us <= i.us")
+def scan_release(spark, d):
+    """X1"""
+    return clock.released(A.scans(spark, d), A.samples(spark, d)).select("seq_id", "id", "release_us")
+
+
+@query(f"WITH {A.SAMPLES} SELECT a.seq_id, a.id, b.id AS emitted_at FROM imu a ASOF LEFT JOIN (SELECT seq_id, us - 3600000000 AS us, id FROM imu) b ON a.seq_id = b.seq_id AND a.us <= b.us")
+def fixed_lag_emit(spark, d):
+    """W1, W2"""
+    return clock.lagged_emission(A.samples(spark, d), 3_600_000_000).select("seq_id", "id", "emitted_at")
+
+
+@query(f"WITH {A.SAMPLES} SELECT seq_id, id, lead(us) OVER (PARTITION BY seq_id ORDER BY id) AS next_us FROM imu")
+def one_frame_delay(spark, d):
+    """W7"""
+    return clock.delayed(A.samples(spark, d)).select("seq_id", "id", "next_us")
+
+
+@query("WITH p AS (SELECT user_id AS seq_id, event_id AS id, floor(value / 50)::BIGINT AS priority FROM events WHERE value IS NOT NULL), t AS (SELECT *, max(priority) OVER (PARTITION BY seq_id ORDER BY id) AS top FROM p) SELECT seq_id, id, priority FROM t WHERE priority = top")
+def priority_switch(spark, d):
+    """W11"""
+    rows = A.table(spark, d, "events").where("value IS NOT NULL").select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("id"), F.floor(F.col("value") / 50).cast("long").alias("priority"))
+    return clock.best_source(rows)
+
+
+@query(f"WITH {A.SAMPLES}, k AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY id) AS k FROM imu) SELECT seq_id, count(*) AS n, (count(*) FILTER (WHERE abs(value) >= 0.5))::BIGINT AS n_large, min(value) AS least, max(value) AS greatest FROM k WHERE k % 4 = 0 GROUP BY seq_id")
+def bias_statistics(spark, d):
+    """T12"""
+    return clock.sampled_statistics(A.samples(spark, d), "value", 4)
+
+
+@query()
+def time_table(spark, d):
+    """A fold, tested against brute force"""
+    return clock.time_table(A.samples(spark, d), 3_600_000_000).select("seq_id", "id", "anchor_us")
+
+
+# Maps
+
+
+@query(f"WITH {A.SUBMAPS}, c AS (SELECT *, (submap_id - 1) // 4 AS chunk FROM sub), l AS (SELECT session_id, chunk, list_sort(list(submap_id)) AS a FROM c GROUP BY ALL) SELECT session_id, chunk, len(a)::BIGINT AS n, a[1] AS first, a[len(a)] AS last, a[len(a) // 2 + 1] AS origin FROM l")
+def keyframe_chunks(spark, d):
+    """W5, W6"""
+    return graph.chunks(A.submaps(spark, d), "session_id", "submap_id", 4)
+
+
+@query(f"WITH RECURSIVE {A.SUBMAPS}, k(session_id, submap_id, x, y) AS (SELECT session_id, submap_id, x, y FROM sub WHERE submap_id = 1 UNION ALL (SELECT n.session_id, n.submap_id, n.x, n.y FROM (SELECT s.*, row_number() OVER (PARTITION BY s.session_id ORDER BY s.submap_id) AS r FROM k JOIN sub s ON s.session_id = k.session_id AND s.submap_id > k.submap_id AND (s.x - k.x) * (s.x - k.x) + (s.y - k.y) * (s.y - k.y) > 2500) n WHERE n.r = 1)) SELECT session_id, submap_id, x, y FROM k")
+def displacement_keyframes(spark, d):
+    """W3, W4"""
+    return graph.keyframes(A.submaps(spark, d), "session_id", "submap_id", "x", "y", 2500)
+
+
+@query(f"WITH {A.SUBMAPS}, s AS (SELECT *, coalesce((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w), 0) AS step2 FROM sub WINDOW w AS (PARTITION BY session_id ORDER BY submap_id)) SELECT session_id, submap_id, sum(floor(sqrt(step2))::BIGINT) OVER (PARTITION BY session_id ORDER BY submap_id)::BIGINT AS travel FROM s")
+def travel_distance(spark, d):
+    """W8"""
+    return graph.travelled(A.submaps(spark, d), "session_id", "submap_id", ("x", "y")).select("session_id", "submap_id", "travel")
+
+
+TRAVEL = "s AS (SELECT *, coalesce((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w), 0) AS step2 FROM sub WINDOW w AS (PARTITION BY session_id ORDER BY submap_id)), t AS (SELECT *, sum(floor(sqrt(step2))::BIGINT) OVER (PARTITION BY session_id ORDER BY submap_id)::BIGINT AS travel FROM s)"
+
+
+@query(f"WITH {A.SUBMAPS}, {TRAVEL} SELECT a.session_id, a.submap_id AS i, b.submap_id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, b.travel - a.travel AS between FROM t a JOIN t b ON a.session_id = b.session_id AND a.submap_id < b.submap_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900 AND b.travel - a.travel >= 100")
+def loop_candidates(spark, d):
+    """J10"""
+    return graph.loop_candidates(A.submaps(spark, d), "session_id", "submap_id", ("x", "y"), 30, 100)
+
+
+@query(f"WITH {A.SUBMAPS} SELECT a.session_id, a.submap_id AS i, b.submap_id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM sub a JOIN sub b ON a.session_id = b.session_id AND a.submap_id < b.submap_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 625")
+def proximity_edges(spark, d):
+    """J8, J9"""
+    return joins.pairs_within(A.submaps(spark, d), "session_id", "submap_id", ("x", "y"), 25)
+
+
+@query(f"WITH {A.SUBMAPS}, e AS (SELECT a.session_id, a.submap_id AS i, b.submap_id AS j FROM sub a JOIN sub b ON a.session_id = b.session_id AND a.submap_id < b.submap_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 625) SELECT s.session_id, s.submap_id AS i, s.submap_id + 1 AS j FROM sub s JOIN sub n ON n.session_id = s.session_id AND n.submap_id = s.submap_id + 1 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.session_id = s.session_id AND e.i = s.submap_id AND e.j = s.submap_id + 1)")
+def missing_edges(spark, d):
+    """G7, G11"""
+    maps = A.submaps(spark, d)
+    return graph.missing_edges(maps, joins.pairs_within(maps, "session_id", "submap_id", ("x", "y"), 25), "session_id", "submap_id")
+
+
+@query(f"WITH {A.SUBMAPS}, a AS (SELECT * FROM sub WHERE session_id % 2 = 0), b AS (SELECT * FROM sub WHERE session_id % 2 = 1) SELECT 0 AS session, submap_id, x, y FROM a UNION ALL SELECT 1, submap_id + (SELECT max(submap_id) + 1 FROM a), x, y FROM b")
+def session_union(spark, d):
+    """S9, E9"""
+    maps = A.submaps(spark, d)
+    return graph.sessions(maps.where("session_id % 2 = 0"), maps.where("session_id % 2 = 1")).select("session", "submap_id", "x", "y")
+
+
+@query(f"WITH {A.SUBMAPS}, e AS (SELECT a.submap_id AS i, b.submap_id AS j FROM sub a JOIN sub b ON a.session_id = b.session_id AND a.submap_id <> b.submap_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 625) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM e")
+def distinct_edges(spark, d):
+    """S7"""
+    pairs = joins.pairs_within(A.submaps(spark, d), "session_id", "submap_id", ("x", "y"), 25)
+    return graph.distinct_edges(pairs.select("i", "j").union(pairs.select("j", "i")))
+
+
+@query()
+def registration(spark, d):
+    """Finds the motion between the vectors of two labels moved apart; tested against numpy"""
+    pts = A.vectors(spark, d).withColumn("frame_id", F.lit(0).cast("long"))
+    moved = pts.withColumns({"x": F.col("x") + 1.0, "y": F.col("y") - 0.5})
+    pose, error = graph.registered(moved, pts, 8.0, 5)
+    return spark.createDataFrame([(*[float(v) for v in pose.ravel()], float(error))], ", ".join([f"p{i} double" for i in range(16)] + ["error double"]))
