@@ -632,3 +632,127 @@ def registration(spark, d):
     moved = pts.withColumns({"x": F.col("x") + 1.0, "y": F.col("y") - 0.5})
     pose, error = graph.registered(moved, pts, 8.0, 5)
     return spark.createDataFrame([(*[float(v) for v in pose.ravel()], float(error))], ", ".join([f"p{i} double" for i in range(16)] + ["error double"]))
+
+
+# Motion, merges, formats and streams
+
+
+def inertial(spark, d) -> DataFrame:
+    """Samples of accelerations and turn rates: what events say, scaled; stamps in seconds since the first day."""
+    rows = A.samples(spark, d).where("value IS NOT NULL")
+    v = F.col("value")
+    return rows.select("seq_id", "id", ((F.col("us") - 1704067200000000) / 1e6).alias("stamp"), (v % 3 / 10).alias("ax"), (v % 5 / 10 - 0.2).alias("ay"), (v % 7 / 10 + 9.5).alias("az"), (v % 2 / 1000).alias("wx"), (v % 4 / 2000).alias("wy"), (v % 6 / 3000).alias("wz"))
+
+
+@query()
+def imu_integration(spark, d):
+    """A fold, tested against numpy"""
+    from ..operators import motion
+
+    return motion.integrated(inertial(spark, d))
+
+
+@query()
+def pose_filter(spark, d):
+    """A fold, tested against a plain loop"""
+    from ..operators import motion
+
+    imu = inertial(spark, d)
+    z, one = F.lit(0.0), F.lit(1.0)
+    kinds = [c for c in imu.columns if c not in ("seq_id", "id", "stamp")]
+    poses = ("x", "y", "z", "qx", "qy", "qz", "qw")
+    a = imu.select("seq_id", "stamp", F.lit("imu").alias("kind"), *kinds, *[z.alias(c) for c in poses])
+    p = A.scans(spark, d).select("seq_id", ((F.col("us") - 1704067200000000) / 1e6).alias("stamp"), F.lit("pose").alias("kind"), *[z.alias(c) for c in kinds], (F.col("id") % 100 / 10.0).alias("x"), (F.col("id") % 70 / 10.0).alias("y"), z.alias("z"), *[z.alias(c) for c in poses[3:6]], one.alias("qw"))
+    return motion.filtered(a.unionByName(p))
+
+
+@query()
+def gravity_direction(spark, d):
+    """Means of doubles, so no SQL is compared"""
+    from ..operators import motion
+
+    return motion.gravity_direction(inertial(spark, d), 36000.0)
+
+
+@query()
+def scan_deskew(spark, d):
+    """Slerp between the poses around each point; tested against numpy"""
+    from ..operators import motion
+
+    half = F.lit(0.5) * (F.col("id") % 7) / 7
+    poses = A.scans(spark, d).select("seq_id", "us", (F.col("id") % 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"))
+    pts = A.samples(spark, d).select("seq_id", "id", "us", F.coalesce("value", F.lit(0.0)).alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("z"))
+    return motion.deskewed(pts, poses).select("seq_id", "id", "dx", "dy", "dz")
+
+
+@query()
+def twist_deskew(spark, d):
+    """M4"""
+    from ..operators import motion
+
+    pts = A.points(spark, d).withColumn("t", (F.col("point_id") % 100) / 1000.0)
+    return motion.deskewed_by_twist(pts, (1.0, 0.5, 0.0), (0.0, 0.0, 0.3)).select("frame_id", "point_id", "dx", "dy", "dz")
+
+
+@query("WITH e AS (SELECT user_id AS seq_id, event_id AS id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL AND abs(value - 50) >= 0.1), b AS (SELECT *, avg(CASE WHEN value % 5 < value % 7 THEN 1.0::DOUBLE ELSE 0 END) OVER w AS better_rot, avg(CASE WHEN value % 3 < value % 7 THEN 1.0::DOUBLE ELSE 0 END) OVER w AS better_trans, avg(CASE WHEN value % 2 < value % 7 THEN 1.0::DOUBLE ELSE 0 END) OVER w AS better_vel FROM e WINDOW w AS (PARTITION BY seq_id ORDER BY id)) SELECT seq_id, id, k::INT AS k, better_rot, better_trans, better_vel, better_rot > 0.6::DOUBLE AND better_trans > 0.6::DOUBLE AND better_vel > 0.6::DOUBLE AS valid FROM b WHERE k % 8 = 0")
+def predictor_check(spark, d):
+    """T11"""
+    from ..operators import motion
+
+    v = F.col("value")
+    rows = A.table(spark, d, "events").where("value IS NOT NULL").select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("id"), (v - 50).alias("speed"), (v % 5).alias("imu_rot"), (v % 3).alias("imu_trans"), (v % 2).alias("imu_vel"), *[(v % 7).alias(f"cv_{k}") for k in ("rot", "trans", "vel")])
+    return motion.predictor_check(rows, 8, (0.6, 0.6, 0.6))
+
+
+@query()
+def merged_boxes(spark, d):
+    """A fold, tested against brute force"""
+    from ..operators import merge
+
+    return merge.merged_peers(frame_boxes(spark, d).where("box_idx % 10 = 0"), 2.0)
+
+
+@query()
+def wall_memory(spark, d):
+    """A fold, tested by hand-made cases"""
+    from ..operators import merge
+
+    walls = frame_boxes(spark, d).where("box_idx % 10 = 0").withColumns({"seq_id": F.col("box_idx") % 100, "nx": F.lit(1.0), "ny": F.lit(0.0), "nz": F.lit(0.0)})
+    return merge.remembered_walls(walls)
+
+
+@query("SELECT l_orderkey % 50 AS frame_id, l_quantity::FLOAT::DOUBLE AS x, (l_extendedprice / 2000)::FLOAT::DOUBLE AS y, (l_discount * 100)::FLOAT::DOUBLE AS z, epoch_us(l_shipdate) / 1e9::DOUBLE AS t, ((l_partkey >> 16) & 255) / 255.0::DOUBLE AS r, ((l_partkey >> 8) & 255) / 255.0::DOUBLE AS g, (l_partkey & 255) / 255.0::DOUBLE AS b, ((l_partkey >> 24) & 255) / 255.0::DOUBLE AS a FROM lineitem")
+def decoded_cloud(spark, d):
+    """S1, S2"""
+    from ..sources import clouds
+
+    raw = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("frame_id"), F.col("l_quantity").cast("float").alias("x"), (F.col("l_extendedprice") / 2000).cast("float").alias("y"), (F.col("l_discount") * 100).cast("float").alias("z"), A.micros(F.col("l_shipdate")).alias("timestamp"), F.col("l_partkey").alias("rgba"))
+    return clouds.decoded(raw)
+
+
+@query("SELECT l_orderkey % 50 AS part, format('{:.6f} {:.6f} {:.6f}', l_quantity, l_extendedprice / 2000, l_discount * 100) AS value FROM lineitem WHERE l_orderkey % 50 < 2")
+def ply_lines(spark, d):
+    """S12, M8"""
+    from ..sources import clouds
+
+    pts = A.points(spark, d).where("frame_id < 2").select("frame_id", "x", "y", "z")
+    first, second = (clouds.ply(pts.where(F.col("frame_id") == k)).where("part = 1").withColumn("part", F.lit(k).cast("long")) for k in (0, 1))
+    return first.unionByName(second)
+
+
+@query(f"WITH {A.SAMPLES}, b AS (SELECT *, max(us) OVER (PARTITION BY seq_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM imu) SELECT seq_id, id, us, coalesce(us >= before, true) AND us >= 0 AS accepted FROM b")
+def stream_accept(spark, d):
+    """T1, S3, S4, X1 as a stream: the table is replayed, and what the stream wrote is returned"""
+    import uuid
+
+    from ..operators.graph import checkpointed
+    from ..streaming import flows
+
+    schema = A.table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = rows.where(F.col("event_type").isin(*A.IMU_TYPES)).select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("id"), A.micros(F.col("ts")).alias("us"))
+    if not spark.sparkContext.getCheckpointDir():
+        checkpointed(spark.range(1))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    flows.accepted_stamps(rows).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
