@@ -255,7 +255,7 @@ def compare(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, check: np.ndar
     # Small groups: every row that isn't a probe against all after it.
     rows = np.flatnonzero(~probe & ~large)
     many = end_of[rows] - rows - 1
-    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 1 << 21)) if len(rows) else np.zeros(0, np.int64)
+    cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 1 << 19)) if len(rows) else np.zeros(0, np.int64)
     pairs_a, pairs_b = [], []
     for lo, hi in zip(cuts, [*cuts[1:], len(rows)]):
         r, m = rows[lo:hi], many[lo:hi]
@@ -374,9 +374,9 @@ def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the deduplication: single words are dealt out within 9 bits, and what meets is held against 512 bits from shingles
-#: of five words; two texts whose sets of shingles have a similarity of 0.8 differ in 77.6 of these on average.
-NEAR = {"words": 1, "radius": 9, "check_words": 5, "check_count": 8, "check_radius": 84}
+#: Of the deduplication: fingerprints of pairs of words are dealt out within 9 bits, and what meets is held against 512 bits
+#: from shingles of five words; texts whose sets of these have a similarity of 0.8 differ in 77.6 of them on average.
+NEAR = {"words": 2, "radius": 9, "check_words": 5, "check_count": 8, "check_radius": 84}
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
