@@ -25,7 +25,7 @@ from .common import pieces_of, read
 
 SPACE = "▁"
 #: Words and pairs of tokens that a worker remembers at most; longest word that it remembers.
-REMEMBERED, PAIRS, LONGEST = 600_000, 500_000, 48
+REMEMBERED, PAIRS, LONGEST = 250_000, 250_000, 48
 
 
 def model_pieces(content: bytes) -> list[tuple[str, float, int]]:
