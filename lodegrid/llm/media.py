@@ -20,7 +20,7 @@ from .common import checkpointed, read
 #: Sides of the scales relative to the image; corners kept at each scale (the feature's size); reach of a test, in pixels.
 SCALES, CORNERS, REACH = (1.0, 0.75), 10, 7
 #: Tests that two matching descriptors differ in at most; matches that agree, for a copy; queries: ids divisible by this.
-RADIUS, VOTES, QUERY_EVERY = 24, 4, 50
+RADIUS, VOTES, QUERY_EVERY = 12, 3, 50
 TESTS, TURNS, TABLES = 256, 32, 8
 _RNG = np.random.default_rng(256)
 _POINTS = np.clip(_RNG.normal(0, REACH / 2.5, (TESTS, 2, 2)), -REACH + 0.5, REACH - 0.5)
@@ -144,8 +144,12 @@ def consensus(matched: DataFrame, votes: int = VOTES) -> DataFrame:
     dy = F.col("q.y") - factor * (F.sin(angle) * F.col("d.x") + F.cos(angle) * F.col("d.y"))
     cell = lambda v: F.floor(v / 4).cast("long")
     seen = matched.select(F.col("q.image_id").alias("query_id"), F.col("d.image_id").alias("image_id"), F.col("d.x").alias("x"), F.col("d.y").alias("y"), s.alias("s"), r.alias("r"), cell(dx).alias("cx"), cell(dy).alias("cy"))
+    # Pairs of images with too few matches at all go first; a pair has at most corners x corners, so its list is bounded.
+    match = F.struct("x", "y", "s", "r", "cx", "cy")
+    per = seen.groupBy("query_id", "image_id").agg(F.collect_set(match).alias("all")).where(F.size("all") >= votes)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    each = seen.withColumn("o", F.explode(steps)).select("query_id", "image_id", "s", "r", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.struct("x", "y").alias("corner"))
+    each = per.select("query_id", "image_id", F.explode("all").alias("m")).select("query_id", "image_id", "m.*").withColumn("o", F.explode(steps))
+    each = each.select("query_id", "image_id", "s", "r", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.struct("x", "y").alias("corner"))
     cells = each.distinct().groupBy("query_id", "image_id", "s", "r", "cx", "cy").agg(F.count(F.lit(1)).alias("votes"))
     return cells.groupBy("query_id", "image_id").agg(F.max("votes").alias("votes")).where(F.col("votes") >= votes)
 
