@@ -143,7 +143,7 @@ def build(langs: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER
             suffix = every % base**k
             at = np.minimum(np.searchsorted(nodes[k], suffix), len(nodes[k]) - 1)
             state = np.where(nodes[k][at] == suffix, start[k] + at, state).astype(np.int32)
-    costs = np.concatenate(rows).reshape(-1, len(names)).astype(np.float32)
+    costs = np.concatenate(rows).reshape(sum(map(len, rows)) * base, len(names)).astype(np.float32)
     return Model(names, symbol[1:].astype(np.int64), base, state, costs, order)
 
 
