@@ -756,3 +756,92 @@ def stream_accept(spark, d):
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     flows.accepted_stamps(rows).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+# Keyframes, local maps and the whole way of a scan
+
+
+def sequences(spark, d) -> DataFrame:
+    """Points of 5 sequences of 10 frames."""
+    pts = A.points(spark, d)
+    return pts.withColumns({"seq_id": F.col("frame_id") % 5, "frame_id": F.floor(F.col("frame_id") / 5).cast("long")})
+
+
+@query()
+def overlap_keyframes(spark, d):
+    """A fold, tested by hand-made cases"""
+    from ..operators import keyframes
+
+    return keyframes.by_overlap(keyframes.frame_cells(sequences(spark, d), 4.0), 0.9, 0.05, 3)
+
+
+@query()
+def distance_keyframes(spark, d):
+    """K7: a fold, tested by hand-made cases"""
+    from ..operators import keyframes
+
+    return keyframes.by_distance(keyframes.frame_cells(sequences(spark, d), 4.0), 4)
+
+
+@query()
+def entropy_keyframes(spark, d):
+    """K8: a fold, tested by hand-made cases"""
+    from ..operators import keyframes
+
+    rows = A.table(spark, d, "events").where("value IS NOT NULL").select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("frame_id"), F.col("value").alias("entropy"))
+    return keyframes.by_entropy(rows, 1.0, 5)
+
+
+@query()
+def thinned_map(spark, d):
+    """A fold, tested by brute force"""
+    from ..operators import keyframes
+
+    return keyframes.thinned(A.points(spark, d), 4.0, 1.0, 10)
+
+
+@query(f"WITH {A.POINTS}, c AS (SELECT ix, iy, iz, max(frame_id) AS last_frame FROM (SELECT *, {cells(4.0)} FROM pts) GROUP BY ALL) SELECT * FROM c WHERE last_frame > (SELECT max(frame_id) FROM pts) - 5")
+def recent_cells(spark, d):
+    """C22"""
+    from ..operators import keyframes
+
+    return keyframes.recent_cells(A.points(spark, d), 4.0, 5)
+
+
+@query()
+def relaxed_graph(spark, d):
+    """Places that agree with the edges, tested against a dense solution"""
+    from ..operators import keyframes
+
+    maps = A.submaps(spark, d).withColumn("node", F.col("session_id") * 1000 + F.col("submap_id"))
+    nodes = maps.select("node", *[F.col(c).cast("double").alias(c) for c in ("x", "y")], F.lit(0.0).alias("z"), (F.col("submap_id") == 1).alias("fixed"))
+    pairs = joins.pairs_within(maps, "session_id", "submap_id", ("x", "y"), 25)
+    edges = pairs.select((F.col("session_id") * 1000 + F.col("i")).alias("i"), (F.col("session_id") * 1000 + F.col("j")).alias("j"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"), F.lit(1.0).alias("weight"))
+    return keyframes.relaxed(nodes, edges, 10)
+
+
+@query()
+def grown_region(spark, d):
+    """C18"""
+    from ..operators import keyframes
+
+    pts = A.vectors(spark, d)
+    return keyframes.grown(pts, ground.normals(pts, joins.knn(pts, 8, 8.0)), 0, 12.0, 60.0)
+
+
+@query(f"WITH {A.SUBMAPS}, a AS (SELECT session_id * 1000 + submap_id AS id, x, y FROM sub WHERE session_id % 2 = 0), b AS (SELECT session_id * 1000 + submap_id AS id, x, y FROM sub WHERE session_id % 2 = 1 AND x > 250), p AS (SELECT a.id AS a_id, b.id AS b_id, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS d2 FROM a JOIN b ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100) SELECT * FROM p ORDER BY d2, a_id, b_id LIMIT 1")
+def closest_submaps(spark, d):
+    """J19"""
+    from ..operators import keyframes
+
+    nodes = A.submaps(spark, d).select((F.col("session_id") * 1000 + F.col("submap_id")).alias("id"), "session_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return keyframes.closest_pair(nodes.where("session_id % 2 = 0"), nodes.where("session_id % 2 = 1 AND x > 250"), 2.0)
+
+
+@query()
+def rejection(spark, d):
+    """Points of the whole way, by frame"""
+    from . import rejection as way
+
+    out = way.rejected(A.points(spark, d).where("frame_id < 10").drop("intensity"))
+    return out.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))
