@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,14 +39,27 @@ def merge_peers(boxes: list[dict], distance: float) -> list[dict]:
 
 
 def merged_peers(boxes: DataFrame, distance: float) -> DataFrame:
-    """frame_id and the merged boxes of each frame (the clusters of one scan: few)."""
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        out = merge_peers(frame.to_dict("records"), distance)
-        return pd.DataFrame([[frame["frame_id"].iloc[0], *[b[k] for k in BOX]] for b in out], columns=["frame_id", *BOX])
+    """frame_id and the merged boxes of each frame, read frame by frame from a stream of Arrow batches."""
+
+    def merged(rows: list[dict]) -> pd.DataFrame:
+        out = [(f, *[b[k] for k in BOX]) for f, part in groupby(rows, key=lambda r: r["frame_id"]) for b in merge_peers(list(part), distance)]
+        return pd.DataFrame(out, columns=["frame_id", *BOX])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for batch in batches:
+            held += batch.to_dict("records")
+            last = held[-1]["frame_id"] if held else None
+            cut = next((i for i in range(len(held), 0, -1) if held[i - 1]["frame_id"] != last), 0)
+            if cut:
+                yield merged(held[:cut])
+                held = held[cut:]
+        if held:
+            yield merged(held)
 
     schema = "frame_id long, box_idx long, cx double, cy double, cz double, sx double, sy double, sz double"
-    return boxes.select("frame_id", *BOX, *(["track_id"] if "track_id" in boxes.columns else [])).groupBy("frame_id").applyInPandas(work, schema)
+    columns = ["frame_id", *BOX, *(["track_id"] if "track_id" in boxes.columns else [])]
+    return boxes.select(*columns).repartition("frame_id").sortWithinPartitions("frame_id", "box_idx").mapInPandas(work, schema)
 
 
 def obb_iou(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -139,9 +140,8 @@ def hysteresis(rows: DataFrame, permanent: int = 10) -> DataFrame:
 TRACK_SCHEMA = "seq_id long, frame_id long, box_idx long, track_id long, age long, vx double, vy double, vz double"
 
 
-def track_step(tracks: list[dict], frame: pd.DataFrame, next_id: int, gate: float, least: float, most_missed: int) -> tuple[list[dict], list[tuple], int]:
+def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float, least: float, most_missed: int) -> tuple[list[dict], list[tuple], int]:
     """One frame: pairs of tracks and boxes within the gate, by falling overlap, each used once; speeds are smoothed."""
-    boxes = frame.to_dict("records")
 
     def shared(t: dict, b: dict) -> float:
         v = [max(0.0, min(t[f"c{c}"] + t[f"s{c}"] / 2, b[f"c{c}"] + b[f"s{c}"] / 2) - max(t[f"c{c}"] - t[f"s{c}"] / 2, b[f"c{c}"] - b[f"s{c}"] / 2)) for c in "xyz"]
@@ -186,10 +186,10 @@ def tracked(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_missed
 
         def frames(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for (seq, frame_id), part in rows.groupby(["seq_id", "frame_id"], sort=True):
+            for (seq, frame_id), part in groupby(rows.to_dict("records"), key=lambda r: (r["seq_id"], r["frame_id"])):
                 if state.get("seq") != seq:
                     state.update(seq=seq, tracks=[], next=0)
-                state["tracks"], found, state["next"] = track_step(state["tracks"], part.sort_values("box_idx"), state["next"], gate, least, most_missed)
+                state["tracks"], found, state["next"] = track_step(state["tracks"], list(part), state["next"], gate, least, most_missed)
                 out += [(seq, frame_id, *f) for f in found]
             return pd.DataFrame(out, columns=["seq_id", "frame_id", "box_idx", "track_id", "age", "vx", "vy", "vz"])
 

@@ -252,6 +252,15 @@ def frame_boxes(spark, d) -> DataFrame:
     return rows.withColumn("k", first).where("k = 1").drop("k")
 
 
+def row_boxes(spark, d) -> DataFrame:
+    """Every order line as a box: a frame is an order and a hundred orders a sequence, so both grow with the table."""
+    from pyspark.sql import Window
+
+    rows = A.table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy(*[c for c in rows.columns if c != "l_orderkey"])
+    return rows.select(F.floor(F.col("l_orderkey") / 100).cast("long").alias("seq_id"), F.col("l_orderkey").alias("frame_id"), F.row_number().over(order).cast("long").alias("box_idx"), F.col("l_quantity").alias("cx"), (F.col("l_extendedprice") / 2000).alias("cy"), (F.col("l_discount") * 100).alias("cz"), (4.0 + F.col("l_partkey") % 5).alias("sx"), (4.0 + F.col("l_suppkey") % 7).alias("sy"), F.lit(3.0).alias("sz"))
+
+
 SIDE = "greatest(0.0::DOUBLE, least(a.c{c} + a.s{c} / 2, b.c{c} + b.s{c} / 2) - greatest(a.c{c} - a.s{c} / 2, b.c{c} - b.s{c} / 2))"
 OVERLAP = f"{SIDE.format(c='x')} * {SIDE.format(c='y')} * {SIDE.format(c='z')} / least(a.sx * a.sy * a.sz, b.sx * b.sy * b.sz)"
 
@@ -262,17 +271,22 @@ def overlap_pairs(spark, d):
     return moving.overlapping(frame_boxes(spark, d), 0.6)
 
 
+@query()
+def overlap_pairs_all(spark, d):
+    """C12, C13 over every row's box; the SQL of overlap_pairs asks for one a frame and part number modulo 1000"""
+    return moving.overlapping(row_boxes(spark, d), 0.6)
+
+
 @query()
 def suppressed_boxes(spark, d):
     """C11: a fold, tested against brute force"""
-    return moving.suppressed(frame_boxes(spark, d)).select("frame_id", "box_idx")
+    return moving.suppressed(row_boxes(spark, d)).select("frame_id", "box_idx")
 
 
 @query()
 def tracks(spark, d):
     """A fold over frames, tested against brute force"""
-    boxes = frame_boxes(spark, d).withColumns({"seq_id": F.col("box_idx") % 8, "frame_id": F.col("frame_id")})
-    return moving.tracked(boxes)
+    return moving.tracked(row_boxes(spark, d))
 
 
 # Neighbours
@@ -353,6 +367,12 @@ def voxel_adjacency(spark, d):
     return joins.adjacency(cloud.voxelise(A.points(spark, d).where("frame_id < 5"), 4.0))
 
 
+@query()
+def voxel_adjacency_all(spark, d):
+    """J4 over all frames; the SQL of voxel_adjacency asks for five"""
+    return joins.adjacency(cloud.voxelise(A.points(spark, d), 4.0))
+
+
 @query(f"WITH {A.POINTS}, {FLAGGED}, c AS (SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) AS k FROM fl a JOIN fl b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 AND (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz) AND b.is_dynamic GROUP BY ALL) SELECT fl.frame_id, fl.ix, fl.iy, fl.iz, fl.is_dynamic OR coalesce(NOT is_wall AND k >= 1 AND score + 0.1::DOUBLE * k > 0.4::DOUBLE * 1.0, false) AS is_dynamic FROM fl LEFT JOIN c USING (frame_id, ix, iy, iz)")
 def neighbour_propagation(spark, d):
     """X6"""
@@ -709,7 +729,7 @@ def merged_boxes(spark, d):
     """A fold, tested against brute force"""
     from ..operators import merge
 
-    return merge.merged_peers(frame_boxes(spark, d).where("box_idx % 10 = 0"), 2.0)
+    return merge.merged_peers(row_boxes(spark, d), 2.0)
 
 
 @query()
@@ -717,7 +737,7 @@ def wall_memory(spark, d):
     """A fold, tested by hand-made cases"""
     from ..operators import merge
 
-    walls = frame_boxes(spark, d).where("box_idx % 10 = 0").withColumns({"seq_id": F.col("box_idx") % 100, "nx": F.lit(1.0), "ny": F.lit(0.0), "nz": F.lit(0.0)})
+    walls = row_boxes(spark, d).withColumns({"nx": F.lit(1.0), "ny": F.lit(0.0), "nz": F.lit(0.0)})
     return merge.remembered_walls(walls)
 
 
@@ -740,6 +760,14 @@ def ply_lines(spark, d):
     return first.unionByName(second)
 
 
+@query()
+def ply_map(spark, d):
+    """S12, M8 over all points, as one file; the SQL of ply_lines asks for two frames"""
+    from ..sources import clouds
+
+    return clouds.ply(A.points(spark, d).select("x", "y", "z"))
+
+
 @query(f"WITH {A.SAMPLES}, b AS (SELECT *, max(us) OVER (PARTITION BY seq_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM imu) SELECT seq_id, id, us, coalesce(us >= before, true) AND us >= 0 AS accepted FROM b")
 def stream_accept(spark, d):
     """T1, S3, S4, X1 as a stream: the table is replayed, and what the stream wrote is returned"""
@@ -843,5 +871,5 @@ def rejection(spark, d):
     """Points of the whole way, by frame"""
     from . import rejection as way
 
-    out = way.rejected(A.points(spark, d).where("frame_id < 10").drop("intensity"))
+    out = way.rejected(A.points(spark, d).drop("intensity"))
     return out.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))

@@ -52,7 +52,7 @@ def tracked_boxes(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_
         rows = pd.concat(list(batches))
         out = []
         for frame_id, part in rows.groupby("frame_id", sort=True):
-            tracks, found, next_id = track_step(tracks, part.sort_values("box_idx"), next_id, gate, least, most_missed)
+            tracks, found, next_id = track_step(tracks, part.sort_values("box_idx").to_dict("records"), next_id, gate, least, most_missed)
             out += [(key[0], frame_id, *f) for f in found]
         state.update((int(next_id), *[[float(t[n]) for t in tracks] for n in names]))
         yield pd.DataFrame(out, columns=["seq_id", "frame_id", "box_idx", "track_id", "age", "vx", "vy", "vz"])
