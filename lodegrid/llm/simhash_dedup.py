@@ -71,11 +71,28 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint_rows(data: np.ndarray, at: np.ndarray, words: int, count: int = 1) -> np.ndarray:
-    """(rows, count) of 64 bits: a bit is set if it is in over half of the row's shingle hashes (mixed anew for each count)."""
+def once(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The runs of shingle_hashes with each hash of a row once."""
+    found = list(runs)
+    if not found:
+        return
+    row, h = (np.concatenate(part) for part in zip(*found))
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))
+    row, h = row[new], h[new]
+    for i in range(0, len(row), 1 << 17):
+        yield row[i : i + (1 << 17)], h[i : i + (1 << 17)]
+
+
+def fingerprint_rows(data: np.ndarray, at: np.ndarray, words: int, count: int = 1, distinct: bool = False) -> np.ndarray:
+    """(rows, count) of 64 bits: a bit is set if it is in over half of the row's shingle hashes (mixed anew for each count).
+
+    distinct: a shingle that a row repeats counts once."""
     n = len(at) - 1
     ones, total = np.zeros((n, count * 64), np.int64), np.zeros(n, np.int64)
-    for row, h in shingle_hashes(data, at, words):
+    runs = shingle_hashes(data, at, words)
+    for row, h in once(runs) if distinct else runs:
         cut = np.flatnonzero(np.diff(row, prepend=-1))
         total[row[cut]] += np.diff(cut, append=len(row))
         for k in range(count):
@@ -84,7 +101,7 @@ def fingerprint_rows(data: np.ndarray, at: np.ndarray, words: int, count: int =
     return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, check_words: int = 0, check_count: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE, check_words: int = 0, check_count: int = 0, distinct: bool = False) -> DataFrame:
     """docs without text, with fp (long) and, if asked for, check: array of check_count longs from shingles of check_words.
 
     Null and empty texts have fingerprints of zero. Columns of docs called fp or check are replaced."""
@@ -95,9 +112,9 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, check_words: int = 0, ch
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 20):
                 data, at = text_bytes(part.column("text"))
-                out = {"fp": pa.array(fingerprint_rows(data, at, words)[:, 0].view(np.int64))}
+                out = {"fp": pa.array(fingerprint_rows(data, at, words, 1, distinct)[:, 0].view(np.int64))}
                 if check_count:
-                    out["check"] = pa.array(list(fingerprint_rows(data, at, check_words, check_count).view(np.int64)), pa.list_(pa.int64()))
+                    out["check"] = pa.array(list(fingerprint_rows(data, at, check_words, check_count, distinct).view(np.int64)), pa.list_(pa.int64()))
                 yield pa.record_batch({k: part.column(k) for k in names} | out)
 
     added = "fp long, check array<long>" if check_count else "fp long"
@@ -360,9 +377,9 @@ def classes(prints: DataFrame, radius: int = RADIUS, check_radius: int = 0) -> D
     return rooted.join(ids, "root").select("node", "least", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, check_words: int = 0, check_count: int = 0, check_radius: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, check_words: int = 0, check_count: int = 0, check_radius: int = 0, distinct: bool = False) -> DataFrame:
     """docs without text, with fp, node and component_id; every row is returned, repeated ones and null texts too."""
-    prints = fingerprints(docs, words, check_words, check_count)
+    prints = fingerprints(docs, words, check_words, check_count, distinct)
     node = F.xxhash64("fp", "check") if check_count else F.col("fp")
     prints = checkpointed(prints.withColumn("node", node))
     return prints.join(classes(prints.select("doc_id", *[c for c in ("node", "fp", "check") if c in prints.columns]), radius, check_radius).drop("least"), "node")
@@ -376,7 +393,7 @@ def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: Of the deduplication: fingerprints of pairs of words are dealt out within 9 bits, and what meets is held against 512 bits
 #: from shingles of five words; texts whose sets of these have a similarity of 0.8 differ in 77.6 of them on average.
-NEAR = {"words": 2, "radius": 9, "check_words": 5, "check_count": 8, "check_radius": 84}
+NEAR = {"words": 2, "radius": 9, "check_words": 5, "check_count": 8, "check_radius": 84, "distinct": True}
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
