@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in every whole text. Hashes of the candidates' values are then aggregated over the corpus by
-distinct repositories and owners: a value that several owners share, or that very many repositories of one owner
-repeat, is a copied example; one that a single owner has is treated as live. The base patterns' spans stay whatever
+distinct repositories and owners: a value that several owners share is a copied example; one that a single owner has is
+treated as live, in however many of its repositories. The base patterns' spans stay whatever
 the frequency says; long mixed tokens that no base pattern covers are added only where the frequency says live.
 """
 
@@ -30,8 +30,8 @@ BASE = (
 #: Added kind: tokens of this pattern with at least DIGITS digits and BITS bits of entropy a character.
 ADDED, TOKEN, DIGITS, BITS = "token", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"), 3, 3.0
 KINDS = (*(b[0] for b in BASE), ADDED)
-#: A value is an example from so many owners on, or so many repositories.
-OWNERS, REPOSITORIES = 3, 1000
+#: A value is an example from so many owners on.
+OWNERS = 3
 
 
 def entropy(text: str) -> float:
@@ -69,14 +69,14 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     return docs.select(*plain, "text").mapInArrow(work, schema)
 
 
-def ownership(found: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
+def ownership(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     """value, n_owners, n_repositories, live. found: owner, repository, value; null owners or repositories count as one.
 
     Each step is added up before it is shuffled, so a value that a third of all rows hold is no hot key."""
     pairs = found.groupBy("value", "owner", "repository").agg(F.lit(1).alias("n"))
     per_owner = pairs.groupBy("value", "owner").agg(F.sum("n").alias("n"))
     per = per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
-    return per.withColumn("live", (F.col("n_owners") < owners) & (F.col("n_repositories") < repositories))
+    return per.withColumn("live", F.col("n_owners") < owners)
 
 
 def spans_by_key(rows: DataFrame) -> DataFrame:
