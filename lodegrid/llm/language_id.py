@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import pieces_of, read, text_bytes
 
-#: Bytes of context; documents that a language is learned from at most; longest document that is eligible, in bytes; languages at most.
-ORDER, PER_LANGUAGE, LONGEST, LANGUAGES = 3, 300, 1 << 15, 64
-#: Contexts of full order kept at most, the most frequent ones.
+#: Bytes of context; documents that a language is learned from at most; longest text that is learned whole, in bytes.
+ORDER, PER_LANGUAGE, LONGEST = 3, 300, 1 << 15
+#: Contexts of full order kept at most: an equal share of each language's most frequent ones, then the most frequent of all.
 CONTEXTS = 1 << 14
 UNKNOWN = "und"
 
@@ -45,19 +45,16 @@ def grams(symbols: np.ndarray, at: np.ndarray, order: int, base: int) -> np.ndar
 
 
 def sample(learn: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
-    """At most `per_language` rows (text, lang) of each language, by the least hashes of their ids.
+    """At most `per_language` rows (text, lang) of each language, by the least hashes of their ids; of texts of more than
+    `longest` bytes, the first `longest` / 4 characters.
 
     A first cut by hash at twice the needed rate leaves the window over a language a bounded number of rows."""
-    learn = learn.where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest)).withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return learn.where(F.lit(False)).select("text", "lang")
-    bound = {k: int(-(1 << 63) + min(1.0, 2 * per_language / n) * ((1 << 64) - 1)) for k, n in counts.items()}
-    keep = F.lit(False)
-    for k, b in bound.items():
-        keep = keep | ((F.col("lang") == k) & (F.col("h") <= F.lit(min(b, (1 << 63) - 1))))
+    learn = learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
+    rate = learn.groupBy("lang").agg(F.least(F.lit(1.0), 2 * per_language / F.count(F.lit(1))).alias("rate"))
+    near = learn.join(F.broadcast(rate), "lang").where(F.col("h") / float(1 << 64) + 0.5 <= F.col("rate"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    return learn.where(keep).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("text", "lang")
+    text = F.when(F.octet_length("text") <= longest, F.col("text")).otherwise(F.substring("text", 1, longest // 4))
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(text.alias("text"), "lang")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -102,8 +99,12 @@ def build(langs: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER
         ctx = key(k)
         found, where = np.unique(ctx, return_inverse=True)
         if k == order and len(found) > contexts:
-            heavy = np.argsort(-np.bincount(where, n), kind="stable")[:contexts]
-            found = np.sort(found[heavy])
+            heavy = np.argsort(-np.bincount(where, n), kind="stable")
+            own = [np.bincount(where[lang == m], n[lang == m], len(found)) for m in range(len(names))]
+            first = [np.argsort(-c, kind="stable")[: min(contexts // len(names), int((c > 0).sum()))] for c in own]
+            chosen = np.unique(np.concatenate(first))  # each language's share; the rest goes to the most frequent of all
+            rest = heavy[~np.isin(heavy, chosen)][: contexts - len(chosen)]
+            found = np.sort(found[np.concatenate([chosen, rest])])
         at = np.minimum(np.searchsorted(found, ctx), len(found) - 1) if len(found) else ctx
         ok = found[at] == ctx if len(found) else np.zeros(0, bool)
         count = np.zeros((max(len(found), int(k == 0)), base, len(names)), np.float32)
