@@ -3,11 +3,15 @@
 Per language, a byte context tree of bounded order holds symbol counts. A symbol costs minus the binary logarithm of
 its probability in the longest context seen before; a context that lacks it costs an escape (method C: as many escape
 counts as distinct symbols) and passes on to the context one byte shorter, which no longer considers the symbols that
-the longer one has (exclusion). Statistics stay frozen after training, so every cost is a fixed number: they are laid
-out as one table of (context, symbol, language), and the exact code length of a text is a sum of table rows.
+the longer one has (exclusion). Statistics stay frozen after training, so every cost is a fixed number.
+
+Only what training has seen is stored: for each order, the n-grams of a family of GROUP languages with their costs in
+each of these, found by a hash of the n-gram. What no language of the family has seen is reached by the escapes of its
+contexts, worked out for the few bytes that need it. The model so grows with the distinct n-grams, about 2 MB a
+language, and every language and every context has its place in it.
 
 Training counts n-grams in tasks and adds the counts up in Spark. The training sample is bounded (documents per
-language, bytes per document), which bounds the model that goes to the driver and is broadcast.
+language, bytes per document), which bounds what the driver gets and broadcasts for each language.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from .common import pieces_of, read, text_bytes
 
 #: Bytes of context; documents that a language is learned from at most; longest text that is learned whole, in bytes.
 ORDER, PER_LANGUAGE, LONGEST = 3, 300, 1 << 15
-#: Contexts of full order kept at most: an equal share of each language's most frequent ones, then the most frequent of all.
-CONTEXTS = 1 << 14
+#: Languages that share the tables of a family.
+GROUP = 4
 UNKNOWN = "und"
 
 
@@ -74,81 +78,162 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Lookup:
+    """Row of each of some distinct numbers, by a hash table whose collisions lie right behind their place."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(1, 2 * len(keys)).bit_length())
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        at = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys))
+        self.most = int((at - home[order]).max()) if len(keys) else 0
+        size = (1 << (64 - int(self.shift))) + self.most + 1
+        self.keys, self.rows = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        self.keys[at], self.rows[at] = keys[order], order
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Rows; -1 where a number isn't there."""
+        at = self._home(keys)
+        hit = self.keys[at] == keys
+        out = np.where(hit, self.rows[at], -1)
+        left = np.flatnonzero(~hit & (self.keys[at] >= 0))
+        for step in range(1, self.most + 1):
+            if not len(left):
+                break
+            there = self.keys[at[left] + step]
+            hit = there == keys[left]
+            out[left[hit]] = self.rows[at[left[hit]] + step]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
+@dataclass
+class Level:
+    """One order of a family. Arrays have a row for each n-gram or context and a column for each language, in bits."""
+
+    grams: Lookup  #: context and symbol
+    costs: np.ndarray  #: of the n-gram in its context, or where its escapes lead; that of the shorter one where there is no such context
+    own: np.ndarray  #: minus the logarithm of its count; infinite where a language lacks it
+    tail: np.ndarray  #: what remains after the escape from its context
+    contexts: Lookup
+    up: np.ndarray  #: row of each context without its first byte, one order below
+    known: np.ndarray  #: whether a language has the context
+    escape: np.ndarray  #: from the context, with nothing excluded
+    scale: np.ndarray  #: of the context above, without what this one has: logarithm of its total,
+    leave: np.ndarray  #: and its escape
+
+
+@dataclass
+class Family:
+    levels: list[Level]
+    last: np.ndarray  #: a symbol's cost behind the root's escape, for each language
+    base: int
+    order: int
+
+    def tails(self, k: int, row: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Bits after an escape from context `row` of order k, for n-grams that order k lacks."""
+        if k == 0:
+            return np.broadcast_to(self.last, (len(row), len(self.last)))
+        here, above = self.levels[k], self.levels[k - 1]
+        at = above.grams(gram % self.base**k)
+        out = here.leave[row].copy()
+        hit, miss = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        own = above.own[at[hit]]
+        out[hit] = np.where(np.isfinite(own), here.scale[row[hit]] + own, out[hit] + above.tail[at[hit]])
+        if len(miss):
+            out[miss] += self.tails(k - 1, here.up[row[miss]], gram[miss])
+        return out
+
+    def bits(self, gram: np.ndarray, k: int | None = None) -> np.ndarray:
+        """Costs of n-grams (of k symbols before, and one) in each language."""
+        k = self.order if k is None else k
+        level = self.levels[k]
+        at = level.grams(gram % self.base ** (k + 1))
+        out = level.costs[at]
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            gram = gram[miss]
+            row = level.contexts(gram // self.base % self.base**k)
+            some = np.flatnonzero(row >= 0)
+            part = self.bits(gram, k - 1) if k else np.zeros((len(miss), len(self.last)), np.float32)
+            row = row[some]
+            part[some] = np.where(level.known[row], level.escape[row] + self.tails(k, row, gram[some]), part[some])
+            out[miss] = part
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
     symbol: np.ndarray  #: of each byte; 0 is a text's edge, the last one any byte that training didn't have
     base: int
-    state: np.ndarray  #: row of the cost table for each context of full order
-    costs: np.ndarray  #: float32 (states x symbols, languages), in bits
     order: int
+    families: list[Family]
 
 
-def build(langs: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER, contexts: int = CONTEXTS) -> Model:
-    """The cost table from full-order counts (shorter contexts' counts are their sums)."""
-    names = sorted(set(langs))
-    digits = np.stack([(gram // 257**k) % 257 for k in range(order, -1, -1)], 1)
-    used = np.unique(digits[:, -1])
-    symbol = np.full(257, len(used) + 1, np.int64)
-    symbol[0], symbol[used] = 0, np.arange(1, len(used) + 1)
-    base, digits = len(used) + 2, symbol[digits]
-    lang = np.searchsorted(names, langs) if names else np.zeros(0, np.int64)
-    key = lambda k: digits[:, order - k : order] @ (base ** np.arange(k - 1, -1, -1)) if k else np.zeros(len(digits), np.int64)
-    nodes, tables = {}, {}
+def family(gram: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int, base: int, order: int) -> Family:
+    """From full-order counts of some languages (shorter contexts' counts are their sums), order by order."""
+    log = lambda x: np.log2(np.maximum(x, 1))
+    levels: list[Level] = []
+    count = None
     for k in range(order + 1):
-        ctx = key(k)
-        found, where = np.unique(ctx, return_inverse=True)
-        if k == order and len(found) > contexts:
-            heavy = np.argsort(-np.bincount(where, n), kind="stable")
-            own = [np.bincount(where[lang == m], n[lang == m], len(found)) for m in range(len(names))]
-            first = [np.argsort(-c, kind="stable")[: min(contexts // len(names), int((c > 0).sum()))] for c in own]
-            chosen = np.unique(np.concatenate(first))  # each language's share; the rest goes to the most frequent of all
-            rest = heavy[~np.isin(heavy, chosen)][: contexts - len(chosen)]
-            found = np.sort(found[np.concatenate([chosen, rest])])
-        at = np.minimum(np.searchsorted(found, ctx), len(found) - 1) if len(found) else ctx
-        ok = found[at] == ctx if len(found) else np.zeros(0, bool)
-        count = np.zeros((max(len(found), int(k == 0)), base, len(names)), np.float32)
-        np.add.at(count, (at[ok], digits[ok, -1], lang[ok]), n[ok])
-        nodes[k] = found if len(found) or k else np.zeros(1, np.int64)
-        tables[k] = count
-    # tail[c]: cost of what context c escapes to; full[c]: cost of a symbol in c. Order -1: all byte values that the root lacks.
-    root = tables[0][0] > 0
-    tail = np.broadcast_to(np.log2(np.maximum(256 - root.sum(0), 1)), (1, base, len(names)))
-    full = None
-    for k in range(order + 1):
-        count = tables[k]
-        if k:
-            parent = np.searchsorted(nodes[k - 1], nodes[k] % base ** (k - 1)) if len(nodes[k]) else np.zeros(0, np.int64)
-            above = tables[k - 1][parent]
-            left = np.where(count > 0, 0, above)
-            total, kinds = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                here = np.log2(np.maximum(total + kinds, 1)) - np.log2(left)
-                escape = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
-            tail = np.where(left > 0, here, escape + tail[parent])
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+        grams, of = np.unique(gram % base ** (k + 1), return_inverse=True)
+        before, count = count, np.zeros((len(grams), languages), np.float32)
+        np.add.at(count, (of, lang), n)
+        seen = count > 0
+        contexts, ctx = np.unique(grams // base, return_inverse=True)
+        if not k and not len(contexts):
+            contexts = np.zeros(1, np.int64)
+        first = np.searchsorted(ctx, np.arange(len(contexts)))
+        per = lambda x: np.add.reduceat(x, first, axis=0, dtype=np.float32) if len(x) else np.zeros((len(contexts), languages), np.float32)  # noqa: E731, B023
+        total, kinds = per(count), per(seen)
         with np.errstate(divide="ignore"):
-            own = np.where(count > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(count), np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)) + tail)
-        full_k = own if full is None else np.where(total > 0, own, full[parent])
-        tail = tail if full is None else np.where(total > 0, tail, 0)
-        nodes[k], tables[k], full = nodes[k], count, full_k
-        nodes[f"full{k}"] = full_k
-    start, rows = {}, []
-    for k in range(order + 1):
-        start[k] = sum(map(len, rows))
-        rows.append(nodes[f"full{k}"])
-    state = np.zeros(base**order, np.int32)
-    every = np.arange(base**order, dtype=np.int64)
-    for k in range(1, order + 1):
-        if len(nodes[k]):
-            suffix = every % base**k
-            at = np.minimum(np.searchsorted(nodes[k], suffix), len(nodes[k]) - 1)
-            state = np.where(nodes[k][at] == suffix, start[k] + at, state).astype(np.int32)
-    costs = np.concatenate(rows).reshape(sum(map(len, rows)) * base, len(names)).astype(np.float32)
-    return Model(names, symbol[1:].astype(np.int64), base, state, costs, order)
-
-
-def code_lengths(model: Model, data: np.ndarray, at: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+            own = -np.log2(count)
+        escape = log(total + kinds) - log(kinds)
+        if k:
+            above = levels[-1]
+            parent = above.grams(grams % base**k)
+            up = above.contexts(contexts % base ** (k - 1))
+            rest = whole[up] - per(np.where(seen, before[parent], 0))
+            left = all_kinds[up] - kinds
+            scale = log(rest + left)
+            leave = np.where(left > 0, scale - log(left), 0)
+            tail = np.where(np.isfinite(above.own[parent]), scale[ctx] + above.own[parent], leave[ctx] + above.tail[parent])
+            shorter = above.costs[parent]
+        else:
+            up, scale, leave, shorter = np.zeros(1, np.int32), np.zeros((1, languages), np.float32), np.zeros((1, languages), np.float32), np.float32(0)
+            last = log(256 - kinds[0]).astype(np.float32)
+            tail = np.broadcast_to(last, own.shape)
+        costs = np.where(seen, log(total + kinds)[ctx] + own, escape[ctx] + tail)
+        known = (total > 0) | (k == 0)
+        costs = np.where(known[ctx], costs, shorter)
+        levels.append(Level(Lookup(grams), *(x.astype(np.float32) for x in (costs, own, tail)), Lookup(contexts), up, known, *(x.astype(np.float32) for x in (escape, scale, leave))))
+        whole, all_kinds = total, kinds
+    for level in levels[order:]:
+        level.own = level.tail = np.zeros((0, languages), np.float32)  # no longer order asks for them
+    return Family(levels, last, base, order)
+
+
+def build(langs: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER, group: int = GROUP) -> Model:
+    """The model from full-order counts; n-grams are numbers as `grams` gives them, of base 257."""
+    names, lang = np.unique(langs.astype(str), return_inverse=True) if len(langs) else (np.zeros(0, str), np.zeros(0, np.int64))
+    used = np.unique(gram % 257)
+    symbol = np.full(257, len(used) + 1, np.int64)
+    symbol[0], symbol[used] = 0, np.arange(1, len(used) + 1)
+    base, own = len(used) + 2, np.zeros(len(gram), np.int64)
+    for k in range(order, -1, -1):
+        own = own * base + symbol[gram // 257**k % 257]
+    families = []
+    for first in range(0, len(names), group):
+        of = (lang >= first) & (lang < first + group)
+        families.append(family(own[of], lang[of] - first, n[of], min(group, len(names) - first), base, order))
+    return Model(names.tolist(), symbol[1:], base, order, families)
+
+
+def code_lengths(model: Model, data: np.ndarray, at: np.ndarray, step: int = 1 << 17) -> np.ndarray:
     """Bits of each row under each language. Works through the bytes in steps, so that memory doesn't grow with a text."""
     out = np.zeros((len(at) - 1, len(model.languages)))
     for lo in range(int(at[0]), int(at[-1]), step):
@@ -156,19 +241,21 @@ def code_lengths(model: Model, data: np.ndarray, at: np.ndarray, step: int = 1 <
         first, last = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, hi, "left")
         before = max(int(at[first]), lo - model.order)
         cut = np.clip(at[first : last + 1], before, hi) - before
-        symbols = model.symbol[data[before:hi]]
-        gram = grams(symbols, cut, model.order, model.base)[lo - before :]
-        bits = model.costs[model.state[gram // model.base].astype(np.int64) * model.base + gram % model.base]
+        gram = grams(model.symbol[data[before:hi]], cut, model.order, model.base)[lo - before :]
         cut = np.maximum(cut + before, lo) - lo
         full = np.flatnonzero(np.diff(cut))
-        if len(full):
-            out[first + full] += np.add.reduceat(bits, cut[full], axis=0, dtype=np.float64)
+        done = 0
+        for part in model.families:
+            many = len(part.last)
+            if len(full):
+                out[first + full, done : done + many] += np.add.reduceat(part.bits(gram), cut[full], axis=0, dtype=np.float64)
+            done += many
     return out
 
 
 def fit(learn: DataFrame, order: int = ORDER) -> Model:
     """learn: doc_id, text, lang. Without a row to learn from, the model has no language."""
-    counts = gram_counts(sample(learn), order).orderBy("lang", "gram").toPandas()
+    counts = gram_counts(sample(learn), order).toPandas()
     return build(counts["lang"].to_numpy(object), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), order)
 
 
