@@ -8,7 +8,13 @@ partition and to the values within the threshold; fingerprints that meet are ver
 
 Copies are one fingerprint. Of fingerprints that meet and link, only a star per connected part is passed on, never all
 pairs; where very many meet in one value, blocks of them are compared pair by pair of blocks, in tasks of their own.
+A value of n fingerprints is so dealt out n / BLOCK times: the thresholds keep values small, and only a group of more than
+BLOCK different fingerprints that agree in a whole partition makes this grow.
 Connected components then follow from the stars by alternating large and small stars.
+
+Deduplication deals two fingerprints of sets of word pairs out in this way, with four to verify them, and then holds what
+hangs together against the exact similarity of sets of five-word shingles, each document's set once for each block of
+its component.
 """
 
 from __future__ import annotations
@@ -20,17 +26,19 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, pieces_of, read, row_key, text_bytes, word_limits
+from .substring_dedup import mixed, window_hashes, windows, word_hashes
 
 SEED, RADIUS, SHINGLE = 42, 4, 4
 #: Seconds that a dealt row (some 100 bytes, written, sorted and read) and a compared pair take about, as measured; partitions tried; rows of one value that are compared in one task.
 ROW_COST, PAIR_COST, PARTITIONS, BLOCK = 1e-5, 1e-8, range(2, 13), 1 << 14
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_ONLY = _LOWER.copy()
 _LOWER[[*range(0x09, 0x0E)]] = 0x20
 
 
@@ -71,54 +79,95 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def once(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The runs of shingle_hashes with each hash of a row once."""
-    found = list(runs)
-    if not found:
-        return
-    row, h = (np.concatenate(part) for part in zip(*found))
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))
-    row, h = row[new], h[new]
-    for i in range(0, len(row), 1 << 17):
-        yield row[i : i + (1 << 17)], h[i : i + (1 << 17)]
+def word_sets(data: np.ndarray, at: np.ndarray, widths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each width, (row, hash) of the distinct shingles of so many words of A-Z lower-cased text, sorted by both.
+
+    A row of fewer words has its whole sequence as its only shingle, a row without words none. The hashes are of 64 bits
+    and not XXH64. Takes some 40 bytes of memory a byte of text."""
+    data, at = _LOWER_ONLY[data[at[0] : at[-1]]], at - at[0]
+    starts, ends, first = word_limits(data, at)
+    h = word_hashes(data, starts, ends)
+    out = []
+    for width in widths:
+        _, row, hashes = windows(h, first, width)
+        rows, found = [row], [hashes]
+        for n in range(1, width):
+            short = np.flatnonzero(np.diff(first) == n)
+            rows.append(short)
+            found.append(mixed(window_hashes(h, n)[first[short]] + np.uint64(n)))
+        row, hashes = np.concatenate(rows), np.concatenate(found)
+        order = np.lexsort((hashes, row))
+        row, hashes = row[order], hashes[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+        out.append((row[new], hashes[new]))
+    return out
+
+
+#: Eight counters of eight bits, one for each bit of a byte.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def add_bits(ones: np.ndarray, row: np.ndarray, h: np.ndarray) -> None:
+    """Adds to ones (rows, 64) how often each bit is set in the hashes of each row; rows are sorted."""
+    head = np.flatnonzero(np.diff(row, prepend=-1))
+    place = np.arange(len(row)) - np.repeat(head, np.diff(head, append=len(row)))
+    cut = np.flatnonzero(place % 255 == 0)  # so many fit into eight bits
+    sums = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], cut, axis=0).view(np.uint8).reshape(-1, 64)
+    again = np.flatnonzero(np.diff(row[cut], prepend=-1))
+    ones[row[cut[again]]] += np.add.reduceat(sums, again, axis=0, dtype=np.int64)
 
 
-def fingerprint_rows(data: np.ndarray, at: np.ndarray, words: int, count: int = 1, distinct: bool = False) -> np.ndarray:
-    """(rows, count) of 64 bits: a bit is set if it is in over half of the row's shingle hashes (mixed anew for each count).
+def majority(n: int, runs: Iterator[tuple[np.ndarray, np.ndarray]], count: int = 1) -> np.ndarray:
+    """(n, count) of 64 bits: a bit is set if it is in over half of the row's hashes (mixed anew for each count)."""
+    ones, total = np.zeros((count, n, 64), np.int64), np.zeros(n, np.int64)
+    for row, h in runs:
+        if len(row):
+            total += np.bincount(row, minlength=n)
+            for k in range(count):
+                add_bits(ones[k], row, remixed(h, k))
+    return np.packbits(2 * ones > total[:, None], axis=2, bitorder="little").view(np.uint64)[:, :, 0].T
 
-    distinct: a shingle that a row repeats counts once."""
-    n = len(at) - 1
-    ones, total = np.zeros((n, count * 64), np.int64), np.zeros(n, np.int64)
-    runs = shingle_hashes(data, at, words)
-    for row, h in once(runs) if distinct else runs:
-        cut = np.flatnonzero(np.diff(row, prepend=-1))
-        total[row[cut]] += np.diff(cut, append=len(row))
-        for k in range(count):
-            bits = np.unpackbits(remixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[row[cut], 64 * k : 64 * k + 64] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64)
 
+def fingerprint_rows(data: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """64 bits for each row, from all its shingles, repeats included."""
+    return majority(len(at) - 1, shingle_hashes(data, at, words))[:, 0]
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, check_words: int = 0, check_count: int = 0, distinct: bool = False) -> DataFrame:
-    """docs without text, with fp (long) and, if asked for, check: array of check_count longs from shingles of check_words.
 
-    Null and empty texts have fingerprints of zero. Columns of docs called fp or check are replaced."""
-    plain = docs.drop("text", "fp", "check")
+def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """docs without text, with fp (long). Null and empty texts have fingerprints of zero; a column fp of docs is replaced."""
+    plain = docs.drop("text", "fp")
     names = plain.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 20):
-                data, at = text_bytes(part.column("text"))
-                out = {"fp": pa.array(fingerprint_rows(data, at, words, 1, distinct)[:, 0].view(np.int64))}
-                if check_count:
-                    out["check"] = pa.array(list(fingerprint_rows(data, at, check_words, check_count, distinct).view(np.int64)), pa.list_(pa.int64()))
-                yield pa.record_batch({k: part.column(k) for k in names} | out)
+                fp = fingerprint_rows(*text_bytes(part.column("text")), words)
+                yield pa.record_batch({k: part.column(k) for k in names} | {"fp": pa.array(fp.view(np.int64))})
 
-    added = "fp long, check array<long>" if check_count else "fp long"
-    return docs.select(*names, "text").mapInArrow(work, T.StructType([*plain.schema, *T.StructType.fromDDL(added)]))
+    return docs.select(*names, "text").mapInArrow(work, T.StructType([*plain.schema, *T.StructType.fromDDL("fp long")]))
+
+
+def set_fingerprints(docs: DataFrame, words: int, count: int, set_words: int) -> DataFrame:
+    """docs without text, with check (array of `count` longs, from the set of shingles of `words`), node (64 bits that equal
+    sets of shingles of `set_words` share) and size (of that set). Columns of docs so called are replaced."""
+    plain = docs.drop("text", "check", "node", "size")
+    names = plain.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, "text", 1 << 20):
+                n = part.num_rows
+                few, many = word_sets(*text_bytes(part.column("text")), (words, set_words))
+                check = np.ascontiguousarray(majority(n, iter([few]), count)).view(np.int64)
+                size, node = np.bincount(many[0], minlength=n), np.zeros(n, np.uint64)
+                head = np.flatnonzero(np.diff(many[0], prepend=-1))
+                if len(head):
+                    node[many[0][head]] = np.add.reduceat(remixed(many[1], 1), head)
+                node = mixed(node + size.astype(np.uint64)).view(np.int64)
+                yield pa.record_batch({k: part.column(k) for k in names} | {"check": pa.FixedSizeListArray.from_arrays(pa.array(check.ravel()), count).cast(pa.list_(pa.int64())), "node": pa.array(node), "size": pa.array(size, pa.int64())})
+
+    return docs.select(*names, "text").mapInArrow(work, T.StructType([*plain.schema, *T.StructType.fromDDL("check array<long>, node long, size long")]))
 
 
 def bit_moments(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -298,8 +347,28 @@ def compare(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, check: np.ndar
     return label
 
 
+#: What orders and names a vertex, and the flat form of an edge that tasks return.
+VERTEX = ("late", "least", "node")
+EDGE = "a_late boolean, a_least long, a_node long, b_late boolean, b_least long, b_node long"
+
+
+def edges_of(cols: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges between rows a and b of columns of vertices, without loops, each once."""
+    some = np.flatnonzero(cols["node"][a] != cols["node"][b])
+    a, b = a[some], b[some]
+    _, once = np.unique(np.stack([cols["node"][a], cols["node"][b]], 1), axis=0, return_index=True)
+    return pa.record_batch({f"{side}_{c}": pa.array(cols[c][i[once]]) for side, i in (("a", a), ("b", b)) for c in VERTEX})
+
+
+def linked_vertices(flat: DataFrame) -> DataFrame:
+    a, b = (F.struct(*[F.col(f"{side}_{c}").alias(c) for c in VERTEX]) for side in "ab")
+    return flat.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
 def stars(deals: DataFrame, radius: int, check_radius: int = 0, block: int = BLOCK) -> DataFrame:
-    """Distinct links (a, b), b < a by node, that connect what the nodes that meet in a key connect."""
+    """Distinct links (a, b) of vertices, b < a, that connect what the nodes that meet in a key connect.
+
+    A vertex is (late, least, node): its order is that of the smallest doc_id, and null ids, which are late, come last."""
     many = deals.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     deals = deals.join(many, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -320,9 +389,7 @@ def stars(deals: DataFrame, radius: int, check_radius: int = 0, block: int = BLO
                 values = rows.column("check").combine_chunks()
                 check = values.flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
             label = compare(group, col("probe"), col("fp").view(np.uint64), check, radius, check_radius)
-            a, b = node, node[label]
-            edge = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
-            return pa.record_batch({"a": pa.array(edge[:, 0]), "b": pa.array(edge[:, 1])})
+            return edges_of({c: col(c) for c in VERTEX}, np.arange(len(label)), label)
 
         held, n = [], 0
         for batch in batches:
@@ -339,11 +406,11 @@ def stars(deals: DataFrame, radius: int, check_radius: int = 0, block: int = BLO
         if n:
             yield done(pa.Table.from_batches(held))
 
-    return dealt_out.mapInArrow(work, "a long, b long").distinct()
+    return linked_vertices(dealt_out.mapInArrow(work, EDGE))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of the edges (a, b) reaches.
+    """node, root: the least vertex that each vertex of the edges (a, b) reaches.
 
     Each round hangs larger neighbours, then smaller ones, on the least; hot nodes are only ever reduced to a minimum
     or joined, both of which Spark splits. The rounds end when no edge changes."""
@@ -362,27 +429,30 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def classes(prints: DataFrame, radius: int = RADIUS, check_radius: int = 0) -> DataFrame:
-    """node, least (smallest doc_id of the node's own documents), component_id, for prints: doc_id, fp, perhaps check, node.
+def with_vertices(prints: DataFrame, *more: Column) -> DataFrame:
+    """One row for each node of prints: late, least (smallest doc_id; 0 where all are null), node and more."""
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *more)
+    return nodes.withColumns({"late": F.col("least").isNull(), "least": F.coalesce("least", F.lit(0).cast("long"))})
+
+
+def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with root, the least vertex that each reaches; itself without an edge. No join is by root, which may be hot."""
+    root = components(edges).select(F.col("node.node").alias("of"), "root")
+    return nodes.join(root, nodes["node"] == root["of"], "left").drop("of").withColumn("root", F.coalesce("root", F.struct(*VERTEX)))
+
 
-    Equal nodes are one; ids that are null don't count, and a component of nothing but these has a null id."""
-    kept = [c for c in ("node", "fp", "check") if c in prints.columns]
-    rest = [F.first(c).alias(c) for c in kept[1:]]
-    nodes = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *rest))
-    keys = nodes.select(*kept)
-    edges = stars(dealt(keys, plan(keys, radius)), radius, check_radius)
-    root = components(edges)
-    rooted = nodes.select("node", "least").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("node", "least", "component_id")
+def component_id() -> Column:
+    """Of a root: its doc_id; null where no row of the component has one."""
+    return F.when(~F.col("root.late"), F.col("root.least"))
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, check_words: int = 0, check_count: int = 0, check_radius: int = 0, distinct: bool = False) -> DataFrame:
-    """docs without text, with fp, node and component_id; every row is returned, repeated ones and null texts too."""
-    prints = fingerprints(docs, words, check_words, check_count, distinct)
-    node = F.xxhash64("fp", "check") if check_count else F.col("fp")
-    prints = checkpointed(prints.withColumn("node", node))
-    return prints.join(classes(prints.select("doc_id", *[c for c in ("node", "fp", "check") if c in prints.columns]), radius, check_radius).drop("least"), "node")
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs without text, with fp and component_id; every row is returned, repeated ones and null texts too. Ids that are
+    null don't count, and a component of nothing but these has a null id."""
+    prints = checkpointed(fingerprints(docs, words).withColumn("node", F.col("fp")))
+    nodes = checkpointed(with_vertices(prints).withColumn("fp", F.col("node")))
+    found = rooted(nodes.select(*VERTEX), stars(dealt(nodes, plan(nodes, radius)), radius))
+    return prints.join(found.select("node", component_id().alias("component_id")), "node").drop("node")
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
@@ -391,19 +461,120 @@ def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the deduplication: fingerprints of pairs of words are dealt out within 9 bits, and what meets is held against 512 bits
-#: from shingles of five words; texts whose sets of these have a similarity of 0.8 differ in 77.6 of them on average.
-NEAR = {"words": 2, "radius": 9, "check_words": 5, "check_count": 8, "check_radius": 84, "distinct": True}
+#: Of the deduplication: words in a shingle, and the least similarity of two sets of shingles.
+SET_WORDS, SIMILAR = 5, 0.8
+#: Its candidates: PRINTS fingerprints from sets of word pairs, of which the first DEALT are dealt out within NEAR bits;
+#: what meets is a candidate if all of them together differ in SPREAD bits at most. Texts whose sets of five-word shingles
+#: have a similarity of 0.8 by scattered changes differ in 6 of 64 and 24 of 256 bits on average, by one passage in 10 and 39.
+WORD_PAIR, PRINTS, DEALT, NEAR, SPREAD = 2, 4, 2, 9, 56
+#: Shingles of a component that are held against each other in one task.
+SHINGLES = 1 << 20
+
+
+def reached(sets: list[np.ndarray], similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Links i, j that connect all sets which links of at least so much similarity connect; breadth first, what has been
+    reached isn't compared again, so a dense group takes about one pass. Two empty sets are alike."""
+    size = np.asarray([len(x) for x in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True) if size.sum() else (np.zeros(0), np.zeros(0, np.int64))
+    at = np.append(0, np.cumsum(size))
+    mark = np.zeros(len(values) + 1, np.uint8)
+    left, held = np.arange(len(sets)), code
+    links_i, links_j, front = [], [], []
+    while len(left):
+        if front:
+            x = front.pop()
+        else:
+            x, left, held = left[0], left[1:], held[size[left[0]] :]
+        own = code[at[x] : at[x + 1]]
+        mark[own] = 1
+        cut = np.append(0, np.cumsum(size[left]))
+        both = np.diff(np.append(0, np.cumsum(mark[held], dtype=np.int64))[cut])
+        mark[own] = 0
+        near = both >= similar * (len(own) + size[left] - both) - 1e-9
+        if near.any():
+            hit = left[near]
+            links_i.append(np.full(len(hit), x))
+            links_j.append(hit)
+            front += hit.tolist()
+            held = held[np.repeat(~near, size[left])]
+            left = left[~near]
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(links_i), np.concatenate(links_j)) if links_i else (empty, empty)
+
+
+def exact_links(members: DataFrame, texts: DataFrame, words: int = SET_WORDS, similar: float = SIMILAR, most: int = SHINGLES) -> DataFrame:
+    """Distinct links (a, b) of vertices that connect what pairs of similar sets of shingles connect in each root's members.
+
+    members: late, least, node, size, root, key; texts: key, text. Sets of a root are dealt out by node in blocks of about
+    `most` shingles, and each pair of blocks is one group of one task."""
+    blocks = members.groupBy("root").agg(F.sum("size").alias("n")).where(F.col("n") > most).select("root", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    dealt_in = members.join(blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    zero = F.lit(0).cast("long")
+    pair = F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.transform(F.sequence(zero, F.col("blocks") - F.lit(1).cast("long")), lambda c: F.greatest(c, own) * (1 << 20) + F.least(c, own)))
+    rows = texts.join(dealt_in.select("key", *VERTEX, F.col("root.node").alias("of"), pair.alias("pairs")), "key")
+    names = [*VERTEX, "of", "pair"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, "text", 1 << 20):
+                row, h = word_sets(*text_bytes(part.column("text")), (words,))[0]
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                blobs = pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                yield pa.record_batch({c: part.column(c) for c in (*VERTEX, "of", "pairs")} | {"hashes": blobs})
+
+    schema = "late boolean, least long, node long, of long, pairs array<long>, hashes binary"
+    each = rows.select(*VERTEX, "of", "pairs", "text").mapInArrow(sets, schema).select(*VERTEX, "of", F.explode("pairs").alias("pair"), "hashes")
+    dealt_out = each.repartition("of", "pair").sortWithinPartitions("of", "pair", "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(group)
+            if rows.num_rows > 1:
+                i, j = reached([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()], similar)
+                yield edges_of({c: rows.column(c).to_numpy() for c in VERTEX}, i, j)
+
+        group: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            of, pair = batch.column("of").to_numpy(), batch.column("pair").to_numpy()
+            cut = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(pair) != 0)) + 1).tolist(), len(of)]
+            for lo, hi in zip(cut, cut[1:]):
+                if group and (of[lo], pair[lo]) != last:
+                    yield from done(group)
+                    group = []
+                last = (of[lo], pair[lo])
+                group.append(batch.slice(lo, hi - lo))
+        if group:
+            yield from done(group)
+
+    return linked_vertices(dealt_out.select(*names, "hashes").mapInArrow(work, EDGE))
+
+
+def similar_groups(docs: DataFrame, radius: int = NEAR, spread: int = SPREAD, similar: float = SIMILAR) -> DataFrame:
+    """key, doc_id, node, root: docs has key, which names a row, doc_id and text. Rows of one root hang together by pairs of
+    at least so much similarity of their sets of five-word shingles; equal sets are one node."""
+    prints = checkpointed(set_fingerprints(docs.select("key", "doc_id", "text"), WORD_PAIR, PRINTS, SET_WORDS))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    nodes = checkpointed(with_vertices(prints, F.min("check").alias("check"), F.first("size").alias("size"), first.alias("first")).withColumn("key", F.col("first.key")).drop("first"))
+    edges = None
+    for k in range(DEALT):
+        rows = nodes.select(*VERTEX, "check", F.col("check")[k].alias("fp"))
+        found = stars(dealt(rows, plan(rows, radius)), radius, spread)
+        edges = found if edges is None else edges.union(found)
+    linked = components(edges).select(F.col("node.node").alias("node"), "root")
+    members = checkpointed(nodes.drop("check").where(F.col("size") > 0).join(linked, "node"))
+    sure = exact_links(members, docs.select("key", "text"), SET_WORDS, similar)
+    return prints.select("key", "doc_id", "node").join(rooted(nodes.select(*VERTEX), sure).select("node", "root"), "node")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """docs without near-duplicates: of each group, the row of the smallest doc_id stays (one of equal rows; null ids only
     where a group has no other, and then one of them). All columns stay."""
     key = row_key("doc_id", "text")
-    found = near_duplicates(docs.select("doc_id", "text", key.alias("key")), **(NEAR | how))
+    found = similar_groups(docs.select(key.alias("key"), "doc_id", "text"), **how)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("n"), F.col("node").cast("string")))
-    kept = found.groupBy(group).agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select(F.col("first.key").alias("kept_key"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("kept_key"))
     staying = docs.withColumn("kept_key", key).join(kept, "kept_key")
     again = docs.groupBy(key.alias("kept_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kept_key", F.lit(True).alias("again"))
     staying = staying.join(again, "kept_key", "left")
