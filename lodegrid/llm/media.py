@@ -1,8 +1,9 @@
 """Media columns: local image descriptors that find cropped or edited copies.
 
 Corners at several scales, each with 256 binary tests turned to the corner's orientation, describe an image. Queries and
-images meet in Hamming tables: descriptors that agree in one of eight groups of 32 tests are joined, and those within the
-radius are matches. Each match gives a scale, a turn and a shift; matches of a pair of images that agree in these are a
+images meet in Hamming tables: the tests are in eight groups of 32, and a descriptor within the radius of a query's differs
+from it in no more tests of some group than that group's threshold. Each threshold is 0 or 1, and queries also look up the
+values of a group with one test turned. What meets and is within the radius is a match: every pair within it is found. Each match gives a scale, a turn and a shift; matches of a pair of images that agree in these are a
 geometric consensus. Pixels are worked on in numpy inside tasks; tables, matches and votes are joins and aggregates.
 """
 
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, read
 
-#: Sides of the scales relative to the image; corners kept at each scale (the feature's size); reach of a test, in pixels.
-SCALES, CORNERS, REACH = (1.0, 0.75), 10, 7
+#: Ratio of the scales' sides and least side of one; pixels of a scale for each corner that is kept; reach of a test, in pixels.
+RATIO, LEAST_SIDE, AREA, REACH = 0.75, 40, 300, 9
 #: Tests that two matching descriptors differ in at most; matches that agree, for a copy; queries: ids divisible by this.
-RADIUS, VOTES, QUERY_EVERY = 24, 4, 50
+RADIUS, VOTES, QUERY_EVERY = 12, 3, 50
 TESTS, TURNS, TABLES = 256, 32, 8
 _RNG = np.random.default_rng(256)
-_POINTS = np.clip(_RNG.normal(0, REACH / 2.5, (TESTS, 2, 2)), -REACH + 0.5, REACH - 0.5)
+_FAR, _WAY = REACH * np.sqrt(_RNG.random((TESTS, 2))), 2 * np.pi * _RNG.random((TESTS, 2))
+_POINTS = np.stack([_FAR * np.cos(_WAY), _FAR * np.sin(_WAY)], 2)
 
 
 def _turned() -> np.ndarray:
@@ -55,13 +57,24 @@ def resized(images: np.ndarray, factor: float) -> np.ndarray:
     return rows[:, :, lo[1]] * (1 - wx) + rows[:, :, hi[1]] * wx
 
 
-def described(images: np.ndarray, scales=SCALES, corners: int = CORNERS) -> dict[str, np.ndarray]:
-    """Corners of (n, height, width) images: row, x, y, scale, angle (turns of a circle / TURNS), code (4 x 64 bits)."""
+def scales_of(height: int, width: int) -> list[float]:
+    """Factors of the scales: each smaller by RATIO, down to the least side; larger images have more."""
+    out = [1.0]
+    while min(height, width) * out[-1] * RATIO >= LEAST_SIDE:
+        out.append(out[-1] * RATIO)
+    return out
+
+
+def described(images: np.ndarray) -> dict[str, np.ndarray]:
+    """Corners of (n, height, width) images: row, x, y, scale, angle (turns of a circle / TURNS), code (4 x 64 bits).
+
+    The strongest corners of each scale, one for AREA of its pixels; of equally strong ones, the upper, then the left."""
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "x", "y", "scale", "angle", "code")}
     edge = int(REACH * 2**0.5) + 2  # a turned test reaches over the corners of its square
-    for factor in scales:
+    for factor in scales_of(*images.shape[1:]):
         small = resized(images.astype(np.float64), factor)
         n, height, width = small.shape
+        corners = max(1, height * width // AREA)
         if min(height, width) <= 2 * edge + 2:
             continue
         smooth = box_mean(small, 1)  # even areas stay even but for rounding, which the tests below leave a margin for
@@ -98,11 +111,11 @@ def described(images: np.ndarray, scales=SCALES, corners: int = CORNERS) -> dict
 def descriptors(images: DataFrame) -> DataFrame:
     """image_id, x, y, scale, angle, code: images has image_id, height, width, pixels (binary, one byte each, by rows).
 
-    Images whose pixels don't fill their sides, nulls included, have no descriptors."""
+    Images whose pixels don't fill their sides, nulls included, have no descriptors; an image without an id has such without."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sides = batch.column("image_id").to_numpy(), list(zip(batch.column("height").to_pylist(), batch.column("width").to_pylist()))
+            ids, sides = batch.column("image_id"), list(zip(batch.column("height").to_pylist(), batch.column("width").to_pylist()))
             pixels = batch.column("pixels").to_pylist()
             good = [i for i, ((h, w), p) in enumerate(zip(sides, pixels)) if h and w and p is not None and len(p) == h * w]
             for side in sorted({sides[i] for i in good}):
@@ -110,27 +123,35 @@ def descriptors(images: DataFrame) -> DataFrame:
                 for at in range(0, len(same), 128):
                     part = same[at : at + 128]
                     found = described(np.stack([np.frombuffer(pixels[i], np.uint8).reshape(side) for i in part]))
-                    cols = {"image_id": pa.array(ids[np.asarray(part)][found["row"].astype(np.int64)])}
+                    cols = {"image_id": ids.take(pa.array(np.asarray(part)[found["row"].astype(np.int64)]))}
                     cols |= {k: pa.array(found[k].astype(np.float64)) for k in ("x", "y", "scale")} | {"angle": pa.array(found["angle"].astype(np.int32))}
                     yield pa.record_batch(cols | {"code": pa.array(list(found["code"]), pa.list_(pa.int64()))})
 
     return images.select("image_id", "height", "width", "pixels").mapInArrow(work, "image_id long, x double, y double, scale double, angle int, code array<long>")
 
 
-def matches(queries: DataFrame, images: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs of descriptors (q and d structs) that agree in one of the tables' 32 tests and are within the radius.
+def thresholds(radius: int, tables: int = TABLES) -> list[int]:
+    """Each table's threshold: they add up to radius - tables + 1, so a pair within the radius is within one of them."""
+    if not tables - 1 <= radius < 2 * tables:
+        raise ValueError("so many tables have thresholds of 0 and 1 for a radius from tables - 1 to 2 * tables - 1 only")
+    return [int(t < radius - tables + 1) for t in range(tables)]
+
 
-    A pair that meets in several tables comes from the first."""
+def matches(queries: DataFrame, images: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All pairs of descriptors (q and d structs) within the radius; a pair that meets in several tables comes from the first."""
+    most = thresholds(radius)
+    part = lambda code, t: F.shiftright(code[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    def table(rows: DataFrame, name: str) -> DataFrame:
-        lead = [F.struct(F.lit(t).alias("t"), F.shiftright(F.col("code")[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("lead")) for t in range(TABLES)]
-        return rows.select(F.struct("image_id", "x", "y", "scale", "angle", "code").alias(name), F.explode(F.array(*lead)).alias("e")).select(name, F.col("e.t").alias(f"{name}_t"), F.col("e.lead").alias(f"{name}_lead"))
+    def table(rows: DataFrame, name: str, turned: bool) -> DataFrame:
+        turns = [(t, m) for t in range(TABLES) for m in (0, *(1 << b for b in range(32) if turned and most[t]))]
+        lead = F.array(*[F.struct(F.lit(t).alias("t"), part(F.col("code"), t).bitwiseXOR(F.lit(m).cast("long")).alias("lead")) for t, m in turns])
+        return rows.select(F.struct("image_id", "x", "y", "scale", "angle", "code").alias(name), F.explode(lead).alias("e")).select(name, F.col("e.t").alias(f"{name}_t"), F.col("e.lead").alias(f"{name}_lead"))
 
     apart = [F.col("q.code")[k].bitwiseXOR(F.col("d.code")[k]) for k in range(4)]
-    same = [F.when(F.shiftright(apart[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) == 0, t) for t in range(TABLES)]
+    within = [F.when(F.bit_count(part(apart, t)) <= most[t], t) for t in range(TABLES)]
     distance = sum((F.bit_count(a) for a in apart[1:]), F.bit_count(apart[0]))
-    on = (F.col("q_t") == F.col("d_t")) & (F.col("q_lead") == F.col("d_lead")) & (distance <= radius) & (F.coalesce(*same) == F.col("q_t"))
-    return table(queries, "q").join(table(images, "d"), on).select("q", "d")
+    on = (F.col("q_t") == F.col("d_t")) & (F.col("q_lead") == F.col("d_lead")) & (distance <= radius) & (F.coalesce(*within) == F.col("q_t"))
+    return table(queries, "q", True).join(table(images, "d", False), on).select("q", "d")
 
 
 def consensus(matched: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -144,7 +165,7 @@ def consensus(matched: DataFrame, votes: int = VOTES) -> DataFrame:
     dy = F.col("q.y") - factor * (F.sin(angle) * F.col("d.x") + F.cos(angle) * F.col("d.y"))
     cell = lambda v: F.floor(v / 4).cast("long")
     seen = matched.select(F.col("q.image_id").alias("query_id"), F.col("d.image_id").alias("image_id"), F.col("d.x").alias("x"), F.col("d.y").alias("y"), s.alias("s"), r.alias("r"), cell(dx).alias("cx"), cell(dy).alias("cy"))
-    # Pairs of images with too few matches at all go first; a pair has at most corners x corners, so its list is bounded.
+    # Pairs of images with too few matches at all go first; a pair has at most corners x corners of one picture, so its list is bounded by their areas.
     match = F.struct("x", "y", "s", "r", "cx", "cy")
     per = seen.groupBy("query_id", "image_id").agg(F.collect_set(match).alias("all")).where(F.size("all") >= votes)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
