@@ -20,10 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), an own one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, an own one, but in local mode only: elsewhere that is an error,
+    as no executor would see the driver's folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodegrid-"))
     return context.getCheckpointDir()
 
 
@@ -38,7 +42,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """128 bits of the columns' values, to find a row again; equal rows have equal keys."""
+    """128 bits of the columns' values, to find a row again; equal rows have equal keys, and null and empty are alike."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     return F.md5(F.concat_ws("\x1f", *parts))
 

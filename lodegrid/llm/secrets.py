@@ -32,6 +32,8 @@ ADDED, TOKEN, DIGITS, BITS = "token", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0
 KINDS = (*(b[0] for b in BASE), ADDED)
 #: A value is an example from so many owners on.
 OWNERS = 3
+#: Rows from which on a value is common, and how many common values there can be.
+COMMON, LISTED = 4096, 1 << 16
 
 
 def entropy(text: str) -> float:
@@ -70,23 +72,35 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
 
 
 def ownership(found: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """value, n_owners, n_repositories, live. found: owner, repository, value; null owners or repositories count as one.
+    """value, n_owners, n_repositories, n_rows, live. found: owner, repository, value; null owners or repositories count as one.
 
     Each step is added up before it is shuffled, so a value that a third of all rows hold is no hot key."""
-    pairs = found.groupBy("value", "owner", "repository").agg(F.lit(1).alias("n"))
-    per_owner = pairs.groupBy("value", "owner").agg(F.sum("n").alias("n"))
-    per = per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    pairs = found.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("rows"))
+    per_owner = pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    per = per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"), F.sum("rows").alias("n_rows"))
     return per.withColumn("live", F.col("n_owners") < owners)
 
 
+def judged(each: DataFrame, least: int = COMMON, most: int = LISTED) -> DataFrame:
+    """each with live. Values of more than `least` rows, and more than a `most`-th of all, are looked up by broadcast: there
+    can't be more than `most` such; no other value is a large part of the join's rows."""
+    owned = checkpointed(ownership(each).select("value", "n_rows", "live"))
+    total = owned.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    often = F.col("n_rows") > max(least, total // most)
+    common = owned.where(often).select(F.col("value").alias("common"), F.col("live").alias("common_live"))
+    marked = each.join(F.broadcast(common), each["value"] == F.col("common"), "left")
+    rare = marked.where(F.col("common").isNull()).drop("common", "common_live").join(owned.where(~often).select("value", "live"), "value")
+    return rare.unionByName(marked.where(F.col("common").isNotNull()).drop("common").withColumnRenamed("common_live", "live"))
+
+
 def spans_by_key(rows: DataFrame) -> DataFrame:
     """key, spans: array of (start, place of the kind, kind, stop, live), sorted; all base spans, and live tokens.
 
     rows: what scan returns. Repeated rows share a key and have equal spans, which a set holds once."""
     each = rows.where(F.size("found") > 0).select("key", "owner", "repository", F.explode("found").alias("c")).select("key", "owner", "repository", "c.*")
-    judged = each.join(ownership(each), "value").where((F.col("kind") != ADDED) | F.col("live"))
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    return judged.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", place.alias("place"), "kind", "stop", "live"))).alias("spans"))
+    kept = judged(each).where((F.col("kind") != ADDED) | F.col("live"))
+    return kept.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", place.alias("place"), "kind", "stop", "live"))).alias("spans"))
 
 
 def secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:

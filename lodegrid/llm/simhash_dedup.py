@@ -551,30 +551,32 @@ def exact_links(members: DataFrame, texts: DataFrame, words: int = SET_WORDS, si
     return linked_vertices(dealt_out.select(*names, "hashes").mapInArrow(work, EDGE))
 
 
-def similar_groups(docs: DataFrame, radius: int = NEAR, spread: int = SPREAD, similar: float = SIMILAR) -> DataFrame:
-    """key, doc_id, node, root: docs has key, which names a row, doc_id and text. Rows of one root hang together by pairs of
-    at least so much similarity of their sets of five-word shingles; equal sets are one node."""
+def similar_nodes(docs: DataFrame, radius: int = NEAR, spread: int = SPREAD, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """prints: key, doc_id, node of every row; nodes: node, first (of its rows: whether the id is null, doc_id, key), root.
+
+    docs has key, which names a row, doc_id and text. Nodes of one root hang together by pairs of at least so much
+    similarity of their sets of five-word shingles; equal sets are one node, and so are all texts without words."""
     prints = checkpointed(set_fingerprints(docs.select("key", "doc_id", "text"), WORD_PAIR, PRINTS, SET_WORDS))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    nodes = checkpointed(with_vertices(prints, F.min("check").alias("check"), F.first("size").alias("size"), first.alias("first")).withColumn("key", F.col("first.key")).drop("first"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("first")
+    nodes = checkpointed(with_vertices(prints, F.min("check").alias("check"), F.first("size").alias("size"), first))
     edges = None
     for k in range(DEALT):
         rows = nodes.select(*VERTEX, "check", F.col("check")[k].alias("fp"))
         found = stars(dealt(rows, plan(rows, radius)), radius, spread)
         edges = found if edges is None else edges.union(found)
     linked = components(edges).select(F.col("node.node").alias("node"), "root")
-    members = checkpointed(nodes.drop("check").where(F.col("size") > 0).join(linked, "node"))
-    sure = exact_links(members, docs.select("key", "text"), SET_WORDS, similar)
-    return prints.select("key", "doc_id", "node").join(rooted(nodes.select(*VERTEX), sure).select("node", "root"), "node")
+    members = nodes.where(F.col("size") > 0).select(*VERTEX, "size", F.col("first.key").alias("key")).join(linked, "node")
+    sure = exact_links(checkpointed(members), docs.select("key", "text"), SET_WORDS, similar)
+    return prints.select("key", "doc_id", "node"), rooted(nodes.select(*VERTEX, "first"), sure).select("node", "first", "root")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """docs without near-duplicates: of each group, the row of the smallest doc_id stays (one of equal rows; null ids only
-    where a group has no other, and then one of them). All columns stay."""
+    where a group has no other, and then one of them). All columns stay. Nothing is joined by a group or a node, which
+    many rows may share: what a group keeps is an aggregate."""
     key = row_key("doc_id", "text")
-    found = similar_groups(docs.select(key.alias("key"), "doc_id", "text"), **how)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("kept_key"))
+    _, nodes = similar_nodes(docs.select(key.alias("key"), "doc_id", "text"), **how)
+    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept_key"))
     staying = docs.withColumn("kept_key", key).join(kept, "kept_key")
     again = docs.groupBy(key.alias("kept_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kept_key", F.lit(True).alias("again"))
     staying = staying.join(again, "kept_key", "left")

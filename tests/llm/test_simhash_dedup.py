@@ -121,7 +121,8 @@ def test_similar_texts_are_found(spark):
         rows += [(2 * k, a), (2 * k + 1, b)]
         likeness[2 * k] = len(sets_of(a) & sets_of(b)) / len(sets_of(a) | sets_of(b))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = S.similar_groups(docs.withColumn("key", F.col("doc_id").cast("string"))).collect()
+    prints, nodes = S.similar_nodes(docs.withColumn("key", F.col("doc_id").cast("string")))
+    found = prints.join(nodes, "node").collect()
     root = {r["doc_id"]: r["root"]["least"] for r in found}
     near = [k for k, j in likeness.items() if j >= 0.8]
     assert sum(root[k] == root[k + 1] for k in near) >= 0.95 * len(near) > 100

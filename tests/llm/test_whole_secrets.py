@@ -11,3 +11,44 @@ def test_one_owner_of_many_documents(spark):
     spans = secrets.secrets(docs, F.col("source"), F.col("doc_id")).select(F.explode("spans").alias("s"))
     assert spans.where("s.live").count() == 1500
     assert secrets.mask(docs, F.col("source"), F.col("doc_id")).where(F.col("text").contains(value)).count() == 0
+
+
+def test_spans_of_tokens_by_brute_force(spark):
+    """The added spans of every document, from the definition; with values looked up both ways."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+
+    import random
+
+    rng = random.Random(4)
+    token = lambda: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNP23456789") for _ in range(rng.randint(16, 40)))
+    shared = [token() for _ in range(6)]
+    docs = []
+    for i in range(150):
+        parts = [rng.choice([token(), rng.choice(shared), "plain words", "secret=" + rng.choice(shared), "a" * 30, "1234567890" * 3]) for _ in range(rng.randint(0, 4))]
+        docs.append((i, f"src{rng.randrange(6)}", " ".join(parts)))
+
+    def added(text):
+        base = [m.span() for m in regex.finditer(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+        base += [m.span() for m in regex.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20] + [m.span() for m in regex.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+        for m in regex.finditer(r"[A-Za-z0-9+/_=-]+", text):
+            n, w = len(m[0]), m[0]
+            bits = -sum(c / n * math.log2(c / n) for c in Counter(w).values())
+            if n >= 20 and sum(c.isdigit() for c in w) >= secrets.DIGITS and bits >= secrets.BITS and all(m.end() <= a or b <= m.start() for a, b in base):
+                yield m.start(), m.end(), w
+
+    owners = defaultdict(set)
+    for _, source, text in docs:
+        for _, _, _, value in secrets.candidates(text):
+            owners[value].add(source)
+    want = {i: [(a, b) for a, b, w in added(text) if len(owners[w]) < secrets.OWNERS] for i, _, text in docs}
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    scanned = secrets.scan(frame, F.col("source"), F.col("doc_id"))
+    assert any(want.values())
+    out = secrets.secrets(frame, F.col("source"), F.col("doc_id")).collect()
+    assert {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "token"] for r in out} == want
+    each = scanned.select("owner", "repository", F.explode("found").alias("c")).select("owner", "repository", "c.*")
+    both = [sorted((r["value"], r["start"], r["live"]) for r in secrets.judged(each, *how).collect()) for how in ((4096, 1 << 16), (0, 4), (3, 1 << 16))]
+    assert both[0] == both[1] == both[2]
