@@ -7,6 +7,7 @@ has it. Counters are kept two to a long, so that Spark's own sums, in generated
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, read
 
-#: Words in a term; bits; blocks of the search tables; blocks of ids in which neighbours are looked up.
-TERM, BITS, TABLE_BLOCKS, ID_BLOCKS = 3, 64, 6, 1 << 16
+#: Words in a term; bits; blocks of the search tables; blocks of rows in which neighbours are looked up at most, and their rows at least.
+TERM, BITS, TABLE_BLOCKS, ROW_BLOCKS, BLOCK_ROWS = 3, 64, 6, 1 << 12, 1 << 10
 
 
 def terms(text: Column, words: int = TERM) -> Column:
@@ -51,29 +52,51 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def followed(docs: DataFrame, blocks: int = ID_BLOCKS, least: int = 256) -> DataFrame:
+#: Heads that are gone through at once.
+STEP = 64
+
+
+def place_of(id_: Column, text: Column) -> Column:
+    """What orders documents: by descending id, null ids last, of equal ids by a hash of the text."""
+    down = F.coalesce(F.bitwise_not(id_), F.lit(0).cast("long"))
+    return F.struct(id_.isNull().alias("late"), down.alias("down"), F.xxhash64(text).alias("hash"))
+
+
+def block_heads(places: DataFrame, blocks: int) -> list[tuple[bool, int, int]]:
+    """First places of at most `blocks` blocks of about equally many rows, in order. places: at (a place)."""
+    ranged = places.select("at.*").repartitionByRange(blocks, "late", "down", "hash").withColumn("block", F.spark_partition_id())
+    return sorted(tuple(r["head"]) for r in ranged.groupBy("block").agg(F.min(F.struct("late", "down", "hash")).alias("head")).collect())
+
+
+def place_table(heads: list[tuple[bool, int, int]]) -> Column:
+    """An array of places that Spark folds to one literal."""
+    rows = [dict(zip(("late", "down", "hash"), h)) for h in heads]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<late:boolean,down:bigint,hash:bigint>>")
+
+
+def followed(docs: DataFrame, blocks: int = ROW_BLOCKS, least: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, text, block, end, place, next_text: each document's successor by descending doc_id; after the last comes the first.
 
-    Ids are dealt into at most `blocks` blocks of equal ranges (of `least` ids or more), null ids (which come last) into the last one. Within a
-    block, a window looks the next row up; the first row of each block is also dealt to the block before it, as its end.
-    Of equal ids, smaller texts come first; a null text is empty. Only ids, one per block, ever meet in one task.
+    Rows are dealt into at most `blocks` blocks of about equally many (`least` or more), whatever their ids: the blocks'
+    first places come from Spark's own range partitioning and are at most `blocks` rows. Within a block, a window looks the
+    next row up; the first row of each block is also dealt to the block before it, as its end. Null ids come last, a null
+    text is empty, and of equal ids the texts' hashes give the order; only rows of one id and one text can't be parted.
     Rows with end = 1 are those copies; they have no successor.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(least, (hi - lo) // blocks + 1)
-    id_ = F.coalesce("doc_id", F.lit(lo - 1))
-    docs = docs.withColumns({"id": id_, "block": F.floor((F.lit(hi) - id_) / F.lit(width)).cast("long")})
-    heads = docs.groupBy("block").agg(F.max("id").alias("id"))
-    order = Window.partitionBy().orderBy("block")
-    first = Window.partitionBy()
-    before = heads.select("id", F.coalesce(F.lag("block").over(order), F.max("block").over(first)).alias("of_block"))
-    # One row per block, and at most `blocks` blocks: bounded, so texts needn't be dealt out to be looked up.
-    ends = docs.join(F.broadcast(before), "id").groupBy("doc_id", "id", "of_block").agg(F.min("text").alias("text"))
-    rows = docs.select("doc_id", "id", "text", "block", F.lit(0).alias("end")).unionByName(ends.select("doc_id", "id", "text", F.col("of_block").alias("block"), F.lit(1).alias("end")))
-    inside = Window.partitionBy("block").orderBy("end", F.desc("id"), "text")
-    placed = rows.withColumns({"place": F.row_number().over(inside), "next_text": F.lead("text").over(inside)})
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", place_of(F.col("doc_id"), F.col("text")))
+    places = docs.select("at")
+    heads = block_heads(places, int(max(1, min(blocks, -(-places.count() // least))))) or [(False, 0, 0)]
+    table, coarse = place_table(heads), place_table(heads[::STEP])
+    upto = lambda some: F.aggregate(some, F.lit(0), lambda n, h: n + F.when(h <= F.col("at"), 1).otherwise(0))
+    rough = F.greatest(upto(coarse) - 1, F.lit(0)) * STEP
+    block = F.greatest(rough + upto(F.slice(table, rough + 1, F.lit(STEP))) - 1, F.lit(0))
+    rows = docs.withColumn("block", block.cast("long"))
+    is_head = F.get(table, F.col("block").cast("int")) == F.col("at")
+    own = F.struct(F.col("block").alias("block"), F.lit(0).alias("end"))
+    back = F.struct(F.when(F.col("block") == 0, F.lit(len(heads) - 1).cast("long")).otherwise(F.col("block") - 1).alias("block"), F.lit(1).alias("end"))
+    each = rows.withColumn("to", F.explode(F.when(is_head, F.array(own, back)).otherwise(F.array(own)))).select("doc_id", "text", "at", "to.block", "to.end")
+    inside = Window.partitionBy("block").orderBy("end", "at", "text")
+    placed = each.withColumns({"place": F.row_number().over(inside), "next_text": F.lead("text").over(inside)})
     return placed.select("doc_id", "text", "block", "end", "place", "next_text")
 
 

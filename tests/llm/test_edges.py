@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodegrid.llm import chat, fingerprints, language_id, mixing, pieces, secrets, url_filter
@@ -105,7 +106,8 @@ def test_language_rows(spark, odd):
 def test_fingerprint_rows(spark):
     rows = [(i * 3, f"doc {i} " + " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)] + [(None, "last one"), (30, None), (30, "doc 10"), (30, "doc 10")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit(1))
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
     want = sorted((a[1] or "", b[1] or "") for a, b in zip(order, order[1:] + order[:1]))
     for least in (1000, 7):
         got = sorted((r["text"], r["next_text"]) for r in fingerprints.followed(docs, least=least).where("end = 0").collect())
@@ -117,6 +119,48 @@ def test_fingerprint_rows(spark):
     assert one["fp"] == one["next_fp"]
 
 
+def test_blocks_have_equally_many_rows(spark):
+    """One far id, an id of thousands of rows and null ids: no block is much larger than the others."""
+    docs = spark.range(20000).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    same = docs.limit(10000).select(F.lit(77).cast("long").alias("id"), F.concat("text", F.lit(" again")).alias("text"))
+    rows = docs.union(same).union(docs.limit(3000).select(F.lit(None).cast("long"), "text")).union(spark.createDataFrame([(1 << 50, "far")], "id long, text string")).withColumnRenamed("id", "doc_id")
+    got = fingerprints.followed(rows, least=500)
+    assert got.where("end = 0").count() == rows.count() and got.where("end = 0 AND next_text IS NULL").count() == 0
+    sizes = [r["count"] for r in got.groupBy("block").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 1500
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Words, runs of three, weights and votes again from the text, as op3 has them."""
+
+    def spark_hash(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p if isinstance(p, bytes) else p.to_bytes(8, "little"), h)
+        return h
+
+    def plain(text):
+        w = [spark_hash(x.encode()) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        if 0 < len(w) < 3:
+            h = 0
+            for x in w:
+                h = spark_hash(h, x)
+            t = [h]
+        else:
+            t = [spark_hash(spark_hash(a, b), c) for a, b, c in zip(w, w[1:], w[2:])]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in t) > len(t))
+
+    rng = random.Random(8)
+    texts = ["", "one", "one two", "a b c", " x\ty \n"] + [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(80))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprints.pair_prints(docs).collect():
+        text = texts[r["doc_id"]]
+        after = texts[r["doc_id"] - 1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert [r[c] & (1 << 64) - 1 for c in ("fp", "edited_fp", "next_fp")] == [plain(text), plain(edited), plain(after)]
+
+
 def test_votes_by_hand(spark):
     rng = random.Random(1)
     terms = [(k, rng.getrandbits(64) - (1 << 63)) for k in range(4) for _ in range(k * 7)] + [(9, None)]
