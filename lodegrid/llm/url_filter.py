@@ -1,7 +1,11 @@
 """URL filters: a rule list, and logistic regression on hashed character n-grams for what no rule covers.
 
 DataFrame and SQL functions only. The labelled table is small and bounded; what a training step sends to the driver
-is one number for each hash bucket. Scoring is a projection: n-grams, buckets, and a look-up in a literal array.
+is one number for each hash bucket. Gradients are added up as whole numbers, so that weights don't depend on the order of
+tasks. Scoring is a projection: n-grams, buckets, and a look-up in a literal array.
+
+Where no labelled table is given, URLs that rules cover are one: they carry the rules' verdicts. To tell how well the
+regression does on hosts of which it has no label, `held_out` keeps whole hosts from training.
 """
 
 from __future__ import annotations
@@ -15,8 +19,10 @@ from .common import ascii_lower, read
 
 #: host, path, verdict. A rule fits its host and all subdomains, and paths that start with its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Parts of a unit in which gradients are added up; of this many shares of hosts, one is held out.
+UNIT, SHARES = float(1 << 32), 4
 #: Hash buckets, lengths of the n-grams, labelled rows used at most, training steps, step size, weight decay.
-BUCKETS, LENGTHS, LABELLED, STEPS, RATE, DECAY = 1 << 11, (2, 3, 4), 2000, 20, 0.5, 1e-4
+BUCKETS, LENGTHS, LABELLED, STEPS, RATE, DECAY = 1 << 11, (2, 3, 4), 2000, 40, 0.5, 1e-4
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,8 +74,8 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, most: int = LABELLED, ste
         part = rows.select((p - F.col("label")).alias("e"), "grams")
         size = F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double"))
         by = part.select(F.explode(F.concat("grams", F.array(F.lit(-1)))).alias("i"), (F.col("e") / F.when(F.col("i") < 0, 1.0).otherwise(size)).alias("g"))
-        for i, g in by.groupBy("i").agg(F.sum("g")).collect():  # one row per bucket at most
-            g /= n
+        for i, g in by.groupBy("i").agg(F.sum(F.round(F.col("g") * UNIT).cast("long"))).collect():  # one row per bucket at most
+            g /= UNIT * n
             if i < 0:
                 seen_bias += g * g
                 bias -= rate * g / math.sqrt(seen_bias)
@@ -100,6 +106,19 @@ def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.select("url", (verdict == "allow").cast("int").alias("label")).where(F.col("label").isNotNull())
 
 
+def held_out(labelled: DataFrame, shares: int = SHARES) -> tuple[DataFrame, DataFrame]:
+    """labelled in two: rows to learn from, and those of the hosts, one in `shares`, that are kept from it."""
+    host, _ = split_url(F.col("url"))
+    kept = F.pmod(F.xxhash64(F.lit("host"), host), F.lit(shares)) == 0
+    return labelled.where(~kept), labelled.where(kept)
+
+
+def accuracy(labelled: DataFrame, weights: list[float], bias: float) -> DataFrame:
+    """One row: n, n_right, by the regression alone; an empty table has 0 and 0."""
+    right = (F.col("score") >= 0.5) == (F.col("label") == 1)
+    return judge(labelled, weights, bias, ()).agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_right"))
+
+
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     """Judges every URL of pages; the regression learns from a bounded sample of the URLs that rules cover."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
