@@ -78,8 +78,9 @@ def sliced(scans: DataFrame, samples: DataFrame) -> DataFrame:
 
 def upper_median(rows: DataFrame, key: str, value: Column) -> DataFrame:
     """element n / 2 (rounded down, from 0) of each key's sorted values."""
-    per = rows.select(key, value.alias("v")).where("v IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list("v")).alias("all"))
-    return per.select(key, F.size("all").cast("long").alias("n"), F.element_at("all", (F.floor(F.size("all") / 2) + 1).cast("int")).alias("median"))
+    own = Window.partitionBy(key)
+    ranked = rows.select(key, value.alias("v")).where("v IS NOT NULL").withColumns({"k": F.row_number().over(own.orderBy("v")), "n": F.count(F.lit(1)).over(own)})
+    return ranked.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(key, "n", F.col("v").alias("median"))
 
 
 def scan_duration(scans: DataFrame, most_gaps: int = 1000, low: int = 10_000, high: int = 1_000_000) -> DataFrame:
@@ -148,9 +149,14 @@ def sampled_statistics(rows: DataFrame, value: str, every: int = 64) -> DataFram
 def time_table(rows: DataFrame, step: int = 100) -> DataFrame:
     """anchor_us of each row: the latest entry of a table that takes a time more than `step` after its last entry.
 
-    What follows an entry depends on it, so this is a fold over the sorted times of a sequence."""
-    ordered = rows.groupBy("seq_id").agg(F.array_sort(F.collect_list("us")).alias("all"))
-    empty = F.array().cast("array<bigint>")
-    table = F.aggregate("all", empty, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) > step), F.concat(a, F.array(t))).otherwise(a))
-    entries = ordered.select("seq_id", F.explode(table).alias("us")).withColumn("anchor_us", F.col("us"))
+    What follows an entry depends on it, so this is a fold over the sorted times of a sequence, read as a stream."""
+    from .motion import folded
+
+    def entry(state: dict, row: dict) -> tuple | None:
+        if "last" in state and row["us"] - state["last"] <= step:
+            return None
+        state["last"] = row["us"]
+        return (row["us"],)
+
+    entries = folded(rows.select("seq_id", "us"), "us", dict, entry, "us long").withColumn("anchor_us", F.col("us"))
     return as_of(rows, entries, "anchor_us")

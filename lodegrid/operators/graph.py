@@ -13,10 +13,14 @@ from ..functions.geometry import composed, inverse, moved_by, vec
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir (an own one only where that is unset, as in tests)."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir. Where that is unset, an own one, but in local mode only:
+    elsewhere that is an error, as no executor would see the driver's folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegrid-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodegrid-"))
     return df.checkpoint()
 
 
@@ -48,17 +52,19 @@ def chunks(rows: DataFrame, key: str, order: str, size: int = 15) -> DataFrame:
 def keyframes(rows: DataFrame, key: str, order: str, x: str, y: str, distance2: int) -> DataFrame:
     """Rows of each key that are further than a distance from the last keyframe (not the last row); the first one is.
 
-    What counts depends on what counted before: a fold over the key's ordered rows."""
-    item = F.struct(F.col(order).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
-    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    What counts depends on what counted before: a fold over the key's ordered rows, read as a stream."""
+    from .motion import folded
 
-    def step(kept: Column, r: Column) -> Column:
-        last = F.element_at(kept, -1)
-        far = (r["x"] - last["x"]) * (r["x"] - last["x"]) + (r["y"] - last["y"]) * (r["y"] - last["y"]) > distance2
-        return F.when(far, F.concat(kept, F.array(r))).otherwise(kept)
+    def step(state: dict, r: dict) -> tuple | None:
+        if state and (r["x"] - state["x"]) ** 2 + (r["y"] - state["y"]) ** 2 <= distance2:
+            return None
+        state.update(x=r["x"], y=r["y"])
+        return r["k"], r["x"], r["y"]
 
-    kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, 1), step)
-    return per.select(key, F.explode(kept).alias("r")).select(key, F.col("r.k").alias(order), F.col("r.x").alias(x), F.col("r.y").alias(y))
+    named = rows.select(F.col(key).alias("seq_id"), F.col(order).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema}
+    out = folded(named, "k", dict, step, ", ".join(f"{c} {kinds[c]}" for c in ("k", "x", "y")))
+    return out.select(F.col("seq_id").alias(key), F.col("k").alias(order), F.col("x").alias(x), F.col("y").alias(y))
 
 
 def steps(rows: DataFrame, key: str, order: str, coords: Sequence[str]) -> DataFrame:

@@ -116,12 +116,17 @@ def fitted(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def planes_one_by_one(points: DataFrame, per_frame: int, distance: float, least: int, most: int = 8, seed: int = 0) -> DataFrame:
     """Up to `most` planes per frame, each without the inliers of those before: k, n_inliers and the plane."""
+    from .graph import checkpointed
+
     left, out = points, None
-    for k in range(most):
-        best = best_planes(left, hypotheses(left, per_frame, seed + k), distance, least).withColumn("k", F.lit(k))
+    for k in range(most):  # each round reads what is left several times, so lineage is cut
+        best = checkpointed(best_planes(left, hypotheses(left, per_frame, seed + k), distance, least).withColumn("k", F.lit(k)))
+        if best.isEmpty() and out is not None:
+            break
         out = best if out is None else out.unionByName(best)
         near = F.abs(dot(vec("x", "y", "z"), vec("nx", "ny", "nz")) + F.col("d")) < distance
         left = left.join(best.select("frame_id", "nx", "ny", "nz", "d"), "frame_id").where(~near).select(*points.columns)
+        left = checkpointed(left)
     return out
 
 

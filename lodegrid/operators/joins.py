@@ -76,18 +76,42 @@ def of_box(prefix: str = "") -> tuple:
     return vec("cx", "cy", "cz"), vec("sx", "sy", "sz")
 
 
-def first_box(points: DataFrame, boxes: DataFrame, inflated: bool = False, by_frame: bool = False) -> DataFrame:
-    """points with box_idx, the first of the boxes that a point is in (null: none).
+def box_of(b: Column) -> tuple:
+    """Centre and size of a struct."""
+    return tuple(b[f"c{c}"] for c in XYZ), tuple(b[f"s{c}"] for c in XYZ)
+
+
+def around(rows: DataFrame, at: Sequence[str], boxes: DataFrame, keys: Sequence[str] = (), inflated: bool = False) -> DataFrame:
+    """rows with _boxes, an array of the boxes (structs) whose surroundings the cell of their place (columns at) touches; null
+    where there are none. Every row stays one row.
+
+    An equi-join on cells, and on keys if boxes belong to a frame: the side of a cell is the largest box's, so a box is dealt
+    to eight cells at most, and the boxes of a cell are one list (a sensor message's detections near one place). Spark
+    broadcasts them where their size allows."""
+    half = [F.col(f"s{c}") / 2 for c in XYZ]
+    if inflated:  # what a footprint is drawn out to at most, whichever way it moves
+        speed = F.least(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), F.lit(5.0))
+        wide = F.greatest(half[0], half[1]) * 1.5 + speed * 2.5
+        half = [wide, wide, half[2]]
+    side = float(boxes.agg(F.max(F.greatest(*half))).first()[0] or 0.5) * 2
+    each = boxes.select(*keys, F.struct(*[c for c in boxes.columns if c not in keys]).alias("_b"), *[F.sequence(cell(F.col(f"c{c}") - h, side), cell(F.col(f"c{c}") + h, side)).alias(f"_g{c}") for c, h in zip(XYZ, half)])
+    for c in XYZ:
+        each = each.withColumn(f"_g{c}", F.explode(f"_g{c}"))
+    grid = [f"_g{c}" for c in XYZ]
+    lists = each.groupBy(*keys, *grid).agg(F.sort_array(F.collect_list("_b")).alias("_boxes"))
+    placed = rows.withColumns({g: cell(F.col(c), side) for g, c in zip(grid, at)})
+    return placed.join(lists, [*keys, *grid], "left").drop(*grid)
+
 
-    boxes are a frame's detections: a bounded table (they are the rows of one config or one sensor message), and Spark
-    broadcasts it only where its size allows."""
+def first_box(points: DataFrame, boxes: DataFrame, inflated: bool = False, by_frame: bool = False) -> DataFrame:
+    """points with box_idx, the first of the boxes that a point is in (null: none); by_frame: only boxes of its own frame."""
     p = vec(*XYZ)
-    centre, size = of_box()
-    inside = in_inflated(p, centre, size, (F.col("vx"), F.col("vy"), F.lit(0.0))) if inflated else in_box(p, centre, size)
-    b = boxes.withColumnRenamed("frame_id", "box_frame") if by_frame else boxes
-    on = inside & (F.col("frame_id") == F.col("box_frame")) if by_frame else inside
-    hit = points.select("frame_id", "point_id", *XYZ).join(b, on).groupBy("frame_id", "point_id").agg(F.min("box_idx").alias("box_idx"))
-    return points.join(hit, ["frame_id", "point_id"], "left")
+
+    def inside(b: Column) -> Column:
+        return in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0))) if inflated else in_box(p, *box_of(b))
+
+    near = around(points.drop("box_idx"), XYZ, boxes, ["frame_id"] if by_frame else [], inflated)
+    return near.withColumn("box_idx", F.array_min(F.transform(F.filter("_boxes", inside), lambda b: b["box_idx"]))).drop("_boxes")
 
 
 def split(points: DataFrame, boxes: DataFrame, inflated: bool = False) -> DataFrame:

@@ -12,21 +12,28 @@ from pyspark.sql import functions as F
 from ..functions.geometry import in_box, in_inflated, overlap, vec
 from .cloud import CELL
 from .graph import components
-from .joins import neighbours, of_box, radius_pairs
+from .joins import around, box_of, neighbours, radius_pairs
+
+
+def framed_components(pairs: DataFrame) -> DataFrame:
+    """frame_id, point_id, root: the least point that each point of the pairs (frame_id, a, b) reaches in its frame; other
+    frames may use the same ids."""
+    node = lambda c: F.struct("frame_id", F.col(c).alias("point_id"))
+    root = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    return root.select("node.frame_id", "node.point_id", F.col("root.point_id").alias("root"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1) -> DataFrame:
     """frame_id, point_id, cluster: the smallest core point of the cluster; noise isn't returned.
 
-    A core has at least `least` others nearer than eps; cores that near each other are one cluster (components of a
+    Point ids count within their frame. A core has at least `least` others nearer than eps; cores that near each other are one cluster (components of a
     distributed graph); other points near a core belong to the cluster of the smallest id."""
     pairs = radius_pairs(points, eps)
     both = pairs.select("frame_id", "a", "b").union(pairs.select("frame_id", "b", "a"))
     core = both.groupBy("frame_id", "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("frame_id", "a")
     core_b = core.withColumnRenamed("a", "b")
     linked = pairs.join(core, ["frame_id", "a"], "left_semi").join(core_b, ["frame_id", "b"], "left_semi")
-    root = components(linked)
-    cores = core.select("frame_id", F.col("a").alias("point_id")).join(root.withColumnRenamed("node", "point_id"), "point_id", "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
+    cores = core.select("frame_id", F.col("a").alias("point_id")).join(framed_components(linked), ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
     border = both.join(core, ["frame_id", "a"], "left_anti").join(cores.select("frame_id", F.col("point_id").alias("b"), "cluster"), ["frame_id", "b"])
     border = border.groupBy("frame_id", F.col("a").alias("point_id")).agg(F.min("cluster").alias("cluster"))
     out = cores.unionByName(border)
@@ -36,8 +43,8 @@ def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1) -> Da
 
 def largest_part(points: DataFrame, eps: float) -> DataFrame:
     """frame_id, root, n: the largest part of each frame whose points are linked by distances under eps (ties: smallest root)."""
-    root = components(radius_pairs(points, eps)).withColumnRenamed("node", "point_id")
-    sized = points.select("frame_id", "point_id").join(root, "point_id", "left").withColumn("root", F.coalesce("root", "point_id")).groupBy("frame_id", "root").agg(F.count(F.lit(1)).alias("n"))
+    root = framed_components(radius_pairs(points, eps))
+    sized = points.select("frame_id", "point_id").join(root, ["frame_id", "point_id"], "left").withColumn("root", F.coalesce("root", "point_id")).groupBy("frame_id", "root").agg(F.count(F.lit(1)).alias("n"))
     best = sized.groupBy("frame_id").agg(F.max(F.struct("n", (-F.col("root")).alias("r"))).alias("b"))
     return best.select("frame_id", (-F.col("b.r")).alias("root"), F.col("b.n").alias("n"))
 
@@ -60,9 +67,22 @@ def suppressed(boxes: DataFrame, most: float = 0.5) -> DataFrame:
 
 
 def overlapping(boxes: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs of boxes of a frame whose overlap is over `least`."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+    """Pairs of boxes of a frame whose overlap is over `least` (0 or more).
+
+    An equi-join: boxes are dealt to the cells that they touch, of the largest side, and a pair comes from the cell that
+    holds the lower corner of what they share."""
+    if least < 0:
+        raise ValueError("boxes that don't meet aren't looked at")
+    side = boxes.agg(F.max(F.greatest("sx", "sy", "sz"))).first()[0] or 1.0
+    low = {c: F.floor((F.col(f"c{c}") - F.col(f"s{c}") / 2) / side).cast("long") for c in "xyz"}
+    high = {c: F.floor((F.col(f"c{c}") + F.col(f"s{c}") / 2) / side).cast("long") for c in "xyz"}
+    each = boxes.withColumns({f"l{c}": v for c, v in low.items()})
+    for c in "xyz":
+        each = each.withColumn(f"i{c}", F.explode(F.sequence(F.col(f"l{c}"), high[c])))
+    a, b = each.alias("a"), each.alias("b")
     on = (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.box_idx") < F.col("b.box_idx"))
+    for c in "xyz":
+        on = on & (F.col(f"a.i{c}") == F.col(f"b.i{c}")) & (F.greatest(f"a.l{c}", f"b.l{c}") == F.col(f"a.i{c}"))
     both = lambda k: (vec(f"{k}.cx", f"{k}.cy", f"{k}.cz"), vec(f"{k}.sx", f"{k}.sy", f"{k}.sz"))
     out = a.join(b, on).select(F.col("a.frame_id").alias("frame_id"), F.col("a.box_idx").alias("i"), F.col("b.box_idx").alias("j"), overlap(both("a"), both("b")).alias("overlap"))
     return out.where(F.col("overlap") > least)
@@ -70,19 +90,21 @@ def overlapping(boxes: DataFrame, least: float = 0.0) -> DataFrame:
 
 def box_counts(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """box_idx, n, n_dynamic of the voxels inside each box; a voxel counts for all boxes that it is in."""
-    inside = in_box(vec("mx", "my", "mz"), *of_box())
-    return voxels.select("mx", "my", "mz", "is_dynamic").join(boxes.drop("is_dynamic"), inside).groupBy("box_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))
+    near = around(voxels.select("mx", "my", "mz", "is_dynamic"), ("mx", "my", "mz"), boxes)
+    hit = F.filter("_boxes", lambda b: in_box(vec("mx", "my", "mz"), *box_of(b)))
+    return near.select("is_dynamic", F.explode(F.transform(hit, lambda b: b["box_idx"])).alias("box_idx")).groupBy("box_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))
 
 
 def in_dynamic_box(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     """voxels with in_box: in any moving box or what it is inflated to, in a resting one, or none (null); moving wins."""
-    centre, size = of_box()
     p = vec("mx", "my", "mz")
-    hit = F.when(F.col("box_moves"), in_inflated(p, centre, size, (F.col("vx"), F.col("vy"), F.lit(0.0)))).otherwise(in_box(p, centre, size))
-    keys = ["frame_id", *CELL]
-    b = boxes.withColumnRenamed("is_dynamic", "box_moves")
-    found = voxels.select(*keys, *("mx", "my", "mz")).join(b, hit).groupBy(*keys).agg(F.bool_or("box_moves").alias("in_box"))
-    return voxels.join(found, keys, "left")
+
+    def hit(b: Column) -> Column:
+        return F.when(b["is_dynamic"], in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0)))).otherwise(in_box(p, *box_of(b)))
+
+    inside = F.filter("_boxes", hit)
+    some = F.coalesce(F.size(inside), F.lit(0)) > 0
+    return around(voxels, ("mx", "my", "mz"), boxes, inflated=True).withColumn("in_box", F.when(some, F.exists(inside, lambda b: b["is_dynamic"]))).drop("_boxes")
 
 
 #: Effective parameters of the score.
@@ -143,16 +165,19 @@ TRACK_SCHEMA = "seq_id long, frame_id long, box_idx long, track_id long, age lon
 def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float, least: float, most_missed: int) -> tuple[list[dict], list[tuple], int]:
     """One frame: pairs of tracks and boxes within the gate, by falling overlap, each used once; speeds are smoothed."""
 
-    def shared(t: dict, b: dict) -> float:
-        v = [max(0.0, min(t[f"c{c}"] + t[f"s{c}"] / 2, b[f"c{c}"] + b[f"s{c}"] / 2) - max(t[f"c{c}"] - t[f"s{c}"] / 2, b[f"c{c}"] - b[f"s{c}"] / 2)) for c in "xyz"]
-        small = min(t["sx"] * t["sy"] * t["sz"], b["sx"] * b["sy"] * b["sz"])
-        return v[0] * v[1] * v[2] / small if small > 0 else 0.0
-
-    pairs = []
+    flat = lambda b: (b["cx"], b["cy"], b["cz"], b["sx"], b["sy"], b["sz"])
+    near, pairs, gate2 = [(j, b["box_idx"], flat(b)) for j, b in enumerate(boxes)], [], gate * gate
     for i, t in enumerate(tracks):
-        for j, b in enumerate(boxes):
-            if sum((t[f"c{c}"] - b[f"c{c}"]) ** 2 for c in "xyz") <= gate * gate and (s := shared(t, b)) >= least:
-                pairs.append((-s, t["id"], b["box_idx"], i, j))
+        tx, ty, tz, tsx, tsy, tsz = flat(t)
+        for j, index, (bx, by, bz, bsx, bsy, bsz) in near:
+            if not -gate <= tx - bx <= gate or (tx - bx) ** 2 + (ty - by) ** 2 + (tz - bz) ** 2 > gate2:
+                continue
+            shared = 1.0
+            for c, r, d, q in ((tx, tsx, bx, bsx), (ty, tsy, by, bsy), (tz, tsz, bz, bsz)):
+                shared *= max(0.0, min(c + r / 2, d + q / 2) - max(c - r / 2, d - q / 2))
+            small = min(tsx * tsy * tsz, bsx * bsy * bsz)
+            if (s := shared / small if small > 0 else 0.0) >= least:
+                pairs.append((-s, t["id"], index, i, j))
     used_t, used_b, out = set(), {}, []
     for *_, i, j in sorted(pairs):
         if i not in used_t and j not in used_b:

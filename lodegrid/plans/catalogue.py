@@ -235,21 +235,13 @@ def inflated_box_split(spark, d):
 def box_ageing(spark, d):
     """X18, X19"""
     pts = A.points(spark, d)
-    live = joins.alive(A.boxes(spark), pts.select("frame_id")).withColumnRenamed("frame_id", "box_frame")
-    inside = G.in_box(G.vec("x", "y", "z"), *joins.of_box())
-    return pts.join(live, (F.col("frame_id") == F.col("box_frame")) & inside).groupBy("frame_id", "box_idx").agg(F.count(F.lit(1)).alias("n"))
+    near = joins.around(pts, ("x", "y", "z"), joins.alive(A.boxes(spark), pts.select("frame_id")), ["frame_id"])
+    hit = F.filter("_boxes", lambda b: G.in_box(G.vec("x", "y", "z"), *joins.box_of(b)))
+    return near.select("frame_id", F.explode(F.transform(hit, lambda b: b["box_idx"])).alias("box_idx")).groupBy("frame_id", "box_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
-FRAME_BOXES = "fb AS (SELECT frame_id, (l_partkey % 1000)::BIGINT AS box_idx, x AS cx, y AS cy, z AS cz, 4.0::DOUBLE + l_partkey % 5 AS sx, 4.0::DOUBLE + l_suppkey % 7 AS sy, 3.0::DOUBLE AS sz FROM (SELECT l_orderkey % 50 AS frame_id, l_partkey, l_suppkey, l_quantity AS x, l_extendedprice / 2000 AS y, l_discount * 100 AS z FROM lineitem) QUALIFY row_number() OVER (PARTITION BY frame_id, box_idx ORDER BY x, y, z, sx, sy) = 1)"
-
-
-def frame_boxes(spark, d) -> DataFrame:
-    """One box per frame and part number modulo 1000, around an order line's point."""
-    from pyspark.sql import Window
-
-    rows = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("frame_id"), (F.col("l_partkey") % 1000).alias("box_idx"), F.col("l_quantity").alias("cx"), (F.col("l_extendedprice") / 2000).alias("cy"), (F.col("l_discount") * 100).alias("cz"), (4.0 + F.col("l_partkey") % 5).alias("sx"), (4.0 + F.col("l_suppkey") % 7).alias("sy"), F.lit(3.0).alias("sz"))
-    first = F.row_number().over(Window.partitionBy("frame_id", "box_idx").orderBy("cx", "cy", "cz", "sx", "sy"))
-    return rows.withColumn("k", first).where("k = 1").drop("k")
+#: Boxes as row_boxes has them.
+ROW_BOXES = "fb AS (SELECT l_orderkey AS frame_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS box_idx, l_quantity AS cx, l_extendedprice / 2000 AS cy, l_discount * 100 AS cz, 4.0::DOUBLE + l_partkey % 5 AS sx, 4.0::DOUBLE + l_suppkey % 7 AS sy, 3.0::DOUBLE AS sz FROM lineitem)"
 
 
 def row_boxes(spark, d) -> DataFrame:
@@ -265,16 +257,19 @@ SIDE = "greatest(0.0::DOUBLE, least(a.c{c} + a.s{c} / 2, b.c{c} + b.s{c} / 2) -
 OVERLAP = f"{SIDE.format(c='x')} * {SIDE.format(c='y')} * {SIDE.format(c='z')} / least(a.sx * a.sy * a.sz, b.sx * b.sy * b.sz)"
 
 
-@query(f"WITH {FRAME_BOXES} SELECT a.frame_id, a.box_idx AS i, b.box_idx AS j, {OVERLAP} AS overlap FROM fb a JOIN fb b ON a.frame_id = b.frame_id AND a.box_idx < b.box_idx WHERE {OVERLAP} > 0.6")
+OVERLAP_SQL = f"WITH {ROW_BOXES} SELECT a.frame_id, a.box_idx AS i, b.box_idx AS j, {OVERLAP} AS overlap FROM fb a JOIN fb b ON a.frame_id = b.frame_id AND a.box_idx < b.box_idx WHERE {OVERLAP} > {{least}}"
+
+
+@query(OVERLAP_SQL.format(least=0.6))
 def overlap_pairs(spark, d):
-    """C12, C13, X10"""
-    return moving.overlapping(frame_boxes(spark, d), 0.6)
+    """Every order line is a box"""
+    return moving.overlapping(row_boxes(spark, d), 0.6)
 
 
-@query()
+@query(OVERLAP_SQL.format(least=0.0))
 def overlap_pairs_all(spark, d):
-    """C12, C13 over every row's box; the SQL of overlap_pairs asks for one a frame and part number modulo 1000"""
-    return moving.overlapping(row_boxes(spark, d), 0.6)
+    """All pairs that share any volume"""
+    return moving.overlapping(row_boxes(spark, d), 0.0)
 
 
 @query()
@@ -307,9 +302,9 @@ def knn(spark, d):
     return joins.knn(A.vectors(spark, d), 5, 8.0).select("frame_id", "point_id", "rank", "nbr_id")
 
 
-@query()
+@query(f"WITH {A.VECTORS}, r AS (SELECT a.frame_id, a.point_id, {D2} AS d2, row_number() OVER (PARTITION BY a.frame_id, a.point_id ORDER BY {D2}, b.point_id) AS rank FROM vec a JOIN vec b ON a.frame_id = b.frame_id), m AS (SELECT frame_id, point_id, avg(sqrt(d2)) AS mean_d FROM r WHERE rank BETWEEN 2 AND 5 GROUP BY ALL), l AS (SELECT frame_id, avg(mean_d) + stddev_pop(mean_d) AS most FROM m GROUP BY frame_id) SELECT frame_id, point_id FROM m JOIN l USING (frame_id) WHERE mean_d <= most")
 def outlier_removal(spark, d):
-    """Deviations depend on the order of sums, so no SQL is compared"""
+    """F7, E5"""
     pts = A.vectors(spark, d)
     return joins.outliers_removed(pts, joins.knn(pts, 5, 8.0)).select("frame_id", "point_id")
 
@@ -327,6 +322,19 @@ def dbscan(spark, d):
     return moving.dbscan(A.vectors(spark, d), 8.0, 3)
 
 
+def renumbered(spark, d) -> DataFrame:
+    """Vectors whose ids begin again in every frame."""
+    from pyspark.sql import Window
+
+    return A.vectors(spark, d).withColumn("point_id", F.row_number().over(Window.partitionBy("frame_id").orderBy("point_id")).cast("long"))
+
+
+@query(f"WITH {A.VECTORS}, vn AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY point_id) AS point_id, x, y, z FROM vec), e AS (SELECT a.frame_id, a.point_id AS a, b.point_id AS b FROM vn a JOIN vn b ON a.frame_id = b.frame_id AND a.point_id <> b.point_id WHERE {D2} < 64), core AS (SELECT frame_id, a FROM e GROUP BY ALL HAVING count(*) >= 3), links AS (SELECT e.frame_id, e.a, e.b FROM e JOIN core c USING (frame_id, a) JOIN core k ON k.frame_id = e.frame_id AND k.a = e.b), reach AS (WITH RECURSIVE w(f, a, b) AS (SELECT frame_id, a, a FROM core UNION SELECT w.f, w.a, l.b FROM w JOIN links l ON l.frame_id = w.f AND l.a = w.b) SELECT f, a, min(b) AS cluster FROM w GROUP BY f, a) SELECT frame_id, core.a AS point_id, cluster FROM core JOIN reach ON f = frame_id AND reach.a = core.a UNION ALL SELECT e.frame_id, e.a AS point_id, min(r.cluster) AS cluster FROM e JOIN reach r ON r.f = e.frame_id AND r.a = e.b WHERE (e.frame_id, e.a) NOT IN (SELECT (frame_id, a) FROM core) GROUP BY e.frame_id, e.a")
+def dbscan_by_frame(spark, d):
+    """C1 where frames use the same ids"""
+    return moving.dbscan(renumbered(spark, d), 8.0, 3)
+
+
 @query(f"WITH {A.VECTORS}, e AS (SELECT a.point_id AS a, b.point_id AS b FROM vec a JOIN vec b ON a.frame_id = b.frame_id WHERE {D2} < 36), reach AS (WITH RECURSIVE w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b) SELECT a AS point_id, min(b) AS root FROM w GROUP BY a), s AS (SELECT frame_id, root, count(*) AS n FROM vec JOIN reach USING (point_id) GROUP BY ALL) SELECT frame_id, root, n FROM s QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, root) = 1")
 def largest_component(spark, d):
     """C2"""
@@ -361,16 +369,16 @@ def history_ratio(spark, d):
     return joins.history_hits(flagged(spark, d), 5).select("frame_id", *cloud.CELL, "n_there", F.col("n_static").cast("long").alias("n_static"))
 
 
-@query(f"WITH {A.POINTS}, {voxels_sql(4.0)} SELECT a.frame_id, a.ix, a.iy, a.iz, b.ix AS nx, b.iy AS ny, b.iz AS nz FROM vox a JOIN vox b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 WHERE (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz) AND a.frame_id < 5")
+@query(f"WITH {A.POINTS}, {voxels_sql(4.0)} SELECT a.frame_id, a.ix, a.iy, a.iz, b.ix AS nx, b.iy AS ny, b.iz AS nz FROM vox a JOIN vox b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 WHERE (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz)")
 def voxel_adjacency(spark, d):
     """J4"""
-    return joins.adjacency(cloud.voxelise(A.points(spark, d).where("frame_id < 5"), 4.0))
+    return joins.adjacency(cloud.voxelise(A.points(spark, d), 4.0))
 
 
-@query()
+@query(f"WITH {A.POINTS}, {voxels_sql(4.0)} SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) AS n FROM vox a JOIN vox b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 WHERE (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz) GROUP BY ALL")
 def voxel_adjacency_all(spark, d):
-    """J4 over all frames; the SQL of voxel_adjacency asks for five"""
-    return joins.adjacency(cloud.voxelise(A.points(spark, d), 4.0))
+    """How many neighbours each voxel has"""
+    return joins.adjacency(cloud.voxelise(A.points(spark, d), 4.0)).groupBy("frame_id", *cloud.CELL).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {A.POINTS}, {FLAGGED}, c AS (SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) AS k FROM fl a JOIN fl b ON a.frame_id = b.frame_id AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 AND (a.ix, a.iy, a.iz) <> (b.ix, b.iy, b.iz) AND b.is_dynamic GROUP BY ALL) SELECT fl.frame_id, fl.ix, fl.iy, fl.iz, fl.is_dynamic OR coalesce(NOT is_wall AND k >= 1 AND score + 0.1::DOUBLE * k > 0.4::DOUBLE * 1.0, false) AS is_dynamic FROM fl LEFT JOIN c USING (frame_id, ix, iy, iz)")
@@ -750,19 +758,21 @@ def decoded_cloud(spark, d):
     return clouds.decoded(raw)
 
 
-@query("SELECT l_orderkey % 50 AS part, format('{:.6f} {:.6f} {:.6f}', l_quantity, l_extendedprice / 2000, l_discount * 100) AS value FROM lineitem WHERE l_orderkey % 50 < 2")
+PLY_HEAD = "'ply' || chr(10) || 'format ascii 1.0' || chr(10) || 'element vertex ' || count(*) || chr(10) || 'property float x' || chr(10) || 'property float y' || chr(10) || 'property float z' || chr(10) || 'end_header'"
+PLY_LINE = "format('{:.6f} {:.6f} {:.6f}', l_quantity, l_extendedprice / 2000, l_discount * 100)"
+
+
+@query(f"SELECT l_orderkey % 50 AS part, {PLY_LINE} AS value FROM lineitem UNION ALL SELECT l_orderkey % 50 AS part, {PLY_HEAD} AS value FROM lineitem GROUP BY ALL")
 def ply_lines(spark, d):
-    """S12, M8"""
+    """A file for each frame, headers too"""
     from ..sources import clouds
 
-    pts = A.points(spark, d).where("frame_id < 2").select("frame_id", "x", "y", "z")
-    first, second = (clouds.ply(pts.where(F.col("frame_id") == k)).where("part = 1").withColumn("part", F.lit(k).cast("long")) for k in (0, 1))
-    return first.unionByName(second)
+    return clouds.ply(A.points(spark, d).select("frame_id", "x", "y", "z"), "frame_id").select(F.col("frame_id").alias("part"), "value")
 
 
-@query()
+@query(f"SELECT 1 AS part, {PLY_LINE} AS value FROM lineitem UNION ALL SELECT 0 AS part, {PLY_HEAD} AS value FROM lineitem")
 def ply_map(spark, d):
-    """S12, M8 over all points, as one file; the SQL of ply_lines asks for two frames"""
+    """All points as one file"""
     from ..sources import clouds
 
     return clouds.ply(A.points(spark, d).select("x", "y", "z"))
@@ -857,13 +867,13 @@ def grown_region(spark, d):
     return keyframes.grown(pts, ground.normals(pts, joins.knn(pts, 8, 8.0)), 0, 12.0, 60.0)
 
 
-@query(f"WITH {A.SUBMAPS}, a AS (SELECT session_id * 1000 + submap_id AS id, x, y FROM sub WHERE session_id % 2 = 0), b AS (SELECT session_id * 1000 + submap_id AS id, x, y FROM sub WHERE session_id % 2 = 1 AND x > 250), p AS (SELECT a.id AS a_id, b.id AS b_id, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS d2 FROM a JOIN b ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100) SELECT * FROM p ORDER BY d2, a_id, b_id LIMIT 1")
+@query(f"WITH {A.SUBMAPS}, a AS (SELECT session_id * 1000 + submap_id AS id, x, y FROM sub WHERE session_id % 2 = 0), b AS (SELECT session_id * 1000 + submap_id AS id, x, y FROM sub WHERE session_id % 2 = 1), p AS (SELECT a.id AS a_id, b.id AS b_id, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE AS d2 FROM a JOIN b ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100) SELECT * FROM p ORDER BY d2, a_id, b_id LIMIT 1")
 def closest_submaps(spark, d):
     """J19"""
     from ..operators import keyframes
 
     nodes = A.submaps(spark, d).select((F.col("session_id") * 1000 + F.col("submap_id")).alias("id"), "session_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("z"))
-    return keyframes.closest_pair(nodes.where("session_id % 2 = 0"), nodes.where("session_id % 2 = 1 AND x > 250"), 2.0)
+    return keyframes.closest_pair(nodes.where("session_id % 2 = 0"), nodes.where("session_id % 2 = 1"), 2.0)
 
 
 @query()

@@ -29,8 +29,10 @@ def rejected(points: DataFrame, res: float = 2.0, ground_height: float = 0.5, ep
     rows = rows.withColumns({"shift2": shift2, "in_box": F.lit(False), "prev_dynamic": F.lit(False)}).drop("pmx", "pmy", "pmz")
     scored = moving.scored(rows, res, least_points, depth).withColumn("is_dynamic", F.col("is_dynamic") & ~F.col("is_ground"))
     spread = moving.spread_to_neighbours(scored)
-    p, (centre, size) = vec("mx", "my", "mz"), joins.of_box()
-    inside = spread.select("frame_id", *cloud.CELL, "mx", "my", "mz", "is_dynamic").join(boxes, "frame_id").where(in_box(p, centre, size))
+    p = vec("mx", "my", "mz")
+    near = joins.around(spread.select("frame_id", *cloud.CELL, "mx", "my", "mz", "is_dynamic"), ("mx", "my", "mz"), boxes, ["frame_id"])
+    hit = F.transform(F.filter("_boxes", lambda b: in_box(p, *joins.box_of(b))), lambda b: b["box_idx"])
+    inside = near.select("frame_id", *cloud.CELL, "is_dynamic", F.explode(hit).alias("box_idx"))
     moves = inside.groupBy("frame_id", "box_idx").agg((F.count_if("is_dynamic") > 0.3 * F.count(F.lit(1))).alias("moves"))
     marked = inside.join(moves, ["frame_id", "box_idx"]).groupBy("frame_id", *cloud.CELL).agg(F.bool_or("moves").alias("box_moves"))
     final = spread.join(marked, ["frame_id", *cloud.CELL], "left").select("frame_id", *cloud.CELL, F.coalesce("box_moves", F.lit(False)).alias("is_dynamic"))

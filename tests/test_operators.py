@@ -295,3 +295,34 @@ def test_same_result_for_any_partitions(spark):
     pts = cloud_of(spark, rng.uniform(0, 10, (500, 3)))
     results = {tuple(sorted(map(tuple, cloud.voxelise(pts.repartition(n), 2.0).select("ix", "iy", "iz", "mx", "my", "mz").collect()))) for n in (1, 4, 8)}
     assert len(results) == 1
+
+
+def test_frames_that_use_the_same_ids(spark):
+    """Two clusters joined by a border point in one frame, two apart in the next, with some of the same ids."""
+    xyz = {0: {0: 0.0, 1: 0.5, 2: 1.0}, 1: {2: 0.0, 3: 0.4, 4: 0.8, 0: 50.0, 1: 50.4, 7: 50.8}}
+    pts = spark.createDataFrame([(f, i, x, 0.0, 0.0) for f, own in xyz.items() for i, x in own.items()], "frame_id long, point_id long, x double, y double, z double")
+    got = {(r["frame_id"], r["point_id"]): r["cluster"] for r in moving.dbscan(pts, 1.2, 1).collect()}
+    assert got == {(0, 0): 0, (0, 1): 0, (0, 2): 0, (1, 2): 2, (1, 3): 2, (1, 4): 2, (1, 0): 0, (1, 1): 0, (1, 7): 0}
+    best = {r["frame_id"]: (r["root"], r["n"]) for r in moving.largest_part(pts, 1.2).collect()}
+    assert best == {0: (0, 3), 1: (0, 3)}
+
+
+def test_boxes_around_by_brute_force(spark):
+    """Every containment, with boxes of a frame and without, and inflated along any speed."""
+    rng = np.random.default_rng(12)
+    boxes = [(int(rng.integers(0, 3)), i, *map(float, rng.uniform(-20, 20, 3)), *map(float, rng.uniform(0.5, 9, 3)), *map(float, rng.uniform(-7, 7, 2)), bool(i % 2)) for i in range(25)]
+    points = [(i % 3, i, *map(float, rng.uniform(-25, 25, 3))) for i in range(400)]
+    b = spark.createDataFrame(boxes, "frame_id long, box_idx long, cx double, cy double, cz double, sx double, sy double, sz double, vx double, vy double, is_dynamic boolean")
+    p = spark.createDataFrame(points, "frame_id long, point_id long, x double, y double, z double")
+    inside = lambda q, k: all(abs(q[2 + c] - k[2 + c]) <= k[5 + c] / 2 for c in range(3))
+    got = {r["point_id"]: r["box_idx"] for r in joins.first_box(p, b.drop("frame_id")).collect()}
+    assert got == {q[1]: min((k[1] for k in boxes if inside(q, k)), default=None) for q in points}
+    got = {r["point_id"]: r["box_idx"] for r in joins.first_box(p, b, by_frame=True).collect()}
+    assert got == {q[1]: min((k[1] for k in boxes if k[0] == q[0] and inside(q, k)), default=None) for q in points}
+    from pyspark.sql import functions as F
+
+    from lodegrid.functions.geometry import in_inflated, vec
+
+    met = p.drop("frame_id").join(b.drop("frame_id"), in_inflated(vec("x", "y", "z"), vec("cx", "cy", "cz"), vec("sx", "sy", "sz"), (F.col("vx"), F.col("vy"), F.lit(0.0)))).groupBy("point_id").agg(F.min("box_idx").alias("b")).collect()
+    got = {r["point_id"]: r["box_idx"] for r in joins.first_box(p, b.drop("frame_id"), True).collect() if r["box_idx"] is not None}
+    assert got == {r["point_id"]: r["b"] for r in met} and got

@@ -23,7 +23,7 @@ def test_every_row_is_a_box(spark):
         v = [max(0.0, min(a[f"c{c}"] + a[f"s{c}"] / 2, b[f"c{c}"] + b[f"s{c}"] / 2) - max(a[f"c{c}"] - a[f"s{c}"] / 2, b[f"c{c}"] - b[f"s{c}"] / 2)) for c in "xyz"]
         return v[0] * v[1] * v[2] / min(a["sx"] * a["sy"] * a["sz"], b["sx"] * b["sy"] * b["sz"])
 
-    pairs = {(f, a["box_idx"], b["box_idx"]) for f, part in frames.items() for a in part for b in part if a["box_idx"] < b["box_idx"] and shared(a, b) > 0.6}
+    pairs = {(f, a["box_idx"], b["box_idx"]) for f, part in frames.items() for a in part for b in part if a["box_idx"] < b["box_idx"] and shared(a, b) > 0}
     assert {(r["frame_id"], r["i"], r["j"]) for r in C.QUERIES["overlap_pairs_all"](spark, SF).collect()} == pairs
     for f, part in frames.items():
         for b in sorted(part, key=lambda b: (-(b["sx"] * b["sy"] * b["sz"]), b["box_idx"])):
