@@ -120,8 +120,8 @@ def descriptors(images: DataFrame) -> DataFrame:
             good = [i for i, ((h, w), p) in enumerate(zip(sides, pixels)) if h and w and p is not None and len(p) == h * w]
             for side in sorted({sides[i] for i in good}):
                 same = [i for i in good if sides[i] == side]
-                for at in range(0, len(same), 128):
-                    part = same[at : at + 128]
+                for at in range(0, len(same), 32):
+                    part = same[at : at + 32]
                     found = described(np.stack([np.frombuffer(pixels[i], np.uint8).reshape(side) for i in part]))
                     cols = {"image_id": ids.take(pa.array(np.asarray(part)[found["row"].astype(np.int64)]))}
                     cols |= {k: pa.array(found[k].astype(np.float64)) for k in ("x", "y", "scale")} | {"angle": pa.array(found["angle"].astype(np.int32))}
