@@ -159,6 +159,16 @@ def hysteresis(rows: DataFrame, permanent: int = 10) -> DataFrame:
     return out.withColumn("locked", first).drop("island")
 
 
+def overlap_of(a: dict, b: dict) -> float:
+    """Of two boxes: what they share over the smaller one's volume."""
+    shared = 1.0
+    for c in "xyz":
+        (p, r), (q, t) = ((k[f"c{c}"], k[f"s{c}"] / 2) for k in (a, b))
+        shared *= max(0.0, min(p + r, q + t) - max(p - r, q - t))
+    small = min(a["sx"] * a["sy"] * a["sz"], b["sx"] * b["sy"] * b["sz"])
+    return shared / small if small > 0 else 0.0
+
+
 TRACK_SCHEMA = "seq_id long, frame_id long, box_idx long, track_id long, age long, vx double, vy double, vz double"
 
 
@@ -229,5 +239,3 @@ def tracked(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_missed
 
     columns = ["seq_id", "frame_id", "box_idx", *[f"{k}{c}" for k in "cs" for c in "xyz"]]
     return boxes.select(*columns).repartition("seq_id").sortWithinPartitions("seq_id", "frame_id", "box_idx").mapInPandas(work, TRACK_SCHEMA)
-
-

@@ -878,8 +878,8 @@ def closest_submaps(spark, d):
 
 @query()
 def rejection(spark, d):
-    """Points of the whole way, by frame"""
+    """Points of the whole way, by sequence and frame; a fold, tested by hand-made cases"""
     from . import rejection as way
 
-    out = way.rejected(A.points(spark, d).drop("intensity"))
-    return out.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))
+    out = way.rejected(sequences(spark, d).drop("intensity"))
+    return out.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))

@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import in_box, vec
-from ..operators import cloud, ground, joins, moving
+from ..operators import cloud, feedback, ground, joins, moving
 
+#: Frames of a sequence, from 0 on: sequence and frame are one number, so that all operators by frame keep sequences apart.
+FRAMES = 32
 
-def rejected(points: DataFrame, res: float = 2.0, ground_height: float = 0.5, eps: float = 3.0, least: int = 2, depth: int = 5, least_points: float = 2) -> DataFrame:
-    """points (frame_id, point_id, x, y, z) with is_dynamic.
 
-    Voxels under the lowest one plus ground_height are ground; the others are clustered, and clusters give boxes. A voxel's
-    score compares it with the voxel that it was in the frame before; frames are scored side by side, so what the frame
-    before was called isn't known to it (it is in the stream), and moving boxes are those of which enough voxels move."""
-    vox = ground.lowest_ground(cloud.voxelise(points, res).drop("is_ground"), ground_height)
+def rejected(points: DataFrame, res: float = 2.0, ground_height: float = 0.5, eps: float = 3.0, least: int = 2, depth: int = 5, least_points: float = 2, **boxes: float) -> DataFrame:
+    """points (frame_id from 0 to 2 ** 32 - 1, point_id, x, y, z, in world coordinates; seq_id, else all are of one
+    sequence) with is_dynamic. Points without a sequence, frame or place aren't returned.
+
+    Voxels under the lowest one plus ground_height are ground; the others are clustered, and clusters give boxes. Boxes are
+    labelled by the tracks of the frames before, suppressed, merged and tracked; a voxel's score compares it with the one
+    that it was in the frame before, and its verdict uses what that frame said of it and of its box (operators/feedback.py).
+    The first frame of a sequence is returned as static. boxes: what differs from feedback.BOXES."""
+    whole = points if "seq_id" in points.columns else points.withColumn("seq_id", F.lit(0).cast("long"))
+    keyed = whole.withColumn("frame_id", F.shiftleft(F.col("seq_id").cast("long"), FRAMES) + F.col("frame_id"))
+    vox = ground.lowest_ground(cloud.voxelise(keyed, res).drop("is_ground"), ground_height)
     vox = vox.withColumn("voxel_id", F.xxhash64("frame_id", *cloud.CELL))
     means = vox.where("NOT is_ground").select("frame_id", F.col("voxel_id").alias("point_id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
     labels = moving.dbscan(means, eps, least)
     members = means.join(labels, ["frame_id", "point_id"])
-    boxes = cloud.extents(members, "cluster").join(labels.select("frame_id", "cluster").distinct(), "cluster").withColumnRenamed("cluster", "box_idx").drop("n")
+    found = cloud.extents(members, "cluster").join(labels.select("frame_id", "cluster").distinct(), "cluster")
+
     match = joins.moved_cell_match(vox, vox, res)
-    before = vox.select((F.col("frame_id") + 1).alias("frame_id"), *[F.col(c).alias(f"prev_{c}") for c in cloud.CELL], *[F.col(m).alias(f"p{m}") for m in ("mx", "my", "mz")])
-    near = match.join(before, ["frame_id", *[f"prev_{c}" for c in cloud.CELL]], "left")
-    shift2 = sum(((F.col(m) - F.col(f"p{m}")) * (F.col(m) - F.col(f"p{m}")) for m in ("my", "mz")), (F.col("mx") - F.col("pmx")) * (F.col("mx") - F.col("pmx")))
-    rows = joins.history_hits(vox, depth).join(near.select("frame_id", *cloud.CELL, "pmx", "pmy", "pmz"), ["frame_id", *cloud.CELL], "left")
-    rows = rows.withColumns({"shift2": shift2, "in_box": F.lit(False), "prev_dynamic": F.lit(False)}).drop("pmx", "pmy", "pmz")
-    scored = moving.scored(rows, res, least_points, depth).withColumn("is_dynamic", F.col("is_dynamic") & ~F.col("is_ground"))
-    spread = moving.spread_to_neighbours(scored)
-    p = vec("mx", "my", "mz")
-    near = joins.around(spread.select("frame_id", *cloud.CELL, "mx", "my", "mz", "is_dynamic"), ("mx", "my", "mz"), boxes, ["frame_id"])
-    hit = F.transform(F.filter("_boxes", lambda b: in_box(p, *joins.box_of(b))), lambda b: b["box_idx"])
-    inside = near.select("frame_id", *cloud.CELL, "is_dynamic", F.explode(hit).alias("box_idx"))
-    moves = inside.groupBy("frame_id", "box_idx").agg((F.count_if("is_dynamic") > 0.3 * F.count(F.lit(1))).alias("moves"))
-    marked = inside.join(moves, ["frame_id", "box_idx"]).groupBy("frame_id", *cloud.CELL).agg(F.bool_or("moves").alias("box_moves"))
-    final = spread.join(marked, ["frame_id", *cloud.CELL], "left").select("frame_id", *cloud.CELL, F.coalesce("box_moves", F.lit(False)).alias("is_dynamic"))
-    return cloud.with_cell(points, res).join(final, ["frame_id", *cloud.CELL]).drop(*cloud.CELL)
+    prev = [f"prev_{c}" for c in cloud.CELL]
+    before = vox.select((F.col("frame_id") + 1).alias("frame_id"), *[F.col(c).alias(p) for c, p in zip(cloud.CELL, prev)], *[F.col(m).alias(k) for m, k in zip(("mx", "my", "mz"), "uvw")])
+    rows = vox.join(match, ["frame_id", *cloud.CELL]).join(before, ["frame_id", *prev], "left")
+    fixed = F.col("is_ground") | F.col("is_wall") | F.col("is_outlier") | (F.col("n") < least_points)
+    rows = rows.select("frame_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("box_idx"), *cloud.CELL, *[F.col(f"m{c}").alias(c) for c in "xyz"], *"uvw", *[F.coalesce(F.col(p), F.lit(0)).alias(f"p{p[-1]}") for p in prev], fixed.alias("fixed"), "is_wall")
+    none = lambda names, value: [F.lit(value).alias(c) for c in names]
+    each = found.select("frame_id", F.lit(0).alias("kind"), F.col("cluster").alias("box_idx"), *[c.cast("long") for c in none(cloud.CELL, 0)], *[F.col(f"c{c}").alias(c) for c in "xyz"], *[F.col(f"s{c}").alias(k) for c, k in zip("xyz", "uvw")], *none(("px", "py", "pz"), 0), *none(("fixed", "is_wall"), False))
+    state = feedback.judged(rows.unionByName(each).withColumn("seq_id", F.shiftright("frame_id", FRAMES)), res, depth, boxes=boxes)
+    final = state.select("frame_id", *cloud.CELL, "is_dynamic")
+    out = cloud.with_cell(keyed, res).join(final, ["frame_id", *cloud.CELL]).drop(*cloud.CELL)
+    out = out.withColumn("frame_id", F.col("frame_id").bitwiseAND(F.lit((1 << FRAMES) - 1).cast("long")))
+    return out if "seq_id" in points.columns else out.drop("seq_id")
