@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cloud, feedback, ground, joins, moving
+from ..operators.graph import checkpointed
 
 #: Frames of a sequence, from 0 on: sequence and frame are one number, so that all operators by frame keep sequences apart.
 FRAMES = 32
@@ -22,9 +23,9 @@ def rejected(points: DataFrame, res: float = 2.0, ground_height: float = 0.5, ep
     whole = points if "seq_id" in points.columns else points.withColumn("seq_id", F.lit(0).cast("long"))
     keyed = whole.withColumn("frame_id", F.shiftleft(F.col("seq_id").cast("long"), FRAMES) + F.col("frame_id"))
     vox = ground.lowest_ground(cloud.voxelise(keyed, res).drop("is_ground"), ground_height)
-    vox = vox.withColumn("voxel_id", F.xxhash64("frame_id", *cloud.CELL))
+    vox = checkpointed(vox.withColumn("voxel_id", F.xxhash64("frame_id", *cloud.CELL)))  # read five times below; points are read once
     means = vox.where("NOT is_ground").select("frame_id", F.col("voxel_id").alias("point_id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
-    labels = moving.dbscan(means, eps, least)
+    labels = checkpointed(moving.dbscan(means, eps, least))
     members = means.join(labels, ["frame_id", "point_id"])
     found = cloud.extents(members, "cluster").join(labels.select("frame_id", "cluster").distinct(), "cluster")
 
