@@ -103,6 +103,14 @@ def time_unit(first_frame: DataFrame) -> DataFrame:
     return first_frame.agg((hi < 1).alias("is_relative"), F.when(lo > 1e16, 1e-9).otherwise(1.0).alias("scale"))
 
 
+def time_units(points: DataFrame) -> DataFrame:
+    """seq_id, is_relative, scale of each stream, from its first frame that has times, as time_unit. Streams without any
+    times aren't returned."""
+    frames = points.where("t IS NOT NULL").groupBy("seq_id", "frame_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    first = frames.groupBy("seq_id").agg(F.min_by(F.struct("lo", "hi"), "frame_id").alias("f"))
+    return first.select("seq_id", (F.col("f.hi") < 1).alias("is_relative"), F.when(F.col("f.lo") > 1e16, 1e-9).otherwise(1.0).alias("scale"))
+
+
 def rebased(points: DataFrame, scale: float = 1.0, relative: bool = False, prefer_stamp: bool = False) -> DataFrame:
     """t from the frame's first point on; stamp moves with it, unless the frame's own is preferred.
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import dot, eigen3, eigenvector3, plane_of, vec
+from ..functions.geometry import dot, eigen3, eigenvector3, in_box, plane_of, vec
 
 
 def polar_cells(voxels: DataFrame, sectors: int = 36, ring: float = 2.0, most: float = 60.0) -> DataFrame:
@@ -67,6 +67,18 @@ def lowest_ground(voxels: DataFrame, height: float) -> DataFrame:
     return voxels.join(low, "frame_id").withColumn("is_ground", F.col("mz") < F.col("low") + height).drop("low")
 
 
+def floor_relabelled(voxels: DataFrame, is_inlier: Column, margin: float) -> DataFrame:
+    """All voxels with is_ground: inside the box of their frame's inliers of the floor, larger by the margin on each side;
+    without inliers none are."""
+    axes = ("mx", "my", "mz")
+    limits = [f(F.when(is_inlier, F.col(c))).alias(f"{k}_{c}") for c in axes for k, f in (("lo", F.min), ("hi", F.max))]
+    boxed = voxels.join(voxels.groupBy("frame_id").agg(*limits), "frame_id")
+    centre = tuple((F.col(f"hi_{c}") + F.col(f"lo_{c}")) / 2 for c in axes)
+    size = tuple(F.col(f"hi_{c}") - F.col(f"lo_{c}") + 2 * margin for c in axes)
+    out = boxed.withColumn("is_ground", F.coalesce(in_box(vec(*axes), centre, size), F.lit(False)))
+    return out.drop(*[f"{k}_{c}" for c in axes for k in ("lo", "hi")])
+
+
 def hypotheses(points: DataFrame, per_frame: int, seed: int = 0) -> DataFrame:
     """frame_id, h, and plane (nx, ny, nz, d) through three different points of the frame, drawn by seeded hashes.
 

@@ -119,6 +119,19 @@ def split(points: DataFrame, boxes: DataFrame, inflated: bool = False) -> DataFr
     return first_box(points, boxes, inflated).withColumn("is_dynamic", F.col("box_idx").isNotNull())
 
 
+def inserted(boxes: DataFrame, margin: float) -> DataFrame:
+    """Boxes as a message's insertion keeps them: larger by the margin on each side. Set boxes stay as they are."""
+    return boxes.withColumns({f"s{c}": F.col(f"s{c}") + 2 * margin for c in XYZ})
+
+
+def wall_labels(voxels: DataFrame, walls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """voxels with wall_id, the first of the known walls that a mean is in (null: none), and is_wall: also those that were."""
+    near = around(voxels, ("mx", "my", "mz"), walls, keys)
+    hit = F.filter("_boxes", lambda b: in_box(vec("mx", "my", "mz"), *box_of(b)))
+    found = near.withColumn("wall_id", F.array_min(F.transform(hit, lambda b: b["box_idx"]))).drop("_boxes")
+    return found.withColumn("is_wall", F.coalesce("is_wall", F.lit(False)) | F.col("wall_id").isNotNull())
+
+
 def alive(boxes: DataFrame, frames: DataFrame, most: int = 5) -> DataFrame:
     """boxes with frame_id, once for each frame in which they still count: `most` frames from that of their insertion on.
 

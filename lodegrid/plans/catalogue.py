@@ -240,6 +240,14 @@ def box_ageing(spark, d):
     return near.select("frame_id", F.explode(F.transform(hit, lambda b: b["box_idx"])).alias("box_idx")).groupBy("frame_id", "box_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {A.POINTS}, {A.BOXES} SELECT frame_id, box_idx, count(*) AS n FROM pts JOIN boxes ON abs(x - cx) <= (sx + 1.5::DOUBLE) / 2 AND abs(y - cy) <= (sy + 1.5::DOUBLE) / 2 AND abs(z - cz) <= (sz + 1.5::DOUBLE) / 2 GROUP BY frame_id, box_idx")
+def inserted_boxes(spark, d):
+    """Points in boxes that were made larger when they were inserted"""
+    near = joins.around(A.points(spark, d), ("x", "y", "z"), joins.inserted(A.boxes(spark), 0.75))
+    hit = F.filter("_boxes", lambda b: G.in_box(G.vec("x", "y", "z"), *joins.box_of(b)))
+    return near.select("frame_id", F.explode(F.transform(hit, lambda b: b["box_idx"])).alias("box_idx")).groupBy("frame_id", "box_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
 #: Boxes as row_boxes has them.
 ROW_BOXES = "fb AS (SELECT l_orderkey AS frame_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS box_idx, l_quantity AS cx, l_extendedprice / 2000 AS cy, l_discount * 100 AS cz, 4.0::DOUBLE + l_partkey % 5 AS sx, 4.0::DOUBLE + l_suppkey % 7 AS sy, 3.0::DOUBLE AS sz FROM lineitem)"
 
@@ -435,6 +443,12 @@ def track_hysteresis(spark, d):
     return moving.hysteresis(rows, 3)
 
 
+@query(f"WITH {A.POINTS}, {FLAGGED}, {A.BOXES}, h AS (SELECT frame_id, ix, iy, iz, min(box_idx) AS wall_id FROM fl JOIN boxes ON {MEAN_IN_BOX} GROUP BY ALL) SELECT frame_id, ix, iy, iz, wall_id, is_wall OR wall_id IS NOT NULL AS is_wall FROM fl LEFT JOIN h USING (frame_id, ix, iy, iz)")
+def wall_labels(spark, d):
+    """X17"""
+    return joins.wall_labels(flagged(spark, d), A.boxes(spark).drop("is_dynamic")).select("frame_id", *cloud.CELL, "wall_id", "is_wall")
+
+
 # Ground and planes
 
 
@@ -460,6 +474,13 @@ def lowest_ground(spark, d):
     return ground.lowest_ground(cloud.voxelise(A.points(spark, d), 4.0).drop("is_ground"), 3.0).select("frame_id", *cloud.CELL, "is_ground")
 
 
+@query(f"WITH {A.POINTS}, {voxels_sql(4.0)}, b AS (SELECT frame_id, min(mx) AS lx, max(mx) AS hx, min(my) AS ly, max(my) AS hy, min(mz) AS lz, max(mz) AS hz FROM vox WHERE abs(mz - 2.0) <= 0.75 AND mx < 40 GROUP BY frame_id) SELECT frame_id, ix, iy, iz, coalesce(abs(mx - (hx + lx) / 2) <= (hx - lx + 1.0) / 2 AND abs(my - (hy + ly) / 2) <= (hy - ly + 1.0) / 2 AND abs(mz - (hz + lz) / 2) <= (hz - lz + 1.0) / 2, false) AS is_ground FROM vox LEFT JOIN b USING (frame_id)")
+def floor_relabelled(spark, d):
+    """The inliers are those near a level plane"""
+    vox = cloud.voxelise(A.points(spark, d), 4.0).drop("is_ground")
+    return ground.floor_relabelled(vox, (F.abs(F.col("mz") - 2.0) <= 0.75) & (F.col("mx") < 40), 0.5).select("frame_id", *cloud.CELL, "is_ground")
+
+
 @query()
 def plane_hypotheses(spark, d):
     """Draws by Spark's hash, tested by counting"""
@@ -527,9 +548,20 @@ def pseudo_times(spark, d):
     return clock.pseudo_times(A.points(spark, d), 0.1).select("frame_id", "point_id", "t")
 
 
+TIMES = "CASE l_orderkey % 3 WHEN 0 THEN epoch(l_shipdate)::BIGINT / 1e12::DOUBLE WHEN 1 THEN epoch(l_shipdate)::BIGINT * 1e9::DOUBLE ELSE (epoch(l_shipdate)::BIGINT)::DOUBLE END"
+
+
+@query(f"WITH f AS (SELECT l_orderkey % 3 AS seq_id, l_orderkey AS frame_id, min({TIMES}) AS lo, max({TIMES}) AS hi FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY frame_id) AS k FROM f) SELECT seq_id, hi < 1 AS is_relative, CASE WHEN lo > 1e16 THEN 1e-9::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM r WHERE k = 1")
+def time_units(spark, d):
+    """T4: three streams with times of different kinds; an order is a frame"""
+    seq, t = F.col("l_orderkey") % 3, A.seconds(F.col("l_shipdate"))
+    times = F.when(seq == 0, t / 1e12).when(seq == 1, t * 1e9).otherwise(t.cast("double"))
+    return clock.time_units(A.table(spark, d, "lineitem").select(seq.alias("seq_id"), F.col("l_orderkey").alias("frame_id"), times.alias("t")))
+
+
 @query(f"WITH {A.POINTS} SELECT frame_id, point_id, t - min(t) OVER (PARTITION BY frame_id) AS t, min(t) OVER (PARTITION BY frame_id) AS stamp FROM pts")
 def absolute_times(spark, d):
-    """T4, T6"""
+    """T6"""
     pts = A.points(spark, d).withColumn("stamp", F.lit(0).cast("long"))
     return clock.rebased(pts, 1).select("frame_id", "point_id", "t", "stamp")
 
@@ -742,7 +774,7 @@ def merged_boxes(spark, d):
 
 @query()
 def wall_memory(spark, d):
-    """A fold, tested by hand-made cases"""
+    """A fold, tested by hand-made cases"""
     from ..operators import merge
 
     walls = row_boxes(spark, d).withColumns({"nx": F.lit(1.0), "ny": F.lit(0.0), "nz": F.lit(0.0)})
