@@ -168,7 +168,8 @@ def repaired(rows: DataFrame, costs: dict = COSTS, summary: bool = True) -> Data
     0, edit (K, R or I), role, text.
 
     Rows go by turn, nulls first; of equal turns, by role and then by a hash of the text, so that copies are adjacent.
-    Null roles and texts are one space, and so blank or of no use; a null conv_id is a conversation of its own. A row's
+    Null roles and texts are one space; a role whose first letter is none of s, u, a (an
+    empty one, too) can't be kept; a null conv_id is a conversation of its own. A row's
     first fault counts: blank, duplicate (role and text seen earlier in the conversation, deleted rows too), truncated.
     No rows: zeros, an empty audit, the hash of the empty string."""
     gone = F.col("gone") if "gone" in rows.columns else F.lit(False)
