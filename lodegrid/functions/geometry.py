@@ -125,20 +125,30 @@ def box_in_box(inner: tuple[Vec, Vec], outer: tuple[Vec, Vec]) -> Column:
     return out
 
 
-def in_inflated(p: Vec, centre: Vec, size: Vec, velocity: Vec, front: float = 2.5, rear: float = 0.5, most: float = 5.0, slow: float = 0.1) -> Column:
+#: How a footprint is drawn out, in metres for each metre a second: to the front, the rear and either side; the speed that
+#: counts at most, and that up to which a box rests. Fixed values.
+DRAWN = {"front": 2.5, "rear": 0.35, "side": 0.5, "most": 5.0, "slow": 0.05}
+
+
+def in_inflated(p: Vec, centre: Vec, size: Vec, velocity: Vec, front: float = DRAWN["front"], rear: float = DRAWN["rear"], side: float = DRAWN["side"], most: float = DRAWN["most"], slow: float = DRAWN["slow"], turn: Column | None = None) -> Column:
     """Inside the box's height and an ellipse around its footprint, drawn out along the velocity.
 
-    The ellipse covers the footprint's corners (sides times the root of 2), also of boxes at rest; its centre shifts by
-    half of what it grows more to the front than to the rear. Slow boxes lie along the x-axis."""
+    The ellipse lies along the velocity; its axes cover the footprint as seen along and across that (half sides times the
+    root of 2), and grow with the speed. Its centre shifts by half of what it grows more to the front than to the rear.
+    Boxes at rest lie along their own x-axis and don't grow. turn: a 3x3 matrix column, of a box that isn't axis-aligned."""
     speed = F.sqrt(velocity[0] * velocity[0] + velocity[1] * velocity[1])
-    used = F.least(speed, F.lit(most))
-    ux = F.when(speed > slow, velocity[0] / speed).otherwise(1.0)
-    uy = F.when(speed > slow, velocity[1] / speed).otherwise(0.0)
+    moves = speed > slow
+    used = F.when(moves, F.least(speed, F.lit(most))).otherwise(0.0)
+    one, none = F.lit(1.0), F.lit(0.0)
+    x0, x1, y0, y1 = (one, none, none, one) if turn is None else (turn[0], turn[3], turn[1], turn[4])  # the box's axes on the ground
+    ux, uy = F.when(moves, velocity[0] / speed).otherwise(x0), F.when(moves, velocity[1] / speed).otherwise(x1)
     shift = 0.5 * used * (front - rear)
     dx, dy = p[0] - (centre[0] + ux * shift), p[1] - (centre[1] + uy * shift)
     along, across = dx * ux + dy * uy, dy * ux - dx * uy
-    a = size[0] / 2 * math.sqrt(2) + 0.5 * used * (front + rear)
-    b = size[1] / 2 * math.sqrt(2)
+    half_u = F.abs(ux * x0 + uy * x1) * (size[0] / 2) + F.abs(ux * y0 + uy * y1) * (size[1] / 2)
+    half_v = F.abs(ux * x1 - uy * x0) * (size[0] / 2) + F.abs(ux * y1 - uy * y0) * (size[1] / 2)
+    a = F.greatest(half_u * math.sqrt(2) + 0.5 * used * (front + rear), F.lit(1e-6))
+    b = F.greatest(half_v * math.sqrt(2) + used * side, F.lit(1e-6))
     return (F.abs(p[2] - centre[2]) <= size[2] / 2) & ((along / a) * (along / a) + (across / b) * (across / b) <= 1)
 
 

@@ -91,7 +91,7 @@ def around(rows: DataFrame, at: Sequence[str], boxes: DataFrame, keys: Sequence[
     half = [F.col(f"s{c}") / 2 for c in XYZ]
     if inflated:  # what a footprint is drawn out to at most, whichever way it moves
         speed = F.least(F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")), F.lit(5.0))
-        wide = F.greatest(half[0], half[1]) * 1.5 + speed * 2.5
+        wide = F.greatest(half[0], half[1]) * 2.01 + speed * 2.5
         half = [wide, wide, half[2]]
     side = float(boxes.agg(F.max(F.greatest(*half))).first()[0] or 0.5) * 2
     each = boxes.select(*keys, F.struct(*[c for c in boxes.columns if c not in keys]).alias("_b"), *[F.sequence(cell(F.col(f"c{c}") - h, side), cell(F.col(f"c{c}") + h, side)).alias(f"_g{c}") for c, h in zip(XYZ, half)])

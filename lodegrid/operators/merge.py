@@ -21,29 +21,32 @@ def union_box(a: dict, b: dict) -> dict:
 
 def merge_peers(boxes: list[dict], distance: float) -> list[dict]:
     """Larger boxes take in others whose centres are within the distance, until nothing changes; boxes of two different
-    known tracks stay apart."""
-    while True:
+    known tracks stay apart. The union has the track that either knows (-1: none) and moves if either does."""
+    while distance > 0:
         boxes = sorted(boxes, key=lambda b: (-(b["sx"] * b["sy"] * b["sz"]), b["box_idx"]))
         kept: list[dict] = []
         for b in boxes:
             for i, k in enumerate(kept):
                 apart = k.get("track_id", -1) >= 0 and b.get("track_id", -1) >= 0 and k["track_id"] != b["track_id"]
                 if not apart and sum((k[f"c{c}"] - b[f"c{c}"]) ** 2 for c in "xyz") <= distance * distance:
-                    kept[i] = union_box(k, b)
+                    kept[i] = union_box(k, b) | {"track_id": max(k.get("track_id", -1), b.get("track_id", -1)), "moves": k.get("moves", False) or b.get("moves", False)}
                     break
             else:
                 kept.append(b)
         if len(kept) == len(boxes):
             return kept
         boxes = kept
+    return boxes
 
 
 def merged_peers(boxes: DataFrame, distance: float) -> DataFrame:
-    """frame_id and the merged boxes of each frame, read frame by frame from a stream of Arrow batches."""
+    """frame_id and the merged boxes of each frame, with track_id and moves where boxes have them, read frame by frame from a
+    stream of Arrow batches."""
+    more = [c for c in ("track_id", "moves") if c in boxes.columns]
 
     def merged(rows: list[dict]) -> pd.DataFrame:
-        out = [(f, *[b[k] for k in BOX]) for f, part in groupby(rows, key=lambda r: r["frame_id"]) for b in merge_peers(list(part), distance)]
-        return pd.DataFrame(out, columns=["frame_id", *BOX])
+        out = [(f, *[b[k] for k in (*BOX, *more)]) for f, part in groupby(rows, key=lambda r: r["frame_id"]) for b in merge_peers(list(part), distance)]
+        return pd.DataFrame(out, columns=["frame_id", *BOX, *more])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
@@ -57,9 +60,9 @@ def merged_peers(boxes: DataFrame, distance: float) -> DataFrame:
         if held:
             yield merged(held)
 
-    schema = "frame_id long, box_idx long, cx double, cy double, cz double, sx double, sy double, sz double"
-    columns = ["frame_id", *BOX, *(["track_id"] if "track_id" in boxes.columns else [])]
-    return boxes.select(*columns).repartition("frame_id").sortWithinPartitions("frame_id", "box_idx").mapInPandas(work, schema)
+    schema = "frame_id long, box_idx long, cx double, cy double, cz double, sx double, sy double, sz double" + "".join(f", {c} {'long' if c == 'track_id' else 'boolean'}" for c in more)
+    known = boxes.withColumns({c: F.coalesce(F.col(c), F.lit(-1).cast("long") if c == "track_id" else F.lit(False)) for c in more})
+    return known.select("frame_id", *BOX, *more).repartition("frame_id").sortWithinPartitions("frame_id", "box_idx").mapInPandas(work, schema)
 
 
 def obb_iou(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:

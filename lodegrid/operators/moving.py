@@ -50,17 +50,20 @@ def largest_part(points: DataFrame, eps: float) -> DataFrame:
 
 
 def suppressed(boxes: DataFrame, most: float = 0.5) -> DataFrame:
-    """Boxes of each frame by falling volume; one goes if a larger one that stays overlaps it by more than `most`.
+    """Boxes of each frame by falling volume; one goes if a larger one that stays overlaps it by more than `most`. Boxes of
+    two different known tracks (track_id, if there is one; -1: none) don't suppress each other.
 
     Which stay depends on which stayed: a fold over a frame's boxes, which are few (clusters of one scan)."""
-    item = F.struct((-(F.col("sx") * F.col("sy") * F.col("sz"))).alias("v"), "box_idx", "cx", "cy", "cz", "sx", "sy", "sz")
+    track = F.coalesce(F.col("track_id"), F.lit(-1)) if "track_id" in boxes.columns else F.lit(-1)
+    item = F.struct((-(F.col("sx") * F.col("sy") * F.col("sz"))).alias("v"), "box_idx", "cx", "cy", "cz", "sx", "sy", "sz", track.cast("long").alias("track"))
     per = boxes.groupBy("frame_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
 
     def part(b: Column) -> tuple:
         return tuple(b[f"c{c}"] for c in "xyz"), tuple(b[f"s{c}"] for c in "xyz")
 
     def step(kept: Column, b: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: overlap(part(k), part(b)) > most), kept).otherwise(F.concat(kept, F.array(b)))
+        apart = lambda k: (k["track"] >= 0) & (b["track"] >= 0) & (k["track"] != b["track"])
+        return F.when(F.exists(kept, lambda k: ~apart(k) & (overlap(part(k), part(b)) > most)), kept).otherwise(F.concat(kept, F.array(b)))
 
     kept = F.aggregate("all", F.slice("all", 1, 0), step)
     return per.select("frame_id", F.explode(kept).alias("b")).select("frame_id", "b.box_idx", *[f"b.{k}{c}" for k in "cs" for c in "xyz"])
@@ -100,24 +103,29 @@ def in_dynamic_box(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     p = vec("mx", "my", "mz")
 
     def hit(b: Column) -> Column:
-        return F.when(b["is_dynamic"], in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0)))).otherwise(in_box(p, *box_of(b)))
+        return in_box(p, *box_of(b)) | (b["is_dynamic"] & in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0))))
 
     inside = F.filter("_boxes", hit)
     some = F.coalesce(F.size(inside), F.lit(0)) > 0
     return around(voxels, ("mx", "my", "mz"), boxes, inflated=True).withColumn("in_box", F.when(some, F.exists(inside, lambda b: b["is_dynamic"]))).drop("_boxes")
 
 
-#: Effective parameters of the score.
-SCORE = {"threshold": 0.40, "w_cluster": 0.2, "w_history": 0.1, "w_shift": 1.0, "min_shift": 0.10, "motion_scale": 0.5, "tier1": 1.0, "memory": 1.2, "free": 1.5}
+#: Effective parameters of the score: fixed values. A voxel in a moving box has to pass `tier1` of the threshold, one that
+#: moved before `memory` of it, and any other `free`; all grow by motion_scale for each metre that the sensor moved.
+SCORE = {"threshold": 0.40, "w_cluster": 0.2, "w_history": 0.1, "w_shift": 1.0, "w_mahalanobis": 0.0, "min_shift": 0.10, "motion_scale": 0.5, "tier1": 0.55, "memory": 0.70, "free": 3.0}
 
 
-def scored(rows: DataFrame, res: float, least_points: float, depth: int, speed: float = 0.0, p: dict = SCORE) -> DataFrame:
+def scored(rows: DataFrame, res: float, least_points: float, depth: int, speed: float | Column = 0.0, p: dict = SCORE) -> DataFrame:
     """rows (n, in_box, shift2, n_static, prev_dynamic; shift2 null: no voxel before) with score and is_dynamic.
 
-    Labelled and thin voxels are static with 0; without a voxel before, being in a moving box decides."""
+    Labelled and thin voxels are static with 0; without a voxel before, being in a moving box decides. With a weight for
+    it, rows have mahalanobis, the shift measured by the covariance of the voxel before (covariance.distance).
+    speed: metres that the sensor moved since the frame before."""
     box = F.coalesce("in_box", F.lit(False))
     base = F.when(box, p["w_cluster"]).otherwise(-p["w_cluster"] / 2)
     shift = p["w_shift"] * F.greatest(F.lit(0.0), F.sqrt("shift2") - p["min_shift"]) / res
+    if p["w_mahalanobis"]:
+        shift = shift + p["w_mahalanobis"] * F.coalesce("mahalanobis", F.lit(0.0))
     score = base + shift - p["w_history"] * F.col("n_static") / depth
     out = F.when(F.col("n") < least_points, 0.0).when(F.col("shift2").isNull(), F.when(box, p["threshold"] + 1).otherwise(0.0)).otherwise(score)
     tier = F.when(box, p["tier1"]).when(F.coalesce("prev_dynamic", F.lit(False)), p["memory"]).otherwise(p["free"])
@@ -137,14 +145,22 @@ def spread_to_neighbours(voxels: DataFrame, weight: float = 0.1, threshold: floa
     return out.withColumn("is_dynamic", F.col("is_dynamic") | F.coalesce(lifted, F.lit(False))).drop("n_moving")
 
 
-def spread_to_boxes(voxels: DataFrame, boxes: DataFrame, ratio: float = 0.3) -> DataFrame:
-    """Boxes of which more than `ratio` of the voxels move are moving, and every voxel that is no wall takes what its boxes
-    say: moving if any is, else static. Without boxes nothing changes."""
-    counts = box_counts(voxels, boxes).withColumn("moves", F.col("n_dynamic") > ratio * F.col("n"))
-    b = boxes.drop("is_dynamic").join(counts.select("box_idx", "moves"), "box_idx").withColumnRenamed("moves", "is_dynamic")
-    flags = in_dynamic_box(voxels, b)
+def spread_to_boxes(voxels: DataFrame, boxes: DataFrame, ratio: float = 0.3, scale: float = 1.0) -> DataFrame:
+    """Boxes of which more than `ratio` (times scale) of the voxels move are moving, and every voxel that is no wall takes
+    what its boxes say. Boxes that it is in decide alone: moving if any is. What moving boxes are drawn out to counts only
+    outside all boxes; what is in neither is static. A settled box (column locked, if there is one) keeps its is_dynamic;
+    a box without voxels is resting. Without boxes nothing changes."""
+    settled = F.col("locked") & F.col("is_dynamic") if "locked" in boxes.columns else F.lit(False)
+    free = ~F.col("locked") if "locked" in boxes.columns else F.lit(True)
+    counts = box_counts(voxels, boxes).withColumn("share", F.col("n_dynamic") > ratio * scale * F.col("n"))
+    known = boxes.join(counts.select("box_idx", "share"), "box_idx").withColumn("is_dynamic", (free & F.col("share")) | settled)
+    p = vec("mx", "my", "mz")
+    near = around(voxels, ("mx", "my", "mz"), known.drop("share"), inflated=True)
+    inside = F.filter("_boxes", lambda b: in_box(p, *box_of(b)))
+    drawn = F.exists("_boxes", lambda b: b["is_dynamic"] & in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0))))
+    said = F.when(F.size(inside) > 0, F.exists(inside, lambda b: b["is_dynamic"])).otherwise(drawn)
     some = F.lit(bool(boxes.take(1)))
-    return flags.withColumn("is_dynamic", F.when(F.col("is_wall") | ~some, F.col("is_dynamic")).otherwise(F.coalesce("in_box", F.lit(False)))).drop("in_box")
+    return near.withColumn("is_dynamic", F.when(F.col("is_wall") | ~some, F.col("is_dynamic")).otherwise(F.coalesce(said, F.lit(False)))).drop("_boxes")
 
 
 def hysteresis(rows: DataFrame, permanent: int = 10) -> DataFrame:
@@ -172,8 +188,9 @@ def overlap_of(a: dict, b: dict) -> float:
 TRACK_SCHEMA = "seq_id long, frame_id long, box_idx long, track_id long, age long, vx double, vy double, vz double"
 
 
-def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float, least: float, most_missed: int) -> tuple[list[dict], list[tuple], int]:
-    """One frame: pairs of tracks and boxes within the gate, by falling overlap, each used once; speeds are smoothed."""
+def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float, least: float, most_missed: int, dt: float) -> tuple[list[dict], list[tuple], int]:
+    """One frame, dt seconds after the one before: pairs of tracks and boxes within the gate, by falling overlap, each used
+    once; speeds, in metres a second, are smoothed (and stay where no time went by)."""
 
     flat = lambda b: (b["cx"], b["cy"], b["cz"], b["sx"], b["sy"], b["sz"])
     near, pairs, gate2 = [(j, b["box_idx"], flat(b)) for j, b in enumerate(boxes)], [], gate * gate
@@ -196,8 +213,9 @@ def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float,
     for j, b in enumerate(boxes):
         if j in used_b:
             t = tracks[used_b[j]]
-            for c in "xyz":
-                t[f"v{c}"] = 0.6 * t[f"v{c}"] + 0.4 * (b[f"c{c}"] - t[f"c{c}"])
+            if dt > 0:
+                for c in "xyz":
+                    t[f"v{c}"] = 0.6 * t[f"v{c}"] + 0.4 * (b[f"c{c}"] - t[f"c{c}"]) / dt
             t |= {k: b[k] for k in ("cx", "cy", "cz", "sx", "sy", "sz")} | {"age": t["age"] + 1, "missed": 0}
         else:
             t = {k: b[k] for k in ("cx", "cy", "cz", "sx", "sy", "sz")} | {"id": next_id, "age": 1, "missed": 0, "vx": 0.0, "vy": 0.0, "vz": 0.0}
@@ -211,9 +229,19 @@ def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float,
     return [t for t in tracks if t["missed"] <= most_missed], out, next_id
 
 
-def tracked(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_missed: int = 5) -> DataFrame:
-    """seq_id, frame_id, box_idx with the track that each box belongs to. A frame depends on the one before: one group per
-    sequence, read frame by frame from a stream of Arrow batches, so that only the live tracks are held."""
+#: Seconds between frames where they have no stamps.
+PERIOD = 0.1
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """rows with stamp, in seconds: their own, else that of frames of one PERIOD."""
+    return rows if "stamp" in rows.columns else rows.withColumn("stamp", F.col("frame_id") * PERIOD)
+
+
+def tracked(boxes: DataFrame, gate: float = 1.5, least: float = 0.2, most_missed: int = 5) -> DataFrame:
+    """seq_id, frame_id, box_idx with the track that each box belongs to and its velocity, in metres a second by the frames'
+    stamps (column stamp, in seconds; else PERIOD). A frame depends on the one before: one group per sequence, read frame
+    by frame from a stream of Arrow batches, so that only the live tracks are held."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
@@ -222,9 +250,11 @@ def tracked(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_missed
         def frames(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
             for (seq, frame_id), part in groupby(rows.to_dict("records"), key=lambda r: (r["seq_id"], r["frame_id"])):
+                part = list(part)
                 if state.get("seq") != seq:
-                    state.update(seq=seq, tracks=[], next=0)
-                state["tracks"], found, state["next"] = track_step(state["tracks"], list(part), state["next"], gate, least, most_missed)
+                    state.update(seq=seq, tracks=[], next=0, stamp=part[0]["stamp"])
+                state["tracks"], found, state["next"] = track_step(state["tracks"], part, state["next"], gate, least, most_missed, part[0]["stamp"] - state["stamp"])
+                state["stamp"] = part[0]["stamp"]
                 out += [(seq, frame_id, *f) for f in found]
             return pd.DataFrame(out, columns=["seq_id", "frame_id", "box_idx", "track_id", "age", "vx", "vy", "vz"])
 
@@ -237,5 +267,5 @@ def tracked(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_missed
         if held is not None and len(held):
             yield frames(held)
 
-    columns = ["seq_id", "frame_id", "box_idx", *[f"{k}{c}" for k in "cs" for c in "xyz"]]
-    return boxes.select(*columns).repartition("seq_id").sortWithinPartitions("seq_id", "frame_id", "box_idx").mapInPandas(work, TRACK_SCHEMA)
+    columns = ["seq_id", "frame_id", "stamp", "box_idx", *[f"{k}{c}" for k in "cs" for c in "xyz"]]
+    return stamped(boxes).select(*columns).repartition("seq_id").sortWithinPartitions("seq_id", "frame_id", "box_idx").mapInPandas(work, TRACK_SCHEMA)

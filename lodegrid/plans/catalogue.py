@@ -207,6 +207,12 @@ def intensity_statistics(spark, d):
 
 # Boxes
 
+#: Footprints of boxes drawn out along their velocity: the heading (hx, hy) of those over 0.05 m/s, else the x-axis; half sides as
+#: seen along and across it, times the root of 2; 2.5, 0.35 and 0.5 m for each m/s (5 at most) to the front, rear and sides.
+INFLATED = f"""heading AS (SELECT *, sqrt(vx * vx + vy * vy) AS v FROM boxes), h AS (SELECT *, CASE WHEN v > 0.05::DOUBLE THEN least(v, 5.0::DOUBLE) ELSE 0 END AS w, CASE WHEN v > 0.05::DOUBLE THEN vx / v ELSE 1 END AS hx, CASE WHEN v > 0.05::DOUBLE THEN vy / v ELSE 0 END AS hy FROM heading),
+inf AS (SELECT *, cx + hx * (0.5::DOUBLE * w * 2.15::DOUBLE) AS ex, cy + hy * (0.5::DOUBLE * w * 2.15::DOUBLE) AS ey, (abs(hx) * (sx / 2) + abs(hy) * (sy / 2)) * {2 ** 0.5!r}::DOUBLE + 0.5::DOUBLE * w * 2.85::DOUBLE AS ra, (abs(hy) * (sx / 2) + abs(hx) * (sy / 2)) * {2 ** 0.5!r}::DOUBLE + w * 0.5::DOUBLE AS rb FROM h)"""
+ELLIPSE = "(abs(mz - cz) <= sz / 2 AND (((mx - ex) * hx + (my - ey) * hy) / ra) * (((mx - ex) * hx + (my - ey) * hy) / ra) + (((my - ey) * hx - (mx - ex) * hy) / rb) * (((my - ey) * hx - (mx - ex) * hy) / rb) <= 1)"
+
 
 @query(f"WITH {A.POINTS}, {A.BOXES}, p AS (SELECT * FROM pts WHERE {RANGE}), h AS (SELECT frame_id, point_id, min(box_idx) AS b FROM p JOIN boxes ON {IN_BOX} GROUP BY ALL), s AS (SELECT p.frame_id, p.point_id, h.b, {cells(2.0)} FROM p LEFT JOIN h USING (frame_id, point_id)) SELECT frame_id, count(*) AS n_points, count(DISTINCT (ix, iy, iz)) AS n_voxels, count(b) AS n_removed FROM s GROUP BY frame_id")
 def static_split(spark, d):
@@ -223,9 +229,7 @@ def box_removed_counts(spark, d):
     return joins.first_box(A.points(spark, d), A.boxes(spark)).where("box_idx IS NOT NULL").groupBy("box_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {A.POINTS}, {A.BOXES}, b AS (SELECT *, sqrt(vx * vx + vy * vy) AS v FROM boxes), e AS (SELECT *, least(v, 5.0::DOUBLE) AS w, CASE WHEN v > 0.1 THEN vx / v ELSE 1 END AS dx, CASE WHEN v > 0.1 THEN vy / v ELSE 0 END AS dy FROM b),
-f AS (SELECT *, cx + dx * (0.5::DOUBLE * w * 2.0::DOUBLE) AS ex, cy + dy * (0.5::DOUBLE * w * 2.0::DOUBLE) AS ey, sx / 2 * {2 ** 0.5!r}::DOUBLE + 0.5::DOUBLE * w * 3.0::DOUBLE AS ra, sy / 2 * {2 ** 0.5!r}::DOUBLE AS rb FROM e)
-SELECT frame_id, count(DISTINCT point_id) AS n FROM pts JOIN f ON abs(z - cz) <= sz / 2 AND (((x - ex) * dx + (y - ey) * dy) / ra) * (((x - ex) * dx + (y - ey) * dy) / ra) + (((y - ey) * dx - (x - ex) * dy) / rb) * (((y - ey) * dx - (x - ex) * dy) / rb) <= 1 GROUP BY frame_id""")
+@query(f"WITH {A.POINTS}, {A.BOXES}, {INFLATED} SELECT frame_id, count(DISTINCT point_id) AS n FROM (SELECT *, x AS mx, y AS my, z AS mz FROM pts) JOIN inf ON {ELLIPSE} GROUP BY frame_id")
 def inflated_box_split(spark, d):
     """F11, J5"""
     return joins.split(A.points(spark, d), A.boxes(spark).drop("is_dynamic"), True).where("is_dynamic").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
@@ -401,32 +405,28 @@ def cluster_ratio(spark, d):
     return moving.box_counts(flagged(spark, d), A.boxes(spark))
 
 
-ELLIPSE = f"(abs(mz - cz) <= sz / 2 AND (((mx - ex) * dx + (my - ey) * dy) / ra) * (((mx - ex) * dx + (my - ey) * dy) / ra) + (((my - ey) * dx - (mx - ex) * dy) / rb) * (((my - ey) * dx - (mx - ex) * dy) / rb) <= 1)"
-INFLATED = f"""e AS (SELECT *, least(v, 5.0::DOUBLE) AS w, CASE WHEN v > 0.1 THEN vx / v ELSE 1 END AS dx, CASE WHEN v > 0.1 THEN vy / v ELSE 0 END AS dy FROM (SELECT *, sqrt(vx * vx + vy * vy) AS v FROM boxes)),
-inf AS (SELECT *, cx + dx * (0.5::DOUBLE * w * 2.0::DOUBLE) AS ex, cy + dy * (0.5::DOUBLE * w * 2.0::DOUBLE) AS ey, sx / 2 * {2 ** 0.5!r}::DOUBLE + 0.5::DOUBLE * w * 3.0::DOUBLE AS ra, sy / 2 * {2 ** 0.5!r}::DOUBLE AS rb FROM e)"""
-
-
 @query(f"""WITH {A.POINTS}, {FLAGGED}, {A.BOXES}, {INFLATED}, r AS (SELECT box_idx, count(*) FILTER (WHERE fl.is_dynamic) > 0.3::DOUBLE * count(*) AS moves FROM fl JOIN boxes ON {MEAN_IN_BOX} GROUP BY box_idx),
+base AS (SELECT frame_id, ix, iy, iz, bool_or(r.moves) AS moves FROM fl JOIN boxes ON {MEAN_IN_BOX} JOIN r USING (box_idx) GROUP BY ALL),
 i AS (SELECT DISTINCT frame_id, ix, iy, iz FROM fl JOIN inf ON {ELLIPSE} JOIN r ON r.box_idx = inf.box_idx AND r.moves)
-SELECT fl.frame_id, fl.ix, fl.iy, fl.iz, CASE WHEN is_wall THEN is_dynamic ELSE i.frame_id IS NOT NULL END AS is_dynamic FROM fl LEFT JOIN i USING (frame_id, ix, iy, iz)""")
+SELECT fl.frame_id, fl.ix, fl.iy, fl.iz, CASE WHEN is_wall THEN is_dynamic ELSE coalesce(base.moves, i.frame_id IS NOT NULL) END AS is_dynamic FROM fl LEFT JOIN base USING (frame_id, ix, iy, iz) LEFT JOIN i USING (frame_id, ix, iy, iz)""")
 def cluster_propagation(spark, d):
-    """Voxels outside all boxes become static"""
+    """Boxes that a voxel is in decide, then what moving ones are drawn out to; other voxels become static"""
     return moving.spread_to_boxes(flagged(spark, d), A.boxes(spark)).select("frame_id", *cloud.CELL, "is_dynamic")
 
 
-@query(f"""WITH {A.POINTS}, {FLAGGED}, {A.BOXES}, {INFLATED}, ib AS (SELECT frame_id, ix, iy, iz, bool_or(inf.is_dynamic) AS in_box FROM fl JOIN inf ON CASE WHEN inf.is_dynamic THEN {ELLIPSE} ELSE {MEAN_IN_BOX} END GROUP BY ALL),
-hs AS (SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) FILTER (WHERE NOT b.is_dynamic) AS n_static FROM fl a LEFT JOIN fl b ON a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz AND b.frame_id BETWEEN a.frame_id - 5 AND a.frame_id - 1 GROUP BY ALL),
+@query(f"""WITH {A.POINTS}, {FLAGGED}, {A.BOXES}, {INFLATED}, ib AS (SELECT frame_id, ix, iy, iz, bool_or(inf.is_dynamic) AS in_box FROM fl JOIN inf ON {MEAN_IN_BOX} OR (inf.is_dynamic AND {ELLIPSE}) GROUP BY ALL),
+hs AS (SELECT a.frame_id, a.ix, a.iy, a.iz, count(*) FILTER (WHERE NOT b.is_dynamic) AS n_static FROM fl a LEFT JOIN fl b ON a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz AND b.frame_id BETWEEN a.frame_id - 4 AND a.frame_id - 1 GROUP BY ALL),
 p AS (SELECT a.frame_id, a.ix, a.iy, a.iz, a.n, coalesce(ib.in_box, false) AS box, hs.n_static, b.is_dynamic AS prev, (a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my) + (a.mz - b.mz) * (a.mz - b.mz) AS s2 FROM fl a JOIN hs USING (frame_id, ix, iy, iz) LEFT JOIN ib USING (frame_id, ix, iy, iz) LEFT JOIN fl b ON b.frame_id + 1 = a.frame_id AND a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz),
-s AS (SELECT *, CASE WHEN n < 3 THEN 0.0::DOUBLE WHEN s2 IS NULL THEN CASE WHEN box THEN 0.4::DOUBLE + 1 ELSE 0 END ELSE CASE WHEN box THEN 0.2::DOUBLE ELSE -0.2::DOUBLE / 2 END + 1.0::DOUBLE * greatest(0.0::DOUBLE, sqrt(s2) - 0.1::DOUBLE) / 4.0::DOUBLE - 0.1::DOUBLE * n_static / 5 END AS sc FROM p)
-SELECT frame_id, ix, iy, iz, floor(sc * 1000000 + 0.5)::BIGINT AS score, n >= 3 AND (s2 IS NOT NULL OR box) AND sc > 0.4::DOUBLE * 1.0 * CASE WHEN box THEN 1.0::DOUBLE WHEN coalesce(prev, false) THEN 1.2::DOUBLE ELSE 1.5::DOUBLE END AS is_dynamic FROM s""")
+s AS (SELECT *, CASE WHEN n < 3 THEN 0.0::DOUBLE WHEN s2 IS NULL THEN CASE WHEN box THEN 0.4::DOUBLE + 1 ELSE 0 END ELSE CASE WHEN box THEN 0.2::DOUBLE ELSE -0.2::DOUBLE / 2 END + 1.0::DOUBLE * greatest(0.0::DOUBLE, sqrt(s2) - 0.1::DOUBLE) / 4.0::DOUBLE - 0.1::DOUBLE * n_static / 4 END AS sc FROM p)
+SELECT frame_id, ix, iy, iz, floor(sc * 1000000 + 0.5)::BIGINT AS score, n >= 3 AND (s2 IS NOT NULL OR box) AND sc > 0.4::DOUBLE * 1.0 * CASE WHEN box THEN 0.55::DOUBLE WHEN coalesce(prev, false) THEN 0.7::DOUBLE ELSE 3.0::DOUBLE END AS is_dynamic FROM s""")
 def voxel_scores(spark, d):
     """The score of one step, with what the frame before says about its voxels given"""
     vox = flagged(spark, d)
-    rows = moving.in_dynamic_box(joins.history_hits(vox, 5), A.boxes(spark))
+    rows = moving.in_dynamic_box(joins.history_hits(vox, 4), A.boxes(spark))
     before = vox.select((F.col("frame_id") + 1).alias("frame_id"), *cloud.CELL, *[F.col(m).alias(f"p{m}") for m in ("mx", "my", "mz")], F.col("is_dynamic").alias("prev_dynamic"))
     rows = rows.join(before, ["frame_id", *cloud.CELL], "left")
     shift2 = sum(((F.col(m) - F.col(f"p{m}")) * (F.col(m) - F.col(f"p{m}")) for m in ("my", "mz")), (F.col("mx") - F.col("pmx")) * (F.col("mx") - F.col("pmx")))
-    out = moving.scored(rows.withColumn("shift2", shift2), 4.0, 3, 5)
+    out = moving.scored(rows.withColumn("shift2", shift2), 4.0, 3, 4)
     return out.select("frame_id", *cloud.CELL, F.floor(F.col("score") * 1000000 + 0.5).cast("long").alias("score"), "is_dynamic")
 
 
@@ -832,9 +832,10 @@ def stream_accept(spark, d):
 
 
 def sequences(spark, d) -> DataFrame:
-    """Points of 5 sequences of 10 frames."""
+    """Points of sequences of 10 frames, a frame of 300 orders: more of them in a larger table."""
     pts = A.points(spark, d)
-    return pts.withColumns({"seq_id": F.col("frame_id") % 5, "frame_id": F.floor(F.col("frame_id") / 5).cast("long")})
+    order = F.floor(F.col("point_id") / 1000).cast("long")
+    return pts.withColumns({"seq_id": F.floor(order / 3000).cast("long"), "frame_id": F.floor(order / 300).cast("long") % 10})
 
 
 @query()

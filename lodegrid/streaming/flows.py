@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.moving import track_step
+from ..operators.moving import stamped, track_step
 
 BOX = ["frame_id", "box_idx", "cx", "cy", "cz", "sx", "sy", "sz"]
 
@@ -40,25 +40,27 @@ def accepted_stamps(rows: DataFrame) -> DataFrame:
     return rows.groupBy("seq_id").applyInPandasWithState(step, "seq_id long, id long, us long, accepted boolean", "last long", "append", "NoTimeout")
 
 
-def tracked_boxes(boxes: DataFrame, gate: float = 5.0, least: float = 0.2, most_missed: int = 5) -> DataFrame:
+def tracked_boxes(boxes: DataFrame, gate: float = 1.5, least: float = 0.2, most_missed: int = 5) -> DataFrame:
     """The tracker over a stream of boxes (seq_id, frame_id, ...): the same step as in batch; the state is the live tracks."""
     names = ["id", "age", "missed", "vx", "vy", "vz", "cx", "cy", "cz", "sx", "sy", "sz"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_id, *held = state.get if state.exists else (0, *[[] for _ in names])
+        next_id, last, *held = state.get if state.exists else (0, None, *[[] for _ in names])
         tracks = [dict(zip(names, t)) for t in zip(*held)]
         for t in tracks:
             t |= {k: int(t[k]) for k in ("id", "age", "missed")}
         rows = pd.concat(list(batches))
         out = []
         for frame_id, part in rows.groupby("frame_id", sort=True):
-            tracks, found, next_id = track_step(tracks, part.sort_values("box_idx").to_dict("records"), next_id, gate, least, most_missed)
+            stamp = float(part["stamp"].iloc[0])
+            tracks, found, next_id = track_step(tracks, part.sort_values("box_idx").to_dict("records"), next_id, gate, least, most_missed, 0.0 if last is None else stamp - last)
+            last = stamp
             out += [(key[0], frame_id, *f) for f in found]
-        state.update((int(next_id), *[[float(t[n]) for t in tracks] for n in names]))
+        state.update((int(next_id), last, *[[float(t[n]) for t in tracks] for n in names]))
         yield pd.DataFrame(out, columns=["seq_id", "frame_id", "box_idx", "track_id", "age", "vx", "vy", "vz"])
 
-    schema = "next_id long, " + ", ".join(f"{n} array<double>" for n in names)
-    return boxes.select("seq_id", *BOX).groupBy("seq_id").applyInPandasWithState(step, "seq_id long, frame_id long, box_idx long, track_id long, age long, vx double, vy double, vz double", schema, "append", "NoTimeout")
+    schema = "next_id long, last double, " + ", ".join(f"{n} array<double>" for n in names)
+    return stamped(boxes).select("seq_id", "stamp", *BOX).groupBy("seq_id").applyInPandasWithState(step, "seq_id long, frame_id long, box_idx long, track_id long, age long, vx double, vy double, vz double", schema, "append", "NoTimeout")
 
 
 def static_counts(points: DataFrame, res: float, late: str = "10 seconds", window: str = "1 second") -> DataFrame:

@@ -78,12 +78,12 @@ def test_moving_object_is_rejected(spark):
     rows = []
     for f in range(3):
         still = np.concatenate([np.column_stack([rng.uniform(0, 20, (200, 2)), np.zeros(200)]), rng.uniform(0, 1, (60, 3)) * [1, 1, 2] + [3, 3, 1]])
-        car = rng.uniform(0, 1, (80, 3)) * [1.5, 1, 1] + [8 + 0.9 * f, 12, 1]
+        car = rng.uniform(0, 1, (80, 3)) * [1.5, 1, 1] + [8 + 1.4 * f, 12, 1]
         rows += [(f, i, *map(float, p)) for i, p in enumerate(np.concatenate([still, car]))]
     out = rejection.rejected(spark.createDataFrame(rows, P), 1.0, 0.5, 1.6, 2, 2).where("frame_id > 0").collect()
     car = [r["is_dynamic"] for r in out if r["point_id"] >= 260]
-    still = [r["is_dynamic"] for r in out if r["point_id"] < 200]
-    assert len(out) == 2 * 340 and sum(still) == 0 and sum(car) > 0
+    still = [r["is_dynamic"] for r in out if r["point_id"] < 260]
+    assert len(out) == 2 * 340 and sum(still) == 0 and sum(car) > 0.4 * len(car)
 
 
 def test_hooks(spark):

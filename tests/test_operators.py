@@ -149,7 +149,7 @@ def test_tracks_follow_and_expire(spark):
     rows = [box(0, f, 0, f * 0.5) for f in (0, 1, 2, 5)] + [box(0, 0, 1, 50)] + [box(0, 20, 0, 4)] + [box(7, 0, 0, 0)]
     boxes = spark.createDataFrame(rows, "seq_id long, frame_id long, box_idx long, cx double, cy double, cz double, sx double, sy double, sz double")
     got = {(r["seq_id"], r["frame_id"], r["box_idx"]): (r["track_id"], r["age"], round(r["vx"], 6)) for r in moving.tracked(boxes).collect()}
-    assert got[0, 0, 0] == (0, 1, 0.0) and got[0, 0, 1] == (1, 1, 0.0) and got[0, 1, 0] == (0, 2, 0.2) and got[0, 2, 0] == (0, 3, 0.32)
+    assert got[0, 0, 0] == (0, 1, 0.0) and got[0, 0, 1] == (1, 1, 0.0) and got[0, 1, 0] == (0, 2, 2.0) and got[0, 2, 0] == (0, 3, 3.2)
     assert got[0, 5, 0][0] == 0 and got[7, 0, 0] == (0, 1, 0.0)
 
 
