@@ -206,6 +206,37 @@ def is_compact(size: Vec, thin: float = 1e-3, ratio: float = 5.0) -> Column:
     return (s[0] >= thin) & (s[2] < ratio * s[1])
 
 
+#: Entries of a symmetric 3x3 matrix in the order in which functions take them.
+SIX = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def inverse3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> list[Column]:
+    """The inverse of a symmetric 3x3 matrix (its six entries); nulls where its determinant is 0."""
+    a, b, c = yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy
+    det = xx * a + xy * b + xz * c
+    return [F.when(det != 0, v / det) for v in (a, b, c, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy)]
+
+
+def form3(m: Sequence[Column], d: Vec) -> Column:
+    """d' M d of a symmetric 3x3 matrix."""
+    return m[0] * d[0] * d[0] + m[3] * d[1] * d[1] + m[5] * d[2] * d[2] + 2 * (m[1] * d[0] * d[1] + m[2] * d[0] * d[2] + m[4] * d[1] * d[2])
+
+
+def mahalanobis(d: Vec, cov: Sequence[Column], least: float = 1e-6) -> Column:
+    """Length of d as measured by a covariance (its six entries), which gets `least` on its diagonal; 0 where that has no
+    inverse."""
+    grown = [c + least if k in ("xx", "yy", "zz") else c for k, c in zip(SIX, cov)]
+    return F.coalesce(F.sqrt(F.greatest(form3(inverse3(*grown), d), F.lit(0.0))), F.lit(0.0))
+
+
+def turned3(pose: Column, m: Sequence[Column]) -> list[Column]:
+    """R M R' for the turn of a 4x4 matrix column and a symmetric matrix (six entries)."""
+    full = [[m[0], m[1], m[2]], [m[1], m[3], m[4]], [m[2], m[4], m[5]]]
+    r = [[pose[4 * i + j] for j in range(3)] for i in range(3)]
+    half = [[r[i][0] * full[0][j] + r[i][1] * full[1][j] + r[i][2] * full[2][j] for j in range(3)] for i in range(3)]
+    return [half[i][0] * r[j][0] + half[i][1] * r[j][1] + half[i][2] * r[j][2] for i in range(3) for j in range(i, 3)]
+
+
 def eigen3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> list[Column]:
     """Eigenvalues of a symmetric 3x3 matrix, ascending, in closed form."""
     q = (xx + yy + zz) / 3

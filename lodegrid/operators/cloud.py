@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cell, finite, in_box, lits, moved, norm2, vec
+from ..functions.geometry import SIX, cell, finite, in_box, lits, moved, norm2, vec
 
 XYZ = ("x", "y", "z")
 CELL = ("ix", "iy", "iz")
@@ -61,25 +61,48 @@ def units(c: Column) -> Column:
     return F.floor(c * UNIT + 0.5).cast("long")
 
 
-def voxelise(points: DataFrame, res: float, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
+#: Names of a covariance's columns; of a voxel's sums of them, in millionths; and of its sums of products of coordinates.
+COV, COV_SUMS, PRODUCTS = (tuple(f"{k}{p}" for p in SIX) for k in "cvu")
+
+
+def voxelise(points: DataFrame, res: float, keys: Sequence[str] = ("frame_id",), spread: bool = False) -> DataFrame:
     """One row per frame and cell: n, sums in millionths (ux, uy, uz), mean (mx, my, mz), max_intensity, unset flags and score.
+    Points with a covariance (COV) add it up, too: vxx to vzz, in millionths, and cxx to czz, the mean.
 
+    spread: also the sums of products of coordinates, counted from the cell's lower corner (uxx to uzz, in millionths).
     Counts and sums are partial aggregates that merge, so a finished cell can take more points by adding rows up."""
-    has = "intensity" in points.columns
-    out = with_cell(points, res).groupBy(*keys, *CELL).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(units(F.col(c))).alias(f"u{c}") for c in XYZ], *([F.max("intensity").alias("max_intensity")] if has else [])
+    has, own = "intensity" in points.columns, all(c in points.columns for c in COV)
+    celled = with_cell(points, res)
+    within = {c: F.col(c) - F.col(i) * res for c, i in zip(XYZ, CELL)}
+    products = [F.sum(units(within[p[0]] * within[p[1]])).alias(f"u{p}") for p in SIX] if spread else []
+    covs = [F.sum(units(F.col(c))).alias(v) for c, v in zip(COV, COV_SUMS)] if own else []
+    out = celled.groupBy(*keys, *CELL).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(units(F.col(c))).alias(f"u{c}") for c in XYZ], *products, *covs, *([F.max("intensity").alias("max_intensity")] if has else [])
     )
-    out = out.withColumns({f"m{c}": F.col(f"u{c}") / F.col("n") / UNIT for c in XYZ})
+    out = with_means(out)
     return out.withColumns({k: F.lit(False) for k in ("is_dynamic", "is_wall", "is_ground", "is_outlier")} | {"score": F.lit(0.0)})
 
 
+def with_means(voxels: DataFrame) -> DataFrame:
+    """Voxels with the means of what they have sums of: places, and covariances if there are any."""
+    means = {f"m{c}": F.col(f"u{c}") / F.col("n") / UNIT for c in XYZ}
+    means |= {c: F.col(v) / F.col("n") / UNIT for c, v in zip(COV, COV_SUMS) if v in voxels.columns}
+    return voxels.withColumns(means)
+
+
+def scatter(voxels: DataFrame, res: float) -> DataFrame:
+    """Voxels (voxelise with spread) with cxx to czz, the covariance of the places of their own points."""
+    within = {c: F.col(f"u{c}") / F.col("n") / UNIT - F.col(i) * res for c, i in zip(XYZ, CELL)}
+    return voxels.withColumns({f"c{p}": F.col(f"u{p}") / F.col("n") / UNIT - within[p[0]] * within[p[1]] for p in SIX})
+
+
 def merged_voxels(*parts: DataFrame) -> DataFrame:
-    """Voxels of several maps as one: sums of counts and sums."""
+    """Voxels of several maps as one: sums of counts and sums, of covariances and products as well where all have them."""
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    out = both.groupBy("frame_id", *CELL).agg(F.sum("n").alias("n"), *[F.sum(f"u{c}").alias(f"u{c}") for c in XYZ])
-    return out.withColumns({f"m{c}": F.col(f"u{c}") / F.col("n") / UNIT for c in XYZ})
+    more = [c for c in (*PRODUCTS, *COV_SUMS) if c in both.columns]
+    return with_means(both.groupBy("frame_id", *CELL).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("ux", "uy", "uz", *more)]))
 
 
 def members(points: DataFrame, voxels: DataFrame, res: float) -> DataFrame:

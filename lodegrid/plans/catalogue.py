@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import clock, cloud, graph, ground, joins, moving
+from ..operators.graph import checkpointed
 from ..sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,10 +136,38 @@ def bounded_queue(spark, d):
 # Aggregates
 
 
-@query(f"WITH {A.POINTS}, {voxels_sql(2.0, more=', max(intensity) AS max_intensity')} SELECT frame_id, ix, iy, iz, n, ux, uy, uz, max_intensity + 0.0::DOUBLE AS max_intensity FROM vox")
+def products_sql(res: float) -> str:
+    within = {c: f"({c} - i{c} * {res}::DOUBLE)" for c in "xyz"}
+    return "".join(f", sum({u(f'({within[p[0]]} * {within[p[1]]})')})::BIGINT AS u{p}" for p in G.SIX)
+
+
+@query(f"WITH {A.POINTS}, {voxels_sql(2.0, more=', max(intensity) AS max_intensity' + products_sql(2.0))} SELECT frame_id, ix, iy, iz, n, ux, uy, uz, {', '.join(cloud.PRODUCTS)}, max_intensity + 0.0::DOUBLE AS max_intensity FROM vox")
 def voxel_aggregate(spark, d):
-    """A1, A2"""
-    return cloud.voxelise(A.points(spark, d), 2.0).select("frame_id", *cloud.CELL, "n", "ux", "uy", "uz", "max_intensity")
+    """A1, A2: counts, sums of places and of their products"""
+    return cloud.voxelise(A.points(spark, d), 2.0, spread=True).select("frame_id", *cloud.CELL, "n", "ux", "uy", "uz", *cloud.PRODUCTS, "max_intensity")
+
+
+#: Points with a covariance of their own, out of their numbers.
+CARRIED = "car AS (SELECT *, x / 10 AS cxx, z / 20 AS cxy, intensity AS cxz, y / 10 AS cyy, intensity / 2 AS cyz, z / 10 AS czz FROM pts)"
+
+
+def carried(spark, d) -> DataFrame:
+    c = F.col
+    return A.points(spark, d).withColumns({"cxx": c("x") / 10, "cxy": c("z") / 20, "cxz": c("intensity"), "cyy": c("y") / 10, "cyz": c("intensity") / 2, "czz": c("z") / 10})
+
+
+@query(f"WITH {A.POINTS}, {CARRIED}, {voxels_sql(2.0, source='car', more=''.join(f', sum({u(c)})::BIGINT AS {v}' for c, v in zip(cloud.COV, cloud.COV_SUMS)))} SELECT frame_id, ix, iy, iz, n, {', '.join(cloud.COV_SUMS)} FROM vox")
+def voxel_covariances(spark, d):
+    """A1: sums of the points' own covariances"""
+    return cloud.voxelise(carried(spark, d), 2.0).select("frame_id", *cloud.CELL, "n", *cloud.COV_SUMS)
+
+
+@query(f"WITH {A.POINTS}, {CARRIED}, {voxels_sql(2.0, source='car', more=''.join(f', sum({u(c)})::BIGINT AS {v}' for c, v in zip(cloud.COV, cloud.COV_SUMS)))} SELECT frame_id, point_id, n, {', '.join(f'floor({v}::DOUBLE / n / 1000000.0::DOUBLE * 1000 + 0.5)::BIGINT AS {c}' for c, v in zip(cloud.COV, cloud.COV_SUMS))} FROM (SELECT frame_id, point_id, {cells(2.0)} FROM pts) JOIN vox USING (frame_id, ix, iy, iz)")
+def voxel_member_covariances(spark, d):
+    """A3: every point with its voxel's covariance, in thousandths"""
+    pts = carried(spark, d)
+    members = cloud.members(pts.drop(*cloud.COV), cloud.voxelise(pts, 2.0).drop("max_intensity"), 2.0)
+    return members.select("frame_id", "point_id", "n", *[F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in cloud.COV])
 
 
 @query(f"WITH {A.POINTS}, {voxels_sql(4.0)} SELECT frame_id, mx, my, mz FROM vox")
@@ -694,6 +723,17 @@ def registration(spark, d):
     return spark.createDataFrame([(*[float(v) for v in pose.ravel()], float(error))], ", ".join([f"p{i} double" for i in range(16)] + ["error double"]))
 
 
+@query()
+def distribution_registration(spark, d):
+    """Lays each label's vectors, moved apart, on themselves by covariances, coarse to fine; tested against numpy"""
+    from ..operators import registration as R
+
+    pts = A.vectors(spark, d)
+    known = checkpointed(R.with_covariances(pts, ground.normals(pts, joins.knn(pts, 8, 8.0)), 0.05))
+    found = R.aligned(known.withColumns({"x": F.col("x") + 0.5, "y": F.col("y") - 0.25}), known, (8.0, 4.0))
+    return found.select("frame_id", "n", "cost", *[F.col("pose")[k].alias(f"p{k}") for k in range(16)])
+
+
 # Motion, merges, formats and streams
 
 
