@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import SIX, flattened, moved_by, turned3, vec
 from .cloud import CELL, COV, XYZ, voxelise, with_cell
-from .graph import checkpointed, rotation
+from .graph import stored, rotation
 
 #: Entries of a step's sums: the upper triangle of H by rows, b, the cost and the number of points.
 UPPER = [(a, b) for a in range(6) for b in range(a, 6)]
@@ -115,7 +115,7 @@ def aligned(source: DataFrame, target: DataFrame, levels: Sequence[float] = (2.0
     start = frames.withColumn("pose", unit) if poses is None else frames.join(poses.select("frame_id", F.col("pose").alias("_p")), "frame_id", "left").select("frame_id", F.coalesce("_p", unit).alias("pose"))
     none = F.lit(None).cast("array<double>")
     state = start.select("frame_id", "pose", F.col("pose").alias("best"), none.alias("sums"), F.lit(1e-5).alias("damping"), F.lit(False).alias("settled"))
-    state = checkpointed(state)
+    state = stored(state)
     points = source.select("frame_id", *XYZ, *COV)
     names = [f.split()[0] for f in STATE.split(", ")]
 
@@ -130,12 +130,12 @@ def aligned(source: DataFrame, target: DataFrame, levels: Sequence[float] = (2.0
 
     for res in levels:
         voxels = voxelise(target, res).select("frame_id", *CELL, "mx", "my", "mz", *[F.col(c).alias(f"b{p}") for c, p in zip(COV, SIX)])
-        voxels = checkpointed(voxels)
+        voxels = stored(voxels)
         state = state.withColumns({"pose": F.col("best"), "sums": none, "damping": F.lit(1e-5), "settled": F.lit(False)})
         done = None
         for _ in range(rounds):
             sums = moved_sums(points, voxels, state, res)
-            state = checkpointed(state.join(sums, "frame_id", "left").mapInArrow(work, STATE))
+            state = stored(state.join(sums, "frame_id", "left").mapInArrow(work, STATE))
             ended = state.where("settled")
             done = ended if done is None else done.unionByName(ended)
             state = state.where("NOT settled")
