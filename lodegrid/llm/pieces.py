@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -173,9 +174,19 @@ class Pieces:
             choice = len(left)
 
     def encode_word(self, word: str) -> list[int]:
-        if word.startswith(SPACE * 2) or not self.chars.issuperset(word):
-            return self.merge(word)
-        return self.backtrack(word)
+        """No merge crosses a character that the vocabulary lacks, so a word is cut there. A run of several spaces, whose pieces
+        share a score, is merged with what is up to the next cut."""
+        if self.chars.issuperset(word):
+            return self.merge(word) if word.startswith(SPACE * 2) else self.backtrack(word)
+        out: list[int] = []
+        for known, run in groupby(word, self.chars.__contains__):
+            part = "".join(run)
+            if not known:
+                for c in part:
+                    out += self.merge(c)
+            else:
+                out += self.merge(part) if part.startswith(SPACE * 2) else self.backtrack(part)
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; without begin and end."""

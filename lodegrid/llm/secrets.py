@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,9 +48,10 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
     """kind, start, end, value of every candidate of a text, by start, then kind; a token that meets a base span isn't one."""
     found = [(kind, m.start(), m.end(), m[group]) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if len(m[group]) >= least]
     base = sorted((a, b) for _, a, b, _ in found)
+    starts, reach = [a for a, _ in base], [0, *accumulate((b for _, b in base), max)]  # reach: furthest end of the first k
     for m in TOKEN.finditer(text):
         value = m[0]
-        if sum(map(str.isdigit, value)) >= DIGITS and entropy(value) >= BITS and not any(a < m.end() and m.start() < b for a, b in base):
+        if sum(map(str.isdigit, value)) >= DIGITS and entropy(value) >= BITS and reach[bisect_left(starts, m.end())] <= m.start():
             found.append((ADDED, m.start(), m.end(), value))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
