@@ -82,6 +82,25 @@ def keyframes(rows: DataFrame, key: str, order: str, x: str, y: str, distance2:
     return out.select(F.col("seq_id").alias(key), F.col("k").alias(order), F.col("x").alias(x), F.col("y").alias(y))
 
 
+def displaced(rows: DataFrame, key: str, order: str, pose: str, shift: float, degrees: float) -> DataFrame:
+    """key and order of the rows of each key (whole numbers) whose pose (4x4) is further than `shift` or turned by more than
+    `degrees` from the last keyframe's (not the last row's); the first one is a keyframe. A fold, as keyframes."""
+    from .motion import folded
+
+    def step(state: dict, r: dict) -> tuple | None:
+        now = np.asarray(r["pose"], float).reshape(4, 4)
+        if state:
+            turn = state["pose"][:3, :3].T @ now[:3, :3]
+            angle = np.degrees(np.arctan2(np.linalg.norm([turn[2, 1] - turn[1, 2], turn[0, 2] - turn[2, 0], turn[1, 0] - turn[0, 1]]), np.trace(turn) - 1))
+            if np.linalg.norm(now[:3, 3] - state["pose"][:3, 3]) <= shift and angle <= degrees:
+                return None
+        state["pose"] = now
+        return (r["k"],)
+
+    named = rows.select(F.col(key).alias("seq_id"), F.col(order).cast("long").alias("k"), F.col(pose).alias("pose"))
+    return folded(named, "k", dict, step, "k long").select(F.col("seq_id").alias(key), F.col("k").alias(order))
+
+
 def steps(rows: DataFrame, key: str, order: str, coords: Sequence[str]) -> DataFrame:
     """rows with step2, the squared distance to the row before (0 for the first)."""
     by = Window.partitionBy(key).orderBy(order)

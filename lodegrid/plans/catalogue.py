@@ -350,6 +350,39 @@ def outlier_removal(spark, d):
     return joins.outliers_removed(pts, joins.knn(pts, 5, 8.0)).select("frame_id", "point_id")
 
 
+def _radius_sql(start: float, least: float, most: float, flat: float) -> str:
+    """Seeds go on in a recursion; a seed's radius is the last one that it took."""
+    d = {c: f"(p.{c} - s.{c})" for c in "xyz"}
+    near = f"{d['x']} * {d['x']} + {d['y']} * {d['y']} + {d['z']} * {d['z']} < trial * trial"
+    sums = ", ".join([f"sum({u(d[c])})::BIGINT AS m{c}" for c in "xyz"] + [f"sum({u(f'({d[k[0]]} * {d[k[1]]})')})::BIGINT AS u{k}" for k in G.SIX])
+    cov = ", ".join(f"u{k}::DOUBLE / n / 1000000.0::DOUBLE - (m{k[0]}::DOUBLE / n / 1000000.0::DOUBLE) * (m{k[1]}::DOUBLE / n / 1000000.0::DOUBLE) AS {k}" for k in G.SIX)
+
+    def flatness(table: str) -> str:
+        """table with n and ratio of each seed's trial, by the eigenvalues' closed form."""
+        met = f"SELECT s.frame_id, s.seed, s.x, s.y, s.z, s.radius, s.trial, s.step, count(*) AS n, {sums} FROM {table} s JOIN vec p ON p.frame_id = s.frame_id AND {near} GROUP BY ALL"
+        spread = f"SELECT * EXCLUDE (mx, my, mz, uxx, uxy, uxz, uyy, uyz, uzz), {cov} FROM ({met})"
+        q = f"SELECT *, (xx + yy + zz) / 3 AS q, sqrt(((xx - (xx + yy + zz) / 3) ** 2 + (yy - (xx + yy + zz) / 3) ** 2 + (zz - (xx + yy + zz) / 3) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS w FROM ({spread})"
+        det = f"SELECT *, CASE WHEN w > 0 THEN ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (w * w * w) ELSE 0 END AS det FROM ({q})"
+        low = f"SELECT *, q + 2 * w * cos(acos(greatest(-1, least(1, det / 2))) / 3 + {2 * 3.141592653589793 / 3!r}::DOUBLE) AS lo, q + 2 * w * cos(acos(greatest(-1, least(1, det / 2))) / 3) AS hi FROM ({det})"
+        return f"SELECT frame_id, seed, x, y, z, radius, trial, step, n, CASE WHEN hi > 0 THEN lo / hi END AS ratio FROM ({low})"
+
+    next_trial = f"CASE WHEN ratio > {flat}::DOUBLE THEN trial * 0.8::DOUBLE ELSE trial * 1.1::DOUBLE END"
+    tried = f"(SELECT frame_id, seed, x, y, z, trial AS radius, {next_trial} AS trial, step + 1 AS step FROM r WHERE step < 10 AND {next_trial} BETWEEN {least}::DOUBLE AND {most}::DOUBLE)"
+    first = f"(SELECT frame_id, point_id AS seed, x, y, z, {start}::DOUBLE AS radius, {start}::DOUBLE AS trial, 0 AS step FROM vec)"
+    return f"""WITH RECURSIVE {A.VECTORS}, r AS ({flatness(first)} UNION ALL SELECT * FROM ({flatness(tried)}) WHERE n >= 10 AND NOT coalesce(trial > {start}::DOUBLE AND ratio > {flat}::DOUBLE, false))
+SELECT frame_id, seed, floor(arg_max(trial, step) * 1000000 + 0.5)::BIGINT AS radius FROM r GROUP BY frame_id, seed"""
+
+
+@query(_radius_sql(20.0, 5.0, 40.0, 0.2))
+def adaptive_radius(spark, d):
+    """Around every point, in millionths"""
+    from ..operators import radius
+
+    pts = A.vectors(spark, d)
+    found = radius.settled_radii(pts.withColumnRenamed("point_id", "seed"), pts, 20.0, 5.0, 40.0, 0.2)
+    return found.select("frame_id", "seed", F.floor(F.col("radius") * 1000000 + 0.5).cast("long").alias("radius"))
+
+
 @query()
 def point_normals(spark, d):
     """Tested against numpy"""
@@ -668,10 +701,22 @@ def keyframe_chunks(spark, d):
 
 @query(f"WITH RECURSIVE {A.SUBMAPS}, k(session_id, submap_id, x, y) AS (SELECT session_id, submap_id, x, y FROM sub WHERE submap_id = 1 UNION ALL (SELECT n.session_id, n.submap_id, n.x, n.y FROM (SELECT s.*, row_number() OVER (PARTITION BY s.session_id ORDER BY s.submap_id) AS r FROM k JOIN sub s ON s.session_id = k.session_id AND s.submap_id > k.submap_id AND (s.x - k.x) * (s.x - k.x) + (s.y - k.y) * (s.y - k.y) > 2500) n WHERE n.r = 1)) SELECT session_id, submap_id, x, y FROM k")
 def displacement_keyframes(spark, d):
-    """W3, W4"""
+    """By distance alone"""
     return graph.keyframes(A.submaps(spark, d), "session_id", "submap_id", "x", "y", 2500)
 
 
+TURN = "least((s.h - k.h + 360) % 360, (k.h - s.h + 360) % 360) > 90.5::DOUBLE"
+
+
+@query(f"WITH RECURSIVE {A.SUBMAPS}, t AS (SELECT *, (7 * x + 13 * y) % 360 AS h FROM sub), k(session_id, submap_id, x, y, h) AS (SELECT session_id, submap_id, x, y, h FROM t WHERE submap_id = 1 UNION ALL (SELECT n.session_id, n.submap_id, n.x, n.y, n.h FROM (SELECT s.*, row_number() OVER (PARTITION BY s.session_id ORDER BY s.submap_id) AS r FROM k JOIN t s ON s.session_id = k.session_id AND s.submap_id > k.submap_id AND ((s.x - k.x) * (s.x - k.x) + (s.y - k.y) * (s.y - k.y) > 10000 OR {TURN})) n WHERE n.r = 1)) SELECT session_id, submap_id FROM k")
+def turning_keyframes(spark, d):
+    """By distance or angle"""
+    h = F.radians((7 * F.col("x") + 13 * F.col("y")) % 360)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pose = F.array(F.cos(h), -F.sin(h), zero, F.col("x").cast("double"), F.sin(h), F.cos(h), zero, F.col("y").cast("double"), zero, zero, one, zero, zero, zero, zero, one)
+    return graph.displaced(A.submaps(spark, d).withColumn("pose", pose), "session_id", "submap_id", "pose", 100.0, 90.5)
+
+
 @query(f"WITH {A.SUBMAPS}, s AS (SELECT *, coalesce((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w), 0) AS step2 FROM sub WINDOW w AS (PARTITION BY session_id ORDER BY submap_id)) SELECT session_id, submap_id, sum(floor(sqrt(step2))::BIGINT) OVER (PARTITION BY session_id ORDER BY submap_id)::BIGINT AS travel FROM s")
 def travel_distance(spark, d):
     """W8"""
@@ -744,6 +789,19 @@ def inertial(spark, d) -> DataFrame:
     return rows.select("seq_id", "id", ((F.col("us") - 1704067200000000) / 1e6).alias("stamp"), (v % 3 / 10).alias("ax"), (v % 5 / 10 - 0.2).alias("ay"), (v % 7 / 10 + 9.5).alias("az"), (v % 2 / 1000).alias("wx"), (v % 4 / 2000).alias("wy"), (v % 6 / 3000).alias("wz"))
 
 
+@query()
+def imu_trajectories(spark, d):
+    """The way between scans at the samples' rate; tested against dense least squares"""
+    from ..operators import smoothing
+
+    place = (F.col("us") - 1704067200000000) / 1e6
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pose = F.array(one, zero, zero, place / 1e4, zero, one, zero, (F.col("id") % 7) / 10, zero, zero, one, zero, zero, zero, zero, one)
+    frames = A.scans(spark, d).select("seq_id", F.col("id").alias("frame_id"), place.alias("stamp"), pose.alias("pose"), *[zero.alias(c) for c in ("vx", "vy", "vz")])
+    way = smoothing.trajectories(frames, inertial(spark, d))
+    return way.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("n"), F.min("stamp").alias("first"), F.max("stamp").alias("last"), *[F.round(F.max_by(c, "stamp"), 3).alias(c) for c in "xyz"])
+
+
 @query()
 def imu_integration(spark, d):
     """A fold, tested against numpy"""
