@@ -768,6 +768,16 @@ def registration(spark, d):
     return spark.createDataFrame([(*[float(v) for v in pose.ravel()], float(error))], ", ".join([f"p{i} double" for i in range(16)] + ["error double"]))
 
 
+@query()
+def voxel_surprise(spark, d):
+    """How far each voxel's mean moved since the frame before, by the covariance of what was in its cell; against numpy"""
+    vox = cloud.scatter(cloud.voxelise(A.points(spark, d), 4.0, spread=True), 4.0)
+    before = vox.select((F.col("frame_id") + 1).alias("frame_id"), *cloud.CELL, *[F.col(c).alias(f"p{c}") for c in ("mx", "my", "mz", *cloud.COV)])
+    met = vox.join(before, ["frame_id", *cloud.CELL])
+    far = G.mahalanobis(tuple(F.col(m) - F.col(f"p{m}") for m in ("mx", "my", "mz")), [F.col(f"p{c}") for c in cloud.COV], 0.01)
+    return met.select("frame_id", *cloud.CELL, F.round(far, 6).alias("mahalanobis"))
+
+
 @query()
 def distribution_registration(spark, d):
     """Lays each label's vectors, moved apart, on themselves by covariances, coarse to fine; tested against numpy"""
@@ -789,16 +799,27 @@ def inertial(spark, d) -> DataFrame:
     return rows.select("seq_id", "id", ((F.col("us") - 1704067200000000) / 1e6).alias("stamp"), (v % 3 / 10).alias("ax"), (v % 5 / 10 - 0.2).alias("ay"), (v % 7 / 10 + 9.5).alias("az"), (v % 2 / 1000).alias("wx"), (v % 4 / 2000).alias("wy"), (v % 6 / 3000).alias("wz"))
 
 
+@query()
+def inertial_odometry(spark, d):
+    """Scans laid on a local map, from what the samples predict; tested by drift on a drive, and batch against stream"""
+    from ..operators import odometry
+
+    none, some = F.lit(0.0), F.lit(0.1)
+    scans = sequences(spark, d).withColumns({"stamp": F.col("frame_id") / 10} | {c: some if c in ("cxx", "cyy", "czz") else none for c in cloud.COV})
+    samples = inertial(spark, d).withColumns({"seq_id": F.col("id") % 64, "stamp": F.col("stamp") % 1})
+    return odometry.estimated(odometry.messages(scans, samples), res=4.0)
+
+
 @query()
 def imu_trajectories(spark, d):
     """The way between scans at the samples' rate; tested against dense least squares"""
     from ..operators import smoothing
 
-    place = (F.col("us") - 1704067200000000) / 1e6
+    place = (F.col("us") - 1704067200000000) / 1e10  # a day as some nine seconds
     zero, one = F.lit(0.0), F.lit(1.0)
-    pose = F.array(one, zero, zero, place / 1e4, zero, one, zero, (F.col("id") % 7) / 10, zero, zero, one, zero, zero, zero, zero, one)
+    pose = F.array(one, zero, zero, place, zero, one, zero, (F.col("id") % 7) / 10, zero, zero, one, zero, zero, zero, zero, one)
     frames = A.scans(spark, d).select("seq_id", F.col("id").alias("frame_id"), place.alias("stamp"), pose.alias("pose"), *[zero.alias(c) for c in ("vx", "vy", "vz")])
-    way = smoothing.trajectories(frames, inertial(spark, d))
+    way = smoothing.trajectories(frames, inertial(spark, d).withColumn("stamp", F.col("stamp") / 1e4))
     return way.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("n"), F.min("stamp").alias("first"), F.max("stamp").alias("last"), *[F.round(F.max_by(c, "stamp"), 3).alias(c) for c in "xyz"])
 
 
