@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import dot, eigen3, eigenvector3, in_box, plane_of, vec
+from ..functions.geometry import Vec, cross, dot, eigen3, eigenvector3, in_box, minus, norm2, plane_of, vec
 
 
 def polar_cells(voxels: DataFrame, sectors: int = 36, ring: float = 2.0, most: float = 60.0) -> DataFrame:
@@ -157,3 +157,56 @@ def behind_walls(voxels: DataFrame, walls: DataFrame) -> DataFrame:
     hit = voxels.join(walls, "frame_id").where((F.col("mx") > F.col("wx")) & F.col("my").between(F.col("wy") - F.col("wl") / 2, F.col("wy") + F.col("wl") / 2))
     keys = ["frame_id", "ix", "iy", "iz"]
     return voxels.join(hit.select(*keys).distinct().withColumn("is_behind", F.lit(True)), keys, "left").withColumn("is_outlier", F.coalesce("is_behind", F.lit(False))).drop("is_behind")
+
+
+def numbered(points: DataFrame) -> DataFrame:
+    """points with _k, their number within the frame by id from 0, and _n, how many there are."""
+    by = Window.partitionBy("frame_id")
+    return points.withColumns({"_k": F.row_number().over(by.orderBy("point_id")) - 1, "_n": F.count(F.lit(1)).over(by)})
+
+
+def drawn_planes(known: DataFrame, frames: DataFrame, first: int, count: int, seed: int, is_allowed: Callable[[Vec], Column] | None = None) -> DataFrame:
+    """frame_id, h, nx, ny, nz, d: draws `first` to `first` + `count` - 1 of each frame (frame_id, _n), a plane through three
+    points of known (numbered) whose numbers a hash tells; draws of twice the same point, of points on a line and
+    planes that aren't allowed are left out. Only the drawn points are joined."""
+    draws = frames.select("frame_id", "_n", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))).alias("h"))
+    at = draws.withColumns({f"_{i}": F.pmod(F.xxhash64(F.lit(seed), "frame_id", "h", F.lit(i)), F.col("_n")) for i in range(3)}).where("_0 <> _1 AND _0 <> _2 AND _1 <> _2").drop("_n")
+    for i in range(3):
+        at = at.join(known.select("frame_id", F.col("_k").cast("long").alias(f"_{i}"), F.struct("x", "y", "z").alias(f"p{i}")), ["frame_id", f"_{i}"])
+    p = [vec(*[f"p{i}.{c}" for c in "xyz"]) for i in range(3)]
+    normal, d = plane_of(*p)
+    n = cross(minus(p[1], p[0]), minus(p[2], p[0]))
+    out = at.where(norm2(n) > 1e-18).select("frame_id", "h", *[v.alias(f"n{c}") for v, c in zip(normal, "xyz")], d.alias("d"))
+    return out if is_allowed is None else out.where(is_allowed(vec("nx", "ny", "nz")))
+
+
+def searched_planes(points: DataFrame, distance: float, least: int = 30, confidence: float = 0.99, count: int = 16, most: int = 1024, seed: int = 0, is_allowed: Callable[[Vec], Column] | None = None) -> DataFrame:
+    """frame_id, n_draws, n_inliers and the plane (nx, ny, nz, d; fitted to the inliers of the best draw) of each frame that has
+    one with at least `least` inliers (points nearer than `distance`).
+
+    Draws go on, `count` at a time, for the frames for which they may still help: until with the best share of inliers w
+    so far, one of the draws would have been free of outliers with the given confidence, log(1 - confidence) /
+    log(1 - w^3), or `most` were made. Each round reads a frame's points once, whatever the number of draws. is_allowed: a
+    condition on normals (is_floor, is_wall)."""
+    from .graph import stored
+
+    known = stored(numbered(points.select("frame_id", "point_id", "x", "y", "z")))
+    state = known.groupBy("frame_id").agg(F.first("_n").alias("_n")).where("_n >= 3").withColumns({"n_draws": F.lit(0), "best": F.lit(None).cast("struct<n:bigint,h_:int,nx:double,ny:double,nz:double,d:double>")})
+    state, done = stored(state), None
+    for first in range(0, most, count):
+        planes = stored(drawn_planes(known, state, first, count, seed, is_allowed)).withColumn("_s", F.col("h") - first)
+        wide = planes.groupBy("frame_id").agg(*[F.max(F.when(F.col("_s") == k, F.struct("nx", "ny", "nz", "d"))).alias(f"_{k}") for k in range(count)])
+        near = [F.abs(F.col("x") * F.col(f"_{k}.nx") + F.col("y") * F.col(f"_{k}.ny") + F.col("z") * F.col(f"_{k}.nz") + F.col(f"_{k}.d")) < distance for k in range(count)]
+        counts = known.join(wide, "frame_id").groupBy("frame_id").agg(F.array(*[F.count_if(c) for c in near]).alias("_c"))
+        counted = planes.join(counts, "frame_id").groupBy("frame_id").agg(F.max(F.struct(F.element_at("_c", (F.col("_s") + 1).cast("int")).alias("n"), (-F.col("h")).alias("h_"), "nx", "ny", "nz", "d")).alias("new"))
+        share = F.coalesce(F.col("best.n"), F.lit(0)) / F.col("_n")
+        enough = F.when(share >= 1, 1.0).when(share > 0, F.log(F.lit(1 - confidence)) / F.log(1 - share * share * share)).otherwise(math.inf)
+        state = stored(state.join(counted, "frame_id", "left").select("frame_id", "_n", (F.col("n_draws") + count).alias("n_draws"), F.greatest("best", "new").alias("best")))
+        ended = state.where(F.col("n_draws") >= enough)
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where(F.col("n_draws") < enough)
+        if state.isEmpty():
+            break
+    found = done.unionByName(state).where(F.col("best.n") >= least).select("frame_id", "n_draws", F.col("best.n").alias("n_inliers"), *[f"best.{c}" for c in ("nx", "ny", "nz", "d")])
+    fits = refitted(points, found, distance).select("frame_id", *[F.col(c).alias(f"_{c}") for c in ("nx", "ny", "nz", "d")])
+    return found.join(fits, "frame_id").select("frame_id", "n_draws", "n_inliers", *[F.col(f"_{c}").alias(c) for c in ("nx", "ny", "nz", "d")])

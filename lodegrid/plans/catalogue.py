@@ -123,7 +123,7 @@ def random_grid_sample(spark, d):
 
 @query(f"WITH {A.POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {HASH.format(s=2)}, point_id) AS k FROM pts) SELECT frame_id, point_id FROM r WHERE k <= 100")
 def target_size_sample(spark, d):
-    """K4, K9"""
+    """K4"""
     return cloud.target_sample(A.points(spark, d), 100, 2).select("frame_id", "point_id")
 
 
@@ -205,7 +205,7 @@ def extents(spark, d):
 
 @query(f"WITH {A.POINTS} SELECT frame_id, (min(x * 0.6::DOUBLE + y * 0.8::DOUBLE + z * 0.0::DOUBLE) + max(x * 0.6::DOUBLE + y * 0.8::DOUBLE + z * 0.0::DOUBLE)) / 2 AS c0, (min(x * -0.8::DOUBLE + y * 0.6::DOUBLE + z * 0.0::DOUBLE) + max(x * -0.8::DOUBLE + y * 0.6::DOUBLE + z * 0.0::DOUBLE)) / 2 AS c1, (min(x * 0.0::DOUBLE + y * 0.0::DOUBLE + z * 1.0::DOUBLE) + max(x * 0.0::DOUBLE + y * 0.0::DOUBLE + z * 1.0::DOUBLE)) / 2 AS c2, max(x * 0.6::DOUBLE + y * 0.8::DOUBLE + z * 0.0::DOUBLE) - min(x * 0.6::DOUBLE + y * 0.8::DOUBLE + z * 0.0::DOUBLE) AS s0, max(x * -0.8::DOUBLE + y * 0.6::DOUBLE + z * 0.0::DOUBLE) - min(x * -0.8::DOUBLE + y * 0.6::DOUBLE + z * 0.0::DOUBLE) AS s1, max(x * 0.0::DOUBLE + y * 0.0::DOUBLE + z * 1.0::DOUBLE) - min(x * 0.0::DOUBLE + y * 0.0::DOUBLE + z * 1.0::DOUBLE) AS s2 FROM pts GROUP BY frame_id")
 def oriented_box(spark, d):
-    """A10, M6"""
+    """A10, of axes that are given"""
     return cloud.turned_extents(A.points(spark, d), "frame_id", ((0.6, 0.8, 0), (-0.8, 0.6, 0), (0, 0, 1)))
 
 
@@ -339,7 +339,7 @@ D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z
 
 @query(f"WITH {A.VECTORS}, r AS (SELECT a.frame_id, a.point_id, b.point_id AS nbr_id, row_number() OVER (PARTITION BY a.frame_id, a.point_id ORDER BY {D2}, b.point_id)::INT AS rank FROM vec a JOIN vec b ON a.frame_id = b.frame_id) SELECT frame_id, point_id, rank, nbr_id FROM r WHERE rank <= 5")
 def knn(spark, d):
-    """N1, N2, N3, J7"""
+    """N1, N2, N3"""
     return joins.knn(A.vectors(spark, d), 5, 8.0).select("frame_id", "point_id", "rank", "nbr_id")
 
 
@@ -545,11 +545,23 @@ def floor_relabelled(spark, d):
 
 @query()
 def plane_hypotheses(spark, d):
-    """Draws by Spark's hash, tested by counting"""
+    """C5, F13, and C3 with a fixed number of draws; tested by counting"""
     pts = A.vectors(spark, d)
     return ground.best_planes(pts, ground.hypotheses(pts, 20), 3.0, 5)
 
 
+@query()
+def floor_search(spark, d):
+    """Draws until they suffice, floors only; tested by counting and on hand-made frames"""
+    return ground.searched_planes(A.points(spark, d), 0.5, 30, most=256, is_allowed=lambda n: G.is_floor(n, 15.0))
+
+
+@query()
+def wall_search(spark, d):
+    """The same for walls"""
+    return ground.searched_planes(A.points(spark, d), 0.5, 30, most=256, is_allowed=lambda n: G.is_wall(n, 5.0))
+
+
 @query()
 def plane_extraction(spark, d):
     """C4"""
@@ -768,6 +780,36 @@ def registration(spark, d):
     return spark.createDataFrame([(*[float(v) for v in pose.ravel()], float(error))], ", ".join([f"p{i} double" for i in range(16)] + ["error double"]))
 
 
+@query()
+def global_motion(spark, d):
+    """C20: each label's vectors, turned by 120 degrees and moved, find themselves again; tested by hand-made histograms and motions"""
+    from ..operators import places
+
+    pts = A.vectors(spark, d)
+    known = checkpointed(ground.normals(pts, joins.knn(pts, 8, 8.0)))
+    c, s = F.lit(-0.5), F.lit(0.75**0.5)
+
+    def turn(x: str, y: str) -> list:
+        return [c * F.col(x) - s * F.col(y), s * F.col(x) + c * F.col(y)]
+
+    moved = pts.withColumns(dict(zip("xy", (turn("x", "y")[0] + 30, turn("x", "y")[1] - 10))))
+    turned = known.withColumns(dict(zip(("nx", "ny"), turn("nx", "ny"))))
+    found = places.found_motion(moved, turned, pts, known, 12.0, 1.0)
+    return found.select("frame_id", "n", F.round("share", 4).alias("share"), *[F.round(F.col("pose")[k], 4).alias(f"p{k}") for k in (0, 1, 3, 4, 5, 7)])
+
+
+@query()
+def plane_bundle(spark, d):
+    """Frames as poses, layers of height as planes; tested by gradients and a room in parts"""
+    from ..operators import bundle
+
+    pts = A.points(spark, d).select(F.col("frame_id").alias("pose_id"), F.floor(F.col("z") / 2).cast("long").alias("plane_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    unit = F.array(*[F.lit(float(k % 5 == 0)) for k in range(16)])
+    poses = pts.select("pose_id").distinct().select("pose_id", unit.alias("pose"), (F.col("pose_id") == 0).alias("fixed"))
+    found, _ = bundle.adjusted(poses, pts, 4)
+    return found.select("pose_id", *[F.round(F.col("pose")[k], 4).alias(f"p{k}") for k in (2, 6, 11)])
+
+
 @query()
 def voxel_surprise(spark, d):
     """How far each voxel's mean moved since the frame before, by the covariance of what was in its cell; against numpy"""
@@ -893,7 +935,7 @@ def merged_boxes(spark, d):
 
 @query()
 def wall_memory(spark, d):
-    """A fold, tested by hand-made cases"""
+    """X15, C14, and a memory that forgets by missed frames: a fold, tested by hand-made cases"""
     from ..operators import merge
 
     walls = row_boxes(spark, d).withColumns({"nx": F.lit(1.0), "ny": F.lit(0.0), "nz": F.lit(0.0)})
@@ -902,7 +944,7 @@ def wall_memory(spark, d):
 
 @query("SELECT l_orderkey % 50 AS frame_id, l_quantity::FLOAT::DOUBLE AS x, (l_extendedprice / 2000)::FLOAT::DOUBLE AS y, (l_discount * 100)::FLOAT::DOUBLE AS z, epoch_us(l_shipdate) / 1e9::DOUBLE AS t, ((l_partkey >> 16) & 255) / 255.0::DOUBLE AS r, ((l_partkey >> 8) & 255) / 255.0::DOUBLE AS g, (l_partkey & 255) / 255.0::DOUBLE AS b, ((l_partkey >> 24) & 255) / 255.0::DOUBLE AS a FROM lineitem")
 def decoded_cloud(spark, d):
-    """S1, S2"""
+    """S1"""
     from ..sources import clouds
 
     raw = A.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("frame_id"), F.col("l_quantity").cast("float").alias("x"), (F.col("l_extendedprice") / 2000).cast("float").alias("y"), (F.col("l_discount") * 100).cast("float").alias("z"), A.micros(F.col("l_shipdate")).alias("timestamp"), F.col("l_partkey").alias("rgba"))
