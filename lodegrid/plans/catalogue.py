@@ -1104,3 +1104,14 @@ def rejection(spark, d):
 
     out = way.rejected(sequences(spark, d).drop("intensity"))
     return out.groupBy("seq_id", "frame_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_dynamic").alias("n_dynamic"))
+
+
+@query()
+def cut_object(spark, d):
+    """C17: the object around the least id of every frame; tested against a plain maximum flow"""
+    from ..operators import segments
+
+    pts = A.vectors(spark, d)
+    first = F.min(F.struct("point_id", "x", "y", "z")).alias("p")
+    picked = pts.groupBy("frame_id").agg(first).select("frame_id", "p.x", "p.y", "p.z")
+    return segments.segmented(pts, picked, 6.0, 25.0, 10.0, 6.0, 0.5)
