@@ -1115,3 +1115,17 @@ def cut_object(spark, d):
     first = F.min(F.struct("point_id", "x", "y", "z")).alias("p")
     picked = pts.groupBy("frame_id").agg(first).select("frame_id", "p.x", "p.y", "p.z")
     return segments.segmented(pts, picked, 6.0, 25.0, 10.0, 6.0, 0.5)
+
+
+@query()
+def wall_registry(spark, d):
+    """Every order a frame, its lines walls and, beside them, voxels; a fold, tested against a plain loop"""
+    from ..operators import walls
+
+    found = row_boxes(spark, d)
+    step = (F.col("frame_id") % 3 - 1) / 2
+    one, zero = F.lit(1.0), F.lit(0.0)
+    frames = found.select("seq_id", "frame_id").distinct().withColumn("pose", F.array(one, zero, zero, step, zero, one, zero, zero, zero, zero, one, zero, zero, zero, zero, one))
+    voxels = found.select("seq_id", "frame_id", F.col("box_idx").alias("voxel_id"), (F.col("cx") + 1.5 * (F.col("box_idx") % 3)).alias("mx"), F.col("cy").alias("my"), F.col("cz").alias("mz"), F.lit(False).alias("is_wall"))
+    out = walls.registered(frames, found.withColumn("turn", F.lit(None).cast("array<double>")), voxels, 30)
+    return out.where("kind = 'voxel'").select("seq_id", "frame_id", "voxel_id", "wall_id", "is_wall")
