@@ -33,6 +33,9 @@ class Wall:
     def moved(self, pose: np.ndarray) -> None:
         self.centre, self.turn = pose[:3, :3] @ self.centre + pose[:3, 3], pose[:3, :3] @ self.turn
 
+    def radius(self) -> float:
+        return float((self.size**2).sum()) ** 0.5 / 2
+
     def holds(self, points: np.ndarray) -> np.ndarray:
         return (np.abs((points - self.centre) @ self.turn) <= self.size / 2).all(axis=1)
 
@@ -87,7 +90,8 @@ class Registry:
             return
         best, most = None, OVERLAP
         for w in self.old:
-            if abs(w.turn[:, 0] @ found.turn[:, 0]) < ALIKE or np.linalg.norm(w.centre - found.centre) > CENTRE:
+            apart = float(((w.centre - found.centre) ** 2).sum())
+            if apart > min(CENTRE, w.radius() + found.radius()) ** 2 or abs(w.turn[:, 0] @ found.turn[:, 0]) < ALIKE:
                 continue
             if (share := overlap(w, found)) > most:
                 best, most = w, share
@@ -156,25 +160,29 @@ def registered(frames: DataFrame, walls: DataFrame, voxels: DataFrame, most_miss
 
         for batch in batches:
             out = []
-            for (s, f, kind), rows in batch.groupby(["seq_id", "frame_id", "kind"], sort=True):
+            keys = batch[["seq_id", "frame_id", "kind"]].to_numpy()
+            place, sizes, was = batch[["x", "y", "z"]].to_numpy(float), batch[["sx", "sy", "sz"]].to_numpy(float), batch["is_wall"].to_numpy(bool)
+            ids, turns = batch["id"].to_numpy(), batch["turn"].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                s, f, kind = keys[start].tolist()
                 if (s, f) != (seq, frame):
                     out += closed()
                     if s != seq:
                         registry = Registry(most_missed)
                     seq, frame, part = s, f, POSE
-                    pose = next((p for p in rows.turn if p is not None), None) if kind == POSE else None
+                    pose = next((p for p in turns[start:end] if p is not None), None) if kind == POSE else None
                     registry.begun(None if pose is None else np.array(pose, dtype=float).reshape(4, 4))
-                xyz = rows[["x", "y", "z"]].to_numpy(float)
                 if kind == WALL:
-                    sizes = rows[["sx", "sy", "sz"]].to_numpy(float)
-                    for c, size, turn in zip(xyz, sizes, rows.turn):
-                        registry.seen(Wall(-1, c, size, np.eye(3) if turn is None else np.array(turn, dtype=float).reshape(3, 3)))
+                    for k in range(start, end):
+                        registry.seen(Wall(-1, place[k], sizes[k], np.eye(3) if turns[k] is None else np.array(turns[k], dtype=float).reshape(3, 3)))
                 elif kind == VOXEL:
                     if part < VOXEL:
                         registry.expired()
-                    was = rows.is_wall.to_numpy(bool)
-                    ids = registry.marked(xyz, was)
-                    out += [(s, f, "voxel", v, None if i < 0 else int(i), bool(b or i >= 0), *[None] * 8) for v, i, b in zip(rows.id, ids, was)]
+                    found = registry.marked(place[start:end], was[start:end])
+                    out += [(s, f, "voxel", v, None if i < 0 else int(i), bool(b or i >= 0), *[None] * 8) for v, i, b in zip(ids[start:end], found, was[start:end])]
                 part = kind
             yield pd.DataFrame(out, columns=COLUMNS).astype({"voxel_id": "Int64", "wall_id": "Int64", "missed": "Int32"})
         yield pd.DataFrame(closed(), columns=COLUMNS).astype({"voxel_id": "Int64", "wall_id": "Int64", "missed": "Int32"})
