@@ -1145,19 +1145,19 @@ def saved_map(spark, d) -> str:
     def at(x):
         return F.array(one, zero, zero, x.cast("double"), zero, one, zero, zero, zero, zero, one, zero, zero, zero, zero, one)
 
-    orders = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") - 1).alias("submap_id"), "o_orderdate")
-    subs = A.table(spark, d, "customer").select((F.col("c_custkey") - 1).alias("submap_id"), at(F.col("c_acctbal")).alias("world_origin"), at(zero).alias("origin_left"), at(one).alias("origin_right"), at(F.lit(0.5)).alias("lidar_imu"), F.array(*[zero] * 6).alias("imu_bias"), F.lit(1).alias("frame_kind"))
+    orders = A.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("submap_id"), "o_orderdate")
+    subs = A.table(spark, d, "customer").select(F.col("c_custkey").alias("submap_id"), at(F.col("c_acctbal")).alias("world_origin"), at(zero).alias("origin_left"), at(one).alias("origin_right"), at(F.lit(0.5)).alias("lidar_imu"), F.array(*[zero] * 6).alias("imu_bias"), F.lit(1).alias("frame_kind"))
     k = (F.row_number().over(Window.partitionBy("submap_id").orderBy("o_orderdate", "o_orderkey")) - 1).alias("k")
     frames = orders.select("submap_id", k, F.col("o_orderkey").alias("id"), A.seconds(F.col("o_orderdate")).cast("double").alias("stamp"), at(F.col("o_orderkey")).alias("odom_lidar"), at(F.col("o_orderkey") / 2).alias("world_lidar"), F.array(zero, zero, zero).alias("v_world_imu"))
     pts = A.points(spark, d).withColumn("o_orderkey", F.floor(F.col("point_id") / 1000).cast("long"))
     pts = pts.join(orders.select("o_orderkey", "submap_id"), "o_orderkey").select("submap_id", "point_id", "x", "y", "z", "intensity")
-    edges = A.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "gicp").otherwise("vgicp").alias("kind"), (F.col("o_custkey") - 1).alias("i"), (F.col("o_orderkey") % 97).alias("j"))
+    edges = A.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "gicp").otherwise("vgicp").alias("kind"), F.col("o_custkey").alias("i"), (F.col("o_orderkey") % 97).alias("j"))
     path = f"{checkpoint_folder(spark)}/map-{uuid.uuid4().hex}"
     maps.save(path, subs, frames, pts, edges.where("i <> j"))
     return path
 
 
-@query(f"""WITH {A.POINTS} SELECT o_custkey - 1 AS submap_id, row_number() OVER (PARTITION BY o_custkey ORDER BY point_id) - 1 AS point_id, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z, intensity::FLOAT::DOUBLE AS intensity
+@query(f"""WITH {A.POINTS} SELECT o_custkey AS submap_id, row_number() OVER (PARTITION BY o_custkey ORDER BY point_id) - 1 AS point_id, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z, intensity::FLOAT::DOUBLE AS intensity
 FROM pts JOIN orders ON o_orderkey = point_id // 1000""")
 def map_points(spark, d):
     """Points of a map that was written and read back; they are numbered by their place in the file"""
@@ -1167,8 +1167,8 @@ def map_points(spark, d):
     return got.select("submap_id", "point_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "intensity")])
 
 
-@query("""WITH f AS (SELECT o_custkey - 1 AS submap_id, o_orderkey AS id, epoch(o_orderdate)::BIGINT AS stamp, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders),
-e AS (SELECT least(o_custkey - 1, o_orderkey % 97) AS i, greatest(o_custkey - 1, o_orderkey % 97) AS j, max(CASE WHEN o_orderkey % 2 = 0 THEN 'gicp' ELSE 'vgicp' END) AS kind FROM orders WHERE o_custkey - 1 <> o_orderkey % 97 GROUP BY 1, 2)
+@query("""WITH f AS (SELECT o_custkey AS submap_id, o_orderkey AS id, epoch(o_orderdate)::BIGINT AS stamp, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders),
+e AS (SELECT least(o_custkey, o_orderkey % 97) AS i, greatest(o_custkey, o_orderkey % 97) AS j, max(CASE WHEN o_orderkey % 2 = 0 THEN 'gicp' ELSE 'vgicp' END) AS kind FROM orders WHERE o_custkey <> o_orderkey % 97 GROUP BY 1, 2)
 SELECT 'frame' AS what, submap_id AS i, k AS j, id || ' ' || stamp AS value FROM f UNION ALL SELECT 'edge', i, j, kind FROM e
 UNION ALL SELECT 'count', (SELECT count(*) FROM customer), (SELECT count(*) FROM f), (SELECT count(*) FROM e)::VARCHAR""")
 def map_graph(spark, d):
