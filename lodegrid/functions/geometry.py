@@ -130,8 +130,8 @@ def box_in_box(inner: tuple[Vec, Vec], outer: tuple[Vec, Vec]) -> Column:
 DRAWN = {"front": 2.5, "rear": 0.35, "side": 0.5, "most": 5.0, "slow": 0.05}
 
 
-def in_inflated(p: Vec, centre: Vec, size: Vec, velocity: Vec, front: float = DRAWN["front"], rear: float = DRAWN["rear"], side: float = DRAWN["side"], most: float = DRAWN["most"], slow: float = DRAWN["slow"], turn: Column | None = None) -> Column:
-    """Inside the box's height and an ellipse around its footprint, drawn out along the velocity.
+def footprint(centre: Vec, size: Vec, velocity: Vec, front: float = DRAWN["front"], rear: float = DRAWN["rear"], side: float = DRAWN["side"], most: float = DRAWN["most"], slow: float = DRAWN["slow"], turn: Column | None = None) -> tuple[Column, ...]:
+    """Centre (x, y), direction (x, y) and half axes of the ellipse around a box's footprint, drawn out along the velocity.
 
     The ellipse lies along the velocity; its axes cover the footprint as seen along and across that (half sides times the
     root of 2), and grow with the speed. Its centre shifts by half of what it grows more to the front than to the rear.
@@ -143,15 +143,26 @@ def in_inflated(p: Vec, centre: Vec, size: Vec, velocity: Vec, front: float = DR
     x0, x1, y0, y1 = (one, none, none, one) if turn is None else (turn[0], turn[3], turn[1], turn[4])  # the box's axes on the ground
     ux, uy = F.when(moves, velocity[0] / speed).otherwise(x0), F.when(moves, velocity[1] / speed).otherwise(x1)
     shift = 0.5 * used * (front - rear)
-    dx, dy = p[0] - (centre[0] + ux * shift), p[1] - (centre[1] + uy * shift)
-    along, across = dx * ux + dy * uy, dy * ux - dx * uy
     half_u = F.abs(ux * x0 + uy * x1) * (size[0] / 2) + F.abs(ux * y0 + uy * y1) * (size[1] / 2)
     half_v = F.abs(ux * x1 - uy * x0) * (size[0] / 2) + F.abs(ux * y1 - uy * y0) * (size[1] / 2)
     a = F.greatest(half_u * math.sqrt(2) + 0.5 * used * (front + rear), F.lit(1e-6))
     b = F.greatest(half_v * math.sqrt(2) + used * side, F.lit(1e-6))
+    return centre[0] + ux * shift, centre[1] + uy * shift, ux, uy, a, b
+
+
+def in_footprint(p: Vec, centre: Vec, size: Vec, ellipse: tuple[Column, ...]) -> Column:
+    """Inside the box's height and the ellipse that footprint gave."""
+    ex, ey, ux, uy, a, b = ellipse
+    dx, dy = p[0] - ex, p[1] - ey
+    along, across = dx * ux + dy * uy, dy * ux - dx * uy
     return (F.abs(p[2] - centre[2]) <= size[2] / 2) & ((along / a) * (along / a) + (across / b) * (across / b) <= 1)
 
 
+def in_inflated(p: Vec, centre: Vec, size: Vec, velocity: Vec, front: float = DRAWN["front"], rear: float = DRAWN["rear"], side: float = DRAWN["side"], most: float = DRAWN["most"], slow: float = DRAWN["slow"], turn: Column | None = None) -> Column:
+    """Inside the box's height and its footprint as drawn out. Many points of one box: footprint once, then in_footprint."""
+    return in_footprint(p, centre, size, footprint(centre, size, velocity, front, rear, side, most, slow, turn))
+
+
 def interval_overlap(c1: Column, r1: Column, c2: Column, r2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(c1 + r1, c2 + r2) - F.greatest(c1 - r1, c2 - r2))
 

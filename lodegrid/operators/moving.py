@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import in_box, in_inflated, overlap, vec
+from ..functions.geometry import in_box, overlap, vec
 from .cloud import CELL
 from .graph import components
-from .joins import around, box_of, neighbours, radius_pairs
+from .joins import around, box_of, in_drawn, neighbours, radius_pairs
 
 
 def framed_components(pairs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def in_dynamic_box(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     p = vec("mx", "my", "mz")
 
     def hit(b: Column) -> Column:
-        return in_box(p, *box_of(b)) | (b["is_dynamic"] & in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0))))
+        return in_box(p, *box_of(b)) | (b["is_dynamic"] & in_drawn(p, b))
 
     inside = F.filter("_boxes", hit)
     some = F.coalesce(F.size(inside), F.lit(0)) > 0
@@ -157,7 +157,7 @@ def spread_to_boxes(voxels: DataFrame, boxes: DataFrame, ratio: float = 0.3, sca
     p = vec("mx", "my", "mz")
     near = around(voxels, ("mx", "my", "mz"), known.drop("share"), inflated=True)
     inside = F.filter("_boxes", lambda b: in_box(p, *box_of(b)))
-    drawn = F.exists("_boxes", lambda b: b["is_dynamic"] & in_inflated(p, *box_of(b), (b["vx"], b["vy"], F.lit(0.0))))
+    drawn = F.exists("_boxes", lambda b: b["is_dynamic"] & in_drawn(p, b))
     said = F.when(F.size(inside) > 0, F.exists(inside, lambda b: b["is_dynamic"])).otherwise(drawn)
     some = F.lit(bool(boxes.take(1)))
     return near.withColumn("is_dynamic", F.when(F.col("is_wall") | ~some, F.col("is_dynamic")).otherwise(F.coalesce(said, F.lit(False)))).drop("_boxes")

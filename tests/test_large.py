@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodegrid.functions.geometry import in_inflated, vec
 from lodegrid.operators import joins
 
 
@@ -19,3 +20,15 @@ def test_rows_dealt_to_cells_are_not_broadcast(spark):
     assert len(found) == len(told) and set(found) == told
     pts = spark.range(100).select(F.lit(0).alias("frame_id"), F.col("id").alias("point_id"), *[(F.col("id") * k % 7).cast("double").alias(c) for k, c in zip((3, 5, 11), "xyz")])
     assert "BroadcastHashJoin" not in plan(joins.radius_pairs(pts, 2.0))
+
+
+def test_footprints_are_found_once_a_box(spark):
+    """No root is taken for each pair of a point and a box."""
+    pts = spark.range(50).select(F.lit(0).alias("frame_id"), F.col("id").alias("point_id"), *[(F.col("id") * k % 9).cast("double").alias(c) for k, c in zip((3, 5, 2), "xyz")])
+    boxes = spark.createDataFrame([(0, 4.0, 4.0, 4.0, 2.0, 3.0, 6.0, 1.0, 2.0), (1, 2.0, 7.0, 1.0, 3.0, 1.0, 4.0, 0.0, 0.0)], "box_idx long, cx double, cy double, cz double, sx double, sy double, sz double, vx double, vy double")
+    found = joins.first_box(pts, boxes, True)
+    lambdas = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lambdafunction" in line]
+    assert lambdas and not any("SQRT" in line.upper() for line in lambdas)
+    inside = in_inflated(vec("x", "y", "z"), vec("cx", "cy", "cz"), vec("sx", "sy", "sz"), (F.col("vx"), F.col("vy"), F.lit(0.0)))
+    told = pts.join(boxes, inside).groupBy("point_id").agg(F.min("box_idx").alias("b")).collect()
+    assert {r[0]: r[1] for r in told} == {r["point_id"]: r["box_idx"] for r in found.where("box_idx IS NOT NULL").collect()} != {}
