@@ -980,7 +980,7 @@ def stream_accept(spark, d):
     from ..streaming import flows
 
     schema = A.table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, as streams take no path of a single file; the table may be a folder
     rows = rows.where(F.col("event_type").isin(*A.IMU_TYPES)).select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("id"), A.micros(F.col("ts")).alias("us"))
     if not spark.sparkContext.getCheckpointDir():
         checkpointed(spark.range(1))

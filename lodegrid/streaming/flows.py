@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState
 
 from ..operators.moving import stamped, track_step
 
+#: Rows that a step gives at once.
+CHUNK = 65536
+
 BOX = ["frame_id", "box_idx", "cx", "cy", "cz", "sx", "sy", "sz"]
 
 
@@ -24,18 +28,21 @@ def released_scans(scans: DataFrame, samples: DataFrame, late: str = "10 seconds
 
 
 def accepted_stamps(rows: DataFrame) -> DataFrame:
-    """seq_id, id, us, accepted: rewinds are rejected in order of arrival; the state is the last accepted stamp."""
+    """seq_id, id, us, accepted: rewinds are rejected in order of arrival (by id within a micro-batch); the state is the last
+    accepted stamp; without a stamp, neither. A sequence comes in chunks that aren't sorted among each other, so two numbers a row of it are held."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -1
-        for batch in batches:
-            out = []
-            for row in batch.sort_values("id").itertuples():
-                ok = row.us >= max(last, 0)
-                last = row.us if ok else last
-                out.append((key[0], row.id, row.us, ok))
-            yield pd.DataFrame(out, columns=["seq_id", "id", "us", "accepted"])
-        state.update((last,))
+        ids, stamps = (np.concatenate(c) for c in zip(*[(b["id"].to_numpy(), b["us"].to_numpy()) for b in batches]))
+        order = np.argsort(ids, kind="stable")
+        ids, stamps = ids[order], stamps[order]
+        before = np.fmax.accumulate(np.concatenate([[max(last, 0)], stamps]))
+        ok = stamps >= before[:-1]
+        state.update((int(before[-1]) if last >= 0 or ok.any() else last,))
+        none = np.isnan(stamps.astype(float))
+        ok, stamps = pd.array(np.where(none, None, ok), "boolean"), pd.array(np.where(none, None, stamps), "Int64") if none.any() else stamps
+        for k in range(0, len(ids), CHUNK):
+            yield pd.DataFrame({"seq_id": key[0], "id": ids[k : k + CHUNK], "us": stamps[k : k + CHUNK], "accepted": ok[k : k + CHUNK]})
 
     return rows.groupBy("seq_id").applyInPandasWithState(step, "seq_id long, id long, us long, accepted boolean", "last long", "append", "NoTimeout")
 

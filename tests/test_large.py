@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from lodegrid.functions.geometry import in_inflated, vec
 from lodegrid.operators import joins
+from lodegrid.plans import catalogue
+from lodegrid.sources import adapters as A
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -32,3 +36,20 @@ def test_footprints_are_found_once_a_box(spark):
     inside = in_inflated(vec("x", "y", "z"), vec("cx", "cy", "cz"), vec("sx", "sy", "sz"), (F.col("vx"), F.col("vy"), F.lit(0.0)))
     told = pts.join(boxes, inside).groupBy("point_id").agg(F.min("box_idx").alias("b")).collect()
     assert {r[0]: r[1] for r in told} == {r["point_id"]: r["box_idx"] for r in found.where("box_idx IS NOT NULL").collect()} != {}
+
+
+def test_stream_of_files_whose_sequences_come_in_chunks(spark, tmp_path):
+    """A table of several files; rows of a sequence aren't in order and span Arrow batches; one has no stamp."""
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("user_id") % 3)
+    events = events.withColumn("ts", F.when(F.col("event_id") % 50 != 7, F.when(F.col("event_id") % 9 == 0, F.expr("ts - INTERVAL 3 DAYS")).otherwise(F.col("ts"))))
+    events.orderBy(F.xxhash64("event_id")).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r["id"]: r["accepted"] for r in catalogue.QUERIES["stream_accept"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last, told = {}, {}
+    for r in A.samples(spark, str(tmp_path)).orderBy("id").collect():
+        told[r["id"]] = None if r["us"] is None else r["us"] >= last.get(r["seq_id"], 0)
+        last[r["seq_id"]] = max(last.get(r["seq_id"], 0), r["us"] or 0)
+    assert found == told and {True, False, None} == set(told.values())
