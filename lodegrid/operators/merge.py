@@ -84,6 +84,18 @@ def obb_iou(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(shared / union) if union > 0 else 0.0
 
 
+def aligned_iou(a: dict, b: dict) -> float:
+    """obb_iou of boxes along the axes (cx..sz), in plain numbers: the same value."""
+    shared = 1.0
+    for c in "xyz":
+        half_a, half_b, d = a["s" + c] / 2, b["s" + c] / 2, b["c" + c] - a["c" + c]
+        if abs(d) > half_a + half_b:
+            return 0.0
+        shared *= max(0.0, min(half_a, d + half_b) - max(-half_a, d - half_b))
+    union = a["sx"] * a["sy"] * a["sz"] + b["sx"] * b["sy"] * b["sz"] - shared
+    return shared / union if union > 0 else 0.0
+
+
 def remembered_walls(walls: DataFrame, centre: float = 5.0, alike: float = 0.9, least: float = 0.3, most_missed: int = 5) -> DataFrame:
     """walls (seq_id, frame_id, box_idx, box, nx, ny, nz: unit normal): which remembered wall each is. A wall joins the one
     of most overlap among those of like direction near by, which grows to hold both; one that isn't seen for most_missed
@@ -94,10 +106,9 @@ def remembered_walls(walls: DataFrame, centre: float = 5.0, alike: float = 0.9,
         for w in frame:
             best, found = least, None
             for k in state:
-                if abs(sum(k[n] * w[n] for n in ("nx", "ny", "nz"))) < alike or sum((k[f"c{c}"] - w[f"c{c}"]) ** 2 for c in "xyz") > centre * centre:
+                if (k["cx"] - w["cx"]) ** 2 + (k["cy"] - w["cy"]) ** 2 + (k["cz"] - w["cz"]) ** 2 > centre * centre or abs(k["nx"] * w["nx"] + k["ny"] * w["ny"] + k["nz"] * w["nz"]) < alike:
                     continue
-                box = lambda b: (np.array([b["cx"], b["cy"], b["cz"]]), np.array([b["sx"], b["sy"], b["sz"]]), np.eye(3))
-                if (iou := obb_iou(box(k), box(w))) > best:
+                if (iou := aligned_iou(k, w)) > best:
                     best, found = iou, k
             if found is None:
                 found = w | {"id": next_id}

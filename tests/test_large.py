@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodegrid.functions.geometry import in_inflated, vec
-from lodegrid.operators import joins
+from lodegrid.operators import joins, keyframes, merge
 from lodegrid.plans import catalogue
 from lodegrid.sources import adapters as A
 
@@ -78,3 +78,27 @@ def test_nearest_neighbours_of_a_dense_frame(spark, monkeypatch):
             told = ids[np.lexsort((ids, d2))][:4].tolist()
             assert [n for _, n in sorted(got[f, ids[i]])] == told
     assert len(got) == len(rows) and [n for _, n in sorted(got[0, 9000])][0] == 9000
+
+
+def test_memory_of_walls_takes_no_turned_boxes(spark, monkeypatch):
+    """Boxes along the axes are compared in plain numbers, of the same value to the bit."""
+    rng = np.random.default_rng(3)
+    keys = [f"{k}{c}" for k in "cs" for c in "xyz"]
+    for _ in range(300):
+        a, b = (dict(zip(keys, [*rng.integers(0, 6, 3).astype(float), *(rng.integers(0, 5, 3) * 0.7)])) for _ in range(2))
+        old = merge.obb_iou(*[(np.array([v[k] for k in keys[:3]]), np.array([v[k] for k in keys[3:]]), np.eye(3)) for v in (a, b)])
+        assert merge.aligned_iou(a, b) == old
+
+
+def test_closest_pair_of_many_nodes_at_one_place(spark):
+    """Nodes at one place count once; the pair is the least of all that are as near, at any density."""
+    at = lambda n, off: spark.range(n).select((F.col("id") * 2 + off).alias("id"), (F.col("id") % 3 + off * 0.25).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    seen = []
+    plain = joins.radius_pairs
+    try:
+        joins.radius_pairs = lambda a, r, b: seen.append((a.count(), b.count())) or plain(a, r, b)
+        row = keyframes.closest_pair(at(600, 0), at(600, 1), 2.0).first()
+    finally:
+        joins.radius_pairs = plain
+    assert tuple(row) == (0, 1, 0.0625) and set(seen) == {(3, 3)}
+    assert keyframes.closest_pair(at(0, 0), at(5, 1), 2.0, 2).first() in (None, (None, None, None))
