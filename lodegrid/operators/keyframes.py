@@ -154,13 +154,19 @@ def grown(points: DataFrame, normals: DataFrame, seed_id: int, radius: float, de
 
 
 def closest_pair(a: DataFrame, b: DataFrame, reach: float, tries: int = 20) -> DataFrame:
-    """a_id, b_id, d2: the nearest pair between two maps' nodes (id, x, y, z). The cells double until there is a pair nearer
-    than they reach, so near maps cost one join on small cells."""
+    """a_id, b_id, d2: the nearest pair between two maps' nodes (id, x, y, z), ties by ids. The cells double until there is a
+    pair nearer than they reach, so near maps cost one join on small cells: of side reach, halved until a cell holds a place
+    or so. Of nodes at one place only the least id can be of the pair."""
+    from .graph import checkpointed
     from .joins import radius_pairs
 
-    shape = lambda m: m.select(F.lit(0).alias("frame_id"), F.col("id").alias("point_id"), *XYZ)
-    for _ in range(tries):
-        best = radius_pairs(shape(a), reach, shape(b)).agg(F.min(F.struct("d2", "a", "b")).alias("m")).where("m IS NOT NULL")
+    a, b = (checkpointed(m.groupBy(*XYZ).agg(F.min("id").alias("point_id")).select(F.lit(0).alias("frame_id"), "point_id", *XYZ)) for m in (a, b))
+    n, *spread = a.union(b).agg(F.count(F.lit(1)), *[F.stddev_pop(c) for c in XYZ]).first()
+    fit = float(np.prod([4 * max(s, max(spread) / 100) for s in spread]) / n) ** (1 / 3) if n else 0.0
+    halved = max(0, int(np.ceil(np.log2(reach / fit)))) if np.isfinite(fit) and fit > 0 else 0
+    reach /= 2**halved
+    for _ in range(tries + halved):
+        best = radius_pairs(a, reach, b).agg(F.min(F.struct("d2", "a", "b")).alias("m")).where("m IS NOT NULL")
         if not best.isEmpty():
             break
         reach *= 2
