@@ -118,10 +118,8 @@ def loop_candidates(rows: DataFrame, key: str, index: str, coords: Sequence[str]
     """Pairs of a key that are near each other with at least so much travel between them; an exact join by cells."""
     from .joins import pairs_within
 
-    way = travelled(rows, key, index, coords).select(key, index, "travel")
-    pairs = pairs_within(rows, key, index, coords, near)
-    first, second = way.withColumnRenamed(index, "i").withColumnRenamed("travel", "ti"), way.withColumnRenamed(index, "j").withColumnRenamed("travel", "tj")
-    return pairs.join(first, [key, "i"]).join(second, [key, "j"]).where(F.col("tj") - F.col("ti") >= least_travel).select(key, "i", "j", "d2", (F.col("tj") - F.col("ti")).alias("between"))
+    pairs = pairs_within(travelled(rows, key, index, coords), key, index, coords, near, ["travel"])
+    return pairs.select(key, "i", "j", "d2", (F.col("travel_j") - F.col("travel_i")).alias("between")).where(F.col("between") >= least_travel)
 
 
 def missing_edges(nodes: DataFrame, edges: DataFrame, key: str, index: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodegrid.functions.geometry import in_inflated, vec
-from lodegrid.operators import joins, keyframes, merge
+from lodegrid.operators import graph, joins, keyframes, merge
 from lodegrid.plans import catalogue
 from lodegrid.sources import adapters as A
 
@@ -102,3 +102,19 @@ def test_closest_pair_of_many_nodes_at_one_place(spark):
         joins.radius_pairs = plain
     assert tuple(row) == (0, 1, 0.0625) and set(seen) == {(3, 3)}
     assert keyframes.closest_pair(at(0, 0), at(5, 1), 2.0, 2).first() in (None, (None, None, None))
+
+
+def test_travel_comes_with_the_pairs(spark):
+    """Nothing is joined to the pairs: Spark would take a table of windows for small and send it through the driver."""
+    maps = spark.range(60).select((F.col("id") % 2).alias("s"), (F.col("id") * 17 % 60).alias("k"), (F.col("id") * 37 % 41).alias("x"), (F.col("id") * 53 % 43).alias("y"))
+    found = graph.loop_candidates(maps, "s", "k", ("x", "y"), 20, 50)
+    assert "BroadcastHashJoin" not in plan(found)
+    way, at = {}, {}
+    for s, k, x, y in sorted(tuple(r) for r in maps.collect()):
+        before = at.get(s)
+        way[s, k] = (0 if before is None else way[s, before[0]][0] + int(np.sqrt((x - before[1]) ** 2 + (y - before[2]) ** 2)), x, y)
+        at[s] = (k, x, y)
+    pairs = [(s, i, j, (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0] - a[0]) for (s, i), a in way.items() for (z, j), b in way.items() if s == z and i < j]
+    told = {p for p in pairs if p[3] <= 400 and p[4] >= 50}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(told) > 0 and set(rows) == told
