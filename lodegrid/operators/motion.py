@@ -26,11 +26,17 @@ def turn_of(w: np.ndarray) -> np.ndarray:
 
 
 def quaternion(r: np.ndarray) -> np.ndarray:
-    """x, y, z, w of a rotation matrix, w >= 0."""
-    k = np.array([[r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0], [r[0, 1] + r[1, 0], r[1, 1] - r[0, 0] - r[2, 2], 0, 0], [r[0, 2] + r[2, 0], r[1, 2] + r[2, 1], r[2, 2] - r[0, 0] - r[1, 1], 0], [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], np.trace(r)]]) / 3
-    _, v = np.linalg.eigh(k, "L")
-    q = v[:, -1]
-    return q if q[3] >= 0 else -q
+    """x, y, z, w of a rotation matrix, w >= 0; or of each of a stack."""
+    k, trace = np.zeros((*r.shape[:-2], 4, 4)), np.trace(r, axis1=-2, axis2=-1)
+    for i in range(3):
+        k[..., i, i] = 2 * r[..., i, i] - trace
+    k[..., 3, 3] = trace
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        k[..., j, i] = r[..., i, j] + r[..., j, i]
+    for i, (a, b) in enumerate(((2, 1), (0, 2), (1, 0))):
+        k[..., 3, i] = r[..., a, b] - r[..., b, a]
+    q = np.linalg.eigh(k / 3, "L")[1][..., -1]
+    return np.where(q[..., 3:] >= 0, q, -q)
 
 
 def folded(rows: DataFrame, order: str, start: Callable[[], dict], step: Callable[[dict, dict], tuple | None], schema: str) -> DataFrame:

@@ -103,3 +103,30 @@ def test_refreshed(spark):
     frames = spark.createDataFrame([(0, 1, unit), (0, 2, unit)], "seq_id long, frame_id long, pose array<double>")
     new = spark.createDataFrame([(0, 2, other), (0, 9, other)], "seq_id long, frame_id long, pose array<double>")
     assert {r["frame_id"]: (r["pose"], r["is_refreshed"]) for r in S.refreshed(frames, new).collect()} == {1: (unit, False), 2: (other, True)}
+
+
+def test_ways_of_a_length_are_solved_together(spark):
+    """As each alone, to the bit; and whichever batches the rows come in."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9):
+        turn = lambda: np.concatenate([np.concatenate([G.exp3(rng.normal(0, 1, (6, 3))), rng.normal(0, 1, (6, 3, 1))], 2), np.tile([[[0, 0, 0, 1.0]]], (6, 1, 1))], 1)
+        pose, end, stamps, samples = turn(), turn(), np.cumsum(rng.exponential(0.1, (6, n + 1)), 1), rng.normal(0, 1, (6, n, 6))
+        v, bias = rng.normal(0, 1, (6, 3)), rng.normal(0, 0.1, (6, 6))
+        way, speed = S.predicted(pose, v, bias, stamps, samples)
+        found = S.bent(way, stamps, pose, end)
+        for k in range(6):
+            alone = S.predicted(pose[k], v[k], bias[k], stamps[k], samples[k])
+            assert (alone[0] == way[k]).all() and (alone[1] == speed[k]).all()
+            assert (S.bent(way[k], stamps[k], pose[k], end[k]) == found[k]).all()
+        assert np.allclose(S.quaternion(found[:, 0, :3, :3]), [S.quaternion(p[:3, :3]) for p in found[:, 0]])
+    unit = np.eye(4).ravel().tolist()
+    frames = spark.createDataFrame([(s, f, f + 0.25 * s, [*unit[:3], float(f), *unit[4:]], 1.0, 0.0, 0.0) for s in range(3) for f in range(8)], FRAMES)
+    imu = spark.createDataFrame([(s, k / 7 + 0.3 * s, 0.1, 0.0, 9.8, 0.0, 0.0, k % 3 / 10) for s in range(3) for k in range(40)], IMU)
+    made = []
+    for size in ("5", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            made.append(S.trajectories(frames, imu).orderBy("seq_id", "frame_id", "stamp").collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made[0] == made[1] and {(r["seq_id"], r["frame_id"]) for r in made[0]} >= {(s, f) for s in range(3) for f in range(2, 5)}
