@@ -186,25 +186,32 @@ def searched_planes(points: DataFrame, distance: float, least: int = 30, confide
 
     Draws go on, `count` at a time, for the frames for which they may still help: until with the best share of inliers w
     so far, one of the draws would have been free of outliers with the given confidence, log(1 - confidence) /
-    log(1 - w^3), or `most` were made. Each round reads a frame's points once, whatever the number of draws. is_allowed: a
-    condition on normals (is_floor, is_wall)."""
+    log(1 - w^3), or `most` were made. Each round makes as many draws as all before it and reads a frame's points once, for
+    the planes that are allowed; what it drew after the end doesn't count. is_allowed: a condition on normals (is_floor,
+    is_wall)."""
     from .graph import stored
 
     known = stored(numbered(points.select("frame_id", "point_id", "x", "y", "z")))
     state = known.groupBy("frame_id").agg(F.first("_n").alias("_n")).where("_n >= 3").withColumns({"n_draws": F.lit(0), "best": F.lit(None).cast("struct<n:bigint,h_:int,nx:double,ny:double,nz:double,d:double>")})
     state, done = stored(state), None
-    for first in range(0, most, count):
-        planes = stored(drawn_planes(known, state, first, count, seed, is_allowed)).withColumn("_s", F.col("h") - first)
-        wide = planes.groupBy("frame_id").agg(*[F.max(F.when(F.col("_s") == k, F.struct("nx", "ny", "nz", "d"))).alias(f"_{k}") for k in range(count)])
-        near = [F.abs(F.col("x") * F.col(f"_{k}.nx") + F.col("y") * F.col(f"_{k}.ny") + F.col("z") * F.col(f"_{k}.nz") + F.col(f"_{k}.d")) < distance for k in range(count)]
-        counts = known.join(wide, "frame_id").groupBy("frame_id").agg(F.array(*[F.count_if(c) for c in near]).alias("_c"))
-        counted = planes.join(counts, "frame_id").groupBy("frame_id").agg(F.max(F.struct(F.element_at("_c", (F.col("_s") + 1).cast("int")).alias("n"), (-F.col("h")).alias("h_"), "nx", "ny", "nz", "d")).alias("new"))
+    first, most = 0, math.ceil(most / count) * count
+    while first < most:
+        draws = min(max(count, first), most - first)
+        planes = stored(drawn_planes(known, state, first, draws, seed, is_allowed))
+        counted = plane_support(known, planes, distance).withColumn("_s", F.floor((F.col("h") - first) / count).cast("int") + 1)
+        new = counted.groupBy("frame_id", "_s").agg(F.max(F.struct(F.col("n_inliers").alias("n"), (-F.col("h")).alias("h_"), "nx", "ny", "nz", "d")).alias("_new"))
+        parts = state.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(draws // count)))).join(new, ["frame_id", "_s"], "left")
+        so_far = F.max("_new").over(Window.partitionBy("frame_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))
+        parts = parts.select("frame_id", "_n", (F.col("n_draws") + F.col("_s") * count).alias("n_draws"), F.greatest("best", so_far).alias("best"))
         share = F.coalesce(F.col("best.n"), F.lit(0)) / F.col("_n")
         enough = F.when(share >= 1, 1.0).when(share > 0, F.log(F.lit(1 - confidence)) / F.log(1 - share * share * share)).otherwise(math.inf)
-        state = stored(state.join(counted, "frame_id", "left").select("frame_id", "_n", (F.col("n_draws") + count).alias("n_draws"), F.greatest("best", "new").alias("best")))
-        ended = state.where(F.col("n_draws") >= enough)
+        parts = parts.withColumn("_ended", F.col("n_draws") >= enough).where(F.col("_ended") | (F.col("n_draws") == first + draws))
+        at = F.min_by(F.struct("_n", "n_draws", "best", "_ended"), "n_draws").alias("_at")
+        state = stored(parts.groupBy("frame_id").agg(at).select("frame_id", "_at.*"))
+        ended = state.where("_ended").drop("_ended")
         done = ended if done is None else done.unionByName(ended)
-        state = state.where(F.col("n_draws") < enough)
+        state = state.where("NOT _ended").drop("_ended")
+        first += draws
         if state.isEmpty():
             break
     found = done.unionByName(state).where(F.col("best.n") >= least).select("frame_id", "n_draws", F.col("best.n").alias("n_inliers"), *[f"best.{c}" for c in ("nx", "ny", "nz", "d")])

@@ -34,3 +34,25 @@ def test_draws_stop_when_they_suffice(spark):
     walls = {r["frame_id"]: r for r in ground.searched_planes(pts, 0.05, 60, count=32, most=256, is_allowed=lambda n: G.is_wall(n)).collect()}
     assert abs(abs(walls[1]["nx"]) - 1) < 1e-2 and 0 not in walls
     assert ground.searched_planes(pts.limit(0), 0.05).count() == 0
+
+
+def test_points_are_read_a_few_times_for_many_draws(spark, monkeypatch):
+    """Rounds that double end where rounds of `count` would: by a plain loop over the same draws."""
+    rng = np.random.default_rng(6)
+    rows = [(f, k, *map(float, p)) for f, on in ((0, 170), (1, 110), (2, 60), (3, 0)) for k, p in enumerate(np.concatenate([np.column_stack([rng.uniform(-5, 5, (on, 2)), np.full(on, 1.5)]), rng.uniform(-5, 5, (200 - on, 3))]))]
+    pts = spark.createDataFrame(pd.DataFrame(rows, columns=["frame_id", "point_id", "x", "y", "z"])).persist()
+    seen, drawn = [], ground.drawn_planes
+    monkeypatch.setattr(ground, "drawn_planes", lambda *a: seen.append(a) or drawn(*a))
+    found = {r["frame_id"]: (r["n_draws"], r["n_inliers"]) for r in ground.searched_planes(pts, 0.05, 1, count=8, most=120).collect()}
+    assert [a[3] for a in seen] == [8, 8, 16, 32, 56]
+    known = ground.numbered(pts)
+    planes = drawn(known, known.select("frame_id", "_n").distinct(), 0, 120, 0).collect()
+    for f in range(4):
+        at, best, n = np.array([r[2:] for r in rows if r[0] == f]), 0, 0
+        while n < 120:
+            n += 8
+            best = max([best, *((np.abs(at @ [p["nx"], p["ny"], p["nz"]] + p["d"]) < 0.05).sum() for p in planes if p["frame_id"] == f and n - 8 <= p["h"] < n)])
+            if n >= math.log(0.01) / math.log(1 - (best / 200) ** 3):
+                break
+        assert found[f] == (n, best)
+    assert len({n for n, _ in found.values()}) >= 3
