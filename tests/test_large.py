@@ -118,3 +118,28 @@ def test_travel_comes_with_the_pairs(spark):
     told = {p for p in pairs if p[3] <= 400 and p[4] >= 50}
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(told) > 0 and set(rows) == told
+
+
+def test_registration_of_a_dense_cloud(spark, monkeypatch):
+    """Candidates grow with the points, not with the square; ties go to the least id, and what is as far as the reach is none."""
+    at = lambda n, off: spark.range(n).select(F.lit(0).cast("long").alias("frame_id"), F.col("id").alias("point_id"), *[((F.col("id") * k % 3001) / 3001 + off).alias(c) for k, c in zip((7, 1009, 2003), "xyz")])
+    more = spark.createDataFrame([(0, 9000, 6.0, 0.0, 0.0), (0, 9001, 20.0, 0.0, 0.0), (0, 9002, 1e3, 0.0, 0.0), (1, 5, 0.0, 0.0, 0.0), (2, 5, 8.0, 0.0, 0.0), (2, 6, 0.5, 0.0, 0.0)], at(1, 0.0).schema)
+    source, target = at(3000, 0.01).union(more), at(3000, 0.0).union(spark.createDataFrame([(0, 9003, 21.0, 0.0, 0.0), (0, 9004, 19.0, 0.0, 0.0), (2, 5, 0.0, 0.0, 0.0)], more.schema))
+    met = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda d2: met.add(1) or d2, "double")
+    squared = joins.squared
+    monkeypatch.setattr(joins, "squared", lambda a, b: counted(squared(a, b)))
+    found = {(r["frame_id"], r["a"]): (r["b"], r["d2"]) for r in joins.nearest(source, target, 8.0).collect()}
+    assert met.value < 1_000_000  # all pairs are 9 million
+    there = [tuple(r) for r in target.collect()]
+    for f, i, *xyz in [r for k, r in enumerate(map(tuple, source.collect())) if k % 97 == 0 or k >= 3000]:
+        off = [(r[1], *[p - q for p, q in zip(xyz, r[2:])]) for r in there if r[0] == f]
+        told = min(((x * x + y * y + z * z, b) for b, x, y, z in off), default=(64.0, 0))
+        assert found.get((f, i)) == (None if told[0] >= 64 else told[::-1])
+    assert found[0, 9001][0] == 9003 and (0, 9002) not in found and (2, 5) not in found and (2, 6) in found
+    monkeypatch.undo()
+    seen = []
+    plain = joins.nearest
+    monkeypatch.setattr(joins, "nearest", lambda *a: seen.append(a) or plain(*a))
+    pose, error = graph.registered(at(300, 0.01), at(300, 0.0), 1.0, 1)
+    assert len(seen) == 1 and error < 0.01
