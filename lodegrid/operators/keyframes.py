@@ -140,13 +140,14 @@ def reanchored(nodes: DataFrame, session: int, pose: Sequence[float]) -> DataFra
 
 def grown(points: DataFrame, normals: DataFrame, seed_id: int, radius: float, degrees: float) -> DataFrame:
     """frame_id, point_id of the region around the seed of each frame that has one of this id: points linked by distances under radius and normals within the angle."""
+    from .graph import checkpointed
     from .joins import radius_pairs
     from .moving import framed_components
 
-    n = normals.select("frame_id", "point_id", "nx", "ny", "nz")
-    pairs = radius_pairs(points, radius)
-    pairs = pairs.join(n.withColumnRenamed("point_id", "a"), ["frame_id", "a"]).join(n.select("frame_id", F.col("point_id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("nx", "ny", "nz")]), ["frame_id", "b"])
-    alike = F.abs(F.col("nx") * F.col("bnx") + F.col("ny") * F.col("bny") + F.col("nz") * F.col("bnz")) > float(np.cos(np.radians(degrees)))
+    axes = ("nx", "ny", "nz")
+    known = points.select("frame_id", "point_id", *XYZ).join(normals.select("frame_id", "point_id", *axes), ["frame_id", "point_id"])
+    pairs = radius_pairs(checkpointed(known), radius, carried=axes)
+    alike = F.abs(sum((F.col(f"{c}_a") * F.col(f"{c}_b") for c in axes[1:]), F.col("nx_a") * F.col("nx_b"))) > float(np.cos(np.radians(degrees)))
     root = framed_components(pairs.where(alike))
     mine = root.where(F.col("point_id") == seed_id).select("frame_id", "root")
     found = root.join(mine, ["frame_id", "root"], "left_semi").select("frame_id", "point_id")

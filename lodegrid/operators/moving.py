@@ -5,19 +5,62 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_box, overlap, vec
 from .cloud import CELL
-from .graph import components
+from .graph import checkpointed, components
 from .joins import around, box_of, in_drawn, neighbours, radius_pairs
 
 
+#: Points of a forest that a task holds at most.
+HELD = 1 << 20
+
+
+def forest(pairs: DataFrame) -> DataFrame:
+    """frame_id, a, b: pairs that link the same points of a frame as those given, fewer: each task replaces its own by one a
+    point, so that pairs aren't shuffled. Once it holds HELD points it begins anew."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, dict[int, int]] = {}
+
+        def top(tree: dict[int, int], i: int) -> int:
+            while (up := tree.setdefault(i, i)) != i:
+                tree[i] = tree[up]
+                i = up
+            return i
+
+        def made() -> Iterator[pa.RecordBatch]:
+            for frame, tree in above.items():
+                links = [(top(tree, i), i) for i in list(tree)]
+                links = np.array([k for k in links if k[0] != k[1]], dtype="int64").reshape(-1, 2)
+                yield pa.record_batch([pa.array(np.full(len(links), frame)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["frame_id", "a", "b"])
+            above.clear()
+
+        for batch in batches:
+            frames, a, b = (batch.column(c).to_numpy() for c in ("frame_id", "a", "b"))
+            for frame in np.unique(frames):
+                own, tree = frames == frame, above.setdefault(int(frame), {})
+                ids, at = np.unique(np.stack([a[own], b[own]]), return_inverse=True)
+                tops = np.array([top(tree, i) for i in ids.tolist()])[at.reshape(2, -1)]
+                for x, y in set(zip(*tops[:, tops[0] != tops[1]].tolist())):
+                    x, y = top(tree, x), top(tree, y)
+                    tree[max(x, y)] = min(x, y)
+            if sum(map(len, above.values())) >= HELD:
+                yield from made()
+        yield from made()
+
+    return pairs.select(*[F.col(c).cast("long").alias(c) for c in ("frame_id", "a", "b")]).where("frame_id IS NOT NULL").mapInArrow(work, "frame_id long, a long, b long")
+
+
 def framed_components(pairs: DataFrame) -> DataFrame:
-    """frame_id, point_id, root: the least point that each point of the pairs (frame_id, a, b) reaches in its frame; other
-    frames may use the same ids."""
+    """frame_id, point_id, root: the least point that each point of the pairs (frame_id, a, b; whole numbers) reaches in its
+    frame; other frames may use the same ids."""
+    pairs = forest(pairs)
     node = lambda c: F.struct("frame_id", F.col(c).alias("point_id"))
     root = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
     return root.select("node.frame_id", "node.point_id", F.col("root.point_id").alias("root"))
@@ -31,10 +74,11 @@ def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1) -> Da
     pairs = radius_pairs(points, eps)
     both = pairs.select("frame_id", "a", "b").union(pairs.select("frame_id", "b", "a"))
     core = both.groupBy("frame_id", "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("frame_id", "a")
-    core_b = core.withColumnRenamed("a", "b")
-    linked = pairs.join(core, ["frame_id", "a"], "left_semi").join(core_b, ["frame_id", "b"], "left_semi")
-    cores = core.select("frame_id", F.col("a").alias("point_id")).join(framed_components(linked), ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
-    border = both.join(core, ["frame_id", "a"], "left_anti").join(cores.select("frame_id", F.col("point_id").alias("b"), "cluster"), ["frame_id", "b"])
+    core = checkpointed(core.withColumnRenamed("a", "point_id"))
+    # Points are sorted into cores and others, not pairs: of those there are many more.
+    inner, outer = (points.join(core, ["frame_id", "point_id"], how) for how in ("left_semi", "left_anti"))
+    cores = core.join(framed_components(radius_pairs(inner, eps)), ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
+    border = radius_pairs(outer, eps, inner).join(cores.select("frame_id", F.col("point_id").alias("b"), "cluster"), ["frame_id", "b"])
     border = border.groupBy("frame_id", F.col("a").alias("point_id")).agg(F.min("cluster").alias("cluster"))
     out = cores.unionByName(border)
     big = out.groupBy("frame_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodegrid.functions.geometry import in_inflated, vec
-from lodegrid.operators import graph, joins, keyframes, merge
+from lodegrid.operators import graph, joins, keyframes, merge, moving
 from lodegrid.plans import catalogue
 from lodegrid.sources import adapters as A
 
@@ -143,3 +143,31 @@ def test_registration_of_a_dense_cloud(spark, monkeypatch):
     monkeypatch.setattr(joins, "nearest", lambda *a: seen.append(a) or plain(*a))
     pose, error = graph.registered(at(300, 0.01), at(300, 0.0), 1.0, 1)
     assert len(seen) == 1 and error < 0.01
+
+
+def test_pairs_of_a_dense_frame_are_not_shuffled(spark, monkeypatch):
+    """Each task sends a link a point at most, and parts are the same; ids begin again in each frame."""
+    pts = spark.range(600).select((F.col("id") % 2).alias("frame_id"), F.floor(F.col("id") / 2).cast("long").alias("point_id"), *[(F.col("id") * k % 601 / 601 + F.when(F.col("id") >= 500, 4.0).otherwise(0.0)).alias(c) for k, c in zip((7, 101, 203), "xyz")])
+    far = spark.createDataFrame([(0, 900, 1.9, 0.5, 0.5), (0, 901, 30.0, 0.0, 0.0), (1, 900, 30.0, 0.0, 0.0)], pts.schema)
+    pts = pts.union(far)
+    seen, plain = [], moving.components
+    monkeypatch.setattr(moving, "components", lambda e: seen.append(e.count()) or plain(e))
+    rows = [tuple(r) for r in pts.collect()]
+    told = {}
+    for f in (0, 1):
+        ids, xyz = [r[1] for r in rows if r[0] == f], np.array([r[2:] for r in rows if r[0] == f])
+        near = ((xyz[:, None] - xyz[None]) ** 2).sum(2) < 4
+        core = near.sum(1) > 40
+        least = np.where(core, ids, 10**6)
+        for _ in ids:
+            least = np.where(core, np.where(near & core, least, 10**6).min(1), 10**6)
+        border = np.where(near & core, least, 10**6).min(1)
+        told |= {(f, i): c for i, c in zip(ids, np.where(core, least, border).tolist()) if c < 10**6}
+    assert {(r[0], r[1]): r[2] for r in moving.dbscan(pts, 2.0, 40).collect()} == told and len(set(told.values())) > 1
+    assert {(0, 900)} <= told.keys() and (0, 901) not in told
+    normals = pts.select("frame_id", "point_id", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    region = {tuple(r) for r in keyframes.grown(pts, normals, 0, 2.0, 10.0).collect()}
+    assert {(f, i) for f, i in region if i < 250} == {(f, i) for f in (0, 1) for i in range(250)} and not {(0, 901), (1, 900)} & region
+    assert len(seen) == 2 and max(seen) < 10_000  # of 60,000 pairs and more
+    monkeypatch.setattr(moving, "HELD", 1)
+    assert moving.framed_components(joins.radius_pairs(pts, 2.0)).groupBy("frame_id").agg(F.count(F.lit(1))).count() == 2
