@@ -59,26 +59,29 @@ def forest(pairs: DataFrame) -> DataFrame:
 
 def framed_components(pairs: DataFrame) -> DataFrame:
     """frame_id, point_id, root: the least point that each point of the pairs (frame_id, a, b; whole numbers) reaches in its
-    frame; other frames may use the same ids."""
-    pairs = forest(pairs)
+    frame; other frames may use the same ids.
+
+    What the tasks left is dealt out once by frame and reduced again, so that frames of fewer than HELD points are done
+    before the rounds of all frames begin; a larger frame's links are several tasks'."""
+    left = checkpointed(forest(pairs))
+    pairs = forest(left.repartitionByRange("frame_id", "a").sortWithinPartitions("frame_id"))
     node = lambda c: F.struct("frame_id", F.col(c).alias("point_id"))
     root = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
     return root.select("node.frame_id", "node.point_id", F.col("root.point_id").alias("root"))
 
 
-def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1, wide: int = 1) -> DataFrame:
     """frame_id, point_id, cluster: the smallest core point of the cluster; noise isn't returned.
 
     Point ids count within their frame. A core has at least `least` others nearer than eps; cores that near each other are one cluster (components of a
-    distributed graph); other points near a core belong to the cluster of the smallest id."""
-    pairs = radius_pairs(points, eps)
-    both = pairs.select("frame_id", "a", "b").union(pairs.select("frame_id", "b", "a"))
+    distributed graph); other points near a core belong to the cluster of the smallest id. wide: as radius_pairs."""
+    both = radius_pairs(points, eps, wide=wide).select("frame_id", F.explode(F.array("a", "b")).alias("a"))
     core = both.groupBy("frame_id", "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("frame_id", "a")
     core = checkpointed(core.withColumnRenamed("a", "point_id"))
     # Points are sorted into cores and others, not pairs: of those there are many more.
     inner, outer = (points.join(core, ["frame_id", "point_id"], how) for how in ("left_semi", "left_anti"))
-    cores = core.join(framed_components(radius_pairs(inner, eps)), ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
-    border = radius_pairs(outer, eps, inner).join(cores.select("frame_id", F.col("point_id").alias("b"), "cluster"), ["frame_id", "b"])
+    cores = core.join(framed_components(radius_pairs(inner, eps, wide=wide)), ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
+    border = radius_pairs(outer, eps, inner, wide=wide).join(cores.select("frame_id", F.col("point_id").alias("b"), "cluster"), ["frame_id", "b"])
     border = border.groupBy("frame_id", F.col("a").alias("point_id")).agg(F.min("cluster").alias("cluster"))
     out = cores.unionByName(border)
     big = out.groupBy("frame_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)

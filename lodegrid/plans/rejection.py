@@ -29,7 +29,7 @@ def rejected(points: DataFrame, res: float = 2.0, ground_height: float = 0.5, ep
     vox = ground.lowest_ground(cloud.voxelise(keyed, res).drop("is_ground"), ground_height)
     vox = checkpointed(vox.withColumn("voxel_id", F.xxhash64("frame_id", *cloud.CELL)))  # read five times below; points are read once
     means = vox.where("NOT is_ground").select("frame_id", F.col("voxel_id").alias("point_id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
-    labels = checkpointed(moving.dbscan(means, eps, least))
+    labels = checkpointed(moving.dbscan(means, eps, least, wide=4))
     members = means.join(labels, ["frame_id", "point_id"])
     found = cloud.extents(members, "cluster").join(labels.select("frame_id", "cluster").distinct(), "cluster")
 
