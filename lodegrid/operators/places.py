@@ -19,16 +19,17 @@ from .joins import radius_pairs
 
 #: Bins of each of the three angles, hashed tables and bits of a table's code.
 BINS, TABLES, BITS = 11, 12, 8
+#: Radii of a cell's side, points whose nearest a task holds at most.
+WIDE, HELD = 2, 1 << 18
 
 
 def angles(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
     """frame_id, of, nbr, d, and the bins (b0, b1, b2) of each neighbour nearer than the radius: three angles between the
-    normals and the line that joins the two points, which don't change as the cloud moves."""
+    normals and the line that joins the two points, which don't change as the cloud moves. Normals come with the pairs, of
+    which there are too many to be joined again or kept."""
     known = points.select("frame_id", "point_id", *XYZ).join(normals.select("frame_id", "point_id", "nx", "ny", "nz"), ["frame_id", "point_id"])
-    pairs = radius_pairs(points, radius).where("d2 > 0").select("frame_id", "a", "b", F.sqrt("d2").alias("d"))
-    both = pairs.select("frame_id", F.col("a").alias("of"), F.col("b").alias("nbr"), "d").unionByName(pairs.select("frame_id", F.col("b").alias("of"), F.col("a").alias("nbr"), "d"))
-    for name, key in (("p", "of"), ("q", "nbr")):
-        both = both.join(known.select("frame_id", F.col("point_id").alias(key), F.struct(*XYZ, "nx", "ny", "nz").alias(name)), ["frame_id", key])
+    known = known.withColumn("known", F.struct(*XYZ, "nx", "ny", "nz"))
+    both = radius_pairs(known, radius, known, ["known"], WIDE).where("d2 > 0").select("frame_id", F.col("a").alias("of"), F.col("b").alias("nbr"), F.sqrt("d2").alias("d"), F.col("known_a").alias("p"), F.col("known_b").alias("q"))
     at = lambda s: tuple(F.col(f"{s}.{c}") for c in XYZ)
     normal = lambda s: tuple(F.col(f"{s}.n{c}") for c in XYZ)
     line = tuple(c / F.col("d") for c in minus(at("q"), at("p")))
@@ -44,14 +45,20 @@ def angles(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
 
 def features(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
     """frame_id, point_id, f: 33 numbers for each point with a neighbour, its own histogram and, by nearness, its neighbours'.
-    Each of the three adds up to 2, or 1 if no neighbour has one."""
-    pairs = stored(angles(points, normals, radius))
-    counts = pairs.groupBy("frame_id", F.col("of").alias("point_id")).agg(*[F.avg((F.col(f"b{k}") == b).cast("double")).alias(f"h{k}_{b}") for k in range(3) for b in range(BINS)])
-    names = [f"h{k}_{b}" for k in range(3) for b in range(BINS)]
-    own = stored(counts.select("frame_id", "point_id", *names))
-    near = pairs.select("frame_id", "of", F.col("nbr").alias("point_id"), (1 / F.col("d")).alias("w")).join(own, ["frame_id", "point_id"])
-    around = near.groupBy("frame_id", F.col("of").alias("point_id")).agg(*[(F.sum(F.col(h) * F.col("w")) / F.sum("w")).alias(f"r{h}") for h in names])
-    return own.join(around, ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.array(*[F.col(h) + F.coalesce(f"r{h}", F.lit(0.0)) for h in names]).alias("f"))
+    Each of the three adds up to 2, or 1 if no neighbour has one.
+
+    Pairs grow with the square of a frame's density. They are never written: all those of a point are found in one task,
+    which adds them up, and they are found again, with the neighbours' histograms (counts), for the second sum."""
+    bins = [(k, b) for k in range(3) for b in range(BINS)]
+    counts = angles(points, normals, radius).groupBy("frame_id", F.col("of").alias("point_id")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"b{k}") == b).alias(f"h{k}_{b}") for k, b in bins])
+    own = stored(counts.select("frame_id", "point_id", F.col("n").cast("int").alias("n"), F.array(*[F.col(f"h{k}_{b}").cast("int") for k, b in bins]).alias("h")))
+    placed = points.select("frame_id", "point_id", *XYZ).join(own, ["frame_id", "point_id"])
+    near = radius_pairs(placed.drop("n", "h").withColumn("kept", F.lit(None).cast("struct<n:int,h:array<int>>")), radius, placed.withColumn("kept", F.struct("n", "h")), ["kept"], WIDE).where("d2 > 0")
+    near = near.select("frame_id", F.col("a").alias("point_id"), (1 / F.sqrt("d2")).alias("w"), "kept_b")
+    share = lambda i: F.col("kept_b.h")[i] / F.col("kept_b.n")
+    around = near.groupBy("frame_id", "point_id").agg(F.sum("w").alias("w"), *[F.sum(share(i) * F.col("w")).alias(f"r{i}") for i in range(len(bins))])
+    both = own.join(around, ["frame_id", "point_id"], "left")
+    return both.select("frame_id", "point_id", F.array(*[F.col("h")[i] / F.col("n") + F.coalesce(F.col(f"r{i}") / F.col("w"), F.lit(0.0)) for i in range(len(bins))]).alias("f"))
 
 
 def coded(feats: DataFrame, seed: int = 1) -> DataFrame:
@@ -72,15 +79,53 @@ def coded(feats: DataFrame, seed: int = 1) -> DataFrame:
     return feats.select("frame_id", "point_id", "f").mapInArrow(work, "frame_id long, point_id long, f array<double>, tab int, code int")
 
 
+def least_of(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of frame, side, id, d2, other (columns): those of least d2 (ties: least other) of each frame, side and id."""
+    frame, side, own, d2, other = rows
+    order = np.lexsort((other, d2, own, side, frame))
+    frame, side, own, d2, other = (c[order] for c in rows)
+    new = np.ones(len(own), bool)
+    new[1:] = (frame[1:] != frame[:-1]) | (side[1:] != side[:-1]) | (own[1:] != own[:-1])
+    return [c[new] for c in (frame, side, own, d2, other)]
+
+
+def nearest_met(met: DataFrame) -> DataFrame:
+    """frame_id, side (0: id is an a, 1: a b), id, d2, other of pairs (frame_id, a, b, d2): the least d2 of each point that a
+    task met, so that pairs are neither kept nor shuffled. A task holds HELD points or so."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def joined() -> list[np.ndarray]:
+            return least_of([np.concatenate(c) for c in zip(*held)])
+
+        def made(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c) for c in rows], ["frame_id", "side", "id", "d2", "other"])
+
+        for batch in batches:
+            if batch.num_rows:
+                frame, a, b, d2 = (batch.column(c).to_numpy() for c in ("frame_id", "a", "b", "d2"))
+                side = np.repeat(np.arange(2, dtype="int32"), len(a))
+                held.append(least_of([np.tile(frame, 2), side, np.concatenate([a, b]), np.tile(d2, 2), np.concatenate([b, a])]))
+            if sum(len(rows[0]) for rows in held) > HELD:
+                held = [joined()]
+                if len(held[0][0]) > HELD // 2:
+                    yield made(held.pop())
+        if held:
+            yield made(joined())
+
+    return met.select("frame_id", "a", "b", "d2").mapInArrow(work, "frame_id long, side int, id long, d2 double, other long")
+
+
 def matches(source: DataFrame, target: DataFrame) -> DataFrame:
     """frame_id, a, b: points of source and target (features) that are each other's nearest, by features, among those that
     share a code in a table (ties by id)."""
     a = coded(source).select("frame_id", "tab", "code", F.col("point_id").alias("a"), F.col("f").alias("fa"))
     b = coded(target).select("frame_id", "tab", "code", F.col("point_id").alias("b"), F.col("f").alias("fb"))
-    d2 = F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    met = stored(a.join(b, ["frame_id", "tab", "code"]).select("frame_id", "a", "b", d2.alias("d2")))
-    best_a = met.groupBy("frame_id", "a").agg(F.min(F.struct("d2", "b")).alias("m")).select("frame_id", "a", F.col("m.b").alias("b"))
-    best_b = met.groupBy("frame_id", "b").agg(F.min(F.struct("d2", "a")).alias("m")).select("frame_id", F.col("m.a").alias("a"), "b")
+    off = [F.col("fa")[k] - F.col("fb")[k] for k in range(3 * BINS)]
+    met = a.join(b, ["frame_id", "tab", "code"]).select("frame_id", "a", "b", sum((v * v for v in off), F.lit(0.0)).alias("d2"))
+    best = stored(nearest_met(met).groupBy("frame_id", "side", "id").agg(F.min(F.struct("d2", "other")).alias("m")))
+    best_a, best_b = (best.where(f"side = {k}").select("frame_id", *[F.col(c).alias(n) for c, n in zip(("id", "m.other"), names)]) for k, names in enumerate((("a", "b"), ("b", "a"))))
     return best_a.join(best_b, ["frame_id", "a", "b"])
 
 

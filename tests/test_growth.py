@@ -54,3 +54,27 @@ def test_frames_are_done_before_the_rounds_of_components(spark, monkeypatch):
     out = moving.framed_components(chain).collect()
     assert {(r["frame_id"], r["root"]) for r in out} == {(0, 0), (1, 1), (2, 2)} and len(out) == 303
     assert seen == [3]
+
+
+def test_pairs_of_features_are_not_kept(spark, monkeypatch):
+    """What is written grows with the points, not with their pairs; the nearest are those of all pairs that share a code."""
+    from lodegrid.operators import places
+
+    rng = np.random.default_rng(4)
+    pts = cloud(spark, 240, 2.0)
+    n = rng.normal(size=(240, 3))
+    normals = spark.createDataFrame([(i % 2, i, *map(float, v / np.linalg.norm(v))) for i, v in enumerate(n)], "frame_id long, point_id long, nx double, ny double, nz double")
+    plain, written = places.stored, []
+    monkeypatch.setattr(places, "stored", lambda df: written.append(plain(df)) or written[-1])
+    monkeypatch.setattr(places, "HELD", 50)
+    feats = plain(places.features(pts, normals, 3.0))
+    found = sorted(map(tuple, places.matches(feats, feats.withColumn("point_id", F.col("point_id") + 1000)).collect()))
+    assert max(df.count() for df in written) <= 2 * 240 and found == [(f, i, i + 1000) for f, i in sorted((i % 2, i) for i in range(240))]
+    f = {r["point_id"]: np.array(r["f"]) for r in feats.collect()}
+    other = spark.createDataFrame([(i % 2, i, (f[i] + rng.normal(size=33) / 10).tolist()) for i in f], feats.schema)
+    codes = lambda df: {(r["frame_id"], r["tab"], r["code"], r["point_id"]) for r in places.coded(df).collect()}
+    ca, cb = codes(feats), codes(other)
+    g = {r["point_id"]: np.array(r["f"]) for r in other.collect()}
+    d2 = {(x[0], x[3], y[3]): float(((f[x[3]] - g[y[3]]) ** 2).sum()) for x in ca for y in cb if x[:3] == y[:3]}
+    best = lambda s: {min((d, k[2 - s], k) for k, d in d2.items() if (k[0], k[1 + s]) == key)[2] for key in {(k[0], k[1 + s]) for k in d2}}
+    assert set(map(tuple, places.matches(feats, other).collect())) == best(0) & best(1) != set()
