@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: Fixed values, as the shipped settings have them.
 OVERLAP, ALIKE, CENTRE = 0.3, 0.9, 5.0
 POSE, WALL, VOXEL = 0, 1, 2
+NEXT, LAST = [1, 2, 0], [2, 0, 1]
+#: Places in boxes that are looked at at once.
+AT_ONCE = 1 << 16
+EYE = np.eye(3)
 CORNERS = np.array(list(product((-0.5, 0.5), repeat=3)))
 OUT = "seq_id long, frame_id long, kind string, voxel_id long, wall_id long, is_wall boolean, cx double, cy double, cz double, sx double, sy double, sz double, turn array<double>, missed int"
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
@@ -29,12 +33,17 @@ class Wall:
     turn: np.ndarray
     missed: int = 0
     touched: bool = False
+    plain: tuple | None = None
 
-    def moved(self, pose: np.ndarray) -> None:
-        self.centre, self.turn = pose[:3, :3] @ self.centre + pose[:3, 3], pose[:3, :3] @ self.turn
+    def moved(self, pose: np.ndarray, turns: bool = True) -> None:
+        self.centre, self.turn, self.plain = (pose[:3, :3] @ self.centre if turns else self.centre) + pose[:3, 3], pose[:3, :3] @ self.turn if turns else self.turn, None
 
-    def radius(self) -> float:
-        return float((self.size**2).sum()) ** 0.5 / 2
+    def numbers(self) -> tuple:
+        """Centre, radius and normal as plain numbers, which are compared far faster than arrays of three."""
+        if self.plain is None:
+            x, y, z = self.size.tolist()
+            self.plain = (*self.centre.tolist(), (x * x + y * y + z * z) ** 0.5 / 2, *self.turn[:, 0].tolist())
+        return self.plain
 
     def holds(self, points: np.ndarray) -> np.ndarray:
         return (np.abs((points - self.centre) @ self.turn) <= self.size / 2).all(axis=1)
@@ -43,7 +52,7 @@ class Wall:
         """To hold the other one too, along its own axes."""
         local = (other.centre + (CORNERS * other.size) @ other.turn.T - self.centre) @ self.turn
         lo, hi = np.minimum(local.min(axis=0), -self.size / 2), np.maximum(local.max(axis=0), self.size / 2)
-        self.centre, self.size = self.centre + self.turn @ ((lo + hi) / 2), hi - lo
+        self.centre, self.size, self.plain = self.centre + self.turn @ ((lo + hi) / 2), hi - lo, None
 
 
 def reach(w: Wall, axes: np.ndarray) -> np.ndarray:
@@ -57,8 +66,9 @@ def overlap(a: Wall, b: Wall) -> float:
     volumes = a.size.prod(), b.size.prod()
     if min(volumes) < 1e-9:
         return 0.0
-    crossed = np.array([np.cross(x, y) for x in a.turn.T for y in b.turn.T])
-    length = np.linalg.norm(crossed, axis=1)
+    x, y = a.turn.T.repeat(3, 0), np.tile(b.turn.T, (3, 1))
+    crossed = x[:, NEXT] * y[:, LAST] - x[:, LAST] * y[:, NEXT]
+    length = np.sqrt((crossed * crossed).sum(1))
     axes = np.concatenate([a.turn.T, b.turn.T, crossed[length > 1e-6] / length[length > 1e-6, None]])
     shared = reach(a, axes) + reach(b, axes) - np.abs(axes @ (b.centre - a.centre))
     if (shared <= 0).any():
@@ -78,8 +88,9 @@ class Registry:
 
     def begun(self, pose: np.ndarray | None) -> None:
         if pose is not None:
+            turns = not np.array_equal(pose[:3, :3], EYE)
             for w in self.walls:
-                w.moved(pose)
+                w.moved(pose, turns)
         self.old, self.met = list(self.walls), set()
         for w in self.walls:
             w.touched = False
@@ -89,9 +100,11 @@ class Registry:
         if not found.size.any():
             return
         best, most = None, OVERLAP
+        x, y, z, r, nx, ny, nz = found.numbers()
         for w in self.old:
-            apart = float(((w.centre - found.centre) ** 2).sum())
-            if apart > min(CENTRE, w.radius() + found.radius()) ** 2 or abs(w.turn[:, 0] @ found.turn[:, 0]) < ALIKE:
+            wx, wy, wz, wr, wnx, wny, wnz = w.plain or w.numbers()
+            far = min(CENTRE, wr + r)
+            if (wx - x) * (wx - x) + (wy - y) * (wy - y) + (wz - z) * (wz - z) > far * far or abs(wnx * nx + wny * ny + wnz * nz) < ALIKE:
                 continue
             if (share := overlap(w, found)) > most:
                 best, most = w, share
@@ -113,6 +126,15 @@ class Registry:
     def marked(self, points: np.ndarray, is_wall: np.ndarray) -> np.ndarray:
         """The first wall that holds each point (-1: none); points that are walls already aren't looked at."""
         ids = np.full(len(points), -1)
+        if 0 < len(points) * len(self.walls) <= AT_ONCE:
+            centre, size, turn = (np.array([getattr(w, c) for w in self.walls]) for c in ("centre", "size", "turn"))
+            hit = (np.abs((points - centre[:, None]) @ turn) <= size[:, None] / 2).all(axis=2)
+            hit[:, is_wall] = False
+            first = hit.argmax(axis=0)
+            for k in np.flatnonzero(hit.any(axis=0)).tolist():
+                w = self.walls[first[k]]
+                w.touched, ids[k] = True, w.id
+            return ids
         for w in self.walls:
             hit = (ids < 0) & ~is_wall & w.holds(points)
             w.touched |= bool(hit.any())
@@ -123,7 +145,7 @@ class Registry:
         self.walls = [w for w in self.walls if w.touched]
 
 
-def registered(frames: DataFrame, walls: DataFrame, voxels: DataFrame, most_missed: int | None = None) -> DataFrame:
+def registered(frames: DataFrame, walls: DataFrame, voxels: DataFrame, most_missed: int | None = None, left: bool = True) -> DataFrame:
     """What a registry of walls does to each recording (seq_id), frame by frame.
 
     frames: seq_id, frame_id, pose (16 numbers row by row, that bring the frame before's coordinates to this one's; null:
@@ -132,7 +154,7 @@ def registered(frames: DataFrame, walls: DataFrame, voxels: DataFrame, most_miss
 
     In a frame the known walls move, found ones (by box_idx) join or are added, walls missed in over most_missed frames go
     (null: never), each voxel is marked by the first wall that holds it, and walls that mark none go. Returns rows of kind
-    voxel (every voxel, wall_id null where none marks it) and of kind wall (those left after each frame). Rows come as a
+    voxel (every voxel, wall_id null where none marks it) and, if asked for, of kind wall (those left after each frame). Rows come as a
     sorted stream of Arrow batches: a task holds the walls of one recording and a batch of voxels, however many there are."""
     no, nine = F.lit(None).cast("double"), F.lit(None).cast("array<double>")
     shape = ["seq_id", "frame_id", "kind", "id", "x", "y", "z", "sx", "sy", "sz", "turn", "is_wall"]
@@ -156,10 +178,21 @@ def registered(frames: DataFrame, walls: DataFrame, voxels: DataFrame, most_miss
             if part < VOXEL:
                 registry.expired()
             registry.ended()
-            return [(seq, frame, "wall", None, w.id, None, *w.centre.tolist(), *w.size.tolist(), w.turn.ravel().tolist(), w.missed) for w in registry.walls]
+            return [] if not left else [(seq, frame, "wall", None, w.id, None, *w.centre.tolist(), *w.size.tolist(), w.turn.ravel().tolist(), w.missed) for w in registry.walls]
+
+        def told(seen: list[tuple], ended: list[tuple]) -> pd.DataFrame:
+            """Voxels (seq_id, frame_id, voxel_id, wall_id, is_wall: arrays, a part of a frame each) and walls as rows of OUT."""
+            parts = []
+            if seen:
+                s, f, v, i, b = (np.concatenate(c) for c in zip(*seen))
+                parts.append(pd.DataFrame({"seq_id": s, "frame_id": f, "kind": "voxel", "voxel_id": pd.array(v, "Int64"), "wall_id": pd.arrays.IntegerArray(i, i < 0), "is_wall": b | (i >= 0), "turn": None}))
+            if ended or not seen:
+                parts.append(pd.DataFrame(ended, columns=COLUMNS).astype({"voxel_id": "Int64", "wall_id": "Int64", "missed": "Int32"}))
+            out = parts[0] if len(parts) == 1 else pd.concat(parts)
+            return out.reindex(columns=COLUMNS)
 
         for batch in batches:
-            out = []
+            seen, out = [], []
             keys = batch[["seq_id", "frame_id", "kind"]].to_numpy()
             place, sizes, was = batch[["x", "y", "z"]].to_numpy(float), batch[["sx", "sy", "sz"]].to_numpy(float), batch["is_wall"].to_numpy(bool)
             ids, turns = batch["id"].to_numpy(), batch["turn"].to_numpy()
@@ -177,15 +210,15 @@ def registered(frames: DataFrame, walls: DataFrame, voxels: DataFrame, most_miss
                     registry.begun(None if pose is None else np.array(pose, dtype=float).reshape(4, 4))
                 if kind == WALL:
                     for k in range(start, end):
-                        registry.seen(Wall(-1, place[k], sizes[k], np.eye(3) if turns[k] is None else np.array(turns[k], dtype=float).reshape(3, 3)))
+                        registry.seen(Wall(-1, place[k], sizes[k], EYE if turns[k] is None else np.array(turns[k], dtype=float).reshape(3, 3)))
                 elif kind == VOXEL:
                     if part < VOXEL:
                         registry.expired()
                     found = registry.marked(place[start:end], was[start:end])
-                    out += [(s, f, "voxel", v, None if i < 0 else int(i), bool(b or i >= 0), *[None] * 8) for v, i, b in zip(ids[start:end], found, was[start:end])]
+                    seen.append((keys[start:end, 0], keys[start:end, 1], ids[start:end], found, was[start:end]))
                 part = kind
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"voxel_id": "Int64", "wall_id": "Int64", "missed": "Int32"})
-        yield pd.DataFrame(closed(), columns=COLUMNS).astype({"voxel_id": "Int64", "wall_id": "Int64", "missed": "Int32"})
+            yield told(seen, out)
+        yield told([], closed())
 
     sound = rows.where("seq_id IS NOT NULL AND frame_id IS NOT NULL")
     return sound.repartition("seq_id").sortWithinPartitions("seq_id", "frame_id", "kind", "id", "x", "y", "z").mapInPandas(work, OUT)

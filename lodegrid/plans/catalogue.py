@@ -1127,7 +1127,7 @@ def wall_registry(spark, d):
     one, zero = F.lit(1.0), F.lit(0.0)
     frames = found.select("seq_id", "frame_id").distinct().withColumn("pose", F.array(one, zero, zero, step, zero, one, zero, zero, zero, zero, one, zero, zero, zero, zero, one))
     voxels = found.select("seq_id", "frame_id", F.col("box_idx").alias("voxel_id"), (F.col("cx") + 1.5 * (F.col("box_idx") % 3)).alias("mx"), F.col("cy").alias("my"), F.col("cz").alias("mz"), F.lit(False).alias("is_wall"))
-    out = walls.registered(frames, found.withColumn("turn", F.lit(None).cast("array<double>")), voxels, 30)
+    out = walls.registered(frames, found.withColumn("turn", F.lit(None).cast("array<double>")), voxels, 30, left=False)
     return out.where("kind = 'voxel'").select("seq_id", "frame_id", "voxel_id", "wall_id", "is_wall")
 
 

@@ -78,3 +78,29 @@ def test_pairs_of_features_are_not_kept(spark, monkeypatch):
     d2 = {(x[0], x[3], y[3]): float(((f[x[3]] - g[y[3]]) ** 2).sum()) for x in ca for y in cb if x[:3] == y[:3]}
     best = lambda s: {min((d, k[2 - s], k) for k, d in d2.items() if (k[0], k[1 + s]) == key)[2] for key in {(k[0], k[1 + s]) for k in d2}}
     assert set(map(tuple, places.matches(feats, other).collect())) == best(0) & best(1) != set()
+
+
+def test_registry_of_walls_by_numbers(spark, monkeypatch):
+    """Walls of a frame are looked at together, without one that holds() points by itself; walls that nobody asks for aren't made."""
+    from lodegrid.operators import walls
+
+    rng = np.random.default_rng(5)
+    boxes = [(f % 2, f, k, *map(float, rng.uniform(0, 6, 3)), 4.0, 5.0, 3.0, None) for f in range(24) for k in range(4)]
+    box = spark.createDataFrame(boxes, "seq_id long, frame_id long, box_idx long, cx double, cy double, cz double, sx double, sy double, sz double, turn array<double>")
+    vox = box.select("seq_id", "frame_id", F.col("box_idx").alias("voxel_id"), (F.col("cx") + F.col("box_idx")).alias("mx"), F.col("cy").alias("my"), F.col("cz").alias("mz"), (F.col("box_idx") == 3).alias("is_wall"))
+    c, s = np.cos(0.1), np.sin(0.1)
+    pose = [c, -s, 0.0, 0.2, s, c, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    frames = box.select("seq_id", "frame_id").distinct().withColumn("pose", F.when(F.col("frame_id") % 3 > 0, F.array(*[F.lit(float(v)) for v in pose])))
+    rows = lambda **k: sorted((tuple(r) for r in walls.registered(frames, box, vox, 2, **k).collect()), key=repr)
+    both = rows()
+    assert {r[2] for r in both} == {"voxel", "wall"} and {r[4] is None for r in both if r[2] == "voxel"} == {True, False}
+    assert rows(left=False) == [r for r in both if r[2] == "voxel"]
+    made = walls.Registry(None)
+    made.begun(None)
+    made.seen(walls.Wall(-1, np.zeros(3), np.ones(3), np.eye(3)))
+    at = np.array([[0.0, 0, 0], [0.6, 0, 0], [0.5, 0, 0]])
+    monkeypatch.setattr(walls, "AT_ONCE", 0)
+    one_by_one = made.marked(at, np.array([False, False, True])).tolist()
+    monkeypatch.setattr(walls, "AT_ONCE", 100)
+    monkeypatch.setattr(walls.Wall, "holds", None)
+    assert made.marked(at, np.array([False, False, True])).tolist() == one_by_one == [0, -1, -1]
