@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -240,18 +241,19 @@ def track_step(tracks: list[dict], boxes: list[dict], next_id: int, gate: float,
     once; speeds, in metres a second, are smoothed (and stay where no time went by)."""
 
     flat = lambda b: (b["cx"], b["cy"], b["cz"], b["sx"], b["sy"], b["sz"])
-    near, pairs, gate2 = [(j, b["box_idx"], flat(b)) for j, b in enumerate(boxes)], [], gate * gate
-    for i, t in enumerate(tracks):
-        tx, ty, tz, tsx, tsy, tsz = flat(t)
-        for j, index, (bx, by, bz, bsx, bsy, bsz) in near:
-            if not -gate <= tx - bx <= gate or (tx - bx) ** 2 + (ty - by) ** 2 + (tz - bz) ** 2 > gate2:
+    pairs, gate2 = [], gate * gate
+    for j, b in enumerate(boxes):
+        bx, by, bz, bsx, bsy, bsz = flat(b)
+        for i, t in [(i, t) for i, t in enumerate(tracks) if -gate <= t["cx"] - bx <= gate]:
+            tx, ty, tz, tsx, tsy, tsz = flat(t)
+            if (tx - bx) ** 2 + (ty - by) ** 2 + (tz - bz) ** 2 > gate2:
                 continue
             shared = 1.0
             for c, r, d, q in ((tx, tsx, bx, bsx), (ty, tsy, by, bsy), (tz, tsz, bz, bsz)):
                 shared *= max(0.0, min(c + r / 2, d + q / 2) - max(c - r / 2, d - q / 2))
             small = min(tsx * tsy * tsz, bsx * bsy * bsz)
             if (s := shared / small if small > 0 else 0.0) >= least:
-                pairs.append((-s, t["id"], index, i, j))
+                pairs.append((-s, t["id"], b["box_idx"], i, j))
     used_t, used_b, out = set(), {}, []
     for *_, i, j in sorted(pairs):
         if i not in used_t and j not in used_b:
@@ -289,6 +291,7 @@ def tracked(boxes: DataFrame, gate: float = 1.5, least: float = 0.2, most_missed
     """seq_id, frame_id, box_idx with the track that each box belongs to and its velocity, in metres a second by the frames'
     stamps (column stamp, in seconds; else PERIOD). A frame depends on the one before: one group per sequence, read frame
     by frame from a stream of Arrow batches, so that only the live tracks are held."""
+    columns = ["seq_id", "frame_id", "stamp", "box_idx", *[f"{k}{c}" for k in "cs" for c in "xyz"]]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
@@ -296,7 +299,8 @@ def tracked(boxes: DataFrame, gate: float = 1.5, least: float = 0.2, most_missed
 
         def frames(rows: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for (seq, frame_id), part in groupby(rows.to_dict("records"), key=lambda r: (r["seq_id"], r["frame_id"])):
+            records = [dict(zip(columns, r)) for r in zip(*(rows[c].tolist() for c in columns))]
+            for (seq, frame_id), part in groupby(records, key=itemgetter("seq_id", "frame_id")):
                 part = list(part)
                 if state.get("seq") != seq:
                     state.update(seq=seq, tracks=[], next=0, stamp=part[0]["stamp"])
@@ -314,5 +318,4 @@ def tracked(boxes: DataFrame, gate: float = 1.5, least: float = 0.2, most_missed
         if held is not None and len(held):
             yield frames(held)
 
-    columns = ["seq_id", "frame_id", "stamp", "box_idx", *[f"{k}{c}" for k in "cs" for c in "xyz"]]
     return stamped(boxes).select(*columns).repartition("seq_id").sortWithinPartitions("seq_id", "frame_id", "box_idx").mapInPandas(work, TRACK_SCHEMA)

@@ -104,3 +104,20 @@ def test_registry_of_walls_by_numbers(spark, monkeypatch):
     monkeypatch.setattr(walls, "AT_ONCE", 100)
     monkeypatch.setattr(walls.Wall, "holds", None)
     assert made.marked(at, np.array([False, False, True])).tolist() == one_by_one == [0, -1, -1]
+
+
+def test_tracks_meet_boxes_within_the_gate_only(spark, monkeypatch):
+    """Of a frame's tracks only those near a box along x are unpacked; rows are those of a plain loop over all pairs."""
+    rng = np.random.default_rng(6)
+    keys = ("cx", "cy", "cz", "sx", "sy", "sz")
+    known = [{"id": i, "age": 1, "missed": 0, "vx": 0.0, "vy": 0.0, "vz": 0.0} | dict(zip(keys, [float(3 * i), 0.0, 0.0, 2.0, 2.0, 2.0])) for i in range(200)]
+    reads = [0]
+
+    class Counted(dict):
+        def __getitem__(self, k):
+            reads[0] += k == "cy"
+            return dict.__getitem__(self, k)
+
+    boxes = [{"box_idx": j} | dict(zip(keys, [float(30 * j + rng.uniform(-0.5, 0.5)), 0.1, 0.0, 2.0, 2.0, 2.0])) for j in range(4)]
+    _, found, _ = moving.track_step([Counted(t) for t in known], boxes, 200, 1.5, 0.2, 5, 0.1)
+    assert [f[:3] for f in found] == [(j, 10 * j, 2) for j in range(4)] and reads[0] < 20
