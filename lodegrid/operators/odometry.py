@@ -21,7 +21,7 @@ from .cloud import COV, XYZ
 from .graph import rotation
 from .motion import quaternion
 from .posegraph import residuals
-from .registration import UPPER, step_sums, symmetric, turned
+from .registration import symmetric, total_sums, turned
 from .smoothing import SAMPLE, predicted
 
 #: Voxel size; frames after which an untouched voxel goes; full scans that begin the map, and the share of later ones' points
@@ -56,7 +56,7 @@ def corrected(state: dict, guess: np.ndarray, points: np.ndarray, covs: np.ndarr
     """The pose near the guess that lays the points on the map's voxels, and how many met one."""
     pose, met = guess, 0
     prior = 1 / np.array([p["turn_sigma"] * max(dt, 1e-3)] * 3 + [p["shift_sigma"] * max(dt, 1e-3)] * 3) ** 2
-    full = symmetric(covs)
+    full = symmetric(covs).reshape(-1, 9)
     for _ in range(p["rounds"]):
         q = points @ pose[:3, :3].T + pose[:3, 3]
         at = np.searchsorted(state["keys"], key := packed(q, p["res"]))
@@ -66,18 +66,15 @@ def corrected(state: dict, guess: np.ndarray, points: np.ndarray, covs: np.ndarr
             return guess, met
         at = at[hit]
         mean = state["sums"][at] / state["n"][at, None]
-        around = (pose[:3, :3] @ full[hit] @ pose[:3, :3].T)[:, [0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]]
-        sums = step_sums(q[hit], around, mean[:, :3], mean[:, 3:]).sum(0)
-        h = np.zeros((6, 6))
-        for v, (a, b) in zip(sums, UPPER):
-            h[a, b] = h[b, a] = v
+        around = full[hit] @ np.kron(pose[:3, :3], pose[:3, :3])[[0, 1, 2, 4, 5, 8]].T
+        h, g = total_sums(q[hit], around, mean[:, :3], mean[:, 3:])
         e, _, j = residuals(guess[None], pose[None], np.eye(4)[None])
         left = np.eye(6)  # a small turn of the world, as a turn on the pose's right and a shift
         left[:3, :3] = pose[:3, :3].T
         t = pose[:3, 3]
         left[3:, :3] = -np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]])
         j = j[0] @ left
-        step = -np.linalg.solve(h + j.T @ (prior[:, None] * j) + 1e-9 * np.eye(6), sums[21:27] + j.T @ (prior * e[0]))
+        step = -np.linalg.solve(h + j.T @ (prior[:, None] * j) + 1e-9 * np.eye(6), g + j.T @ (prior * e[0]))
         pose = turned(step, pose)
         if np.linalg.norm(step[3:]) < p["shift"] and np.degrees(np.linalg.norm(step[:3])) < p["degrees"]:
             break

@@ -51,6 +51,22 @@ def step_sums(q: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.
     return np.concatenate([np.stack([h[:, x, y] for x, y in UPPER], 1), g, cost[:, None], np.ones((len(q), 1))], 1)
 
 
+def total_sums(q: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """H (6 x 6) and g of all pairs together, as step_sums has them for each: inverses in closed form, one product of matrices."""
+    xx, xy, xz, yy, yz, zz = (a + b).T
+    inverse = np.stack([yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy], 1)
+    volume = xx * inverse[:, 0] + xy * inverse[:, 1] + xz * inverse[:, 2]
+    if not volume.all():
+        raise np.linalg.LinAlgError("a covariance without an inverse")
+    inverse /= volume[:, None]
+    j = np.zeros((len(q), 3, 6))
+    j[:, 0, 1], j[:, 0, 2], j[:, 1, 0] = q[:, 2], -q[:, 1], -q[:, 2]
+    j[:, 1, 2], j[:, 2, 0], j[:, 2, 1] = q[:, 0], q[:, 1], -q[:, 0]
+    j[:, [0, 1, 2], [3, 4, 5]] = 1
+    wj = (symmetric(inverse) @ j).reshape(-1, 6)
+    return j.reshape(-1, 6).T @ wj, wj.T @ (q - m).ravel()
+
+
 def moved_sums(source: DataFrame, voxels: DataFrame, poses: DataFrame, res: float) -> DataFrame:
     """frame_id and SUMS of the points that fall into a voxel, under their frame's pose."""
     at = source.join(poses.select("frame_id", "pose"), "frame_id")

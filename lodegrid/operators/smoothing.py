@@ -32,12 +32,14 @@ def predicted(pose: np.ndarray, velocity: np.ndarray, bias: np.ndarray, stamps:
         pose, velocity, bias, stamps, samples = pose[None], velocity[None], bias[None], stamps[None], samples[None]
     poses, speeds = [pose], [velocity]
     steps, felt = np.diff(stamps), samples - bias[:, None]
+    by = felt[:, :, 3:] * steps[:, :, None]  # turns don't depend on the way before: all at once
+    half, whole = (exp3(w.reshape(-1, 3)).reshape(*steps.shape, 3, 3) for w in (by / 2, by))
     for k in range(steps.shape[1]):
-        last, dt, acc, w = poses[-1], steps[:, k, None], felt[:, k, :3], felt[:, k, 3:]
-        acc = (last[:, :3, :3] @ exp3(w * dt / 2) @ acc[:, :, None])[:, :, 0] + GRAVITY
+        last, dt, acc = poses[-1], steps[:, k, None], felt[:, k, :3]
+        acc = (last[:, :3, :3] @ half[:, k] @ acc[:, :, None])[:, :, 0] + GRAVITY
         new = last.copy()
         new[:, :3, 3] += speeds[-1] * dt + acc * dt * dt / 2
-        new[:, :3, :3] = last[:, :3, :3] @ exp3(w * dt)
+        new[:, :3, :3] = last[:, :3, :3] @ whole[:, k]
         poses.append(new)
         speeds.append(speeds[-1] + acc * dt)
     out = np.stack(poses, 1), np.stack(speeds, 1)

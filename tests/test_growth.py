@@ -121,3 +121,29 @@ def test_tracks_meet_boxes_within_the_gate_only(spark, monkeypatch):
     boxes = [{"box_idx": j} | dict(zip(keys, [float(30 * j + rng.uniform(-0.5, 0.5)), 0.1, 0.0, 2.0, 2.0, 2.0])) for j in range(4)]
     _, found, _ = moving.track_step([Counted(t) for t in known], boxes, 200, 1.5, 0.2, 5, 0.1)
     assert [f[:3] for f in found] == [(j, 10 * j, 2) for j in range(4)] and reads[0] < 20
+
+
+def test_sums_of_a_correction_and_turns_of_a_way_at_once(monkeypatch):
+    """All pairs' sums are one product; all turns of a way are found together, whatever the number of its samples."""
+    from lodegrid.operators import registration, smoothing
+
+    rng = np.random.default_rng(7)
+    q, m = rng.normal(size=(2, 50, 3))
+    root = rng.normal(size=(2, 50, 3, 3))
+    a, b = (root @ root.transpose(0, 1, 3, 2) + 0.1 * np.eye(3))[:, :, [0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]]
+    told = registration.step_sums(q, a, m, b).sum(0)
+    h, g = registration.total_sums(q, a, m, b)
+    assert np.allclose([h[x, y] for x, y in registration.UPPER], told[:21], rtol=1e-10) and np.allclose(h, h.T, rtol=1e-10) and np.allclose(g, told[21:27], rtol=1e-10)
+    calls, plain = [], smoothing.exp3
+    monkeypatch.setattr(smoothing, "exp3", lambda w: calls.append(len(w)) or plain(w))
+    samples, stamps = rng.normal(size=(40, 6)), np.cumsum(rng.uniform(0.01, 0.02, 41))
+    way, speeds = smoothing.predicted(np.eye(4), np.zeros(3), np.zeros(6), stamps, samples)
+    assert calls == [40, 40] and way.shape == (41, 4, 4)
+    pose, v = np.eye(4), np.zeros(3)
+    for s, dt in zip(samples, np.diff(stamps)):
+        acc = pose[:3, :3] @ plain(s[None, 3:] * dt / 2)[0] @ s[:3] + smoothing.GRAVITY
+        new = pose.copy()
+        new[:3, 3] += v * dt + acc * dt * dt / 2
+        new[:3, :3] = pose[:3, :3] @ plain(s[None, 3:] * dt)[0]
+        pose, v = new, v + acc * dt
+    assert np.allclose(way[-1], pose) and np.allclose(speeds[-1], v)
