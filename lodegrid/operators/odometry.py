@@ -67,7 +67,7 @@ def corrected(state: dict, guess: np.ndarray, points: np.ndarray, covs: np.ndarr
         at = at[hit]
         mean = state["sums"][at] / state["n"][at, None]
         around = full[hit] @ np.kron(pose[:3, :3], pose[:3, :3])[[0, 1, 2, 4, 5, 8]].T
-        h, g = total_sums(q[hit], around, mean[:, :3], mean[:, 3:])
+        h, g, _ = total_sums(q[hit], around, mean[:, :3], mean[:, 3:])
         e, _, j = residuals(guess[None], pose[None], np.eye(4)[None])
         left = np.eye(6)  # a small turn of the world, as a turn on the pose's right and a shift
         left[:3, :3] = pose[:3, :3].T

@@ -51,8 +51,8 @@ def step_sums(q: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.
     return np.concatenate([np.stack([h[:, x, y] for x, y in UPPER], 1), g, cost[:, None], np.ones((len(q), 1))], 1)
 
 
-def total_sums(q: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """H (6 x 6) and g of all pairs together, as step_sums has them for each: inverses in closed form, one product of matrices."""
+def total_sums(q: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """H (6 x 6), g and the cost of all pairs together, as step_sums has them for each: inverses in closed form, one product of matrices."""
     xx, xy, xz, yy, yz, zz = (a + b).T
     inverse = np.stack([yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy], 1)
     volume = xx * inverse[:, 0] + xy * inverse[:, 1] + xz * inverse[:, 2]
@@ -64,7 +64,9 @@ def total_sums(q: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> tu
     j[:, 1, 2], j[:, 2, 0], j[:, 2, 1] = q[:, 0], q[:, 1], -q[:, 0]
     j[:, [0, 1, 2], [3, 4, 5]] = 1
     wj = (symmetric(inverse) @ j).reshape(-1, 6)
-    return j.reshape(-1, 6).T @ wj, wj.T @ (q - m).ravel()
+    d = q - m
+    wd = (wj.reshape(-1, 3, 6)[:, :, 3:] @ d[:, :, None]).ravel()  # the shift's part of J is the unit matrix
+    return j.reshape(-1, 6).T @ wj, j.reshape(-1, 6).T @ wd, float(d.ravel() @ wd)
 
 
 def moved_sums(source: DataFrame, voxels: DataFrame, poses: DataFrame, res: float) -> DataFrame:
@@ -79,10 +81,13 @@ def moved_sums(source: DataFrame, voxels: DataFrame, poses: DataFrame, res: floa
         for batch in batches:
             if batch.num_rows:
                 number = lambda names: np.stack([batch.column(c).to_numpy() for c in names], 1)
-                part = step_sums(number(XYZ), number(COV), number(("mx", "my", "mz")), number([f"b{p}" for p in SIX]))
-                frames, of = np.unique(batch.column("frame_id").to_numpy(), return_inverse=True)
+                pairs = [number(XYZ), number(COV), number(("mx", "my", "mz")), number([f"b{p}" for p in SIX])]
+                order = np.argsort(batch.column("frame_id").to_numpy(), kind="stable")
+                frames, starts = np.unique(batch.column("frame_id").to_numpy()[order], return_index=True)
                 total = np.zeros((len(frames), len(SUMS)))
-                np.add.at(total, of, part)
+                for k, own in enumerate(np.split(order, starts[1:])):
+                    h, g, cost = total_sums(*[v[own] for v in pairs])
+                    total[k] = [*[h[x, y] for x, y in UPPER], *g, cost, len(own)]
                 yield pa.record_batch([pa.array(frames), *map(pa.array, total.T)], ["frame_id", *SUMS])
 
     parts = met.select("frame_id", *XYZ, *COV, "mx", "my", "mz", *[f"b{p}" for p in SIX]).mapInArrow(work, "frame_id long, " + ", ".join(f"{s} double" for s in SUMS))

@@ -132,7 +132,8 @@ def test_sums_of_a_correction_and_turns_of_a_way_at_once(monkeypatch):
     root = rng.normal(size=(2, 50, 3, 3))
     a, b = (root @ root.transpose(0, 1, 3, 2) + 0.1 * np.eye(3))[:, :, [0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]]
     told = registration.step_sums(q, a, m, b).sum(0)
-    h, g = registration.total_sums(q, a, m, b)
+    h, g, cost = registration.total_sums(q, a, m, b)
+    assert np.isclose(cost, told[27], rtol=1e-10)
     assert np.allclose([h[x, y] for x, y in registration.UPPER], told[:21], rtol=1e-10) and np.allclose(h, h.T, rtol=1e-10) and np.allclose(g, told[21:27], rtol=1e-10)
     calls, plain = [], smoothing.exp3
     monkeypatch.setattr(smoothing, "exp3", lambda w: calls.append(len(w)) or plain(w))
