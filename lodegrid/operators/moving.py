@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -22,9 +23,12 @@ from .joins import around, box_of, in_drawn, neighbours, radius_pairs
 HELD = 1 << 20
 
 
-def forest(pairs: DataFrame) -> DataFrame:
+def forest(pairs: DataFrame, parted: bool = False) -> DataFrame:
     """frame_id, a, b: pairs that link the same points of a frame as those given, fewer: each task replaces its own by one a
-    point, so that pairs aren't shuffled. Once it holds HELD points it begins anew."""
+    point, so that pairs aren't shuffled. Once it holds HELD points it begins anew.
+
+    parted: with part, another number for each task and beginning, and with pairs of each least point and itself: a frame that
+    has one part only is done, a is the least point that b reaches."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, dict[int, int]] = {}
@@ -36,10 +40,12 @@ def forest(pairs: DataFrame) -> DataFrame:
             return i
 
         def made() -> Iterator[pa.RecordBatch]:
+            part = uuid.uuid4().int >> 65
             for frame, tree in above.items():
                 links = [(top(tree, i), i) for i in list(tree)]
-                links = np.array([k for k in links if k[0] != k[1]], dtype="int64").reshape(-1, 2)
-                yield pa.record_batch([pa.array(np.full(len(links), frame)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["frame_id", "a", "b"])
+                links = np.array([k for k in links if parted or k[0] != k[1]], dtype="int64").reshape(-1, 2)
+                more = [pa.array(np.full(len(links), part))] if parted else []
+                yield pa.record_batch([pa.array(np.full(len(links), frame)), pa.array(links[:, 0]), pa.array(links[:, 1]), *more], columns)
             above.clear()
 
         for batch in batches:
@@ -55,20 +61,24 @@ def forest(pairs: DataFrame) -> DataFrame:
                 yield from made()
         yield from made()
 
-    return pairs.select(*[F.col(c).cast("long").alias(c) for c in ("frame_id", "a", "b")]).where("frame_id IS NOT NULL").mapInArrow(work, "frame_id long, a long, b long")
+    columns = ["frame_id", "a", "b", *(["part"] if parted else [])]
+    return pairs.select(*[F.col(c).cast("long").alias(c) for c in ("frame_id", "a", "b")]).where("frame_id IS NOT NULL").mapInArrow(work, ", ".join(f"{c} long" for c in columns))
 
 
 def framed_components(pairs: DataFrame) -> DataFrame:
     """frame_id, point_id, root: the least point that each point of the pairs (frame_id, a, b; whole numbers) reaches in its
     frame; other frames may use the same ids.
 
-    What the tasks left is dealt out once by frame and reduced again, so that frames of fewer than HELD points are done
-    before the rounds of all frames begin; a larger frame's links are several tasks'."""
+    What the tasks left is dealt out once by frame and reduced again, so that frames of fewer than HELD points that one task
+    got are done; of these the rounds get the least points alone, and of the others, several tasks', all links."""
     left = checkpointed(forest(pairs))
-    pairs = forest(left.repartitionByRange("frame_id", "a").sortWithinPartitions("frame_id"))
+    stars = checkpointed(forest(left.repartitionByRange("frame_id", "a").sortWithinPartitions("frame_id"), parted=True))
+    frames = stars.groupBy("frame_id").agg((F.min("part") != F.max("part")).alias("several"))
+    told = stars.join(frames, "frame_id")
+    done = told.where("NOT several").select("frame_id", F.col("b").alias("point_id"), F.col("a").alias("root"))
     node = lambda c: F.struct("frame_id", F.col(c).alias("point_id"))
-    root = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
-    return root.select("node.frame_id", "node.point_id", F.col("root.point_id").alias("root"))
+    root = components(told.where("several OR a = b").select(node("a").alias("a"), node("b").alias("b")))
+    return done.unionByName(root.select("node.frame_id", "node.point_id", F.col("root.point_id").alias("root")))
 
 
 def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1, wide: int = 1) -> DataFrame:
@@ -82,8 +92,9 @@ def dbscan(points: DataFrame, eps: float, least: int, least_size: int = 1, wide:
     # Points are sorted into cores and others, not pairs: of those there are many more.
     inner, outer = (points.join(core, ["frame_id", "point_id"], how) for how in ("left_semi", "left_anti"))
     cores = core.join(framed_components(radius_pairs(inner, eps, wide=wide)), ["frame_id", "point_id"], "left").select("frame_id", "point_id", F.coalesce("root", "point_id").alias("cluster"))
-    border = radius_pairs(outer, eps, inner, wide=wide).join(cores.select("frame_id", F.col("point_id").alias("b"), "cluster"), ["frame_id", "b"])
-    border = border.groupBy("frame_id", F.col("a").alias("point_id")).agg(F.min("cluster").alias("cluster"))
+    # Others are dealt to the cells around, as each is near fewer than `least` points: so few pairs, and few others in a dense cloud.
+    border = radius_pairs(inner, eps, outer, wide=wide).join(cores.select("frame_id", F.col("point_id").alias("a"), "cluster"), ["frame_id", "a"])
+    border = border.groupBy("frame_id", F.col("b").alias("point_id")).agg(F.min("cluster").alias("cluster"))
     out = cores.unionByName(border)
     big = out.groupBy("frame_id", "cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)
     return out.join(big.select("frame_id", "cluster"), ["frame_id", "cluster"], "left_semi").select("frame_id", "point_id", "cluster")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cloud, feedback, ground, joins, moving
-from ..operators.graph import checkpointed
+from ..operators.graph import checkpointed, stored
 
 #: Frames of a sequence, from 0 on: sequence and frame are one number, so that all operators by frame keep sequences apart.
 FRAMES = 32
@@ -26,8 +26,9 @@ def rejected(points: DataFrame, res: float = 2.0, ground_height: float = 0.5, ep
     aren't listed are moving.PERIOD apart, at rest."""
     whole = points if "seq_id" in points.columns else points.withColumn("seq_id", F.lit(0).cast("long"))
     keyed = whole.withColumn("frame_id", F.shiftleft(F.col("seq_id").cast("long"), FRAMES) + F.col("frame_id"))
+    keyed = stored(keyed)  # points are read twice; as a table they take less than what made them
     vox = ground.lowest_ground(cloud.voxelise(keyed, res).drop("is_ground"), ground_height)
-    vox = checkpointed(vox.withColumn("voxel_id", F.xxhash64("frame_id", *cloud.CELL)))  # read five times below; points are read once
+    vox = stored(vox.withColumn("voxel_id", F.xxhash64("frame_id", *cloud.CELL)))  # read five times below
     means = vox.where("NOT is_ground").select("frame_id", F.col("voxel_id").alias("point_id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
     labels = checkpointed(moving.dbscan(means, eps, least, wide=4))
     members = means.join(labels, ["frame_id", "point_id"])

@@ -239,3 +239,46 @@ def test_radii_look_at_the_points_of_blocks_that_they_cut(spark, monkeypatch):
     told, _ = told_radii(rows, 9.0, 4.0, 16.0, limit)
     got = {(r["frame_id"], r["seed"]): r["radius"] for r in radius.settled_radii(pts.withColumnRenamed("point_id", "seed"), pts, 9.0, 4.0, 16.0, limit).collect()}
     assert got == told | {(0, 9000): 9.0, (1, 9001): 9.0}
+
+
+def test_frames_of_one_task_need_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    at = {f: rng.uniform(0, 12, (60, 3)) for f in range(5)}
+    pts = spark.createDataFrame([(f, i, *map(float, p)) for f, c in at.items() for i, p in enumerate(c)], "frame_id long, point_id long, x double, y double, z double")
+
+    def roots(c, reach):
+        root = list(range(len(c)))
+        near = np.argwhere(((c[:, None] - c[None]) ** 2).sum(2) < reach * reach)
+        while True:
+            new = root[:]
+            for a, b in near:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == root:
+                return {i: root[i] for i in range(len(c)) if (near[near[:, 0] == i][:, 1] != i).any()}
+            root = new
+
+    want = sorted((f, i, r) for f, c in at.items() for i, r in roots(c, 2.0).items())
+    plain, called = moving.components, []
+    monkeypatch.setattr(moving, "components", lambda e: called.append({r[0] for r in e.where("a <> b").select("a.frame_id").collect()}) or plain(e))
+    assert sorted(map(tuple, moving.framed_components(joins.radius_pairs(pts, 2.0, wide=4)).collect())) == want
+    assert called == [set()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks for so few rows
+    try:
+        assert sorted(map(tuple, moving.framed_components(joins.radius_pairs(pts, 2.0)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 0 < len(called[1]) < 5
+
+
+def test_pairs_meet_once_with_what_they_carry(spark):
+    rng = np.random.default_rng(9)
+    at = rng.uniform(-6, 6, (150, 3))
+    ids = rng.permutation(150)
+    pts = spark.createDataFrame([(0, int(i), *map(float, p), f"n{i}") for i, p in zip(ids, at)], "frame_id long, point_id long, x double, y double, z double, name string")
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    want = sorted((0, int(ids[i]), int(ids[j]), f"n{ids[i]}", f"n{ids[j]}") for i, j in np.argwhere(d2 < 4) if ids[i] < ids[j])
+    for wide in (1, 2, 4):
+        got = joins.radius_pairs(pts, 2.0, carried=["name"], wide=wide)
+        assert sorted(map(tuple, got.drop("d2").collect())) == want != []
+    rows = joins.radius_pairs(pts, 2.0, wide=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">=" in rows  # a row goes to its own cell and those after it, not to all around
