@@ -5,42 +5,129 @@ All steps are joins and aggregates, for any number of frames at once; a frame's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import cross, dot, minus, norm2
-from .cloud import XYZ
+from .cloud import CELL, XYZ
 from .graph import stored
-from .joins import radius_pairs
+from .joins import dealt
 
 #: Bins of each of the three angles, hashed tables and bits of a table's code.
 BINS, TABLES, BITS = 11, 12, 8
-#: Radii of a cell's side, points whose nearest a task holds at most.
-WIDE, HELD = 2, 1 << 18
-
-
-def angles(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
-    """frame_id, of, nbr, d, and the bins (b0, b1, b2) of each neighbour nearer than the radius: three angles between the
-    normals and the line that joins the two points, which don't change as the cloud moves. Normals come with the pairs, of
-    which there are too many to be joined again or kept."""
-    known = points.select("frame_id", "point_id", *XYZ).join(normals.select("frame_id", "point_id", "nx", "ny", "nz"), ["frame_id", "point_id"])
-    known = known.withColumn("known", F.struct(*XYZ, "nx", "ny", "nz"))
-    both = radius_pairs(known, radius, known, ["known"], WIDE).where("d2 > 0").select("frame_id", F.col("a").alias("of"), F.col("b").alias("nbr"), F.sqrt("d2").alias("d"), F.col("known_a").alias("p"), F.col("known_b").alias("q"))
-    at = lambda s: tuple(F.col(f"{s}.{c}") for c in XYZ)
-    normal = lambda s: tuple(F.col(f"{s}.n{c}") for c in XYZ)
-    line = tuple(c / F.col("d") for c in minus(at("q"), at("p")))
-    u = normal("p")
-    v = cross(u, line)
-    size = F.sqrt(norm2(v))
-    v = tuple(F.when(size > 1e-9, c / size).otherwise(0.0) for c in v)
-    w = cross(u, v)
-    one = [dot(v, normal("q")), dot(u, line), F.atan2(dot(w, normal("q")), dot(u, normal("q"))) / np.pi]
-    bins = [F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((c + 1) / 2 * BINS))).cast("int").alias(f"b{k}") for k, c in enumerate(one)]
-    return both.select("frame_id", "of", "nbr", "d", *bins)
+#: Radii of a cell's side at most, points that a cell has or so, points whose nearest a task holds at most.
+WIDE, MANY, HELD = 2, 1 << 10, 1 << 18
+#: Asking points and pairs that are looked at together.
+ASKING, TILE = 1 << 10, 1 << 20
+
+
+def asked(asking: DataFrame, others: DataFrame, keys: Sequence[str], begin: Callable, meet: Callable, tell: Callable, schema: str) -> DataFrame:
+    """Rows of what `tell` and `meet` give for each group of keys with asking rows and others (the same columns): `begin` makes a
+    state of a group's asking rows, `meet` takes others into account as they come by, `tell` says what was found. A task holds
+    a group's asking rows, whatever the number of others; nothing is kept of pairs."""
+    columns = [*keys, "asks", *[c for c in asking.columns if c not in keys]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, state = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            by = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "asks")]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in by], axis=0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                here = tuple(c[i] for c in by[:-1])
+                if here != key:
+                    if state is not None:
+                        yield from tell(key, state)
+                    key, held, state = here, [], None
+                part = batch.slice(i, j - i)
+                if by[-1][i]:
+                    held.append(part)
+                elif held:
+                    state = begin(pa.Table.from_batches(held).combine_chunks()) if state is None else state
+                    yield from meet(key, state, part) or ()
+        if state is not None:
+            yield from tell(key, state)
+
+    both = asking.withColumn("asks", F.lit(True)).unionByName(others.withColumn("asks", F.lit(False)), allowMissingColumns=True).select(*columns)
+    return both.repartition(*keys).sortWithinPartitions(*keys, F.desc("asks")).mapInArrow(work, schema)
+
+
+def celled(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """points (x, y, z) in cells of about MANY of a frame, of WIDE radii at most and half a one at least; and the same points,
+    once for each cell with points that their surroundings touch."""
+    spread = [F.stddev_pop(c) for c in XYZ]
+    wide = [F.greatest(v, F.greatest(*spread) / 100) * 4 for v in spread]
+    frames = points.groupBy("frame_id").agg(F.cbrt(wide[0] * wide[1] * wide[2] * MANY / F.count(F.lit(1))).alias("fit"))
+    halved = F.when(F.col("fit") > 0, F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(WIDE * radius / F.col("fit"))).cast("double")))).otherwise(0.0)
+    placed = points.join(frames.select("frame_id", (WIDE * radius / F.pow(F.lit(2.0), halved)).alias("_side")), "frame_id")
+    own = placed.withColumns({i: F.floor(F.col(c) * (1.0 / F.col("_side"))).cast("long") for i, c in zip(CELL, XYZ)}).drop("_side")
+    near = dealt(placed, F.col("_side"), radius).drop("_side").join(own.select("frame_id", *CELL).distinct(), ["frame_id", *CELL], "left_semi")
+    return own, near
+
+
+def columns_of(rows: pa.Table | pa.RecordBatch, *names: str) -> np.ndarray:
+    return np.stack([np.asarray(rows.column(c).to_numpy(zero_copy_only=False), float) for c in names])
+
+
+def tiles(asking: int, others: int) -> Iterator[tuple[slice, slice]]:
+    step = max(1, TILE // min(ASKING, asking))
+    for i in range(0, asking, ASKING):
+        for j in range(0, others, step):
+            yield slice(i, i + ASKING), slice(j, j + step)
+
+
+def distances2(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    d = p[:, :, None] - q[:, None, :]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def binned(p: np.ndarray, q: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
+    """The bins of the three angles between points p and q (six rows: place, normal), d apart: between the normals and the line
+    that joins the two points, which don't change as the cloud moves."""
+    line = [(q[k] - p[k]) / d for k in range(3)]
+    u, n = p[3:], q[3:]
+    v = [u[1] * line[2] - u[2] * line[1], u[2] * line[0] - u[0] * line[2], u[0] * line[1] - u[1] * line[0]]
+    size = np.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    size[~(size > 1e-9)] = np.inf
+    v = [c / size for c in v]
+    w = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    one = [dot(v, n), dot(u, line), np.arctan2(dot(w, n), dot(u, n)) / np.pi]
+    return [np.clip(np.nan_to_num((c + 1) / 2 * BINS), 0, BINS - 1).astype("i8") for c in one]
+
+
+def histograms(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
+    """frame_id, point_id, n, h: how many neighbours a point has that are nearer than the radius, and how many of them are in
+    each bin of each angle."""
+    bins, names = 3 * BINS, (*XYZ, "nx", "ny", "nz")
+    known = points.select("frame_id", "point_id", *[F.col(c).cast("double").alias(c) for c in XYZ]).join(normals.select("frame_id", "point_id", "nx", "ny", "nz"), ["frame_id", "point_id"])
+    own, near = celled(known.dropna(subset=list(XYZ)), radius)
+
+    def begin(rows: pa.Table) -> tuple:
+        return rows.column("point_id"), columns_of(rows, *names), np.zeros((rows.num_rows, bins), "i8")
+
+    def meet(key: tuple, state: tuple, rows: pa.RecordBatch) -> None:
+        _, p, h = state
+        q = columns_of(rows, *names)
+        for a, b in tiles(p.shape[1], q.shape[1]):
+            d2 = distances2(p[:3, a], q[:3, b])
+            i, j = np.nonzero((d2 < radius * radius) & (d2 > 0))
+            if len(i):
+                n = d2.shape[0]
+                for k, c in enumerate(binned(p[:, a][:, i], q[:, b][:, j], np.sqrt(d2[i, j]))):
+                    h[a, k * BINS : (k + 1) * BINS] += np.bincount(i * BINS + c, minlength=n * BINS).reshape(n, BINS)
+
+    def tell(key: tuple, state: tuple) -> Iterator[pa.RecordBatch]:
+        ids, _, h = state
+        some = np.flatnonzero(h.any(axis=1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bins, pa.int32()), pa.array(h[some].ravel().astype("i4")))
+        yield pa.record_batch([pa.array(np.full(len(some), key[0])), ids.combine_chunks().take(pa.array(some)), pa.array(h[some, :BINS].sum(1).astype("i4")), lists], ["frame_id", "point_id", "n", "h"])
+
+    return asked(own, near, ["frame_id", *CELL], begin, meet, tell, "frame_id long, point_id long, n int, h array<int>")
 
 
 def features(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
@@ -48,17 +135,37 @@ def features(points: DataFrame, normals: DataFrame, radius: float) -> DataFrame:
     Each of the three adds up to 2, or 1 if no neighbour has one.
 
     Pairs grow with the square of a frame's density. They are never written: all those of a point are found in one task,
-    which adds them up, and they are found again, with the neighbours' histograms (counts), for the second sum."""
-    bins = [(k, b) for k in range(3) for b in range(BINS)]
-    counts = angles(points, normals, radius).groupBy("frame_id", F.col("of").alias("point_id")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"b{k}") == b).alias(f"h{k}_{b}") for k, b in bins])
-    own = stored(counts.select("frame_id", "point_id", F.col("n").cast("int").alias("n"), F.array(*[F.col(f"h{k}_{b}").cast("int") for k, b in bins]).alias("h")))
-    placed = points.select("frame_id", "point_id", *XYZ).join(own, ["frame_id", "point_id"])
-    near = radius_pairs(placed.drop("n", "h").withColumn("kept", F.lit(None).cast("struct<n:int,h:array<int>>")), radius, placed.withColumn("kept", F.struct("n", "h")), ["kept"], WIDE).where("d2 > 0")
-    near = near.select("frame_id", F.col("a").alias("point_id"), (1 / F.sqrt("d2")).alias("w"), "kept_b")
-    share = lambda i: F.col("kept_b.h")[i] / F.col("kept_b.n")
-    around = near.groupBy("frame_id", "point_id").agg(F.sum("w").alias("w"), *[F.sum(share(i) * F.col("w")).alias(f"r{i}") for i in range(len(bins))])
-    both = own.join(around, ["frame_id", "point_id"], "left")
-    return both.select("frame_id", "point_id", F.array(*[F.col("h")[i] / F.col("n") + F.coalesce(F.col(f"r{i}") / F.col("w"), F.lit(0.0)) for i in range(len(bins))]).alias("f"))
+    which adds them up, and they are found again, with the neighbours' histograms (counts), for the second sum, which is a
+    product of matrices (nearness times shares)."""
+    bins = 3 * BINS
+    own = stored(histograms(points, normals, radius))
+    placed = points.select("frame_id", "point_id", *[F.col(c).cast("double").alias(c) for c in XYZ]).join(own, ["frame_id", "point_id"])
+    asking, near = celled(placed, radius)
+
+    def shares(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        h = rows.column("h").combine_chunks() if isinstance(rows, pa.Table) else rows.column("h")
+        return h.flatten().to_numpy().reshape(-1, bins) / rows.column("n").to_numpy()[:, None]
+
+    def begin(rows: pa.Table) -> tuple:
+        return rows.column("point_id"), columns_of(rows, *XYZ), shares(rows), np.zeros((rows.num_rows, bins)), np.zeros(rows.num_rows)
+
+    def meet(key: tuple, state: tuple, rows: pa.RecordBatch) -> None:
+        _, p, _, r, w = state
+        q, theirs = columns_of(rows, *XYZ), shares(rows)
+        for a, b in tiles(p.shape[1], q.shape[1]):
+            d2 = distances2(p[:, a], q[:, b])
+            near = np.zeros_like(d2)
+            np.divide(1.0, np.sqrt(d2), out=near, where=(d2 < radius * radius) & (d2 > 0))
+            r[a] += near @ theirs[b]
+            w[a] += near.sum(1)
+
+    def tell(key: tuple, state: tuple) -> Iterator[pa.RecordBatch]:
+        ids, _, own, r, w = state
+        f = own + np.where(w[:, None] > 0, r / np.where(w > 0, w, 1.0)[:, None], 0.0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * bins, pa.int32()), pa.array(f.ravel()))
+        yield pa.record_batch([pa.array(np.full(len(f), key[0])), ids.combine_chunks(), lists], ["frame_id", "point_id", "f"])
+
+    return asked(asking, near, ["frame_id", *CELL], begin, meet, tell, "frame_id long, point_id long, f array<double>")
 
 
 def coded(feats: DataFrame, seed: int = 1) -> DataFrame:
@@ -89,42 +196,56 @@ def least_of(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [c[new] for c in (frame, side, own, d2, other)]
 
 
-def nearest_met(met: DataFrame) -> DataFrame:
-    """frame_id, side (0: id is an a, 1: a b), id, d2, other of pairs (frame_id, a, b, d2): the least d2 of each point that a
-    task met, so that pairs are neither kept nor shuffled. A task holds HELD points or so."""
+def close(fa: np.ndarray, fb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, d2: pairs of rows of fa and fb, the nearest of each row of either among them. A product of matrices tells which may
+    be nearest, up to what its rounding could change, and those are measured."""
+    rough = (fa * fa).sum(1)[:, None] + (fb * fb).sum(1) - 2 * (fa @ fb.T)
+    slack = 1e-11 * (1 + np.abs(rough).max())
+    i, j = np.nonzero((rough <= rough.min(1)[:, None] + slack) | (rough <= rough.min(0) + slack))
+    step = max(1, TILE // fa.shape[1])
+    d2 = [((fa[i[k : k + step]] - fb[j[k : k + step]]) ** 2).sum(1) for k in range(0, len(i), step)]
+    return i, j, np.concatenate(d2)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
 
-        def joined() -> list[np.ndarray]:
-            return least_of([np.concatenate(c) for c in zip(*held)])
+def nearest_coded(source: DataFrame, target: DataFrame) -> DataFrame:
+    """frame_id, side (0: id is of the source, 1: of the target), id, d2, other: of points that share a code in a table, the least d2
+    of each point that a task met, so that pairs are neither kept nor shuffled. A task holds the source's points of a code, and
+    HELD points' nearest or so."""
 
-        def made(rows: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c) for c in rows], ["frame_id", "side", "id", "d2", "other"])
+    def rows_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c) for c in rows], ["frame_id", "side", "id", "d2", "other"])
 
-        for batch in batches:
-            if batch.num_rows:
-                frame, a, b, d2 = (batch.column(c).to_numpy() for c in ("frame_id", "a", "b", "d2"))
-                side = np.repeat(np.arange(2, dtype="int32"), len(a))
-                held.append(least_of([np.tile(frame, 2), side, np.concatenate([a, b]), np.tile(d2, 2), np.concatenate([b, a])]))
-            if sum(len(rows[0]) for rows in held) > HELD:
-                held = [joined()]
-                if len(held[0][0]) > HELD // 2:
-                    yield made(held.pop())
-        if held:
-            yield made(joined())
+    def of(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        f = rows.column("f").combine_chunks() if isinstance(rows, pa.Table) else rows.column("f")
+        return rows.column("point_id").to_numpy(), f.flatten().to_numpy().reshape(rows.num_rows, -1)
+
+    def begin(rows: pa.Table) -> list:
+        return [*of(rows), []]
+
+    def meet(key: tuple, state: list, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, fa, held = state
+        b, fb = of(rows)
+        for s, t in tiles(len(a), len(b)):
+            i, j, d2 = close(fa[s], fb[t])
+            mine, theirs = a[s][i], b[t][j]
+            side = np.repeat(np.arange(2, dtype="int32"), len(i))
+            held.append(least_of([np.full(2 * len(i), key[0]), side, np.concatenate([mine, theirs]), np.tile(d2, 2), np.concatenate([theirs, mine])]))
+        if sum(len(r[0]) for r in held) > HELD:
+            held[:] = [least_of([np.concatenate(c) for c in zip(*held)])]
+            if len(held[0][0]) > HELD // 2:
+                yield rows_of(held.pop())
+
+    def tell(key: tuple, state: list) -> Iterator[pa.RecordBatch]:
+        if state[2]:
+            yield rows_of(least_of([np.concatenate(c) for c in zip(*state[2])]))
 
-    return met.select("frame_id", "a", "b", "d2").mapInArrow(work, "frame_id long, side int, id long, d2 double, other long")
+    return asked(coded(source), coded(target), ["frame_id", "tab", "code"], begin, meet, tell, "frame_id long, side int, id long, d2 double, other long")
 
 
 def matches(source: DataFrame, target: DataFrame) -> DataFrame:
     """frame_id, a, b: points of source and target (features) that are each other's nearest, by features, among those that
     share a code in a table (ties by id)."""
-    a = coded(source).select("frame_id", "tab", "code", F.col("point_id").alias("a"), F.col("f").alias("fa"))
-    b = coded(target).select("frame_id", "tab", "code", F.col("point_id").alias("b"), F.col("f").alias("fb"))
-    off = [F.col("fa")[k] - F.col("fb")[k] for k in range(3 * BINS)]
-    met = a.join(b, ["frame_id", "tab", "code"]).select("frame_id", "a", "b", sum((v * v for v in off), F.lit(0.0)).alias("d2"))
-    best = stored(nearest_met(met).groupBy("frame_id", "side", "id").agg(F.min(F.struct("d2", "other")).alias("m")))
+    best = stored(nearest_coded(source, target).groupBy("frame_id", "side", "id").agg(F.min(F.struct("d2", "other")).alias("m")))
     best_a, best_b = (best.where(f"side = {k}").select("frame_id", *[F.col(c).alias(n) for c, n in zip(("id", "m.other"), names)]) for k, names in enumerate((("a", "b"), ("b", "a"))))
     return best_a.join(best_b, ["frame_id", "a", "b"])
 

@@ -282,3 +282,38 @@ def test_pairs_meet_once_with_what_they_carry(spark):
         assert sorted(map(tuple, got.drop("d2").collect())) == want != []
     rows = joins.radius_pairs(pts, 2.0, wide=4)._jdf.queryExecution().optimizedPlan().toString()
     assert ">=" in rows  # a row goes to its own cell and those after it, not to all around
+
+
+def test_features_are_summed_where_points_meet(spark, monkeypatch):
+    """No row a pair: the features are those of all pairs, whatever the cells; copies at the same place are no neighbours."""
+    from lodegrid.operators import places
+
+    rng = np.random.default_rng(11)
+    at = rng.uniform(-5, 5, (120, 3))
+    at[60:70] = at[:10]
+    n = rng.normal(size=at.shape)
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    pts = spark.createDataFrame([(7, i, *map(float, p)) for i, p in enumerate(at)], P)
+    normals = spark.createDataFrame([(7, i, *map(float, v)) for i, v in enumerate(n)], "frame_id long, point_id long, nx double, ny double, nz double")
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    near = (d2 < 9) & (d2 > 0)
+    h = np.zeros((120, 3, 11))
+    for i, j in np.argwhere(near):
+        line = (at[j] - at[i]) / np.sqrt(d2[i, j])
+        v = np.cross(n[i], line)
+        v /= np.linalg.norm(v)
+        one = [v @ n[j], n[i] @ line, np.arctan2(np.cross(n[i], v) @ n[j], n[i] @ n[j]) / np.pi]
+        for k, c in enumerate(one):
+            h[i, k, min(10, int((c + 1) / 2 * 11))] += 1
+    share = h.reshape(120, 33) / np.maximum(1, near.sum(1))[:, None]
+    w = np.where(near, 1 / np.sqrt(np.where(near, d2, 1)), 0)
+    want = share + w @ share / np.maximum(w.sum(1), 1e-300)[:, None]
+    for many in (4, 1 << 10):
+        monkeypatch.setattr(places, "MANY", many)
+        own, around = places.celled(pts, 3.0)
+        assert own.count() == 120 and (many > 4 or own.select("ix", "iy", "iz").distinct().count() > 50)
+        met = places.histograms(pts, normals, 3.0)
+        assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        got = {r["point_id"]: r["f"] for r in places.features(pts, normals, 3.0).collect()}
+        assert sorted(got) == np.flatnonzero(near.any(1)).tolist()
+        assert all(np.allclose(got[i], want[i], atol=1e-12) for i in got)
